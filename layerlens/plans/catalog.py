@@ -7,7 +7,7 @@ import importlib
 
 from layerlens.plans.registry import ORACLES, QUERIES, QueryFn
 
-_MODULES = ["q_ranking"]
+_MODULES = ["q_ranking", "q_dataset"]
 
 for _m in _MODULES:
     importlib.import_module(f"layerlens.plans.{_m}")

@@ -149,3 +149,27 @@ def f8_layer_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") % 3).alias("model"),
         (F.col("user_id") % 13).alias("layer"),
     ).agg(F.avg("value").alias("value"))
+
+
+def f4_star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """F4 as the ranking star schema: ``queries`` (user turns), ``docs``
+    (assistant turns) and ``pairs`` — the answer to a turn is relevant (1),
+    the assistant turn two answers later is a negative (0)."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    key = F.col("conv_id") * 100 + F.col("turn")
+    orig = F.col("conv_id") * 1000 + F.col("turn")
+    queries = conv.filter(F.col("role") == "user").select(key.alias("q_idx"), orig.alias("orig_q_id"), "text")
+    docs = conv.filter(F.col("role") == "assistant").select(key.alias("d_idx"), orig.alias("orig_d_id"), "text")
+    users = conv.filter(F.col("role") == "user").select("conv_id", "turn")
+    assistants = conv.filter(F.col("role") == "assistant").select("conv_id", F.col("turn").alias("a_turn"))
+    # two equi-joins on (conversation, turn offset): never all pairs of a conversation
+    pairs = None
+    for offset, label in ((1, 1), (3, 0)):
+        u = users.select("conv_id", "turn", (F.col("turn") + offset).alias("a_turn"))
+        part = u.join(assistants, ["conv_id", "a_turn"]).select(
+            (F.col("conv_id") * 100 + F.col("turn")).alias("q_idx"),
+            (F.col("conv_id") * 100 + F.col("a_turn")).alias("d_idx"),
+            F.lit(label).alias("label"),
+        )
+        pairs = part if pairs is None else pairs.unionByName(part)
+    return {"pairs": pairs, "queries": queries, "docs": docs}
