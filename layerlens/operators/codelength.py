@@ -54,23 +54,35 @@ def centroid_logits(rows: DataFrame, num_classes: int, vector: str = "vector", c
     return rows.withColumn("logits", logits).withColumn("missing_class", missing.cast("int"))
 
 
-def online_code_lengths(
+def scored_chunks(
     permuted: DataFrame,
     portions: DataFrame,
     num_classes: int,
     vector: str = "vector",
     label: str = "label",
-    n_targets: str | None = None,
 ) -> DataFrame:
-    """A5: ``(portion_idx, ce_sum, n_scored, n_targets, n_missing_class)``
-    with the closed-form centroid probe, all portions in one job."""
+    """Every chunk row scored by the centroid probe of the portion before
+    it: adds ``portion_idx``, ``logits``, ``missing_class`` and ``ce``."""
     fit_portions = portions.filter(F.col("n_next").isNotNull())
     members = S.portion_members(permuted, fit_portions)
     cents = fit_centroids(members, ["portion_idx"], vector, label)
     chunks = S.next_chunks(permuted, portions)
     # K-1 rows of C centroids of D values: bounded by the parameters
     scored = centroid_logits(chunks.join(F.broadcast(cents), "portion_idx", "left"), num_classes, vector)
-    scored = scored.withColumn("ce", cross_entropy(F.col("logits"), F.col(label)))
+    return scored.withColumn("ce", cross_entropy(F.col("logits"), F.col(label)))
+
+
+def online_code_lengths(
+    permuted: DataFrame,
+    portions: DataFrame,
+    num_classes: int,
+    vector: str = "vector",
+    label: str = "label",
+    n_targets: str | None = None,
+) -> DataFrame:
+    """A5: ``(portion_idx, ce_sum, n_scored, n_targets, n_missing_class)``
+    with the closed-form centroid probe, all portions in one job."""
+    scored = scored_chunks(permuted, portions, num_classes, vector, label)
     t = F.col(n_targets) if n_targets else F.lit(1)
     return scored.groupBy("portion_idx").agg(
         F.sum("ce").alias("ce_sum"),
