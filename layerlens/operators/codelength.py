@@ -60,15 +60,19 @@ def scored_chunks(
     num_classes: int,
     vector: str = "vector",
     label: str = "label",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Every chunk row scored by the centroid probe of the portion before
-    it: adds ``portion_idx``, ``logits``, ``missing_class`` and ``ce``."""
+    it: adds ``portion_idx``, ``logits``, ``missing_class`` and ``ce``.
+    ``by`` adds sweep keys (e.g. layer): one probe per key and portion."""
+    keys = [*by, "portion_idx"]
     fit_portions = portions.filter(F.col("n_next").isNotNull())
     members = S.portion_members(permuted, fit_portions)
-    cents = fit_centroids(members, ["portion_idx"], vector, label)
+    cents = fit_centroids(members, keys, vector, label)
     chunks = S.next_chunks(permuted, portions)
-    # K-1 rows of C centroids of D values: bounded by the parameters
-    scored = centroid_logits(chunks.join(F.broadcast(cents), "portion_idx", "left"), num_classes, vector)
+    # (sweep points × K-1) rows of C centroids of D values: bounded by the
+    # parameters, not by the data
+    scored = centroid_logits(chunks.join(F.broadcast(cents), keys, "left"), num_classes, vector)
     return scored.withColumn("ce", cross_entropy(F.col("logits"), F.col(label)))
 
 
@@ -79,12 +83,13 @@ def online_code_lengths(
     vector: str = "vector",
     label: str = "label",
     n_targets: str | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """A5: ``(portion_idx, ce_sum, n_scored, n_targets, n_missing_class)``
+    """A5: ``(by…, portion_idx, ce_sum, n_scored, n_targets, n_missing_class)``
     with the closed-form centroid probe, all portions in one job."""
-    scored = scored_chunks(permuted, portions, num_classes, vector, label)
+    scored = scored_chunks(permuted, portions, num_classes, vector, label, by)
     t = F.col(n_targets) if n_targets else F.lit(1)
-    return scored.groupBy("portion_idx").agg(
+    return scored.groupBy(*by, "portion_idx").agg(
         F.sum("ce").alias("ce_sum"),
         F.count(F.lit(1)).alias("n_scored"),
         F.sum(t).cast("long").alias("n_targets"),
@@ -178,3 +183,33 @@ def online_coding_with_estimator(
         rows, "portion_idx int, ce_sum double, n_scored long, n_targets long, n_missing_class long"
     )
     return per, mdl_and_compression(spark, per, sizes[0], n, num_classes)
+
+
+def layer_sweep(
+    train: DataFrame,
+    layers: DataFrame,
+    num_classes: int,
+    fractions: Sequence[float] = S.DEFAULT_PORTIONS,
+    id_col: str = "id",
+    vector: str = "vector",
+    label: str = "label",
+) -> DataFrame:
+    """M9: online coding for every sweep point in ``layers`` (a small grid
+    table with a ``layer`` key and the ``vector`` to probe at that point,
+    computed from the row) in one job: ``(layer, mdl, compression, n_scored)``.
+    ``layers`` must have columns ``layer`` and ``dims`` (the number of
+    leading vector components that layer exposes)."""
+    spark = train.sparkSession
+    permuted = S.permute(train, id_col)
+    n = permuted.count()
+    portions = S.portions_table(spark, n, fractions)
+    n0 = S.portion_sizes(n, fractions)[0]
+    grid = permuted.crossJoin(F.broadcast(layers)).withColumn(vector, F.slice(F.col(vector), 1, F.col("dims")))
+    per = online_code_lengths(grid, portions, num_classes, vector, label, by=["layer"])
+    log2c = math.log2(num_classes)
+    mdl = F.lit(n0 * log2c) + F.sum("ce_sum")
+    return per.groupBy("layer").agg(
+        mdl.alias("mdl"),
+        (F.lit(n * log2c) / mdl).alias("compression"),
+        F.sum("n_scored").alias("n_scored"),
+    )

@@ -51,11 +51,11 @@ def read_json_array_instances(spark: SparkSession, path: str) -> DataFrame:
 def read_label_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """S3: ``labels.txt`` → ``(label, id)`` with id = 0-based line number,
     trailing whitespace stripped. The file is one class per line (small)."""
-    whole = spark.read.option("wholetext", True).text(path)
-    lines = whole.select(F.posexplode(F.split(F.col("value"), "\n")).alias("id", "label"))
-    n = whole.select(F.size(F.split(F.col("value"), "\n")).alias("n"))
+    whole = spark.read.text(path, wholetext=True)
+    parts = F.split(F.col("value"), "\n")
     # a file ending in a newline yields one empty trailing element
-    lines = lines.join(n).filter(~((F.col("id") == F.col("n") - 1) & (F.col("label") == ""))).drop("n")
+    kept = F.filter(parts, lambda x, i: ~((i == F.size(parts) - 1) & (x == "")))
+    lines = whole.select(F.posexplode(kept).alias("id", "label"))
     return lines.select(F.rtrim("label").alias("label"), F.col("id").cast("int").alias("id"))
 
 
