@@ -25,10 +25,13 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from layerlens.session import spread_for_python
+
 # Special tokens and limits of the uncased WordPiece scheme.
 UNK, CLS, SEP, PAD = "[UNK]", "[CLS]", "[SEP]", "[PAD]"
 CONTINUATION = "##"
@@ -88,19 +91,27 @@ _SPLIT_CACHES: dict[int, dict[str, tuple[int, ...]]] = {}
 
 def make_tokenizer(vocab: dict[str, int], cache_size: int = 1 << 18):
     """Arrow UDF ``array<string> words → struct<ids, n_pieces, offsets>``;
-    ``offsets[w]`` = pieces before word w (length n_words + 1)."""
+    ``offsets[w]`` = pieces before word w (length n_words + 1). Works on the
+    Arrow arrays directly (no pandas objects): the word lists are flattened,
+    split through the cache, and the three list columns are rebuilt from
+    flat buffers."""
     key = hash(frozenset(vocab.items()))
 
-    @F.pandas_udf(PIECES_TYPE)
-    def tokenize(ws: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(PIECES_TYPE)
+    def tokenize(ws: pa.Array) -> pa.Array:
         cache = _SPLIT_CACHES.setdefault(key, {})
-        ids_col, n_col, off_col = [], [], []
-        for arr in ws:
-            ids: list[int] = []
-            counts: list[int] = []
-            offs = [0]
-            if arr is not None:
-                for w in arr:
+        flat = ws.flatten().to_pylist()
+        bounds = ws.offsets.to_pylist()
+        valid = ws.is_valid().to_pylist()
+        ids: list[int] = []
+        counts: list[int] = []
+        offs: list[int] = []
+        id_bounds, cnt_bounds, off_bounds = [0], [0], [0]
+        for r in range(len(ws)):
+            running = 0
+            offs.append(0)
+            if valid[r]:
+                for w in flat[bounds[r]:bounds[r + 1]]:
                     p = cache.get(w)
                     if p is None:
                         p = tuple(wordpiece(normalize_word(w), vocab))
@@ -108,44 +119,64 @@ def make_tokenizer(vocab: dict[str, int], cache_size: int = 1 << 18):
                             cache[w] = p
                     ids.extend(p)
                     counts.append(len(p))
-                    offs.append(offs[-1] + len(p))
-            ids_col.append(ids)
-            n_col.append(counts)
-            off_col.append(offs)
-        return pd.DataFrame({"ids": ids_col, "n_pieces": n_col, "offsets": off_col})
+                    running += len(p)
+                    offs.append(running)
+            id_bounds.append(len(ids))
+            cnt_bounds.append(len(counts))
+            off_bounds.append(len(offs))
+
+        def lists(bnd, vals):
+            return pa.ListArray.from_arrays(pa.array(bnd, pa.int32()), pa.array(vals, pa.int32()))
+
+        return pa.StructArray.from_arrays(
+            [lists(id_bounds, ids), lists(cnt_bounds, counts), lists(off_bounds, offs)],
+            names=["ids", "n_pieces", "offsets"],
+        )
 
     return tokenize
 
 
 def load_vocab(vocab: DataFrame, token: str = "token", id_col: str = "id") -> dict[str, int]:
-    """Vocabulary table → dict (checked to be of model-vocabulary size)."""
-    n = vocab.count()
-    if n > MAX_VOCAB_ROWS:
-        raise ValueError(f"vocabulary has {n} rows")
-    return {r[0]: int(r[1]) for r in vocab.select(token, id_col).collect()}
+    """Vocabulary table → dict. A vocabulary is a model artefact; its size
+    is checked after the (single) collect."""
+    rows = vocab.select(token, id_col).collect()
+    if len(rows) > MAX_VOCAB_ROWS:
+        raise ValueError(f"vocabulary has {len(rows)} rows")
+    return {r[0]: int(r[1]) for r in rows}
 
 
-def build_vocab(texts: DataFrame, text: str = "text", top_words: int = 2000) -> DataFrame:
-    """F9 vocabulary from a corpus: specials, every character (bare and as
-    ``##`` continuation) and the ``top_words`` most frequent normalised words;
-    ``id`` = position in (specials, then token order)."""
+def _word_counts(texts: DataFrame, text: str) -> DataFrame:
+    """Normalised word → count over a corpus (partial aggregation per raw
+    word first, so the Python normalisation sees each distinct word once
+    per partition)."""
+
     @F.pandas_udf(T.StringType())
     def norm(s: pd.Series) -> pd.Series:
         return s.map(normalize_word)
 
-    counted = (
-        texts.select(F.explode(words(F.col(text))).alias("w"))
-        .groupBy("w").agg(F.count(F.lit(1)).alias("c"))          # partial aggregation per word
+    return (
+        spread_for_python(texts.select(text))
+        .select(F.explode(words(F.col(text))).alias("w"))
+        .groupBy("w").agg(F.count(F.lit(1)).alias("c"))
         .select(norm(F.col("w")).alias("w"), "c")
         .groupBy("w").agg(F.sum("c").alias("c"))
     )
+
+
+def build_vocab(texts: DataFrame, text: str = "text", top_words: int = 2000) -> DataFrame:
+    """F9 vocabulary from a corpus: specials, every character (bare and as
+    ``##`` continuation) and the ``top_words`` most frequent normalised words;
+    ``id`` = position in (specials, then token order)."""
+    return _vocab_from_counts(texts.sparkSession, _word_counts(texts, text), top_words)
+
+
+def _vocab_from_counts(spark, counted: DataFrame, top_words: int) -> DataFrame:
     top = counted.orderBy(F.col("c").desc(), F.col("w")).limit(top_words).select(F.col("w").alias("token"))
     chars = counted.select(F.explode(F.split(F.col("w"), "")).alias("ch")).filter(F.col("ch") != "").distinct()
     chars_all = chars.select(F.col("ch").alias("token")).unionByName(
         chars.select(F.concat(F.lit(CONTINUATION), F.col("ch")).alias("token"))
     )
     toks = top.unionByName(chars_all).distinct()
-    spark = texts.sparkSession
     specials = spark.createDataFrame([(t, i) for i, t in enumerate([PAD, UNK, CLS, SEP])], "token string, k int")
     ordered = toks.join(F.broadcast(specials.select("token")), "token", "left_anti")
     # ids by sorted token: one ordered window over the vocabulary, whose size
@@ -155,11 +186,21 @@ def build_vocab(texts: DataFrame, text: str = "text", top_words: int = 2000) ->
     return specials.select("token", F.col("k").alias("id")).unionByName(body)
 
 
+def corpus_vocab(texts: DataFrame, text: str = "text", top_words: int = 2000) -> dict[str, int]:
+    """``build_vocab`` collected to a dict; the word-count table is persisted
+    for its two reads (top words, character set) and released after."""
+    counted = _word_counts(texts, text).persist()
+    try:
+        return load_vocab(_vocab_from_counts(texts.sparkSession, counted, top_words))
+    finally:
+        counted.unpersist()
+
+
 def tokenize_texts(df: DataFrame, vocab: dict[str, int], text: str = "text", prefix: str = "") -> DataFrame:
     """Add ``{prefix}words`` and ``{prefix}pieces`` (struct of ids,
     per-word counts and offsets) for the whole text of every row."""
     tok = make_tokenizer(vocab)
-    return df.withColumn(f"{prefix}words", words(F.col(text))).withColumn(
+    return spread_for_python(df).withColumn(f"{prefix}words", words(F.col(text))).withColumn(
         f"{prefix}pieces", tok(F.col(f"{prefix}words"))
     )
 

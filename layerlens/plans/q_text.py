@@ -38,7 +38,7 @@ def word_tokens(spark, sf_dir):
 
 def corpus_vocab(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("text")
-    return X.load_vocab(X.build_vocab(docs, "text", top_words=2000))
+    return X.corpus_vocab(docs, "text", top_words=2000)
 
 
 @register("tokenize_pieces")

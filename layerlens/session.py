@@ -67,3 +67,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_for_python(df: DataFrame) -> DataFrame:
+    """Before a CPU-heavy Python stage: if the input has fewer partitions
+    than the cluster has cores (a small file is one split), spread it
+    round-robin over the cores. Large inputs already have many splits and
+    are left as they are (no extra shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
