@@ -172,7 +172,8 @@ def build_vocab(texts: DataFrame, text: str = "text", top_words: int = 2000) ->
 
 def _vocab_from_counts(spark, counted: DataFrame, top_words: int) -> DataFrame:
     top = counted.orderBy(F.col("c").desc(), F.col("w")).limit(top_words).select(F.col("w").alias("token"))
-    chars = counted.select(F.explode(F.split(F.col("w"), "")).alias("ch")).filter(F.col("ch") != "").distinct()
+    # characters as code points (a regex '.' never splits a surrogate pair)
+    chars = counted.select(F.explode(F.regexp_extract_all(F.col("w"), F.lit("(?s)."), 0)).alias("ch")).distinct()
     chars_all = chars.select(F.col("ch").alias("token")).unionByName(
         chars.select(F.concat(F.lit(CONTINUATION), F.col("ch")).alias("token"))
     )

@@ -14,6 +14,7 @@ from layerlens.plans.registry import register
 from layerlens.sources.tables import table
 
 PAIR_MAX_LEN = 128
+TOP_WORDS = 2000
 BATCH_SIZE = 8
 _WORD_ONLY = r"^[\p{L}\p{N}\p{M}]+$"
 
@@ -38,10 +39,55 @@ def word_tokens(spark, sf_dir):
 
 def corpus_vocab(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("text")
-    return X.corpus_vocab(docs, "text", top_words=2000)
-
-
-@register("tokenize_pieces")
+    return X.corpus_vocab(docs, "text", top_words=TOP_WORDS)
+
+
+
+# --- DuckDB form of the corpus vocabulary and of greedy WordPiece ----------
+# With a vocabulary of specials, top words, characters and "##"+character,
+# greedy longest-match WordPiece has a closed form per normalised word w:
+# L = longest vocabulary entry that is a prefix of w; the word is [UNK] if
+# it is longer than 100 characters, if L = 0, or if a character after the
+# first L has no "##" entry; otherwise it has 1 + len(w) - L pieces.
+_P = X.WORD_PATTERN
+
+_VOCAB_SQL = f"""
+dw0 AS (SELECT unnest(regexp_extract_all(text, '{_P}')) AS x FROM documents),
+wcount AS (SELECT strip_accents(lower(x)) AS w, count(*) AS c FROM dw0 GROUP BY 1),
+vw AS (SELECT w FROM wcount ORDER BY c DESC, w LIMIT {TOP_WORDS}),
+vchars AS (SELECT DISTINCT unnest(regexp_extract_all(w, '.')) AS ch FROM wcount),
+vtok AS (SELECT w AS tok FROM vw UNION SELECT ch FROM vchars)"""
+
+
+def _pieces_sql(words_cte: str) -> str:
+    """CTEs ending in ``wp(w, np, unk)`` for the distinct words of ``words_cte(w)``."""
+    return f"""
+wd AS (SELECT DISTINCT w FROM {words_cte}),
+wchars AS (SELECT w, unnest(regexp_extract_all(w, '.')) AS ch,
+                  generate_subscripts(regexp_extract_all(w, '.'), 1) AS pos FROM wd),
+pre AS (SELECT wc.w, max(wc.pos) AS l FROM wchars wc JOIN vtok ON vtok.tok = left(wc.w, wc.pos) GROUP BY wc.w),
+bad AS (SELECT wc.w, count(*) AS n_bad FROM wchars wc LEFT JOIN pre USING (w) LEFT JOIN vchars v ON v.ch = wc.ch
+        WHERE wc.pos > COALESCE(pre.l, 0) AND v.ch IS NULL GROUP BY wc.w),
+wp AS (SELECT wd.w,
+         (length(wd.w) > 100 OR pre.l IS NULL OR COALESCE(bad.n_bad, 0) > 0) AS unk,
+         CASE WHEN length(wd.w) > 100 OR pre.l IS NULL OR COALESCE(bad.n_bad, 0) > 0 THEN 1
+              ELSE 1 + length(wd.w) - pre.l END AS np
+       FROM wd LEFT JOIN pre USING (w) LEFT JOIN bad USING (w))"""
+
+
+_DOC_WORDS = f"""
+tw0 AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_P}')) AS x FROM documents),
+tw AS (SELECT doc_id, strip_accents(lower(x)) AS w FROM tw0)"""
+
+
+@register("tokenize_pieces", oracle=f"""
+WITH {_VOCAB_SQL}, {_DOC_WORDS}, {_pieces_sql('tw')},
+per AS (SELECT doc_id, count(*) AS n_words, sum(np) AS n_pieces, sum(CASE WHEN unk THEN 1 ELSE 0 END) AS n_unk
+        FROM tw JOIN wp USING (w) GROUP BY doc_id)
+SELECT d.doc_id, CAST(COALESCE(n_words, 0) AS BIGINT) AS n_words, CAST(COALESCE(n_pieces, 0) AS BIGINT) AS n_pieces,
+       CAST(COALESCE(n_unk, 0) AS BIGINT) AS n_unk
+FROM documents d LEFT JOIN per USING (doc_id)
+""")
 def tokenize_pieces(spark, sf_dir):
     """WordPiece over every document with a vocabulary built from the
     corpus (characters + 2,000 most frequent words): words, pieces, [UNK]s."""
@@ -50,18 +96,53 @@ def tokenize_pieces(spark, sf_dir):
     t = X.tokenize_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab)
     return t.select(
         "doc_id",
-        F.size("words").alias("n_words"),
-        F.size("pieces.ids").alias("n_pieces"),
-        F.size(F.filter("pieces.ids", lambda i: i == unk)).alias("n_unk"),
+        F.size("words").cast("long").alias("n_words"),
+        F.size("pieces.ids").cast("long").alias("n_pieces"),
+        F.size(F.filter("pieces.ids", lambda i: i == unk)).cast("long").alias("n_unk"),
     )
 
 
+
+_PAIR_SQL = f"""
+{_VOCAB_SQL},
+pr AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS p
+       FROM (SELECT conv_id, turn, text FROM conversations WHERE role = 'user') u
+       JOIN (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant') a USING (conv_id, turn)),
+qw0 AS (SELECT conv_id, turn, unnest(regexp_extract_all(q, '{_P}')) AS x,
+               generate_subscripts(regexp_extract_all(q, '{_P}'), 1) AS i FROM pr),
+pw0 AS (SELECT conv_id, turn, unnest(regexp_extract_all(p, '{_P}')) AS x,
+               generate_subscripts(regexp_extract_all(p, '{_P}'), 1) AS i FROM pr),
+qw AS (SELECT conv_id, turn, i, strip_accents(lower(x)) AS w FROM qw0),
+pw AS (SELECT conv_id, turn, i, strip_accents(lower(x)) AS w FROM pw0),
+allw AS (SELECT w FROM qw UNION ALL SELECT w FROM pw),
+{_pieces_sql('allw')},
+qs AS (SELECT conv_id, turn, count(*) AS nqw, sum(np) AS n_q FROM qw JOIN wp USING (w) GROUP BY ALL),
+ps AS (SELECT conv_id, turn, count(*) AS npw, sum(np) AS n_p FROM pw JOIN wp USING (w) GROUP BY ALL),
+lens AS (SELECT pr.conv_id, pr.turn, COALESCE(nqw, 0) AS nqw, COALESCE(npw, 0) AS npw,
+                CAST(COALESCE(n_q, 0) AS INTEGER) AS n_q, CAST(COALESCE(n_p, 0) AS INTEGER) AS n_p
+         FROM pr LEFT JOIN qs USING (conv_id, turn) LEFT JOIN ps USING (conv_id, turn)),
+kept AS (SELECT *,
+  CASE WHEN n_q + n_p <= {PAIR_MAX_LEN - 3} THEN n_q
+       WHEN n_q <= n_p AND n_q <= {(PAIR_MAX_LEN - 3) // 2} THEN n_q
+       WHEN n_q > n_p AND n_p <= {(PAIR_MAX_LEN - 3) // 2} THEN {PAIR_MAX_LEN - 3} - n_p
+       ELSE {PAIR_MAX_LEN - 3 - (PAIR_MAX_LEN - 3) // 2} END AS kept_q,
+  CASE WHEN n_q + n_p <= {PAIR_MAX_LEN - 3} THEN n_p
+       WHEN n_q <= n_p AND n_q <= {(PAIR_MAX_LEN - 3) // 2} THEN {PAIR_MAX_LEN - 3} - n_q
+       WHEN n_q > n_p AND n_p <= {(PAIR_MAX_LEN - 3) // 2} THEN n_p
+       ELSE {(PAIR_MAX_LEN - 3) // 2} END AS kept_p
+  FROM lens)"""
+
 def encoded_pairs(spark, sf_dir, max_len=PAIR_MAX_LEN):
     vocab = corpus_vocab(spark, sf_dir)
     return X.pair_encoding(f4_pairs(spark, sf_dir), vocab, max_len), vocab
 
 
-@register("pair_encoding")
+@register("pair_encoding", oracle=f"""
+WITH {_PAIR_SQL}
+SELECT conv_id, turn, n_q, n_p, kept_q, kept_p, kept_q + kept_p + 3 AS seq_len, kept_p + 1 AS n_type1,
+       (kept_q < n_q OR kept_p < n_p) AS truncated
+FROM kept
+""")
 def pair_encoding(spark, sf_dir):
     """Pair encodings with longest-side-first truncation (max 128)."""
     enc, _ = encoded_pairs(spark, sf_dir)
@@ -73,7 +154,10 @@ def pair_encoding(spark, sf_dir):
     )
 
 
-@register("pair_spans")
+@register("pair_spans", oracle=f"""
+WITH {_PAIR_SQL}
+SELECT conv_id, turn, 1 AS q_a, kept_q + 1 AS q_b, kept_q + 2 AS p_a, kept_q + kept_p + 2 AS p_b FROM kept
+""")
 def pair_spans(spark, sf_dir):
     """Query and passage spans computed from the kept lengths."""
     enc, _ = encoded_pairs(spark, sf_dir)
@@ -84,7 +168,23 @@ def pair_spans(spark, sf_dir):
     )
 
 
-@register("realign_spans")
+@register("realign_spans", oracle=f"""
+WITH {_PAIR_SQL},
+pa AS (SELECT k.conv_id, k.turn, k.n_q, k.kept_q, k.kept_p, k.n_p,
+         COALESCE((SELECT sum(np) FROM qw JOIN wp USING (w) WHERE qw.conv_id = k.conv_id AND qw.turn = k.turn
+                   AND qw.i <= greatest(k.nqw - 2, 0)), 0) AS p1a,
+         k.n_q + COALESCE((SELECT sum(np) FROM pw JOIN wp USING (w) WHERE pw.conv_id = k.conv_id AND pw.turn = k.turn
+                   AND pw.i <= least(k.npw, 3)), 0) AS p2b
+       FROM kept k),
+sp AS (SELECT *, 1 + p1a AS a1, 1 + n_q AS b1, 1 + n_q AS a2, 1 + p2b AS b2 FROM pa)
+SELECT conv_id, turn,
+  CAST(a1 + CASE WHEN a1 > n_q THEN 1 ELSE 0 END AS INTEGER) AS a,
+  CAST(b1 + CASE WHEN a1 > n_q THEN 1 ELSE 0 END AS INTEGER) AS b,
+  CAST(a2 + CASE WHEN a2 > n_q THEN 1 ELSE 0 END AS INTEGER) AS a2,
+  CAST(b2 + CASE WHEN a2 > n_q THEN 1 ELSE 0 END AS INTEGER) AS b2,
+  (kept_q < n_q OR kept_p < n_p) AS truncated
+FROM sp
+""")
 def realign_spans(spark, sf_dir):
     """Word spans → piece spans. Two targets per pair over query+passage
     words: the last two query words, and the first three passage words."""
