@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 # permutation is independent of any global seed).
 SPLIT_SEED = 5823905
 
-LARGE_NEGATIVE_LOGIT = -1.0e30
-
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c

@@ -25,32 +25,45 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerlens.functions.columns import LARGE_NEGATIVE_LOGIT, cross_entropy, sq_dist
+from layerlens.functions.columns import cross_entropy, sq_dist
 from layerlens.operators import sampling as S
 
 
 def fit_centroids(train: DataFrame, by: Sequence[str], vector: str = "vector", label: str = "label") -> DataFrame:
     """Per group in ``by``: ``centroids map<int, array<double>>`` = mean
-    vector of each class."""
+    vector of each class, plus key -1 = mean of all rows of the group (the
+    fallback for a class absent from the fit rows)."""
     by = list(by)
     per_class = train.groupBy(*by, F.col(label).cast("int").alias("_y")).agg(
-        Summarizer.mean(array_to_vector(F.col(vector))).alias("_c")
+        Summarizer.mean(array_to_vector(F.col(vector))).alias("_c"), F.count(F.lit(1)).alias("_n")
     )
-    return per_class.groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct("_y", vector_to_array("_c").alias("_v")))).alias("centroids")
+    # at most C entries per group
+    grouped = per_class.groupBy(*by).agg(
+        F.collect_list(F.struct("_y", "_n", vector_to_array("_c").alias("_v"))).alias("_l")
     )
+    first = F.element_at(F.col("_l"), 1)["_v"]
+    total = F.aggregate("_l", F.lit(0).cast("long"), lambda acc, e: acc + e["_n"])
+    weighted = F.aggregate(
+        "_l",
+        F.transform(first, lambda _: F.lit(0.0)),
+        lambda acc, e: F.zip_with(acc, e["_v"], lambda a, b: a + b * e["_n"]),
+    )
+    overall = F.transform(weighted, lambda v: v / total)
+    per = F.map_from_entries(F.transform("_l", lambda e: F.struct(e["_y"], e["_v"])))
+    return grouped.select(*by, F.map_concat(per, F.create_map(F.lit(-1), overall)).alias("centroids"))
 
 
 def centroid_logits(rows: DataFrame, num_classes: int, vector: str = "vector", centroids: str = "centroids") -> DataFrame:
-    """Logits ``-‖x - c_y‖²`` for y = 0..C-1; a class absent from the fit
-    gets a large negative logit (``missing_class`` counts such rows)."""
+    """Logits ``-‖x - c_y‖²`` for y = 0..C-1. A class absent from the fit
+    rows is scored against the overall mean of those rows (an uninformative
+    but finite logit); ``missing_class`` flags rows scored with such a gap."""
     x = F.col(vector)
     cents = F.col(centroids)
     logits = F.transform(
         F.sequence(F.lit(0), F.lit(num_classes - 1)),
-        lambda y: F.coalesce(-sq_dist(x, F.element_at(cents, y)), F.lit(LARGE_NEGATIVE_LOGIT)),
+        lambda y: -sq_dist(x, F.coalesce(F.element_at(cents, y), F.element_at(cents, F.lit(-1)))),
     )
-    missing = F.size(F.map_keys(cents)) < num_classes
+    missing = (F.size(F.map_keys(cents)) - 1) < num_classes
     return rows.withColumn("logits", logits).withColumn("missing_class", missing.cast("int"))
 
 

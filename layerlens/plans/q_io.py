@@ -153,7 +153,28 @@ def test_only(spark, sf_dir):
     return acc.crossJoin(f1).crossJoin(pred.agg(F.avg("ce").alias("loss")))
 
 
-@register("full_procedure")
+@register("full_procedure", oracle=f"""
+WITH f3 AS (SELECT vec_id AS id, embedding AS v, label FROM embeddings),
+sz AS (SELECT count(*) * 6 // 10 AS n_train, count(*) * 3 // 10 AS n_test FROM embeddings),
+p0 AS (SELECT id, v, label, {_PERM.format(id='id')} AS perm FROM f3),
+sp AS (SELECT id, v, label,
+         CASE WHEN perm < n_test // 2 THEN 'test' WHEN perm < n_test THEN 'validation'
+              WHEN perm < n_test + n_train THEN 'train' END AS split FROM p0, sz),
+trn AS (SELECT id, v, label, {_PERM.format(id='id')} AS perm FROM sp WHERE split = 'train'),
+fr AS (SELECT * FROM (VALUES (0, 0.0625), (1, 0.125), (2, 0.25), (3, 0.5), (4, 1.0)) t(portion_idx, fraction)),
+pt0 AS (SELECT portion_idx, CAST(floor((SELECT count(*) FROM trn) * fraction) AS BIGINT) AS n FROM fr),
+pt AS (SELECT portion_idx, n, lead(n) OVER (ORDER BY portion_idx) AS n_next FROM pt0),
+mem AS (SELECT pt.portion_idx AS g, t.v, t.label FROM trn t JOIN pt ON t.perm < pt.n WHERE pt.n_next IS NOT NULL),
+chk AS (SELECT pt.portion_idx AS g, t.id, t.v, t.label FROM trn t JOIN pt ON t.perm >= pt.n AND t.perm < pt.n_next),
+{_centroid_sql('mem', 'chk', x='a_')},
+ftr AS (SELECT 0 AS g, v, label FROM trn),
+fte AS (SELECT 0 AS g, id, v, label FROM sp WHERE split = 'test'),
+{_centroid_sql('ftr', 'fte', x='b_')},
+m AS (SELECT (SELECT n FROM pt WHERE portion_idx = 0) * log2({NUM_CLASSES}) + (SELECT sum(ce) FROM a_sc) AS mdl)
+SELECT round(mdl, 6) AS mdl, round((SELECT count(*) FROM trn) * log2({NUM_CLASSES}) / mdl, 6) AS compression,
+       round((SELECT avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) FROM b_sc), 6) AS accuracy
+FROM m
+""")
 def full_procedure(spark, sf_dir):
     """Online coding on the train split (MDL, compression), then the
     probe fitted on all train rows and tested (rows-only)."""
@@ -164,4 +185,5 @@ def full_procedure(spark, sf_dir):
     test = sp.filter(F.col("split") == "test")
     scored = C.with_predictions(L.centroid_logits(test.crossJoin(F.broadcast(cents)), NUM_CLASSES))
     acc = C.accuracy(scored)
-    return mdl.select("mdl", "compression").crossJoin(acc)
+    return mdl.select(F.round("mdl", 6).alias("mdl"), F.round("compression", 6).alias("compression")).crossJoin(
+        acc.select(F.round("accuracy", 6).alias("accuracy")))

@@ -48,26 +48,32 @@ sp AS (
   FROM p, sz)"""
 
 
-def _centroid_sql(train: str, ev: str, c: int = NUM_CLASSES) -> str:
+def _centroid_sql(train: str, ev: str, c: int = NUM_CLASSES, x: str = "") -> str:
     """CTEs scoring ``ev(g, id, v, label, …)`` with centroids of ``train(g, v, label)``
-    per group g; ends with ``sc(g, id, label, m, lse, pred, z_true, z_last, ce)``."""
+    per group g; ends with ``{x}sc(g, id, label, m, lse, pred, z_true, z_last, ce)``.
+    ``x`` prefixes every CTE name so the block can appear twice."""
     return f"""
-tr AS (SELECT g, label, unnest(v) AS x, unnest(range(len(v))) AS i FROM {train}),
-cen AS (SELECT g, label AS k, i, avg(x) AS c FROM tr GROUP BY g, label, i),
-evx AS (SELECT g, id, unnest(v) AS x, unnest(range(len(v))) AS i FROM {ev}),
-dist AS (SELECT evx.g, evx.id, cen.k, sum((evx.x - cen.c) * (evx.x - cen.c)) AS d
-         FROM evx JOIN cen ON evx.g = cen.g AND evx.i = cen.i GROUP BY evx.g, evx.id, cen.k),
-lg AS (SELECT e.g, e.id, e.label, cls.k, COALESCE(-dist.d, -1e30) AS z
+{x}tr AS (SELECT g, label, unnest(v) AS x, unnest(range(len(v))) AS i FROM {train}),
+{x}cen0 AS (SELECT g, label AS k, i, avg(x) AS c FROM {x}tr GROUP BY g, label, i),
+{x}gm AS (SELECT g, i, avg(x) AS c FROM {x}tr GROUP BY g, i),
+{x}cen AS (SELECT gs.g, cls.k, gm.i, COALESCE(c0.c, gm.c) AS c
+           FROM (SELECT DISTINCT g FROM {x}tr) gs CROSS JOIN (SELECT range AS k FROM range(0, {c})) cls
+           JOIN {x}gm gm ON gm.g = gs.g
+           LEFT JOIN {x}cen0 c0 ON c0.g = gs.g AND c0.k = cls.k AND c0.i = gm.i),
+{x}evx AS (SELECT g, id, unnest(v) AS x, unnest(range(len(v))) AS i FROM {ev}),
+{x}dist AS (SELECT e.g, e.id, c.k, sum((e.x - c.c) * (e.x - c.c)) AS d
+         FROM {x}evx e JOIN {x}cen c ON e.g = c.g AND e.i = c.i GROUP BY e.g, e.id, c.k),
+{x}lg AS (SELECT e.g, e.id, e.label, cls.k, -dist.d AS z
        FROM {ev} e CROSS JOIN (SELECT range AS k FROM range(0, {c})) cls
-       LEFT JOIN dist ON dist.g = e.g AND dist.id = e.id AND dist.k = cls.k),
-mx AS (SELECT g, id, max(z) AS m FROM lg GROUP BY g, id),
-sc0 AS (SELECT lg.g, lg.id, lg.label, mx.m,
+       LEFT JOIN {x}dist dist ON dist.g = e.g AND dist.id = e.id AND dist.k = cls.k),
+{x}mx AS (SELECT g, id, max(z) AS m FROM {x}lg GROUP BY g, id),
+{x}sc0 AS (SELECT lg.g, lg.id, lg.label, mx.m,
           mx.m + ln(sum(exp(lg.z - mx.m))) AS lse,
           min(CASE WHEN lg.z = mx.m THEN lg.k END) AS pred,
           max(CASE WHEN lg.k = lg.label THEN lg.z END) AS z_true,
           max(CASE WHEN lg.k = {c - 1} THEN lg.z END) AS z_last
-        FROM lg JOIN mx ON lg.g = mx.g AND lg.id = mx.id GROUP BY lg.g, lg.id, lg.label, mx.m),
-sc AS (SELECT *, lse - z_true AS ce FROM sc0)"""
+        FROM {x}lg lg JOIN {x}mx mx ON lg.g = mx.g AND lg.id = mx.id GROUP BY lg.g, lg.id, lg.label, mx.m),
+{x}sc AS (SELECT *, lse - z_true AS ce FROM {x}sc0)"""
 
 
 _CLS = _F3_SPLIT + """,

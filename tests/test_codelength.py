@@ -21,12 +21,16 @@ def test_uniform_predictor_code_length(spark):
     assert r.compression * r.mdl / math.log2(4) == pytest.approx(400)
 
 
-def test_missing_class_gets_large_negative_logit(spark):
+def test_missing_class_falls_back_to_overall_mean(spark):
     rows = [(i, [float(i % 2)], i % 2) for i in range(10)]
     df = spark.createDataFrame(rows, "id long, vector array<double>, label int")
     cents = L.fit_centroids(df, [])
     out = L.centroid_logits(df.crossJoin(cents), 3).collect()
-    assert all(r.missing_class == 1 and r.logits[2] < -1e29 for r in out)
+    # classes 0 and 1 present (centroids 0 and 1), class 2 absent → mean 0.5
+    for r in out:
+        x = r.vector[0]
+        assert r.missing_class == 1
+        assert r.logits == pytest.approx([-(x - 0.0) ** 2, -(x - 1.0) ** 2, -(x - 0.5) ** 2])
 
 
 def test_accuracy_f1_ce(spark):
