@@ -162,7 +162,9 @@ def trec_metrics(
         raise ValueError(f"no_relevant must be one of {NO_RELEVANT}")
     j = per_query.join(ideal, q, "left")
     nrel = F.coalesce(F.col("n_rel_qrels"), F.lit(0))
-    cols = [q, F.when(nrel == 0, F.lit(0.0)).otherwise(F.col("ap_sum") / nrel).alias("trec_ap")]
+    # keep the per-query columns: one pass produces base and TREC metrics
+    cols = [F.col(c) for c in per_query.columns]
+    cols.append(F.when(nrel == 0, F.lit(0.0)).otherwise(F.col("ap_sum") / nrel).alias("trec_ap"))
     for k in ks:
         idcg = F.coalesce(F.col(f"idcg_{k}"), F.lit(0.0))
         val = F.col(f"dcg_{k}") / idcg
@@ -196,8 +198,7 @@ def evaluate_run(
     judged = judge_run(run, qrels, q, doc, grade, threshold)
     ranked = rank_run(judged, q, doc, score)
     pq = per_query_metrics(ranked, q, ks, None, empty_target_action, grade)
-    trec = trec_metrics(pq, ideal_dcg(qrels, q, grade, ks), q, ks, no_relevant)
-    return pq.join(trec, q)
+    return trec_metrics(pq, ideal_dcg(qrels, q, grade, ks), q, ks, no_relevant)
 
 
 def ranking_report(per_query: DataFrame, ks: Sequence[int] = (10, 20)) -> DataFrame:

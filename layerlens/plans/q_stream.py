@@ -97,7 +97,7 @@ def stream_predictions(spark, sf_dir):
     ranked = R.rank_run(arrived, "q_id", F6_DOC, "score")
     pq = R.per_query_metrics(ranked, "q_id", KS)
     trec = R.trec_metrics(pq, R.ideal_dcg(qrels, "q_id", "grade", KS), "q_id", KS)
-    rep = R.ranking_report(pq.join(trec, "q_id"), KS)
+    rep = R.ranking_report(trec, KS)
     return rep.select("metric", F.round("value", 6).alias("value"), F.col("n_queries").cast("long").alias("n_queries"))
 
 
