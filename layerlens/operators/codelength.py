@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from layerlens.functions.columns import cross_entropy, sq_dist
 from layerlens.operators import sampling as S
+from layerlens.session import materialize
 
 
 def fit_centroids(train: DataFrame, by: Sequence[str], vector: str = "vector", label: str = "label") -> DataFrame:
@@ -153,7 +154,8 @@ def online_coding(
     """A8 with the closed-form probe: per-portion code lengths and the MDL
     / compression row. Driver work is two counts and a ≤ K-row table."""
     spark = train.sparkSession
-    permuted = S.permute(train, id_col)
+    # read by the counts, every portion and every chunk: written once
+    permuted = materialize(S.permute(train, id_col))
     t = F.col(n_targets) if n_targets else F.lit(1)
     tot = permuted.agg(F.count(F.lit(1)).alias("n"), F.sum(t).alias("t")).first()
     n, total_targets = int(tot["n"]), int(tot["t"] or 0)
@@ -213,7 +215,7 @@ def layer_sweep(
     ``layers`` must have columns ``layer`` and ``dims`` (the number of
     leading vector components that layer exposes)."""
     spark = train.sparkSession
-    permuted = S.permute(train, id_col)
+    permuted = materialize(S.permute(train, id_col))
     n = permuted.count()
     portions = S.portions_table(spark, n, fractions)
     n0 = S.portion_sizes(n, fractions)[0]

@@ -2,17 +2,17 @@
 training portions used by online coding (D1–D10, J8).
 
 A permutation is the order of ``md5('<seed>:<id>')`` (ties by id); its exact
-0-based rank ``perm`` comes from the skew-safe global scan, never from a
-one-partition window. Everything else is a predicate on ``perm`` against a
-portions table of at most a few dozen rows (broadcast: bounded by the
-fraction list, not by the data).
+0-based rank ``perm`` comes from an exact histogram over hash prefixes, never
+from a one-partition window. Everything else is a predicate on ``perm``
+against a portions table of at most a few dozen rows (broadcast: bounded by
+the fraction list, not by the data).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from layerlens.functions.columns import SPLIT_SEED, hash_key
@@ -24,11 +24,30 @@ DEFAULT_PORTIONS = (0.001, 0.002, 0.004, 0.008, 0.016, 0.032, 0.0625, 0.125, 0.2
 PERM = "perm"
 
 
-def permute(df: DataFrame, id_col: str = "id", seed: int = SPLIT_SEED, shuffle: bool = True) -> DataFrame:
+def permute(df: DataFrame, id_col: str = "id", seed: int = SPLIT_SEED, shuffle: bool = True,
+            prefix_chars: int = 4) -> DataFrame:
     """Add ``perm`` = exact 0-based position in the seeded order
-    (or in id order when ``shuffle`` is False)."""
-    order = [hash_key(id_col, seed).asc(), F.col(id_col).asc()] if shuffle else [F.col(id_col).asc()]
-    return global_rank(df, order, name=PERM).withColumn(PERM, F.col(PERM) - 1)
+    ``(md5('<seed>:<id>'), id)`` (or in id order when ``shuffle`` is False).
+
+    md5 is uniform, so its first ``prefix_chars`` hex digits cut the order
+    into 16^k equal-sized buckets: an exact count per bucket (≤ 16^k rows,
+    broadcast), their running offsets, and a ``row_number`` inside each
+    bucket give the global position with no one-partition window, no Python
+    and no checkpoint (every step is a deterministic function of the row).
+    Ids are unique per instance, so no bucket is hot."""
+    if not shuffle:
+        return global_rank(df, [F.col(id_col).asc()], name=PERM).withColumn(PERM, F.col(PERM) - 1)
+    d = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_b", F.substring("_h", 1, prefix_chars))
+    counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    # one ordered pass over at most 16^k bucket counts
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_b").orderBy("_h", id_col)
+    return (
+        d.join(F.broadcast(offsets), "_b")
+        .withColumn(PERM, (F.row_number().over(inside) - 1 + F.col("_off")).cast("long"))
+        .drop("_h", "_b", "_off")
+    )
 
 
 def check_split_sizes(n: int, num_train: int, num_test: int) -> None:
