@@ -47,10 +47,13 @@ def label_dictionary(targets: DataFrame, label: str = "label") -> DataFrame:
 
 
 def _bounded(df: DataFrame, limit: int = BOUNDED_BROADCAST_ROWS) -> DataFrame:
-    n = df.count()
-    if n > limit:
-        raise ValueError(f"label dictionary has {n} rows; expected a class set")
-    return F.broadcast(df)
+    """Collect a class-set table once (checked to be small) and hand it back
+    as a local relation, which Spark broadcasts; no second evaluation of the
+    plan that produced it."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"label dictionary has more than {limit} rows; expected a class set")
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def label_ids(targets: DataFrame, dictionary: DataFrame, label: str = "label") -> DataFrame:
