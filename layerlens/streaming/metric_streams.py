@@ -23,6 +23,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from layerlens.session import ensure_checkpoint_dir
 
@@ -92,9 +93,18 @@ def live_minmax(events: DataFrame) -> DataFrame:
                                               F.count(F.lit(1)).alias("n"))
 
 
+def event_time_utc(df: DataFrame, col: str = "ts") -> F.Column:
+    """Event time as a ``TIMESTAMP`` (watermarks need one). A wall-clock
+    ``TIMESTAMP_NTZ`` is read as UTC whatever the session time zone, so
+    windows line up with UTC-aligned buckets everywhere."""
+    if isinstance(df.schema[col].dataType, T.TimestampNTZType):
+        return F.from_utc_timestamp(F.col(col).cast("timestamp"), F.current_timezone())
+    return F.col(col)
+
+
 def live_weighted_mean(events: DataFrame, window: str = "6 hours", watermark: str = "1 hour") -> DataFrame:
     """ST2: batch-size weighted mean per (run, metric, event-time window)."""
-    e = events.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", watermark)
+    e = events.withColumn("event_time", event_time_utc(events)).withWatermark("event_time", watermark)
     g = e.groupBy("run", "metric", F.window("event_time", window).alias("w")).agg(
         F.sum(F.col("value") * F.col("n")).alias("_vn"), F.sum("n").alias("_n")
     )
