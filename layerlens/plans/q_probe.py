@@ -170,7 +170,7 @@ first AS (SELECT n AS t0 FROM pt WHERE portion_idx = 0),
 m AS (SELECT t0 * log2({NUM_CLASSES}) + (SELECT sum(ce_sum) FROM per) AS mdl FROM first)
 SELECT round(mdl, 6) AS mdl, round(t * log2({NUM_CLASSES}) / mdl, 6) AS compression,
        round(t * log2({NUM_CLASSES}), 6) AS uniform_codelength,
-       (SELECT sum(n_scored) FROM per) AS n_scored
+       CAST((SELECT sum(n_scored) FROM per) AS BIGINT) AS n_scored
 FROM m, tot
 """)
 def compression(spark, sf_dir):

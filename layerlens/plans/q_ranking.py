@@ -79,8 +79,8 @@ trec AS (
 
 @register("qrels_labels", oracle=f"""
 WITH {_RANKED}
-SELECT q_id, count(*) AS n_docs, sum(grade) AS sum_grade, sum(rel) AS n_rel,
-       sum(CASE WHEN grade = 3 THEN 1 ELSE 0 END) AS n_grade3
+SELECT q_id, count(*) AS n_docs, CAST(sum(grade) AS BIGINT) AS sum_grade, CAST(sum(rel) AS BIGINT) AS n_rel,
+       CAST(sum(CASE WHEN grade = 3 THEN 1 ELSE 0 END) AS BIGINT) AS n_grade3
 FROM judged GROUP BY q_id
 """)
 def qrels_labels(spark, sf_dir):

@@ -129,7 +129,7 @@ def plateau_lr(spark, sf_dir):
 
 @register("epoch_weighted_mean", oracle=f"""
 WITH {_F7}
-SELECT run, metric, (step - 1) // 5 AS epoch, round(sum(value * n) / sum(n), 6) AS epoch_mean FROM f7 GROUP BY ALL
+SELECT run, metric, CAST((step - 1) // 5 AS BIGINT) AS epoch, round(sum(value * n) / sum(n), 6) AS epoch_mean FROM f7 GROUP BY ALL
 """)
 def epoch_weighted_mean(spark, sf_dir):
     """A4: epoch means (5 logged batches per epoch) weighted by batch size."""

@@ -23,7 +23,7 @@ _WORD_ONLY = r"^[\p{L}\p{N}\p{M}]+$"
 WITH t AS (SELECT doc_id, regexp_extract_all(text, '{X.WORD_PATTERN}') AS w FROM documents)
 SELECT doc_id, len(w) AS n_tokens,
        len(list_filter(w, lambda x: regexp_matches(x, '{_WORD_ONLY}'))) AS n_words,
-       COALESCE(list_sum(list_transform(w, lambda x: length(x))), 0) AS n_token_chars
+       CAST(COALESCE(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS n_token_chars
 FROM t
 """)
 def word_tokens(spark, sf_dir):
