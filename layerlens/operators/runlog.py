@@ -154,10 +154,11 @@ def baseline_lift(curve: DataFrame, baseline: DataFrame, on: Sequence[str] = ("t
     return curve.join(b, list(on), "left").withColumn("lift", F.col("value") - F.col("baseline"))
 
 
-def layer_pivot(curve: DataFrame, layers: Sequence[int], row: str = "task", value: str = "value") -> DataFrame:
+def layer_pivot(curve: DataFrame, layers: Sequence[int], row: str | Sequence[str] = "task", value: str = "value") -> DataFrame:
     """Task × layer table (explicit layer list: no extra job to find
     the pivot values)."""
-    return curve.groupBy(row).pivot("layer", list(layers)).agg(F.first(value))
+    rows = [row] if isinstance(row, str) else list(row)
+    return curve.groupBy(*rows).pivot("layer", list(layers)).agg(F.first(value))
 
 
 def task_display_names(df: DataFrame, task: str = "task", names: Mapping[str, str] = TASK_NAMES) -> DataFrame:

@@ -165,14 +165,13 @@ def baseline_lift(spark, sf_dir):
 
 @register("layer_pivot", oracle=f"""
 WITH {_F8}
-SELECT task, {", ".join(f"round(max(CASE WHEN model = 1 AND layer = {i} THEN value END), 6) AS l{i}" for i in LAYERS)}
-FROM f8 GROUP BY task
+SELECT task, model, {", ".join(f"round(max(CASE WHEN layer = {i} THEN value END), 6) AS l{i}" for i in LAYERS)}
+FROM f8 GROUP BY task, model
 """)
 def layer_pivot(spark, sf_dir):
-    """Task × layer table of model 1's values."""
-    curve = f8_layer_results(spark, sf_dir).filter(F.col("model") == 1)
-    pv = L.layer_pivot(curve, LAYERS)
-    return pv.select("task", *[F.round(F.col(str(i)), 6).alias(f"l{i}") for i in LAYERS])
+    """(task, model) × layer table of the results."""
+    pv = L.layer_pivot(f8_layer_results(spark, sf_dir), LAYERS, row=["task", "model"])
+    return pv.select("task", "model", *[F.round(F.col(str(i)), 6).alias(f"l{i}") for i in LAYERS])
 
 
 @register("task_names", oracle=f"""
