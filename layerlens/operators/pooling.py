@@ -72,13 +72,38 @@ def write_hidden_states(hidden: DataFrame, path: str, mode: str = "overwrite") -
 
 
 def extract_hidden_states(df: DataFrame, make_predict_fn: Callable, input_col: str, dim: int,
-                          batch_size: int = 64) -> DataFrame:
+                          batch_size: int = 64, element_type: T.DataType = T.FloatType()) -> DataFrame:
     """M2: batch inference with a user model (``make_predict_fn`` returns a
     function from a numpy batch to a numpy batch of vectors)."""
-    udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(element_type), batch_size=batch_size,
+                            input_tensor_shapes=[[]])
     return df.withColumn("vector", udf(F.col(input_col)))
 
 
+def random_embedding_model(vocab_size: int, dim: int, seed: int = 42) -> Callable:
+    """M2 model loader for ``predict_batch_udf``: the random-embedding subject
+    model as a numpy matrix (built once per worker from the same md5 rule as
+    ``random_vector``); ``predict`` maps a batch of token ids to vectors."""
+
+    def make_predict_fn():
+        import hashlib
+
+        import numpy as np
+
+        table = np.empty((vocab_size, dim), dtype=np.float64)
+        for t in range(vocab_size):
+            for d in range(dim):
+                h = int(hashlib.md5(f"{seed}:{t}:{d}".encode()).hexdigest()[:8], 16)
+                table[t, d] = h / float(1 << 32) * 2.0 - 1.0
+
+        def predict(ids):
+            return table[ids.astype(np.int64)]
+
+        return predict
+
+    return make_predict_fn
+
+
 def projection_params(spark: SparkSession, input_dim: int, hidden_dim: int, slots: int = 2) -> DataFrame:
     """Per span slot ``k``: projection ``w`` (hidden × input), bias ``b`` and
     attention vector ``v`` from an integer rule (exact in any engine)."""

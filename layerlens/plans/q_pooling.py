@@ -4,6 +4,7 @@ the embeddings table) and conversation words (M1, M3–M5, J5, J9)."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from layerlens.operators import pooling as M
 from layerlens.operators import text as X
@@ -24,7 +25,7 @@ def _word_ids(spark, sf_dir):
     return w.withColumn("token_id", h % VOCAB)
 
 
-@register("random_embedding_lookup", oracle=f"""
+ORACLES_RANDOM = f"""
 WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '{X.WORD_PATTERN}')) AS word FROM conversations),
 t AS (SELECT conv_id, turn, ('0x' || substr(md5(word), 1, 8))::BIGINT % {VOCAB} AS token_id FROM w),
 v AS (SELECT conv_id, turn, token_id, unnest(range(0, {DIM})) AS d FROM t),
@@ -34,7 +35,10 @@ x AS (SELECT conv_id, turn, token_id, d,
 SELECT conv_id, turn, count(*) // {DIM} AS n_tokens, round(sum(val), 5) AS vec_sum,
        round(sum(CASE WHEN d = 0 THEN val ELSE 0 END), 5) AS dim0_sum
 FROM x GROUP BY conv_id, turn
-""")
+"""
+
+
+@register("random_embedding_lookup", oracle=ORACLES_RANDOM)
 def random_embedding_lookup(spark, sf_dir):
     """Every conversation word → token id (hash) → fixed random
     16-dim vector from a 1,000-row embedding table; summed per turn."""
@@ -47,6 +51,21 @@ def random_embedding_lookup(spark, sf_dir):
     )
 
 
+@register("hidden_state_extraction", oracle=ORACLES_RANDOM)
+def hidden_state_extraction(spark, sf_dir):
+    """M2: the same lookup run as batch inference — the random-embedding
+    subject model loaded once per worker and applied to batches of token
+    ids with ``predict_batch_udf``; equals the table-join form."""
+    ids = _word_ids(spark, sf_dir)
+    model = M.random_embedding_model(VOCAB, DIM)
+    emb = M.extract_hidden_states(ids, model, "token_id", DIM, batch_size=1024, element_type=T.DoubleType())
+    return emb.groupBy("conv_id", "turn").agg(
+        F.count(F.lit(1)).alias("n_tokens"),
+        F.round(F.sum(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)), 5).alias("vec_sum"),
+        F.round(F.sum(F.element_at("vector", 1)), 5).alias("dim0_sum"),
+    )
+
+
 _F5 = f"""
 f5 AS (SELECT CAST(vec_id // 20 AS INTEGER) AS seq, CAST(vec_id % 20 AS INTEGER) AS pos,
           list_transform(range(0, len(embedding)), lambda i: embedding[((i + {LAYER}) % len(embedding)) + 1]) AS vector
