@@ -16,11 +16,11 @@ from layerlens.operators import codelength as L
 from layerlens.operators import probes as P
 from layerlens.operators import ranking as R
 from layerlens.operators import targets as T
-from layerlens.plans.fixtures import f2_instances, f3_vectors, f6_qrels, f6_run
+from layerlens.plans.fixtures import f2_instances, f3_vectors, f4_star, f6_qrels, f6_run
 from layerlens.plans.q_dataset import F3_PORTIONS, _F1_SPLIT, _f1_split
 from layerlens.plans.q_probe import NUM_CLASSES, _centroid_sql, _f3_split, _PERM
 from layerlens.plans.q_ranking import _PQ
-from layerlens.plans.registry import register
+from layerlens.plans.registry import ORACLES, register
 from layerlens.sinks import writers as K
 from layerlens.sources import instances as S
 from layerlens.streaming.metric_streams import scratch
@@ -103,6 +103,17 @@ def trec_files(spark, sf_dir):
     return pq.select("q_id", F.round("trec_ndcg_10", 6).alias("trec_ndcg_10"), F.round("trec_ap", 6).alias("trec_ap"))
 
 
+@register("ranking_star_files", oracle=ORACLES["compose_pair"])
+def ranking_star_files(spark, sf_dir):
+    """The ranking star schema (pairs, queries, docs) written as
+    parquet, read back through the source and composed into texts."""
+    root = scratch(spark, "star")
+    for name, df in f4_star(spark, sf_dir).items():
+        df.write.parquet(os.path.join(root, name))
+    star = S.read_ranking_tables(spark, root)
+    return T.ranking_pairs(star["pairs"], star["queries"], star["docs"])
+
+
 _SWEEP = [(0, 16), (1, 32), (2, 48), (3, 64)]
 
 
