@@ -3,8 +3,6 @@ order functions on arrays), so they stay inside whole-stage codegen."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,10 +25,6 @@ def array_sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def array_max(arr: Column) -> Column:
-    return F.array_max(arr)
-
-
 def logsumexp(logits: Column) -> Column:
     """``log Σ exp(z)`` computed stably as ``m + log Σ exp(z - m)``."""
     m = F.array_max(logits)
@@ -104,7 +98,3 @@ def sq_dist(a: Column, b: Column) -> Column:
 def rotate_left(arr: Column, k: Column) -> Column:
     d = F.size(arr)
     return F.transform(F.sequence(F.lit(0), d - 1), lambda i: F.element_at(arr, ((i + k) % d) + 1))
-
-
-def linspace_ids(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from layerlens.functions.columns import rotate_left
 from layerlens.operators.scan import group_rank
+from layerlens.operators.targets import TARGET_TYPE
 from layerlens.sources.tables import table
 
 # F6 document key: (l_suppkey, l_orderkey, l_partkey, l_linenumber) is unique in
@@ -52,9 +54,7 @@ def f2_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_order = items.groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("items"))
     return orders.join(per_order, "id", "left").select(
         "id",
-        F.coalesce(F.transform("items", lambda x: x["t"]), F.array().cast(
-            "array<struct<span1:struct<a:int,b:int>,span2:struct<a:int,b:int>,label:string>>"
-        )).alias("targets"),
+        F.coalesce(F.transform("items", lambda x: x["t"]), F.array().cast(f"array<{TARGET_TYPE}>")).alias("targets"),
     )
 
 
@@ -80,15 +80,12 @@ def f5_hidden_states(spark: SparkSession, sf_dir: str, layers: int = 3) -> DataF
     sequence; layer ``l`` is the vector rotated left by ``l``."""
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     lay = spark.range(layers).select(F.col("id").cast("int").alias("layer"))
-    d = F.size("embedding")
+    # the layers table has `layers` rows (a parameter): broadcast
     return emb.crossJoin(F.broadcast(lay)).select(
         (F.col("vec_id") / 20).cast("int").alias("seq"),
         "layer",
         (F.col("vec_id") % 20).cast("int").alias("pos"),
-        F.transform(
-            F.sequence(F.lit(0), d - 1),
-            lambda i: F.element_at("embedding", ((i + F.col("layer")) % d) + 1),
-        ).alias("vector"),
+        rotate_left(F.col("embedding"), F.col("layer")).alias("vector"),
     )
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from layerlens.operators.targets import TARGET_TYPE
+
 # JSON spans are two-element arrays [a, b]; they are read as arrays and
 # turned into struct<a, b> after the read.
 _RAW_TARGET = T.StructType([
@@ -31,8 +33,7 @@ def _normalise(raw: DataFrame) -> DataFrame:
         "targets",
         lambda x: F.struct(_span(x["span1"]).alias("span1"), _span(x["span2"]).alias("span2"), x["label"].alias("label")),
     )
-    return raw.withColumn("targets", F.coalesce(t, F.array().cast(
-        "array<struct<span1:struct<a:int,b:int>,span2:struct<a:int,b:int>,label:string>>")))
+    return raw.withColumn("targets", F.coalesce(t, F.array().cast(f"array<{TARGET_TYPE}>")))
 
 
 def read_jsonl_instances(spark: SparkSession, path: str, keep_empty: bool = False) -> DataFrame:

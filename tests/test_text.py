@@ -65,3 +65,10 @@ def test_pair_encoding_and_realignment_match_direct_construction(spark):
             if a > r.nq:
                 a += 1
             assert a == pos[wi]
+
+
+def test_explode_pieces_long_form(spark):
+    vocab = {X.PAD: 0, X.UNK: 1, X.CLS: 2, X.SEP: 3, "ab": 4, "c": 5, "##d": 6, "a": 7, "##b": 8}
+    df = spark.createDataFrame([(1, "ab cd")], "id long, text string")
+    rows = X.explode_pieces(X.tokenize_texts(df, vocab), ["id"]).orderBy("word_idx", "piece_idx").collect()
+    assert [(r.word_idx, r.word, r.piece_idx, r.token_id) for r in rows] == [(0, "ab", 0, 4), (1, "cd", 0, 5), (1, "cd", 1, 6)]
