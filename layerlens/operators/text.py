@@ -188,13 +188,25 @@ def _vocab_from_counts(spark, counted: DataFrame, top_words: int) -> DataFrame:
 
 
 def corpus_vocab(texts: DataFrame, text: str = "text", top_words: int = 2000) -> dict[str, int]:
-    """``build_vocab`` collected to a dict; the word-count table is persisted
-    for its two reads (top words, character set) and released after."""
+    """``build_vocab`` as a dict. The word-count table is persisted for its
+    two reads; the top words (≤ ``top_words`` rows) and the character set
+    (an alphabet) are collected and numbered on the driver in the same
+    order as ``build_vocab`` (UTF-8 byte order = code-point order)."""
     counted = _word_counts(texts, text).persist()
     try:
-        return load_vocab(_vocab_from_counts(texts.sparkSession, counted, top_words))
+        top = [r[0] for r in counted.orderBy(F.col("c").desc(), F.col("w")).limit(top_words).select("w").collect()]
+        chars = [r[0] for r in counted.select(
+            F.explode(F.regexp_extract_all(F.col("w"), F.lit("(?s)."), 0)).alias("ch")).distinct().collect()]
     finally:
         counted.unpersist()
+    specials = [PAD, UNK, CLS, SEP]
+    tokens = (set(top) | set(chars) | {CONTINUATION + c for c in chars}) - set(specials)
+    vocab = {t: i for i, t in enumerate(specials)}
+    for t in sorted(tokens):
+        vocab[t] = len(vocab)
+    if len(vocab) > MAX_VOCAB_ROWS:
+        raise ValueError(f"vocabulary has {len(vocab)} rows")
+    return vocab
 
 
 def tokenize_texts(df: DataFrame, vocab: dict[str, int], text: str = "text", prefix: str = "") -> DataFrame:

@@ -72,3 +72,10 @@ def test_explode_pieces_long_form(spark):
     df = spark.createDataFrame([(1, "ab cd")], "id long, text string")
     rows = X.explode_pieces(X.tokenize_texts(df, vocab), ["id"]).orderBy("word_idx", "piece_idx").collect()
     assert [(r.word_idx, r.word, r.piece_idx, r.token_id) for r in rows] == [(0, "ab", 0, 4), (1, "cd", 0, 5), (1, "cd", 1, 6)]
+
+
+def test_corpus_vocab_matches_table_form(spark):
+    docs = spark.createDataFrame([("Ab ab ab cd, éf!",), ("cd x",)], "text string")
+    table = X.load_vocab(X.build_vocab(docs, "text", top_words=2))
+    assert X.corpus_vocab(docs, "text", top_words=2) == table
+    assert "ab" in table and "cd" in table and "##f" in table and "e" in table
