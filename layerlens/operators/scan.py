@@ -64,11 +64,13 @@ def segmented_scan(
     inclusive of the current row."""
     group = list(group)
     sums, mins, maxs = list(sums), list(mins), list(maxs)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
     keys = _as_cols(group) + _as_cols(order)
-    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # Without an explicit count the range exchange uses the session's shuffle
+    # partitions and AQE may merge adjacent ranges (still in key order); the
+    # partition ids seen by the scan are written with the rows, so later
+    # steps never depend on how many partitions there were.
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    ordered = ranged.sortWithinPartitions(*keys)
 
     in_schema = ordered.schema
     fields = list(in_schema.fields) + [
