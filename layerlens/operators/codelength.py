@@ -30,6 +30,9 @@ from layerlens.operators import sampling as S
 from layerlens.session import materialize
 
 
+ROWS_PER_FIT_PARTITION = 50_000
+
+
 def fit_centroids(train: DataFrame, by: Sequence[str], vector: str = "vector", label: str = "label") -> DataFrame:
     """Per group in ``by``: ``centroids map<int, array<double>>`` = mean
     vector of each class, plus key -1 = mean of all rows of the group (the
@@ -184,8 +187,12 @@ def online_coding_with_estimator(
     n = permuted.count()
     sizes = S.portion_sizes(n, fractions)
     rows = []
+    cores = spark.sparkContext.defaultParallelism
     for k in range(len(sizes) - 1):
-        fit_rows = permuted.filter(F.col(S.PERM) < sizes[k]).cache()
+        # iterative solvers run one job per iteration over every partition:
+        # give a portion about ROWS_PER_FIT_PARTITION rows per partition
+        parts = max(1, min(cores, sizes[k] // ROWS_PER_FIT_PARTITION + 1))
+        fit_rows = permuted.filter(F.col(S.PERM) < sizes[k]).repartition(parts).cache()
         chunk = permuted.filter((F.col(S.PERM) >= sizes[k]) & (F.col(S.PERM) < sizes[k + 1]))
         model = estimator.fit(fit_rows)
         p = vector_to_array(F.col("probability"))

@@ -27,15 +27,20 @@ def features(df: DataFrame, vector: str = "vector", out: str = "features") -> Da
     return df.withColumn(out, array_to_vector(F.col(vector)))
 
 
-def probe_estimator(kind: str, input_dim: int, num_classes: int, hidden_dim: int = 256, seed: int = 42, max_iter: int = 100):
-    """M6: ``'mlp'`` (one hidden layer) or ``'logreg'`` (multinomial)."""
+def probe_estimator(kind: str, input_dim: int, num_classes: int, hidden_dim: int = 256, seed: int = 42, max_iter: int = 100,
+                    reg_param: float = 0.1):
+    """M6: ``'mlp'`` (one hidden layer) or ``'logreg'`` (multinomial, with an
+    L2 penalty ``reg_param`` standing in for the reference probe's dropout and
+    early stopping — an unpenalised fit on the first, tiny portions is
+    overconfident and its code length exceeds the uniform code)."""
     if kind == "mlp":
         return MultilayerPerceptronClassifier(
             layers=[input_dim, hidden_dim, num_classes], seed=seed, maxIter=max_iter,
             featuresCol="features", labelCol="label",
         )
     if kind == "logreg":
-        return LogisticRegression(family="multinomial", maxIter=max_iter, featuresCol="features", labelCol="label")
+        return LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg_param,
+                                  featuresCol="features", labelCol="label")
     raise ValueError(kind)
 
 
