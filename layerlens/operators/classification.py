@@ -34,9 +34,8 @@ def macro_f1(pred: DataFrame, num_classes: int, by: Sequence[str] = (), label: s
     conf = pred.groupBy(*by, F.col(label).cast("int").alias("y"), F.col("pred").cast("int").alias("p")).agg(
         F.count(F.lit(1)).alias("c")
     )
-    classes = pred.sparkSession.range(num_classes).select(F.col("id").cast("int").alias("k"))
-    # C×C confusion cells joined with C classes: bounded by the class count
-    per = conf.crossJoin(F.broadcast(classes)).groupBy(*by, "k").agg(
+    # every confusion cell (≤ C×C per group) seen from each of the C classes
+    per = conf.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(num_classes - 1)))).groupBy(*by, "k").agg(
         F.sum(F.when((F.col("y") == F.col("k")) & (F.col("p") == F.col("k")), F.col("c")).otherwise(0)).alias("tp"),
         F.sum(F.when((F.col("y") != F.col("k")) & (F.col("p") == F.col("k")), F.col("c")).otherwise(0)).alias("fp"),
         F.sum(F.when((F.col("y") == F.col("k")) & (F.col("p") != F.col("k")), F.col("c")).otherwise(0)).alias("fn"),

@@ -226,7 +226,10 @@ def layer_sweep(
     n = permuted.count()
     portions = S.portions_table(spark, n, fractions)
     n0 = S.portion_sizes(n, fractions)[0]
-    grid = permuted.crossJoin(F.broadcast(layers)).withColumn(vector, F.slice(F.col(vector), 1, F.col("dims")))
+    points = layers.select("layer", "dims").collect()  # the sweep grid (a handful of points)
+    grid_col = F.explode(F.array(*[F.struct(F.lit(r["layer"]).alias("layer"), F.lit(r["dims"]).alias("dims")) for r in points]))
+    grid = permuted.withColumn("_pt", grid_col).select("*", "_pt.layer", "_pt.dims").drop("_pt")
+    grid = grid.withColumn(vector, F.slice(F.col(vector), 1, F.col("dims")))
     per = online_code_lengths(grid, portions, num_classes, vector, label, by=["layer"])
     log2c = math.log2(num_classes)
     mdl = F.lit(n0 * log2c) + F.sum("ce_sum")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from layerlens.functions.columns import dot
+from layerlens.session import attach_params
 
 # Default sizes of the random-embedding baseline model.
 RANDOM_EMBEDDING_VOCAB = 30522
@@ -131,8 +132,7 @@ def attention_pool(tokens: DataFrame, spans: DataFrame, params: DataFrame, slot:
     p = params.filter(F.col("slot") == slot).select(
         F.col("w").alias("_pw"), F.col("b").alias("_pb"), F.col("v").alias("_pv")
     )
-    # one parameter row: bounded by the model size
-    j = span_tokens(tokens, spans, seq).crossJoin(F.broadcast(p))
+    j = attach_params(span_tokens(tokens, spans, seq), p)
     j = j.withColumn("_h", F.transform("_pw", lambda row, i: dot(row, F.col("vector")) + F.element_at(F.col("_pb"), i + 1)))
     j = j.withColumn("_s", dot(F.col("_pv"), F.col("_h")))
     mx = j.groupBy(*keys).agg(F.max("_s").alias("_m"))
@@ -140,12 +140,9 @@ def attention_pool(tokens: DataFrame, spans: DataFrame, params: DataFrame, slot:
     pooled = j.groupBy(*keys).agg(
         Summarizer.mean(array_to_vector(F.col("_h")), F.col("_w")).alias("_p"),
     ).select(*keys, vector_to_array("_p").alias("pooled"))
-    width = p.select(F.size("_pb").alias("_n"))
-    out = spans.select(*keys).join(pooled, keys, "left").crossJoin(F.broadcast(width))
-    return out.select(
-        *keys,
-        F.coalesce(F.col("pooled"), F.transform(F.sequence(F.lit(1), F.col("_n")), lambda _: F.lit(0.0))).alias("pooled"),
-    )
+    width = p.select(F.size("_pb")).first()[0]  # the projection width (a model parameter)
+    out = spans.select(*keys).join(pooled, keys, "left")
+    return out.select(*keys, F.coalesce(F.col("pooled"), F.array_repeat(F.lit(0.0), width)).alias("pooled"))
 
 
 def pair_concat(pooled1: DataFrame, pooled2: DataFrame, keys: Sequence[str] = ("seq", "target_idx")) -> DataFrame:

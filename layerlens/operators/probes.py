@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerlens.functions.columns import array_sum, dot
+from layerlens.session import attach_params
 
 LAYER_NORM_EPS = 1e-5
 
@@ -97,8 +98,8 @@ def score_with_weights(df: DataFrame, params: DataFrame, kind: str = "tenney", v
     """M7: logits of stored probe weights for every row. ``params`` is one
     row of weight arrays (``w1 b1 gamma beta w2 b2`` or ``w1 b1 wh bh w2 b2``)."""
     fwd = {"tenney": tenney_forward, "hewitt": hewitt_forward}[kind]
-    p = F.broadcast(params.select(F.struct(*params.columns).alias("p")))
-    return fwd(df.crossJoin(p), vector).drop("p")
+    p = params.select(F.struct(*params.columns).alias("p"))
+    return fwd(attach_params(df, p), vector).drop("p")
 
 
 def params_from_rule(spark: SparkSession, input_dim: int, hidden_dim: int, num_classes: int, kind: str = "tenney") -> DataFrame:

@@ -90,14 +90,14 @@ def minmax_normalize(
     """T4: clamp every split to the train range, then scale to [0, 1]
     (``bounds`` overrides the train range). Equal bounds raise."""
     if bounds is None:
-        b = train_bounds(scored, label, split)
-    else:
-        b = scored.sparkSession.createDataFrame([bounds], "min_score double, max_score double")
-    lo, hi = F.col("min_score"), F.col("max_score")
+        row = train_bounds(scored, label, split).first()  # two scalars
+        bounds = (row["min_score"], row["max_score"])
+    lo_v, hi_v = float(bounds[0]), float(bounds[1])
+    if lo_v == hi_v:
+        raise ValueError("max_score == min_score: cannot normalise")
+    lo, hi = F.lit(lo_v), F.lit(hi_v)
     x = F.least(F.greatest(F.col(label), lo), hi)
-    norm = F.when(hi != lo, (x - lo) / (hi - lo)).otherwise(F.raise_error(F.lit("max_score == min_score")).cast("double"))
-    # one-row bounds table: broadcast by construction
-    return scored.crossJoin(F.broadcast(b)).withColumn(label, norm).drop("min_score", "max_score")
+    return scored.withColumn(label, (x - lo) / (hi - lo))
 
 
 def bucketize_scores(df: DataFrame, num_buckets: int, label: str = "label", out: str = "bucket") -> DataFrame:

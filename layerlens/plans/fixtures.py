@@ -78,10 +78,10 @@ def f4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f5_hidden_states(spark: SparkSession, sf_dir: str, layers: int = 3) -> DataFrame:
     """token hidden states ``(seq, layer, pos, vector)``: 20 tokens per
     sequence; layer ``l`` is the vector rotated left by ``l``."""
-    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    lay = spark.range(layers).select(F.col("id").cast("int").alias("layer"))
-    # the layers table has `layers` rows (a parameter): broadcast
-    return emb.crossJoin(F.broadcast(lay)).select(
+    emb = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).alias("layer")
+    )
+    return emb.select(
         (F.col("vec_id") / 20).cast("int").alias("seq"),
         "layer",
         (F.col("vec_id") % 20).cast("int").alias("pos"),

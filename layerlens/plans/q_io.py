@@ -21,6 +21,7 @@ from layerlens.plans.q_dataset import F3_PORTIONS, _F1_SPLIT, _f1_split
 from layerlens.plans.q_probe import NUM_CLASSES, _centroid_sql, _f3_split, _PERM
 from layerlens.plans.q_ranking import _PQ
 from layerlens.plans.registry import ORACLES, register
+from layerlens.session import attach_params
 from layerlens.sinks import writers as K
 from layerlens.sources import instances as S
 from layerlens.streaming.metric_streams import scratch
@@ -159,9 +160,10 @@ def test_only(spark, sf_dir):
     model = MultilayerPerceptronClassificationModel.load(path)
     pred = P.predict(model, sp.filter(F.col("split") == "test"), keep=("id",))
     pred = pred.withColumn("ce", -F.log(F.element_at(softmax(F.col("logits")), F.col("label") + 1)))
-    acc = C.accuracy(pred)
-    f1 = C.macro_f1(pred, NUM_CLASSES)
-    return acc.crossJoin(f1).crossJoin(pred.agg(F.avg("ce").alias("loss")))
+    acc = C.accuracy(pred).first()["accuracy"]
+    f1 = C.macro_f1(pred, NUM_CLASSES).first()["macro_f1"]
+    loss = pred.agg(F.avg("ce")).first()[0]
+    return spark.createDataFrame([(acc, f1, loss)], "accuracy double, macro_f1 double, loss double")
 
 
 @register("full_procedure", oracle=f"""
@@ -194,7 +196,7 @@ def full_procedure(spark, sf_dir):
     _, mdl = L.online_coding(train, NUM_CLASSES, F3_PORTIONS)
     cents = L.fit_centroids(train, [])
     test = sp.filter(F.col("split") == "test")
-    scored = C.with_predictions(L.centroid_logits(test.crossJoin(F.broadcast(cents)), NUM_CLASSES))
-    acc = C.accuracy(scored)
-    return mdl.select(F.round("mdl", 6).alias("mdl"), F.round("compression", 6).alias("compression")).crossJoin(
-        acc.select(F.round("accuracy", 6).alias("accuracy")))
+    scored = C.with_predictions(L.centroid_logits(attach_params(test, cents), NUM_CLASSES))
+    acc = C.accuracy(scored).first()["accuracy"]
+    return mdl.select(F.round("mdl", 6).alias("mdl"), F.round("compression", 6).alias("compression"),
+                      F.round(F.lit(acc), 6).alias("accuracy"))

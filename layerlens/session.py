@@ -12,6 +12,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Tables whose row count is bounded by a parameter, not by the data
 # (portions, label dictionaries, per-partition offsets), may be broadcast
@@ -107,3 +108,12 @@ def spread_for_python(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+def attach_params(df: DataFrame, params: DataFrame) -> DataFrame:
+    """Attach the one row of a parameter table (probe weights, centroids,
+    pooling projections) to every row. The parameter row is a model artefact
+    whose size is fixed by the model, not by the data; Spark broadcasts it
+    and streams ``df`` past it once (a nested loop over a single row, so the
+    cost is linear in ``df``)."""
+    return df.crossJoin(F.broadcast(params))
