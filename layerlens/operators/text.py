@@ -139,7 +139,7 @@ def make_tokenizer(vocab: dict[str, int], cache_size: int = 1 << 18):
 def load_vocab(vocab: DataFrame, token: str = "token", id_col: str = "id") -> dict[str, int]:
     """Vocabulary table → dict. A vocabulary is a model artefact; its size
     is checked after the (single) collect."""
-    rows = vocab.select(token, id_col).collect()
+    rows = vocab.select(token, id_col).limit(MAX_VOCAB_ROWS + 1).collect()
     if len(rows) > MAX_VOCAB_ROWS:
         raise ValueError(f"vocabulary has {len(rows)} rows")
     return {r[0]: int(r[1]) for r in rows}

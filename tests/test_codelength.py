@@ -45,3 +45,13 @@ def test_accuracy_f1_ce(spark):
     assert C.macro_f1(p, 4, absent="zero").collect()[0].macro_f1 == pytest.approx((1 + 2 / 3) / 4)
     lse = math.log(math.exp(2) + math.exp(1) + 1)
     assert p.filter(F.col("label") == 0).orderBy("pred").collect()[0].ce == pytest.approx(lse - 2.0)
+
+
+def test_mdl_units(spark):
+    per = spark.createDataFrame([(0, 2.0, 3, 3, 0), (1, 4.0, 6, 6, 0)],
+                                "portion_idx int, ce_sum double, n_scored long, n_targets long, n_missing_class long")
+    mixed = L.mdl_and_compression(spark, per, 1, 10, 4).collect()[0]
+    bits = L.mdl_and_compression(spark, per, 1, 10, 4, unit="bits").collect()[0]
+    assert mixed.mdl == pytest.approx(2 + 6.0)
+    assert bits.mdl == pytest.approx(2 + 6.0 / math.log(2))
+    assert mixed.compression == pytest.approx(20 / 8.0)

@@ -65,3 +65,19 @@ def test_metrics_invariant_under_repartition(run_and_qrels):
     a = sorted(R.evaluate_run(run, qrels).collect())
     b = sorted(R.evaluate_run(run.repartition(5), qrels.repartition(3)).collect())
     assert a == b
+
+
+@pytest.mark.parametrize("policy,expected", [("skip", None), ("zero", 0.0), ("nan", "nan")])
+def test_no_relevant_policy(run_and_qrels, policy, expected):
+    run, qrels = run_and_qrels
+    q2 = [r for r in R.evaluate_run(run, qrels, ks=(1,), no_relevant=policy).collect() if r.q_id == 2][0]
+    if expected == "nan":
+        assert math.isnan(q2.trec_ndcg_1)
+    else:
+        assert q2.trec_ndcg_1 == expected
+
+
+def test_duplicate_qrels_keep_highest_grade(spark):
+    qrels = spark.createDataFrame([(1, 1, 0), (1, 1, 2), (1, 2, 1)], "q_id long, d_id long, grade int")
+    d = {(r.q_id, r.d_id): (r.grade, r.n_lines) for r in R.dedupe_qrels(qrels).collect()}
+    assert d == {(1, 1): (2, 2), (1, 2): (1, 1)}
