@@ -195,21 +195,22 @@ def read_result_csvs(spark, sf_dir):
     with the old header spellings — and read back through the alias map."""
     root = os.path.join(ensure_checkpoint_dir(spark), f"results-{uuid.uuid4().hex}")
     f8 = f8_layer_results(spark, sf_dir)
-    # one result file per (task, model): the number of files is the number
-    # of runs groups (a few dozen), each written by Spark
-    keys = [(r.task, r.model) for r in f8.select("task", "model").distinct().collect()]
+    # two header spellings (even models the old one), each written once,
+    # partitioned into one folder per (task, run)
     paths = []
-    for task, model in keys:
-        part = f8.filter((F.col("task") == task) & (F.col("model") == model)).select(
-            F.lit(f"run-{model}").alias("Name"),
+    for parity, metric in ((0, "test/trecmap"), (1, "test/trec_map")):
+        part = f8.filter(F.col("model") % 2 == parity).select(
+            "task",
+            F.col("model").alias("run"),
+            F.concat(F.lit("run-"), F.col("model").cast("string")).alias("Name"),
             F.col("model").cast("string").alias("model/subject_model/model_name"),
             F.col("layer").cast("string").alias("model/pooler/layer_to_probe"),
-            F.col("value").alias("test/trecmap" if model % 2 == 0 else "test/trec_map"),
+            F.col("value").alias(metric),
         )
-        path = os.path.join(root, task, f"model{model}.csv")
-        part.coalesce(1).write.option("header", True).csv(path)
+        path = os.path.join(root, f"spelling{parity}")
+        part.write.partitionBy("task", "run").option("header", True).csv(path)
         paths.append(path)
-    res = read_csvs(spark, paths, task_level=-3)
+    res = read_csvs(spark, paths, task_level=None).drop("run")
     return res.groupBy("task", "model").agg(
         F.count(F.lit(1)).alias("n_runs"),
         F.round(F.avg("test/trec_map"), 6).alias("mean_value"),

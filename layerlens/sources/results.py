@@ -20,9 +20,11 @@ NUMERIC = ("Runtime", "layer", "mdl", "compression")
 
 
 def read_result_csvs(spark: SparkSession, paths: Sequence[str],
-                     aliases: Mapping[str, str] = RESULT_COLUMN_ALIASES, task_level: int = -2) -> DataFrame:
+                     aliases: Mapping[str, str] = RESULT_COLUMN_ALIASES, task_level: int | None = -2) -> DataFrame:
     """``task_level``: which path element (from the end) names the task:
-    -2 for ``<task>/<model>.csv`` files, -3 for folders written by Spark."""
+    -2 for ``<task>/<model>.csv`` files, -3 for folders written by Spark;
+    ``None`` when each path is a Spark-partitioned folder with ``task=…``
+    subfolders (the partition column is kept)."""
     frames = []
     for path in paths:
         df = (
@@ -34,7 +36,8 @@ def read_result_csvs(spark: SparkSession, paths: Sequence[str],
         for old, new in aliases.items():
             if old in df.columns and new not in df.columns:
                 df = df.withColumnRenamed(old, new)
-        df = df.withColumn("task", F.element_at(F.split(F.col("_metadata.file_path"), "/"), task_level))
+        if task_level is not None:
+            df = df.withColumn("task", F.element_at(F.split(F.col("_metadata.file_path"), "/"), task_level))
         frames.append(df)
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     for c in out.columns:
