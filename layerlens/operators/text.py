@@ -24,8 +24,10 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,45 +93,50 @@ _SPLIT_CACHES: dict[int, dict[str, tuple[int, ...]]] = {}
 
 def make_tokenizer(vocab: dict[str, int], cache_size: int = 1 << 18):
     """Arrow UDF ``array<string> words → struct<ids, n_pieces, offsets>``;
-    ``offsets[w]`` = pieces before word w (length n_words + 1). Works on the
-    Arrow arrays directly (no pandas objects): the word lists are flattened,
-    split through the cache, and the three list columns are rebuilt from
-    flat buffers."""
+    ``offsets[w]`` = pieces before word w (length n_words + 1).
+
+    Per Arrow batch the words are dictionary-encoded, so Python splits each
+    distinct word of the batch once (through the per-process cache); the
+    three list columns are then gathered with numpy from the distinct
+    words' pieces, with no per-occurrence Python work."""
     key = hash(frozenset(vocab.items()))
 
     @F.arrow_udf(PIECES_TYPE)
     def tokenize(ws: pa.Array) -> pa.Array:
         cache = _SPLIT_CACHES.setdefault(key, {})
-        flat = ws.flatten().to_pylist()
-        bounds = ws.offsets.to_pylist()
-        valid = ws.is_valid().to_pylist()
-        ids: list[int] = []
-        counts: list[int] = []
-        offs: list[int] = []
-        id_bounds, cnt_bounds, off_bounds = [0], [0], [0]
-        for r in range(len(ws)):
-            running = 0
-            offs.append(0)
-            if valid[r]:
-                for w in flat[bounds[r]:bounds[r + 1]]:
-                    p = cache.get(w)
-                    if p is None:
-                        p = tuple(wordpiece(normalize_word(w), vocab))
-                        if len(cache) < cache_size:
-                            cache[w] = p
-                    ids.extend(p)
-                    counts.append(len(p))
-                    running += len(p)
-                    offs.append(running)
-            id_bounds.append(len(ids))
-            cnt_bounds.append(len(counts))
-            off_bounds.append(len(offs))
+        n_words = pc.fill_null(pc.list_value_length(ws), 0).to_numpy().astype(np.int64)
+        enc = pc.dictionary_encode(ws.flatten())
+        occ = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pieces = []
+        for w in enc.dictionary.to_pylist():
+            p = cache.get(w)
+            if p is None:
+                p = tuple(wordpiece(normalize_word(w), vocab))
+                if len(cache) < cache_size:
+                    cache[w] = p
+            pieces.append(p)
+        u_len = np.fromiter((len(p) for p in pieces), dtype=np.int64, count=len(pieces))
+        u_flat = np.fromiter((i for p in pieces for i in p), dtype=np.int32, count=int(u_len.sum()))
+        u_start = np.cumsum(u_len) - u_len
+        # pieces of every word occurrence, in order
+        counts = u_len[occ]
+        total = int(counts.sum())
+        occ_start = np.cumsum(counts) - counts
+        ids = u_flat[np.arange(total) - np.repeat(occ_start - u_start[occ], counts)]
+        cum = np.concatenate([[0], np.cumsum(counts)])  # pieces before each word occurrence
+        w_bounds = np.concatenate([[0], np.cumsum(n_words)])
+        # offsets of row r: cum[b_r .. b_r + n_r] - cum[b_r] (n_r + 1 values)
+        o_len = n_words + 1
+        o_bounds = np.concatenate([[0], np.cumsum(o_len)])
+        first = np.repeat(w_bounds[:-1], o_len)
+        g = first + np.arange(int(o_bounds[-1])) - np.repeat(o_bounds[:-1], o_len)
+        offs = cum[g] - cum[first]
 
         def lists(bnd, vals):
             return pa.ListArray.from_arrays(pa.array(bnd, pa.int32()), pa.array(vals, pa.int32()))
 
         return pa.StructArray.from_arrays(
-            [lists(id_bounds, ids), lists(cnt_bounds, counts), lists(off_bounds, offs)],
+            [lists(cum[w_bounds], ids), lists(w_bounds, counts), lists(o_bounds, offs)],
             names=["ids", "n_pieces", "offsets"],
         )
 

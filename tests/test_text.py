@@ -79,3 +79,19 @@ def test_corpus_vocab_matches_table_form(spark):
     table = X.load_vocab(X.build_vocab(docs, "text", top_words=2))
     assert X.corpus_vocab(docs, "text", top_words=2) == table
     assert "ab" in table and "cd" in table and "##f" in table and "e" in table
+
+
+def test_tokenizer_udf_matches_per_word_split(spark):
+    vocab = {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "un", "##aff", "##able", "a", "b", "##b"])}
+    rows = [(0, ["unaffable", "a", "unaffable"]), (1, None), (2, []), (3, ["xyz", "bb", "a"]), (4, ["b"])]
+    df = spark.createDataFrame(rows, "k int, words array<string>").repartition(2)
+    out = {r.k: r for r in df.select("k", X.make_tokenizer(vocab)(F.col("words")).alias("p")).collect()}
+    for k, ws in rows:
+        split = [X.wordpiece(X.normalize_word(w), vocab) for w in (ws or [])]
+        p = out[k].p
+        assert p.ids == [i for s in split for i in s]
+        assert p.n_pieces == [len(s) for s in split]
+        running = [0]
+        for s in split:
+            running.append(running[-1] + len(s))
+        assert p.offsets == running
