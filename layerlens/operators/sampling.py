@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from layerlens.functions.columns import SPLIT_SEED, hash_key
@@ -98,15 +98,46 @@ def portions_table(spark: SparkSession, n_total: int, fractions: Sequence[float]
     return spark.createDataFrame(rows, "portion_idx int, fraction double, n long, n_next long")
 
 
+MAX_PORTIONS = 10_000
+
+
+def _portion_array(portions: DataFrame) -> Column:
+    """The portions table (parameters: one row per fraction, size checked)
+    as a literal ``array<struct<portion_idx, fraction, n, n_next>>``."""
+    rows = portions.select("portion_idx", "fraction", "n", "n_next").limit(MAX_PORTIONS + 1).collect()
+    if len(rows) > MAX_PORTIONS:
+        raise ValueError(f"more than {MAX_PORTIONS} portions")
+    return F.array(*[
+        F.struct(
+            F.lit(r.portion_idx).cast("int").alias("portion_idx"),
+            F.lit(r.fraction).cast("double").alias("fraction"),
+            F.lit(r.n).cast("long").alias("n"),
+            F.lit(r.n_next).cast("long").alias("n_next"),
+        )
+        for r in sorted(rows, key=lambda r: r.portion_idx)
+    ])
+
+
 def portion_members(permuted: DataFrame, portions: DataFrame) -> DataFrame:
-    """Each row once per portion that contains it (``perm < n``)."""
-    return permuted.join(F.broadcast(portions), F.col(PERM) < F.col("n")).drop("n_next")
+    """Each row once per portion that contains it (``perm < n``).
+    The matching portions of a row are picked from the literal portions
+    array and exploded: a generator in the scan's stage, no join."""
+    hit = F.filter(_portion_array(portions), lambda p: F.col(PERM) < p["n"])
+    return permuted.select("*", F.explode(hit).alias("_pt")).select(
+        *[F.col(f"`{c}`") for c in permuted.columns], "_pt.portion_idx", "_pt.fraction", "_pt.n"
+    )
 
 
 def next_chunks(permuted: DataFrame, portions: DataFrame) -> DataFrame:
-    """The rows scored after fitting on portion k: ``n_k <= perm < n_{k+1}``."""
-    p = portions.filter(F.col("n_next").isNotNull())
-    return permuted.join(F.broadcast(p), (F.col(PERM) >= F.col("n")) & (F.col(PERM) < F.col("n_next")))
+    """The rows scored after fitting on portion k: ``n_k <= perm < n_{k+1}``
+    (at most one portion per row)."""
+    hit = F.filter(
+        _portion_array(portions),
+        lambda p: p["n_next"].isNotNull() & (F.col(PERM) >= p["n"]) & (F.col(PERM) < p["n_next"]),
+    )
+    return permuted.select("*", F.explode(hit).alias("_pt")).select(
+        *[F.col(f"`{c}`") for c in permuted.columns], "_pt.portion_idx", "_pt.fraction", "_pt.n", "_pt.n_next"
+    )
 
 
 def target_counts(members: DataFrame, n_targets: str = "n_targets") -> DataFrame:
