@@ -24,8 +24,23 @@ DEFAULT_PORTIONS = (0.001, 0.002, 0.004, 0.008, 0.016, 0.032, 0.0625, 0.125, 0.2
 PERM = "perm"
 
 
+# Rows per hash bucket the permutation aims for (one window sort per bucket),
+# and the widest bucket key: 16^5 offsets rows (~16 MB) is still broadcast.
+BUCKET_ROWS = 1_000_000
+MAX_PREFIX_CHARS = 5
+
+
+def bucket_prefix_chars(n_rows: int | None) -> int:
+    """Hex digits of the hash prefix: 4 (65,536 buckets) unless a known row
+    count would put more than ``BUCKET_ROWS`` rows in a bucket."""
+    k = 4
+    while n_rows is not None and k < MAX_PREFIX_CHARS and n_rows > BUCKET_ROWS * 16**k:
+        k += 1
+    return k
+
+
 def permute(df: DataFrame, id_col: str = "id", seed: int = SPLIT_SEED, shuffle: bool = True,
-            prefix_chars: int = 4) -> DataFrame:
+            prefix_chars: int | None = None, n_rows: int | None = None) -> DataFrame:
     """Add ``perm`` = exact 0-based position in the seeded order
     ``(md5('<seed>:<id>'), id)`` (or in id order when ``shuffle`` is False).
 
@@ -37,6 +52,8 @@ def permute(df: DataFrame, id_col: str = "id", seed: int = SPLIT_SEED, shuffle:
     Ids are unique per instance, so no bucket is hot."""
     if not shuffle:
         return global_rank(df, [F.col(id_col).asc()], name=PERM).withColumn(PERM, F.col(PERM) - 1)
+    if prefix_chars is None:
+        prefix_chars = bucket_prefix_chars(n_rows)
     d = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_b", F.substring("_h", 1, prefix_chars))
     counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     # one ordered pass over at most 16^k bucket counts
@@ -74,7 +91,7 @@ def exact_split(
     """D1+D2: rows with a ``split`` column; unused rows are dropped."""
     n = df.count() if n is None else n
     check_split_sizes(n, num_train, num_test)
-    p = permute(df, id_col, seed)
+    p = permute(df, id_col, seed, n_rows=n)
     return p.withColumn("split", split_of(F.col(PERM), num_train, num_test)).filter(F.col("split").isNotNull())
 
 

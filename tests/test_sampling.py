@@ -46,3 +46,10 @@ def test_portions_nested_and_chunks_cover(spark, ids):
 
 def test_sample_n_exact(ids):
     assert S.sample_n(ids, 37).count() == 37
+
+
+def test_permutation_independent_of_bucket_width(ids):
+    base = {r.id: r.perm for r in S.permute(ids).collect()}
+    for k in (1, 2, 5):
+        assert {r.id: r.perm for r in S.permute(ids, prefix_chars=k).collect()} == base
+    assert S.bucket_prefix_chars(None) == 4 and S.bucket_prefix_chars(10**12) == 5
