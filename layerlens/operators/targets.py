@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from layerlens.functions.columns import bucketize, one_hot
 from layerlens.session import BOUNDED_BROADCAST_ROWS
 
+# Fixed value: the separator between query and passage in a pair text.
 SEP = " [SEP] "
 
 TARGET_TYPE = "struct<span1:struct<a:int,b:int>,span2:struct<a:int,b:int>,label:string>"

@@ -16,6 +16,7 @@ from layerlens.session import ensure_checkpoint_dir
 from layerlens.sources.results import read_result_csvs as read_csvs
 
 MONITOR = "error"
+# Fixed value: early-stopping patience of the reference configuration.
 PATIENCE = 10
 LAYERS = list(range(13))
 
