@@ -1,0 +1,239 @@
+"""Replay of a reduce-on-plateau schedule (mode min, relative threshold,
+no cooldown) without holding a series in one task.
+
+A step improves when ``v < best·k`` (``k = 1 - threshold``); the improving
+steps decide everything else: within a run of non-improving steps every
+``patience + 1``-th one asks for a reduction, and the learning rate follows
+the fixed sequence ``lr0, lr0·f, …`` until a step would change it by no more
+than ``eps``. So the replay is (a) the improving flags, then (b) aggregates.
+
+(a) is a true recurrence. The rows are range-partitioned on (series, step),
+so a long series is cut into many partitions. Inside a partition every
+series that starts there is folded from ``best = +inf``. Only a partition's
+first series can continue from earlier partitions, and it depends on the
+incoming best ``b`` only through its first step below ``b·k``. That step is
+one of the segment's running-minimum records, and the fold from each record
+on is fixed by the segment alone. Each such segment therefore yields a small
+summary: its records with the best reached from each. When all earlier
+values of the series are positive, ``b`` lies between their minimum ``M`` and
+about ``M/k``, so only records in that narrow band (and the first one below
+``M·k``) can be hit; the summary keeps just those. A per-series pass over
+the summaries (one row per partition the series spans) resolves every
+incoming best, and a second pass over the partitions folds each one from its
+resolved start. Exact for any values; the summaries are small unless a
+series has many records with non-positive values.
+"""
+
+from __future__ import annotations
+
+from bisect import bisect_left
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from layerlens.operators.scan import segmented_scan
+from layerlens.session import materialize
+
+_INF = float("inf")
+# widening of the band bound M/k against rounding of best·k
+_BAND_SLACK = 1e-9
+
+
+def lr_sequence(lr0: float, factor: float, eps: float) -> list[float]:
+    """Learning rates after 0, 1, 2, … applied reductions (the same float
+    products as stepping the schedule); stops when a reduction would change
+    the rate by no more than ``eps``."""
+    out, lr = [float(lr0)], float(lr0)
+    while len(out) < 100_000:
+        new = max(lr * factor, 0.0)
+        if not lr - new > eps:
+            break
+        out.append(new)
+        lr = new
+    return out
+
+
+def _fold(v: np.ndarray, b0: float, k: float) -> tuple[np.ndarray, float]:
+    flags = np.zeros(len(v), dtype=np.int32)
+    best = b0
+    for i, x in enumerate(v.tolist()):
+        if x < best * k:
+            flags[i] = 1
+            best = x
+    return flags, best
+
+
+def _record_ends(v: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray]:
+    """Running-minimum records of ``v`` and, for each, the best reached by
+    folding from it (fresh) to the end of ``v``: via next-improvement
+    pointers, ``next(t)`` = first ``s > t`` with ``v_s < v_t·k``."""
+    n = len(v)
+    end = np.array(v, dtype=np.float64)
+    st_idx: list[int] = []  # chain of the suffix after t: values rise bottom → top
+    st_val: list[float] = []
+    vals = v.tolist()
+    for t in range(n - 1, -1, -1):
+        x = vals[t]
+        if x != x:  # NaN never improves and never blocks
+            continue
+        j = bisect_left(st_val, x * k)
+        if j > 0:
+            end[t] = end[st_idx[j - 1]]
+        while st_val and st_val[-1] >= x:
+            st_val.pop()
+            st_idx.pop()
+        st_val.append(x)
+        st_idx.append(t)
+    finite = np.where(np.isnan(v), _INF, v)
+    prev_min = np.concatenate([[_INF], np.minimum.accumulate(finite)[:-1]]) if n else finite
+    rec = np.flatnonzero(v < prev_min)
+    return rec, end
+
+
+def _groups(pdf: pd.DataFrame, series: list[str]) -> np.ndarray:
+    return pdf.groupby(series, sort=False, dropna=False).ngroup().to_numpy()
+
+
+def _sorted_partition(batches, series: list[str], step: str) -> pd.DataFrame | None:
+    parts = [b for b in batches if len(b)]
+    if not parts:
+        return None
+    return pd.concat(parts, ignore_index=True).sort_values([*series, step], kind="stable", ignore_index=True)
+
+
+def plateau_schedule(log: DataFrame, lr0: float = 1e-4, factor: float = 0.5, patience: int = 0,
+                     threshold: float = 1e-4, eps: float = 1e-8,
+                     series: Sequence[str] = ("run", "metric"), step: str = "step", value: str = "value",
+                     num_partitions: int | None = None) -> DataFrame:
+    """Per series: ``final_lr``, ``n_reductions`` and the ``best`` value.
+    ``num_partitions`` fixes the range exchange (default: the session's
+    shuffle partitions, adjusted by AQE)."""
+    series = list(series)
+    k = 1.0 - threshold
+    rows = log.select(*series, F.col(step), F.col(value).cast("double").alias(value))
+    keys = [*series, step]
+    ranged = rows.repartitionByRange(num_partitions, *keys) if num_partitions else rows.repartitionByRange(*keys)
+    ranged = ranged.sortWithinPartitions(*keys)
+    tagged = materialize(ranged.withColumn("_p", F.spark_partition_id()))
+
+    # which partitions start inside an earlier partition's series, and the
+    # minimum of that series' values before them (≤ one row per partition)
+    stats = tagged.groupBy("_p", *series).agg(F.min(F.when(~F.isnan(value), F.col(value))).alias("_mn"))
+    first = tagged.groupBy("_p").agg(F.min(F.struct(*series)).alias("_k"))
+    before = Window.partitionBy(*series).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    cont = (
+        stats.select("_p", *series, F.min("_mn").over(before).alias("_m"), F.count("_p").over(before).alias("_c"))
+        .join(first, "_p")
+        .filter((F.col("_c") > 0) & (F.struct(*series) == F.col("_k")))
+        .select("_p", F.coalesce(F.col("_m"), F.lit(_INF)).alias("_m"))
+    )
+    heads = {int(r["_p"]): float(r["_m"]) for r in cont.collect()}
+
+    key_fields = [f for f in tagged.schema.fields if f.name in series]
+    summary_schema = T.StructType(key_fields + [
+        T.StructField("_p", T.IntegerType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("rec_v", T.ArrayType(T.DoubleType())),
+        T.StructField("rec_end", T.ArrayType(T.DoubleType())),
+        T.StructField("end", T.DoubleType()),
+    ])
+
+    def summarize(batches):
+        pdf = _sorted_partition(batches, series, step)
+        if pdf is None:
+            return
+        p = int(pdf["_p"].iloc[0])
+        gid = _groups(pdf, series)
+        v_all = pdf[value].to_numpy(dtype=np.float64)
+        last = int(gid[-1])
+        out = []
+        if p in heads:
+            v = v_all[gid == 0]
+            rec, end = _record_ends(v, k)
+            m = heads[p]
+            cut = rec[v[rec] < m * k]
+            stop = int(cut[0]) if len(cut) else None
+            keep = rec if stop is None else rec[rec <= stop]
+            if np.isfinite(m) and m > 0:
+                keep = keep[v[keep] <= m * (1.0 + _BAND_SLACK)]
+            key = pdf.loc[0, series].tolist()
+            out.append(key + [p, "head", v[keep].tolist(), end[keep].tolist(), None])
+        if last != 0 or p not in heads:
+            sel = gid == last
+            _, best = _fold(v_all[sel], _INF, k)
+            key = pdf.loc[int(np.flatnonzero(sel)[0]), series].tolist()
+            out.append(key + [p, "tail", None, None, best])
+        if out:
+            yield pd.DataFrame(out, columns=summary_schema.names)
+
+    summaries = tagged.mapInPandas(summarize, summary_schema)
+
+    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_p", kind="stable")
+        ps, kinds = pdf["_p"].tolist(), pdf["kind"].tolist()
+        recs, ends, tail_end = pdf["rec_v"].tolist(), pdf["rec_end"].tolist(), pdf["end"].tolist()
+        res = []
+        b = None
+        for i in range(len(ps)):
+            if kinds[i] == "tail" and b is None:
+                b = float(tail_end[i])
+            elif kinds[i] == "head" and b is not None:
+                res.append((int(ps[i]), b))
+                hit = np.flatnonzero(np.asarray(recs[i], dtype=np.float64) < b * k)
+                if len(hit):
+                    b = float(ends[i][int(hit[0])])
+        return pd.DataFrame(res, columns=["_p", "b_in"])
+
+    starts = summaries.groupBy(*series).applyInPandas(resolve, "_p int, b_in double")
+    b_in = {int(r["_p"]): float(r["b_in"]) for r in starts.collect()}  # ≤ one row per partition
+
+    flag_schema = T.StructType(key_fields + [
+        T.StructField(step, tagged.schema[step].dataType),
+        T.StructField(value, T.DoubleType()),
+        T.StructField("improved", T.IntegerType()),
+    ])
+
+    def flag(batches):
+        pdf = _sorted_partition(batches, series, step)
+        if pdf is None:
+            return
+        p = int(pdf["_p"].iloc[0])
+        gid = _groups(pdf, series)
+        v = pdf[value].to_numpy(dtype=np.float64)
+        flags = np.zeros(len(v), dtype=np.int32)
+        bounds = np.flatnonzero(np.diff(gid)) + 1
+        for g, (a, z) in enumerate(zip(np.concatenate([[0], bounds]), np.concatenate([bounds, [len(v)]]))):
+            b0 = b_in.get(p, _INF) if g == 0 else _INF
+            flags[a:z], _ = _fold(v[a:z], b0, k)
+        out = pdf[[*series, step, value]].copy()
+        out["improved"] = flags
+        yield out
+
+    flagged = materialize(tagged.mapInPandas(flag, flag_schema))
+
+    lrs = lr_sequence(lr0, factor, eps)
+    per = flagged.groupBy(*series).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum("improved").alias("_imp"),
+        F.max_by(F.col(value), F.when(F.col("improved") == 1, F.col(step))).alias("best"),
+    )
+    if patience == 0:
+        attempts = per.select(*series, "best", (F.col("_n") - F.col("_imp")).alias("_att"))
+    else:
+        runs = segmented_scan(flagged, series, [F.col(step)], sums=["improved"])
+        att = runs.groupBy(*series, "cum_improved").agg(
+            (F.count(F.lit(1)) - F.max("improved")).alias("_bad")
+        ).groupBy(*series).agg(F.sum(F.floor(F.col("_bad") / (patience + 1))).alias("_att"))
+        attempts = per.select(*series, "best").join(att, series)
+    n_red = F.least(F.col("_att"), F.lit(len(lrs) - 1)).cast("int")
+    table = F.array(*[F.lit(x) for x in lrs])
+    return attempts.select(
+        *series,
+        F.element_at(table, n_red + 1).alias("final_lr"),
+        n_red.alias("n_reductions"),
+        F.coalesce(F.col("best"), F.lit(_INF)).alias("best"),
+    )

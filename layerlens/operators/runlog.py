@@ -100,6 +100,17 @@ def early_stop(log: DataFrame, patience: int = 10, mode: str = "min",
 
 
 def plateau_schedule(log: DataFrame, lr0: float = 1e-4, factor: float = 0.5, patience: int = 0,
+                     threshold: float = 1e-4, eps: float = 1e-8,
+                     series: Sequence[str] = ("run", "metric"), step: str = "step", value: str = "value",
+                     num_partitions: int | None = None) -> DataFrame:
+    """Reduce-on-plateau replay per series (final lr, reductions, best);
+    long series are split over partitions (see ``operators.plateau``)."""
+    from layerlens.operators.plateau import plateau_schedule as split_replay
+
+    return split_replay(log, lr0, factor, patience, threshold, eps, series, step, value, num_partitions)
+
+
+def plateau_schedule_fold(log: DataFrame, lr0: float = 1e-4, factor: float = 0.5, patience: int = 0,
                      threshold: float = 1e-4, eps: float = 1e-8,
                      series: Sequence[str] = ("run", "metric"), step: str = "step", value: str = "value") -> DataFrame:
     """Replay of a reduce-on-plateau schedule (mode min, relative
@@ -108,8 +119,9 @@ def plateau_schedule(log: DataFrame, lr0: float = 1e-4, factor: float = 0.5, pat
 
     The state (best, bad-epoch count, lr) is a true recurrence, so each
     series is folded in step order with ``aggregate`` over its sorted
-    values on the JVM. A series is one training run's epochs, so the fold's
-    input is bounded by the trainer's epoch limit, not by the table."""
+    values on the JVM: the whole series is one aggregate buffer, so this
+    form is only for series known to be short (kept as a cross-check of
+    ``plateau_schedule``)."""
     series = list(series)
     init = F.struct(
         F.lit(float("inf")).alias("best"), F.lit(0).alias("bad"), F.lit(lr0).alias("lr"), F.lit(0).alias("n_red")

@@ -87,3 +87,24 @@ def test_early_stop_patience(spark):
     r = RL.early_stop(df, patience=3).collect()[0]
     # improvements at steps 1, 2, 6 (4 at step 3 is not strict); 3 checks without improvement after step 2 → step 5
     assert r.stop_step == 5 and r.best == 3.0
+
+
+@pytest.mark.parametrize("patience", [0, 2])
+def test_plateau_split_over_partitions_matches_simulation(spark, patience):
+    rng = np.random.default_rng(11)
+    series = {
+        # a hot series: slowly falling positive loss with noise and plateaus
+        0: list(np.round(5.0 * np.exp(-np.arange(3000) / 800.0) + rng.random(3000) * 0.01, 6)),
+        # negative values (the best can drift upwards under a relative threshold)
+        1: list(np.round(-1.0 + np.cumsum(rng.random(400) * 2e-5), 8)),
+        # mixed sign with NaN
+        2: [float("nan"), 3.0, -2.0, float("nan"), -2.0001, 0.5, -3.0] * 50,
+        3: [1.0],
+    }
+    rows = [(run, "loss", i + 1, float(v)) for run, vals in series.items() for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "run long, metric string, step int, value double")
+    got = {r.run: r for r in RL.plateau_schedule(df, patience=patience, num_partitions=16).collect()}
+    for run, vals in series.items():
+        lr, n, best = _plateau(vals, patience=patience)
+        assert got[run].n_reductions == n and got[run].final_lr == lr, run
+        assert got[run].best == best or (math.isnan(best) and math.isnan(got[run].best)), run
