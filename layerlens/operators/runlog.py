@@ -110,45 +110,6 @@ def plateau_schedule(log: DataFrame, lr0: float = 1e-4, factor: float = 0.5, pat
     return split_replay(log, lr0, factor, patience, threshold, eps, series, step, value, num_partitions)
 
 
-def plateau_schedule_fold(log: DataFrame, lr0: float = 1e-4, factor: float = 0.5, patience: int = 0,
-                     threshold: float = 1e-4, eps: float = 1e-8,
-                     series: Sequence[str] = ("run", "metric"), step: str = "step", value: str = "value") -> DataFrame:
-    """Replay of a reduce-on-plateau schedule (mode min, relative
-    threshold): per series the final learning rate, the number of reductions
-    and the best value.
-
-    The state (best, bad-epoch count, lr) is a true recurrence, so each
-    series is folded in step order with ``aggregate`` over its sorted
-    values on the JVM: the whole series is one aggregate buffer, so this
-    form is only for series known to be short (kept as a cross-check of
-    ``plateau_schedule``)."""
-    series = list(series)
-    init = F.struct(
-        F.lit(float("inf")).alias("best"), F.lit(0).alias("bad"), F.lit(lr0).alias("lr"), F.lit(0).alias("n_red")
-    )
-
-    def step_fn(st, x):
-        v = x["v"]
-        better = v < st["best"] * (1.0 - threshold)
-        best = F.when(better, v).otherwise(st["best"])
-        bad = F.when(better, F.lit(0)).otherwise(st["bad"] + 1)
-        reduce = bad > patience
-        new_lr = F.greatest(st["lr"] * factor, F.lit(0.0))
-        applied = reduce & ((st["lr"] - new_lr) > eps)
-        return F.struct(
-            best.alias("best"),
-            F.when(reduce, F.lit(0)).otherwise(bad).alias("bad"),
-            F.when(applied, new_lr).otherwise(st["lr"]).alias("lr"),
-            (st["n_red"] + F.when(applied, 1).otherwise(0)).alias("n_red"),
-        )
-
-    folded = log.groupBy(*series).agg(
-        F.aggregate(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).alias("v")))), init, step_fn).alias("st")
-    )
-    return folded.select(*series, F.col("st.lr").alias("final_lr"), F.col("st.n_red").alias("n_reductions"),
-                         F.col("st.best").alias("best"))
-
-
 def layer_curve(results: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("task", "model", "layer")) -> DataFrame:
     """Long form ``(task, model, layer, metric, value)`` ordered by
     task, model, layer (a range-partitioned sort)."""
