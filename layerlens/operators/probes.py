@@ -4,8 +4,8 @@
   multinomial ``LogisticRegression``; parity with the reference probe is of
   purpose, not of weights (different activation/regulariser, SURVEY O2);
 * scoring with stored weights (M7) is the forward pass of both reference
-  heads written with array higher-order functions over a one-row parameter
-  table (broadcast: its size is the model's, not the data's);
+  heads: array higher-order functions over the weights as a folded
+  constant, or batch inference with numpy for a probe above the size bound;
 * predictions (M10) are ``(logits, label)`` rows.
 """
 
@@ -14,12 +14,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from layerlens.functions.columns import array_sum, dot
-from layerlens.session import attach_params
+from layerlens.session import PARAM_LITERAL_MAX_VALUES, attach_params, count_values
 
 LAYER_NORM_EPS = 1e-5
 
@@ -94,12 +95,50 @@ def hewitt_forward(df: DataFrame, x: str = "vector", p: str = "p") -> DataFrame:
     return df.drop("_h1", "_h2")
 
 
-def score_with_weights(df: DataFrame, params: DataFrame, kind: str = "tenney", vector: str = "vector") -> DataFrame:
+def _numpy_forward(p: dict, kind: str):
+    """The same forward pass over a numpy batch ``(N, d) → (N, C)``."""
+    import numpy as np
+
+    w = {c: np.asarray(v, dtype=np.float64) for c, v in p.items()}
+
+    def predict(x):
+        x = np.asarray(x, dtype=np.float64)
+        if kind == "tenney":
+            h = np.tanh(x @ w["w1"].T + w["b1"])
+            mu = h.mean(axis=1, keepdims=True)
+            var = ((h - mu) ** 2).mean(axis=1, keepdims=True)
+            h = (h - mu) / np.sqrt(var + LAYER_NORM_EPS) * w["gamma"] + w["beta"]
+        else:
+            h = np.maximum(x @ w["w1"].T + w["b1"], 0.0)
+            h = np.maximum(h @ w["wh"].T + w["bh"], 0.0)
+        return h @ w["w2"].T + w["b2"]
+
+    return predict
+
+
+def score_with_weights(df: DataFrame, params: DataFrame, kind: str = "tenney", vector: str = "vector",
+                       max_values: int = PARAM_LITERAL_MAX_VALUES, batch_size: int = 1024) -> DataFrame:
     """M7: logits of stored probe weights for every row. ``params`` is one
-    row of weight arrays (``w1 b1 gamma beta w2 b2`` or ``w1 b1 wh bh w2 b2``)."""
+    row of weight arrays (``w1 b1 gamma beta w2 b2`` or ``w1 b1 wh bh w2 b2``).
+
+    Up to ``max_values`` weights the forward pass is array higher-order
+    functions over the weights as a folded constant (JVM, codegen). A larger
+    probe is scored by batch inference: ``predict_batch_udf`` with a numpy
+    forward pass over Arrow batches; the weights travel in the pickled
+    function, which Spark broadcasts once."""
     fwd = {"tenney": tenney_forward, "hewitt": hewitt_forward}[kind]
-    p = params.select(F.struct(*params.columns).alias("p"))
-    return fwd(attach_params(df, p), vector).drop("p")
+    rows = params.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"a parameter table has exactly one row, got {len(rows)}")
+    value = rows[0].asDict(recursive=True)
+    if count_values(value) <= max_values:
+        p = params.select(F.struct(*params.columns).alias("p"))
+        return fwd(attach_params(df, p, max_values), vector).drop("p")
+    dim = len(value["w1"][0])
+    predict = _numpy_forward(value, kind)
+    udf = predict_batch_udf(lambda: predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
+                            input_tensor_shapes=[[dim]])
+    return df.withColumn("logits", udf(F.col(vector)))
 
 
 def params_from_rule(spark: SparkSession, input_dim: int, hidden_dim: int, num_classes: int, kind: str = "tenney") -> DataFrame:

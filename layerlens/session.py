@@ -119,11 +119,12 @@ def spread_for_python(df: DataFrame) -> DataFrame:
 PARAM_LITERAL_MAX_VALUES = 65_536
 
 
-def _count_values(v) -> int:
+def count_values(v) -> int:
+    """Leaf values in a parameter row (nested dicts / lists)."""
     if isinstance(v, dict):
-        return sum(_count_values(x) for x in v.values())
+        return sum(count_values(x) for x in v.values())
     if isinstance(v, (list, tuple)):
-        return sum(_count_values(x) for x in v)
+        return sum(count_values(x) for x in v)
     return 1
 
 
@@ -159,7 +160,7 @@ def attach_params(df: DataFrame, params: DataFrame, max_values: int = PARAM_LITE
     if len(rows) != 1:
         raise ValueError(f"a parameter table has exactly one row, got {len(rows)}")
     value = rows[0].asDict(recursive=True)
-    n = _count_values(value)
+    n = count_values(value)
     if n > max_values:
         raise ValueError(
             f"parameter row holds {n} values (bound {max_values}); score this model with batch inference instead"

@@ -55,3 +55,17 @@ def test_mdl_units(spark):
     assert mixed.mdl == pytest.approx(2 + 6.0)
     assert bits.mdl == pytest.approx(2 + 6.0 / math.log(2))
     assert mixed.compression == pytest.approx(20 / 8.0)
+
+
+@pytest.mark.parametrize("kind", ["tenney", "hewitt"])
+def test_large_probe_batch_inference_matches_constant_path(spark, kind):
+    from layerlens.operators import probes as P
+
+    params = P.params_from_rule(spark, 6, 5, 3, kind)
+    df = spark.createDataFrame([(i, [((i * 3 + d) % 7) / 7.0 - 0.4 for d in range(6)]) for i in range(40)],
+                               "id int, vector array<double>")
+    small = {r.id: r.logits for r in P.score_with_weights(df, params, kind).collect()}
+    large = {r.id: r.logits for r in P.score_with_weights(df, params, kind, max_values=10).collect()}
+    assert small.keys() == large.keys()
+    for i in small:
+        assert large[i] == pytest.approx(small[i], rel=1e-9, abs=1e-12)
