@@ -30,7 +30,7 @@ from layerlens.llm.common import text_slices
 
 MAX_N = 3
 BINS = 1 << 14
-LANDMARKS = 192
+LANDMARKS = 256
 SAMPLE_ROWS = 2400
 RIDGE = 1e-2
 SHARPNESS = 6.0

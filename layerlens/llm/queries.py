@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from layerlens.llm import chat, langid, mixing, records, tokencount
+from layerlens.llm import chat, fingerprint, langid, mixing, quality, records, tokencount
 from layerlens.llm.common import documents, prepare, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# ------------------------------------------------------------------------ 1
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict on every document."""
+    return quality.judge(documents(spark, sf_dir)).drop("clean_text")
+
+
 # ------------------------------------------------------------------------ 2
 
 
@@ -47,6 +56,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, model).drop("text")
 
 
+# ------------------------------------------------------------------------ 3
+
+
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 # ------------------------------------------------------------------------ 4
 
 
