@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from layerlens.llm import chat, fingerprint, langid, mixing, quality, records, tokencount
+from layerlens.llm import chat, fingerprint, langid, mixing, quality, records, substring, tokencount
 from layerlens.llm.common import documents, prepare, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), 1024)
 
 
+# ------------------------------------------------------------------------ 5
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document after repeats of 13 words or more."""
+    cut = substring.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 # ------------------------------------------------------------------------ 7
 
 

@@ -54,51 +54,83 @@ def frame(doc_id: int | None, ids: bytes, wide: bool) -> bytes:
 
 class Encoder:
     """Ids of whole texts from the tokenizers library, asked once for each
-    distinct word while a bounded table has room. Valid for tokenizers whose
-    normaliser and splitter never join or look across a blank."""
+    distinct word that is not in a table of bounded size. Valid for
+    tokenizers whose normaliser and splitter never join or look across a
+    blank, lower-case ASCII letters, and part letters from other marks."""
 
-    def __init__(self, vocab_path: str):
+    def __init__(self, vocab_path: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(vocab_path)
         self.wide = self.tok.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.limit, self.chars = cache_words, 0
+        # two generations: when the younger is full it becomes the elder, and
+        # words still in use move over from there
         self.known: dict[str, bytes] = {"": b""}
-        self.chars = 0
+        self.elder: dict[str, bytes] = {}
+
+    def _find(self, words: set[str]) -> set[str]:
+        """Take over what the elder table has; returns the others."""
+        have = words & self.elder.keys()
+        for w in have:
+            self.known[w] = self.elder[w]
+        return words - have
+
+    def _learn(self, fresh: set[str]) -> None:
+        fresh = self._find(fresh)
+        parts = []
+        for w in fresh:
+            core = w.rstrip(".,;:!?")
+            if not core.isalpha():
+                core = w
+            tail = w[len(core) :]
+            parts.append((w, core.lower() if core.isascii() else core, tail))
+        new = {x for _, core, tail in parts for x in (core, tail)}
+        ask = list(self._find(new.difference(self.known)))
+        for lo in range(0, len(ask), 4096):
+            some = ask[lo : lo + 4096]
+            found = self.tok.encode_batch_fast(some, add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, found))
+        for w, core, tail in parts:
+            self.known[w] = self.known[core] + self.known[tail] if tail else self.known[core]
+        self.chars += sum(map(len, fresh))
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        cut = [
-            (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts
-        ]
+        cut = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         fresh: set[str] = set()
         for words in cut:
             fresh.update(words)
         fresh.difference_update(self.known)
         if fresh:
-            new = list(fresh)
-            for lo in range(0, len(new), 4096):
-                some = new[lo : lo + 4096]
-                found = self.tok.encode_batch_fast(some, add_special_tokens=False)
-                self.known.update(
-                    (w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, found)
-                )
-            self.chars += sum(map(len, new))
+            self._learn(fresh)
         get, tail = self.known.__getitem__, np.array([end_id], self.kind).tobytes()
         out = [b"".join([*map(get, words), tail]) for words in cut]
-        if len(self.known) > CACHE_WORDS or self.chars > 16 * CACHE_WORDS:
-            self.known, self.chars = {"": b""}, 0
+        if len(self.known) > self.limit or self.chars > 24 * self.limit:
+            self.elder, self.known, self.chars = self.known, {"": b""}, 0
+            if sum(map(len, self.elder)) > 48 * self.limit:
+                self.elder = {}
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(vocab_path: str) -> Encoder:
+    """One encoder per worker process, kept over its tasks."""
+    if vocab_path not in _ENCODERS:
+        _ENCODERS[vocab_path] = Encoder(vocab_path)
+    return _ENCODERS[vocab_path]
+
+
 def write_records(docs: DataFrame, path: str, vocab_path: str, end_id: int) -> None:
     """Encode ``text`` of every row and write shards under ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = encoder_of(vocab_path)
         for batch in batches:
             for part in text_slices(batch):
-                encoder = encoder or Encoder(vocab_path)
                 ids = encoder.encode(part.column(1).to_pylist(), end_id)
                 rows = [frame(d, x, encoder.wide) for d, x in zip(part.column(0).to_pylist(), ids)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["record"])

@@ -186,14 +186,23 @@ class TokenCounter:
         return out
 
 
+_COUNTERS: dict[str, TokenCounter] = {}
+
+
+def counter_of(vocab_path: str) -> TokenCounter:
+    """One counter per worker process, kept over its tasks."""
+    if vocab_path not in _COUNTERS:
+        _COUNTERS[vocab_path] = TokenCounter(vocab_path)
+    return _COUNTERS[vocab_path]
+
+
 def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 1024) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = None
+        counter = counter_of(vocab_path)
         for batch in batches:
             for part in text_slices(batch):
-                counter = counter or TokenCounter(vocab_path)
                 n = counter.counts(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(byte_lengths(part.column(1)), pa.int64()), pa.array(n, pa.int64())],
