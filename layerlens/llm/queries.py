@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from layerlens.llm import chat, fingerprint, langid, mixing, quality, records, substring, tokencount
+from layerlens.llm import chat, fingerprint, jaccard, langid, mixing, quality, records, substring, tokencount
 from layerlens.llm.common import documents, prepare, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,15 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ------------------------------------------------------------------------ 8
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of Jaccard 0.85 or more."""
+    return jaccard.component_table(jaccard.join(documents(spark, sf_dir)))
+
+
 # ------------------------------------------------------------------------ 9
 
 END_ID = 2

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from layerlens.llm.common import text_slices
 
 SHARD_RECORDS = 1000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 MASK_ADD = 0xA282EAD8  # fixed value of the masking rule
 
 
@@ -60,9 +60,22 @@ class Encoder:
 
     def __init__(self, vocab_path: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(vocab_path)
+        # lower-case letters below U+0250 (precomposed, no marks) pass
+        # normaliser and splitter unchanged, so many such words can be asked
+        # at once, parted by blanks; the ids that end a word show where each
+        # one's ids stop
+        ending = self.tok.model.end_of_word_suffix
+        self.plain = Tokenizer(self.tok.model) if ending else None
+        if ending:
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            )
+            self.last = np.zeros(self.tok.get_vocab_size(), bool)
+            for piece, i in self.plain.get_vocab(with_added_tokens=False).items():
+                self.last[i] = piece.endswith(ending)
         self.wide = self.tok.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.limit, self.chars = cache_words, 0
@@ -78,24 +91,39 @@ class Encoder:
             self.known[w] = self.elder[w]
         return words - have
 
+    def _ask(self, words: list[str]) -> None:
+        simple = [w for w in words if w.isalpha() and w.islower() and max(w) < "\u0250"] if self.plain else []
+        for lo in range(0, len(simple), 4096):
+            some = simple[lo : lo + 4096]
+            ids = np.array(self.plain.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
+            data, size = ids.tobytes(), self.kind.itemsize
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * size).tolist()
+            if len(ends) != len(some):
+                raise ValueError("the vocabulary does not mark the ends of words")
+            self.known.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends)]))
+        others = [w for w in words if w not in self.known]
+        for lo in range(0, len(others), 4096):
+            some = others[lo : lo + 4096]
+            found = self.tok.encode_batch_fast(some, add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, found))
+
     def _learn(self, fresh: set[str]) -> None:
         fresh = self._find(fresh)
-        parts = []
+        self.chars += sum(map(len, fresh))
+        split, whole = [], set()
         for w in fresh:
             core = w.rstrip(".,;:!?")
-            if not core.isalpha():
-                core = w
-            tail = w[len(core) :]
-            parts.append((w, core.lower() if core.isascii() else core, tail))
-        new = {x for _, core, tail in parts for x in (core, tail)}
-        ask = list(self._find(new.difference(self.known)))
-        for lo in range(0, len(ask), 4096):
-            some = ask[lo : lo + 4096]
-            found = self.tok.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, found))
-        for w, core, tail in parts:
-            self.known[w] = self.known[core] + self.known[tail] if tail else self.known[core]
-        self.chars += sum(map(len, fresh))
+            low = core.lower() if core.isascii() else core
+            if core.isalpha() and low != w:
+                split.append((w, low, w[len(core) :]))
+            else:
+                whole.add(w)
+        whole.update([low for _, low, _ in split])
+        whole.update({tail for _, _, tail in split})
+        known = self.known
+        self._ask(list(self._find({w for w in whole if w not in known})))
+        for w, low, tail in split:
+            known[w] = known[low] + known[tail] if tail else known[low]
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         cut = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
