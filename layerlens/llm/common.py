@@ -64,11 +64,14 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         lo = hi
 
 
-def _offsets_and_data(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and the whole byte buffer of a string array."""
     if pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type):
         kind = np.int64
     else:
         kind = np.int32
+    if len(arr) == 0:
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
     _, off, data = arr.buffers()
     offsets = np.frombuffer(off, dtype=kind)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)
     bytes_ = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -79,7 +82,7 @@ def byte_lengths(arr: pa.Array) -> np.ndarray:
     """UTF-8 bytes of each value, null as 0."""
     if len(arr) == 0:
         return np.zeros(0, np.int64)
-    out = np.diff(_offsets_and_data(arr)[0])
+    out = np.diff(text_bytes(arr)[0])
     if arr.null_count:
         out = np.where(np.asarray(arr.is_valid()), out, 0)
     return out
@@ -89,8 +92,8 @@ def byte_lengths(arr: pa.Array) -> np.ndarray:
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -156,11 +159,11 @@ def scan(arr: pa.Array, lower: bool = False) -> Words:
     if rows == 0:
         empty = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint8), empty, empty, empty, np.zeros(1, np.int64))
-    offsets, raw = _offsets_and_data(arr)
+    offsets, raw = text_bytes(arr)
     data = raw[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     if lower:
-        data = _LOWER[data]
+        data = LOWER[data]
     inside = ~_SEPARATOR[data]
     if arr.null_count:
         for i in np.flatnonzero(~np.asarray(arr.is_valid())):

@@ -198,3 +198,30 @@ def mix(
     slots = schedule(per, block_words).select(F.col("source").alias("_s"), F.col("r").alias("_r"), "slot")
     mixed = parts.join(slots, F.col("source").eqNullSafe(F.col("_s")) & (F.col("r") == F.col("_r"))).drop("_s", "_r")
     return placed, mixed
+
+
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The documents that the mix takes, a row for each epoch that takes
+    them, with the columns of ``docs``. The one document of a source at which
+    its target ends is cut to the words taken, joined by one blank."""
+    placed, mixed = mix(docs, **settings)
+    same = Window.partitionBy("doc_id", "thash")
+    places = placed.where("size > 0").select(
+        "source", "pos", "doc_id", "thash", "size", F.row_number().over(same.orderBy("source", "pos")).alias("nth")
+    )
+    takes = mixed.groupBy(F.col("source").alias("_s"), F.col("pos").alias("_p"), "epoch").agg(F.sum("n_words").alias("n"))
+    takes = places.join(takes, F.col("source").eqNullSafe(F.col("_s")) & (F.col("pos") == F.col("_p"))).select(
+        F.col("doc_id").alias("_id"), F.col("thash").alias("_h"), "nth", "size", "n"
+    ).select(*[F.col(c).alias(f"_{c.lstrip('_')}") for c in ("_id", "_h", "nth", "size", "n")])
+    names = docs.columns
+    keyed = docs.withColumn("_thash", F.xxhash64("text")).withColumn("_doc", F.col("doc_id").cast("long"))
+    keyed = keyed.where(word_count(F.col("text")) > 0)
+    # equal rows are told apart by number; sources of equal rows may differ
+    nth = F.row_number().over(Window.partitionBy("_doc", "_thash").orderBy(F.col("source").cast("string")))
+    keyed = keyed.withColumn("_row", nth)
+    on = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_thash") == F.col("_h")) & (F.col("_row") == F.col("_nth"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    cut = F.when(F.col("_n") >= F.col("_size"), F.col("text")).otherwise(
+        F.array_join(F.slice(words, F.lit(1), F.col("_n").cast("int")), " ")
+    )
+    return keyed.join(takes, on).withColumn("text", cut).select(*names)

@@ -108,10 +108,11 @@ def _earlier(group: np.ndarray, low: np.ndarray, several: np.ndarray) -> np.ndar
     return low > least[group]
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` cut down to the words that stay, and
-    ``n_words``, ``n_removed`` and ``repeats`` (spans of removed words, first
-    and one past the last)."""
+def dedup(docs: DataFrame, untouched: bool = False) -> DataFrame:
+    """``docs`` with ``text`` cut down to the words that stay, joined by one
+    blank, and ``n_words``, ``n_removed`` and ``repeats`` (spans of removed
+    words, first and one past the last). With ``untouched``, texts that lose
+    nothing keep their white space."""
     docs = docs.drop("n_words", "n_removed", "repeats")
     n = chunks.chunk_count(docs)
     dealt = docs.withColumn("_chunk", chunks.chunk_of(F.col("doc_id"), n))
@@ -148,7 +149,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                 mine = ids[w.row[starts]]
                 hit = starts[(known[at] == x) & (foreign[at] | (mine > owner[at]))]
-            parts.append(_cut(batch, w, hit, out_names, schema_arrow))
+            parts.append(_cut(batch, w, hit, out_names, schema_arrow, untouched))
         if not parts:
             return pa.Table.from_batches([], schema=schema_arrow)
         return pa.Table.from_batches(parts, schema=schema_arrow)
@@ -164,7 +165,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     return by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(remove, schema)
 
 
-def _cut(batch: pa.RecordBatch, w: Words, hit: np.ndarray, names: list[str], schema: pa.Schema) -> pa.RecordBatch:
+def _cut(
+    batch: pa.RecordBatch, w: Words, hit: np.ndarray, names: list[str], schema: pa.Schema, untouched: bool
+) -> pa.RecordBatch:
     """Remove the words under the windows that start at ``hit``."""
     n = len(w.start)
     depth = np.zeros(n + 1, np.int64)
@@ -173,10 +176,15 @@ def _cut(batch: pa.RecordBatch, w: Words, hit: np.ndarray, names: list[str], sch
     gone = np.cumsum(depth[:n]) > 0
     data = w.data.tobytes()
     texts, removed, spans = [], [], []
+    given = batch.column(batch.schema.get_field_index("text"))
     for i in range(batch.num_rows):
         lo, hi = int(w.first[i]), int(w.first[i + 1])
         stay = lo + np.flatnonzero(~gone[lo:hi])
-        texts.append(b" ".join([data[a:b] for a, b in zip(w.start[stay].tolist(), w.end[stay].tolist())]).decode("utf-8"))
+        if untouched and len(stay) == hi - lo:
+            texts.append(given[i].as_py())
+        else:
+            words = [data[a:b] for a, b in zip(w.start[stay].tolist(), w.end[stay].tolist())]
+            texts.append(b" ".join(words).decode("utf-8"))
         removed.append(hi - lo - len(stay))
         edge = np.flatnonzero(np.diff(np.r_[False, gone[lo:hi], False].astype(np.int8)))
         spans.append([{"first": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
