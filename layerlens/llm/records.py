@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from layerlens.llm.common import text_slices
+from layerlens.llm.common import LOWER as _LOWER
+from layerlens.llm.common import Words, scan, text_slices
+from layerlens.llm.idtable import IdTable
 
 SHARD_RECORDS = 1000
-CACHE_WORDS = 250_000
+CACHE_WORDS = 1_500_000
 MASK_ADD = 0xA282EAD8  # fixed value of the masking rule
 
 
@@ -52,11 +54,49 @@ def frame(doc_id: int | None, ids: bytes, wide: bool) -> bytes:
     return b"".join((head, struct.pack("<I", masked(head)), payload, struct.pack("<I", masked(payload))))
 
 
+_LETTER_OR_DIGIT = np.zeros(256, bool)
+_LETTER_OR_DIGIT[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_POINT = np.zeros(256, bool)
+_POINT[list(b".,;:!?")] = True
+_AS_IS = np.zeros(256, bool)  # words with such bytes are not lower-cased here
+_AS_IS[0x80:] = True
+_AS_IS[ord("<")] = True
+
+
+def pieces_of(w: Words) -> tuple[Words, np.ndarray]:
+    """Cut words into a core and the points after it, ASCII words in lower
+    case; the second value is the text of each piece."""
+    n = len(w.start)
+    if not n:
+        return w, w.row
+    marked = np.zeros(len(w.data) + 1, np.int32)
+    np.cumsum(_AS_IS[w.data], out=marked[1:])
+    raw = marked[w.end] > marked[w.start]
+    data = _LOWER[w.data]
+    if raw.any():
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[w.start[raw]] += 1
+        edge[w.end[raw]] -= 1
+        inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        data[inside] = w.data[inside]
+    solid = np.where(_POINT[w.data], -1, np.arange(len(w.data)))
+    stop = np.maximum.accumulate(solid)[w.end - 1] + 1
+    cut = (stop > w.start) & (stop < w.end)
+    cut[cut] = _LETTER_OR_DIGIT[w.data[stop[cut] - 1]]
+    stop = np.where(cut, stop, w.end)
+    place = np.arange(n) + np.cumsum(cut) - cut
+    start, end = np.empty(n + int(cut.sum()), np.int64), np.empty(n + int(cut.sum()), np.int64)
+    start[place], end[place] = w.start, stop
+    start[place[cut] + 1], end[place[cut] + 1] = stop[cut], w.end[cut]
+    row = np.repeat(w.row, 1 + cut)
+    return Words(data, start, end, row, np.searchsorted(row, np.arange(len(w.first)))), row
+
+
 class Encoder:
     """Ids of whole texts from the tokenizers library, asked once for each
-    distinct word that is not in a table of bounded size. Valid for
+    distinct piece that is not in a table of bounded size. Valid for
     tokenizers whose normaliser and splitter never join or look across a
-    blank, lower-case ASCII letters, and part letters from other marks."""
+    blank, lower-case ASCII letters, and part letters and digits from marks."""
 
     def __init__(self, vocab_path: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -78,69 +118,44 @@ class Encoder:
                 self.last[i] = piece.endswith(ending)
         self.wide = self.tok.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.limit, self.chars = cache_words, 0
-        # two generations: when the younger is full it becomes the elder, and
-        # words still in use move over from there
-        self.known: dict[str, bytes] = {"": b""}
-        self.elder: dict[str, bytes] = {}
-
-    def _find(self, words: set[str]) -> set[str]:
-        """Take over what the elder table has; returns the others."""
-        have = words & self.elder.keys()
-        for w in have:
-            self.known[w] = self.elder[w]
-        return words - have
-
-    def _ask(self, words: list[str]) -> None:
-        simple = [w for w in words if w.isalpha() and w.islower() and max(w) < "\u0250"] if self.plain else []
+        self.table = IdTable(self._ask, self.kind, cache_words)
+
+    def _ask(self, strings: list[bytes]) -> list[np.ndarray]:
+        words = [b.decode("utf-8") for b in strings]
+        out: list = [None] * len(words)
+        simple, cores, points = [], [], []
+        if self.plain:
+            for i, w in enumerate(words):
+                core = w.rstrip(".,;:!?")
+                if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+                    simple.append(i)
+                    cores.append(core.lower())
+                    points.append(w[len(core) :])
+        marks = {x: np.array(self.tok.encode(x, add_special_tokens=False).ids, self.kind) for x in set(points)}
         for lo in range(0, len(simple), 4096):
             some = simple[lo : lo + 4096]
-            ids = np.array(self.plain.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
-            data, size = ids.tobytes(), self.kind.itemsize
-            ends = ((np.flatnonzero(self.last[ids]) + 1) * size).tolist()
+            text = " ".join(cores[lo : lo + 4096])
+            ids = np.array(self.plain.encode(text, add_special_tokens=False).ids, self.kind)
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
             if len(ends) != len(some):
                 raise ValueError("the vocabulary does not mark the ends of words")
-            self.known.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends)]))
-        others = [w for w in words if w not in self.known]
+            for i, a, b, x in zip(some, [0, *ends], ends, points[lo : lo + 4096]):
+                out[i] = np.concatenate((ids[a:b], marks[x])) if x else ids[a:b]
+        others = [i for i, x in enumerate(out) if x is None]
         for lo in range(0, len(others), 4096):
             some = others[lo : lo + 4096]
-            found = self.tok.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, found))
-
-    def _learn(self, fresh: set[str]) -> None:
-        fresh = self._find(fresh)
-        self.chars += sum(map(len, fresh))
-        split, whole = [], set()
-        for w in fresh:
-            core = w.rstrip(".,;:!?")
-            low = core.lower() if core.isascii() else core
-            if core.isalpha() and low != w:
-                split.append((w, low, w[len(core) :]))
-            else:
-                whole.add(w)
-        whole.update([low for _, low, _ in split])
-        whole.update({tail for _, _, tail in split})
-        known = self.known
-        self._ask(list(self._find({w for w in whole if w not in known})))
-        for w, low, tail in split:
-            known[w] = known[low] + known[tail] if tail else known[low]
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        cut = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        fresh: set[str] = set()
-        for words in cut:
-            fresh.update(words)
-        fresh.difference_update(self.known)
-        if fresh:
-            self._learn(fresh)
-        get, tail = self.known.__getitem__, np.array([end_id], self.kind).tobytes()
-        out = [b"".join([*map(get, words), tail]) for words in cut]
-        if len(self.known) > self.limit or self.chars > 24 * self.limit:
-            self.elder, self.known, self.chars = self.known, {"": b""}, 0
-            if sum(map(len, self.elder)) > 48 * self.limit:
-                self.elder = {}
+            for i, e in zip(some, self.tok.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
+                out[i] = np.array(e.ids, self.kind)
         return out
 
+    def encode(self, texts: pa.Array, end_id: int) -> list[bytes]:
+        """The ids of each text and the end id, as bytes."""
+        w, row = pieces_of(scan(texts))
+        ids, size = self.table.ids(w.hashes(), w.data.tobytes(), w.start, w.end)
+        ends = np.cumsum(np.bincount(row, weights=size, minlength=len(texts)).astype(np.int64)) * self.kind.itemsize
+        data, tail = ids.tobytes(), np.array([end_id], self.kind).tobytes()
+        return [data[a:b] + tail for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -159,7 +174,7 @@ def write_records(docs: DataFrame, path: str, vocab_path: str, end_id: int) -> N
         encoder = encoder_of(vocab_path)
         for batch in batches:
             for part in text_slices(batch):
-                ids = encoder.encode(part.column(1).to_pylist(), end_id)
+                ids = encoder.encode(part.column(1), end_id)
                 rows = [frame(d, x, encoder.wide) for d, x in zip(part.column(0).to_pylist(), ids)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["record"])
 
