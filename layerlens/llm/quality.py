@@ -2,7 +2,7 @@
 
 Each line is judged by itself: punctuation (symbol runs, shouted words),
 navigation (items between separators) and boilerplate (phrases of web
-furniture, one word or phrase said over and over). Lines that fail are
+furniture, words said over and over or each one twice). Lines that fail are
 removed, and a document that loses too large a share of its word characters is
 rejected. Base counts of the whole text are returned beside the verdict.
 
@@ -51,6 +51,8 @@ class Rules:
     separators_min: int = 1
     distinct_words: int = 25
     distinct_min: int = 12
+    stuttered: int = 20
+    stuttered_min: int = 8
     lost_chars: int = 30
 
 
@@ -113,7 +115,10 @@ def line_fails(line: Column, n: Column, r: Rules) -> Column:
     for p in BOILERPLATE:
         phrase = phrase | low.contains(p)
     said_over = (n >= r.distinct_min) & (F.size(F.array_distinct(words(low))) * 100 < n * r.distinct_words)
-    return punctuation | navigation | phrase | said_over
+    stutter = (n >= r.stuttered_min) & (
+        F.regexp_count(low, F.lit(r"(?<!\S)(\S{1,40})(?:\s+\1(?!\S))+")) * 100 > n * r.stuttered
+    )
+    return punctuation | navigation | phrase | said_over | stutter
 
 
 def judge(docs: DataFrame, rules: Rules | None = None) -> DataFrame:

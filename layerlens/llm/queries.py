@@ -6,16 +6,15 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerlens.llm import chat, fingerprint, jaccard, langid, mixing, quality, records, substring, tokencount
 from layerlens.llm.common import documents, prepare, shared_dir
+from layerlens.llm.oracles import ORACLES  # noqa: F401  (read by the entry module)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn):
