@@ -211,17 +211,22 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     )
     takes = mixed.groupBy(F.col("source").alias("_s"), F.col("pos").alias("_p"), "epoch").agg(F.sum("n_words").alias("n"))
     takes = places.join(takes, F.col("source").eqNullSafe(F.col("_s")) & (F.col("pos") == F.col("_p"))).select(
-        F.col("doc_id").alias("_id"), F.col("thash").alias("_h"), "nth", "size", "n"
-    ).select(*[F.col(c).alias(f"_{c.lstrip('_')}") for c in ("_id", "_h", "nth", "size", "n")])
+        F.struct("doc_id", "thash", "nth", "size", "n").alias("_mix_take")
+    )
     names = docs.columns
-    keyed = docs.withColumn("_thash", F.xxhash64("text")).withColumn("_doc", F.col("doc_id").cast("long"))
-    keyed = keyed.where(word_count(F.col("text")) > 0)
-    # equal rows are told apart by number; sources of equal rows may differ
-    nth = F.row_number().over(Window.partitionBy("_doc", "_thash").orderBy(F.col("source").cast("string")))
-    keyed = keyed.withColumn("_row", nth)
-    on = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_thash") == F.col("_h")) & (F.col("_row") == F.col("_nth"))
+    keyed = docs.where(word_count(F.col("text")) > 0).select(
+        "*", F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash")).alias("_mix_key")
+    )
+    # equal rows are told apart by number
+    order = Window.partitionBy("_mix_key.id", "_mix_key.hash").orderBy(F.col("source").cast("string"))
+    keyed = keyed.withColumn("_mix_row", F.row_number().over(order))
+    on = (
+        F.col("_mix_key.id").eqNullSafe(F.col("_mix_take.doc_id"))
+        & (F.col("_mix_key.hash") == F.col("_mix_take.thash"))
+        & (F.col("_mix_row") == F.col("_mix_take.nth"))
+    )
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.when(F.col("_n") >= F.col("_size"), F.col("text")).otherwise(
-        F.array_join(F.slice(words, F.lit(1), F.col("_n").cast("int")), " ")
+    cut = F.when(F.col("_mix_take.n") >= F.col("_mix_take.size"), F.col("text")).otherwise(
+        F.array_join(F.slice(words, F.lit(1), F.col("_mix_take.n").cast("int")), " ")
     )
     return keyed.join(takes, on).withColumn("text", cut).select(*names)

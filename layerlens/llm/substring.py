@@ -115,7 +115,7 @@ def dedup(docs: DataFrame, untouched: bool = False) -> DataFrame:
     nothing keep their white space."""
     docs = docs.drop("n_words", "n_removed", "repeats")
     n = chunks.chunk_count(docs)
-    dealt = docs.withColumn("_chunk", chunks.chunk_of(F.col("doc_id"), n))
+    dealt = docs.withColumn("_llm_chunk", chunks.chunk_of(F.col("doc_id"), n))
     names = dealt.columns
 
     # no type hints on functions given to applyInArrow: Spark reads them
@@ -130,9 +130,9 @@ def dedup(docs: DataFrame, untouched: bool = False) -> DataFrame:
         table = table.rename_columns(names)
         return chunks.send(key[0].as_py(), n, *Chunk(table).extended(shared_in(table, replies)))
 
-    out_names = [c for c in names if c != "_chunk"]
+    out_names = [c for c in names if c != "_llm_chunk"]
     span = T.StructType().add("first", "long").add("end", "long")
-    schema = dealt.drop("_chunk").schema.add("n_words", "long").add("n_removed", "long").add("repeats", T.ArrayType(span))
+    schema = dealt.drop("_llm_chunk").schema.add("n_words", "long").add("n_removed", "long").add("repeats", T.ArrayType(span))
 
     def remove(key, table, replies):
         table = table.rename_columns(names)
@@ -155,7 +155,7 @@ def dedup(docs: DataFrame, untouched: bool = False) -> DataFrame:
         return pa.Table.from_batches(parts, schema=schema_arrow)
 
     schema_arrow = to_arrow_schema(schema)
-    by_chunk = dealt.groupBy("_chunk")
+    by_chunk = dealt.groupBy("_llm_chunk")
     sent1 = by_chunk.applyInArrow(seeds, chunks.SENT)
     reply1 = sent1.groupBy("bucket").applyInArrow(lambda t: chunks.answer(t, _in_several), chunks.REPLY)
     reply1 = reply1.withColumn("phase", F.lit(1))
