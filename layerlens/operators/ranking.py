@@ -4,7 +4,7 @@ relevant qrels, NDCG@k against the ideal qrels list), the metric bundle
 report and TREC run rows.
 
 Plan shape: ``run ⟕ qrels`` (shuffle on (q, doc): a hot query is spread by
-its documents) → one skew-safe ordered scan per query giving ``rank`` and the
+its documents) → one ordered scan per query (hot queries split) giving ``rank`` and the
 running relevant count → every metric as a conditional aggregate grouped by
 query (partial aggregation map-side) → one averaging aggregate. The ideal
 DCG comes from grade counts per (query, grade), never from sorting qrels.
@@ -66,11 +66,13 @@ def binary_relevance(grade: Column, threshold: int = 1) -> Column:
     return F.when(grade >= threshold, 1).otherwise(0)
 
 
-def rank_run(judged: DataFrame, q: str = "q_id", doc: Sequence[str] = ("d_id",), score: str = "score") -> DataFrame:
+def rank_run(judged: DataFrame, q: str = "q_id", doc: Sequence[str] = ("d_id",), score: str = "score",
+             run: DataFrame | None = None) -> DataFrame:
     """Add ``rank`` (1 = highest score, ties by document key) and ``cum_rel``
-    (relevant rows at or above the row) per query."""
-    order = [F.col(score).desc(), *[F.col(d).asc() for d in doc]]
-    out = segmented_scan(judged, [q], order, sums=["rel"])
+    (relevant rows at or above the row) per query. ``run`` is the run before
+    it was judged, when at hand: hot queries are looked for there."""
+    keys = run.select(q, score) if run is not None else None
+    out = segmented_scan(judged, [q], [f"-{score}", *doc], sums=["rel"], keys=keys)
     return out.withColumnRenamed("pos", "rank").withColumn("cum_rel", F.col("cum_rel").cast("long"))
 
 
@@ -196,7 +198,7 @@ def evaluate_run(
     if dedupe:
         qrels = dedupe_qrels(qrels, q, doc, grade)
     judged = judge_run(run, qrels, q, doc, grade, threshold)
-    ranked = rank_run(judged, q, doc, score)
+    ranked = rank_run(judged, q, doc, score, run)
     pq = per_query_metrics(ranked, q, ks, None, empty_target_action, grade)
     return trec_metrics(pq, ideal_dcg(qrels, q, grade, ks), q, ks, no_relevant)
 

@@ -1,9 +1,9 @@
 """Experiment-log analytics (L1–L10, A4, J7, S6 helpers).
 
 A metric log is ``(run, metric, step, value[, n])``. Per-series ordered
-computations (running bounds, best checkpoints, early stopping) use the
-skew-safe ordered scan plus aggregates and equi-joins, never a per-series
-window, so one long series does not end up in one task. Result tables
+computations (running bounds, early stopping) use the ordered scan, which
+splits a long series over tasks; best checkpoints are cut to the first few
+rows in every task before they are shuffled. Result tables
 (layer → metric) hold one row per run and are handled with plain
 aggregates, pivots and joins.
 """
@@ -15,7 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerlens.operators.scan import group_rank, segmented_scan
+from layerlens.operators.scan import segmented_scan
+from layerlens.operators.scan import top_k as first_rows
 
 # Display names of the probing tasks in the result analysis.
 TASK_NAMES = {
@@ -63,7 +64,7 @@ def metric_bounds(log: DataFrame, keys: Sequence[str] = ("run", "name"), value:
 
 def running_bounds(log: DataFrame, series: Sequence[str] = ("run", "metric"), step: str = "step", value: str = "value") -> DataFrame:
     """L3: the bounds as they stood after every step."""
-    out = segmented_scan(log, list(series), [step], mins=[value], maxs=[value])
+    out = segmented_scan(log, list(series), [step], mins=[value], maxs=[value], keys=log.select(*series, step))
     return out.withColumnRenamed(f"runmin_{value}", "run_min").withColumnRenamed(f"runmax_{value}", "run_max").drop("pos")
 
 
@@ -72,8 +73,7 @@ def best_checkpoints(log: DataFrame, monitor: str, top_k: int = 1, mode: str = "
     """L4: the ``top_k`` best steps of the monitored metric per run (ties:
     earliest step), with their rank."""
     m = log.filter(F.col(metric) == monitor)
-    order = [F.col(value).asc() if mode == "min" else F.col(value).desc(), F.col(step).asc()]
-    return group_rank(m, [run], order, name="rank").filter(F.col("rank") <= top_k)
+    return first_rows(m, [run], [value if mode == "min" else f"-{value}", step], top_k)
 
 
 def early_stop(log: DataFrame, patience: int = 10, mode: str = "min",
@@ -82,34 +82,26 @@ def early_stop(log: DataFrame, patience: int = 10, mode: str = "min",
     step with ``patience`` checks in a row that did not strictly improve on
     the best so far (null if it never fires), and the best value.
 
-    An improvement happens exactly when the running best strictly moves, so
-    the last improvement before a step is the first step that reached the
-    current running best."""
+    A step improves when it is below every step before it; the last
+    improvement up to a step is a running maximum of the positions of
+    improvements. A null or NaN never improves."""
     series = list(series)
-    v = F.col(value) if mode == "min" else -F.col(value)
-    s = segmented_scan(log.withColumn("_v", v), series, [step], mins=["_v"])
-    best = s.groupBy(*series, "runmin__v").agg(F.min("pos").alias("_imp"))
-    j = s.join(best, [*series, "runmin__v"])
-    waited = j.withColumn("_wait", F.col("pos") - F.col("_imp"))
-    best_v = F.min(value) if mode == "min" else F.max(value)
+    value_ = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    s = segmented_scan(log.withColumn("_v", value_ if mode == "min" else -value_), series, [step],
+                       before_mins=["_v"], keys=log.select(*series, step))
+    improves = F.col("prevmin__v").isNull() | (F.col("_v") < F.col("prevmin__v"))
+    marked = s.withColumn("_at", F.col("pos")).withColumn("_imp", F.when(F.col("_v").isNotNull() & improves, F.col("pos")))
+    waited = segmented_scan(marked.drop("pos"), series, [step], maxs=["_imp"], keys=log.select(*series, step))
+    # before the first number every check waits since the start
+    wait = F.col("_at") - F.coalesce("runmax__imp", F.lit(1.0))
+    best_v = F.min(value_) if mode == "min" else F.max(value_)
     return waited.groupBy(*series).agg(
-        F.min(F.when(F.col("_wait") >= patience, F.col(step))).alias("stop_step"),
+        F.min(F.when(wait >= patience, F.col(step))).alias("stop_step"),
         best_v.alias("best"),
         F.count(F.lit(1)).alias("n_steps"),
     )
 
 
-def plateau_schedule(log: DataFrame, lr0: float = 1e-4, factor: float = 0.5, patience: int = 0,
-                     threshold: float = 1e-4, eps: float = 1e-8,
-                     series: Sequence[str] = ("run", "metric"), step: str = "step", value: str = "value",
-                     num_partitions: int | None = None) -> DataFrame:
-    """Reduce-on-plateau replay per series (final lr, reductions, best);
-    long series are split over partitions (see ``operators.plateau``)."""
-    from layerlens.operators.plateau import plateau_schedule as split_replay
-
-    return split_replay(log, lr0, factor, patience, threshold, eps, series, step, value, num_partitions)
-
-
 def layer_curve(results: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("task", "model", "layer")) -> DataFrame:
     """Long form ``(task, model, layer, metric, value)`` ordered by
     task, model, layer (a range-partitioned sort)."""

@@ -51,7 +51,7 @@ def permute(df: DataFrame, id_col: str = "id", seed: int = SPLIT_SEED, shuffle:
     and no checkpoint (every step is a deterministic function of the row).
     Ids are unique per instance, so no bucket is hot."""
     if not shuffle:
-        return global_rank(df, [F.col(id_col).asc()], name=PERM).withColumn(PERM, F.col(PERM) - 1)
+        return global_rank(df, [id_col], name=PERM).withColumn(PERM, F.col(PERM) - 1)
     if prefix_chars is None:
         prefix_chars = bucket_prefix_chars(n_rows)
     d = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_b", F.substring("_h", 1, prefix_chars))

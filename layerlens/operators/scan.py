@@ -1,199 +1,188 @@
-"""Skew-safe ordered scans within groups: positions, running sums, running
-min/max.
-
-``Window.partitionBy(g).orderBy(o)`` sends every row of a group to one task;
-a query holding a third of all rows would then be sorted and scanned by a
-single core. Here the rows are instead range-partitioned on ``(g, o)``, so a
-hot group is cut into many partitions by its order key, and the scan runs in
-three steps:
-
-1. range partition + sort; each partition scans its rows locally (an Arrow
-   batch iterator, carrying the running state across batches);
-2. the scanned rows are written once to the checkpoint folder, so every later
-   read sees the same partition ids (range bounds come from sampling);
-3. per (partition, group) totals give, for the one group a partition can
-   share with earlier partitions (its first group), the carried-in count /
-   sum / min / max. That table has one row per partition, so broadcasting it
-   is bounded by the partition count, not by the data.
+"""Ordered scans within groups on built-in windows: positions, running sums,
+running min/max, with hot groups split.
+
+``Window.partitionBy(g).orderBy(o)`` sends every row of a group to one task; a
+query holding a third of all rows would then be scanned by a single core. So
+groups that hold more than one range's share of all rows are cut into ranges
+of the leading order column (by its quantiles within the group), the window
+runs per (group, range), and the totals of a group's earlier ranges are added.
+All other groups are one window each, in the same plan.
+
+The tables that steer this are bounded by the number of ranges, not by the
+data: at most ``ranges`` groups can hold more than ``rows / ranges`` rows, and
+they have at most ``2 * ranges`` ranges together.
 
 The order must be total (add a unique tie-break), otherwise positions among
-equal keys are arbitrary.
+equal keys are arbitrary. Rows of a hot group that are also equal in the
+leading order column stay in one range.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layerlens.session import materialize
-
 POS = "pos"
 
 
-def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in cols]
-
-
-def _same_as_prev(col: pd.Series, prev_value, has_prev: bool) -> np.ndarray:
-    shifted = col.shift(1)
-    if has_prev:
-        shifted.iloc[0] = prev_value
-    eq = (col == shifted) | (col.isna() & shifted.isna())
-    eq = eq.to_numpy(dtype=bool, na_value=False)
-    if not has_prev:
-        eq[0] = False
-    return eq
+def _order(names: Sequence[str]) -> list[Column]:
+    """``name`` ascending (nulls first), ``-name`` descending (nulls last)."""
+    return [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in names]
+
+
+def _lead_key(df: DataFrame, name: str) -> Column:
+    """A number that grows with the leading order column (not strictly)."""
+    kind = df.schema[name].dataType
+    c = F.col(name)
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    if isinstance(kind, T.BooleanType):
+        return c.cast("int").cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    head = F.hex(F.rpad(F.substring(c.cast("string").cast("binary"), 1, 6), 6, F.lit(b"\0")))
+    return F.conv(head, 16, 10).cast("double")
+
+
+def _same(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    out = F.lit(True)
+    for x, y in zip(a, b):
+        out = out & x.eqNullSafe(y)
+    return out
+
+
+def _hot_ranges(keys: DataFrame, group: list[str], lead: Column, ranges: int) -> DataFrame | None:
+    """``_g0.., _bounds``: the groups with more than a range's share of the
+    rows, and the bounds that cut each into ranges of about that share."""
+    rows = keys.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], lead.alias("_key"))
+    names = [f"_g{i}" for i in range(len(group))]
+    total = rows.count()
+    share = max(1.0, total / ranges)
+    # at most `ranges` groups can be above the share
+    big = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * share)
+    hot = big.orderBy(F.desc("_n")).limit(ranges).collect()
+    if not hot:
+        return None
+    spark = keys.sparkSession
+    table = spark.createDataFrame([tuple(r) for r in hot], big.schema)
+    grid = max(2, min(ranges, int(max(r["_n"] for r in hot) / share) + 1))
+    marks = [i / grid for i in range(1, grid)]
+    if names:
+        picked = rows.join(F.broadcast(table.select(*[F.col(n).alias(f"_h{n}") for n in names])),
+                           _same([F.col(n) for n in names], [F.col(f"_h{n}") for n in names]))
+    else:
+        picked = rows
+    got = picked.groupBy(*names).agg(F.percentile_approx("_key", marks, 20 * grid).alias("_q")).collect()
+    size = {tuple(r[n] for n in names): r["_n"] for r in hot}
+    out = []
+    for r in got:
+        key = tuple(r[n] for n in names)
+        pieces = min(grid, int(size[key] / share) + 1)
+        q = r["_q"] or []
+        out.append((*key, sorted({float(q[min(len(q) - 1, j * grid // pieces - 1)]) for j in range(1, pieces)} if q else set())))
+    schema = T.StructType([*[f for f in big.schema.fields if f.name != "_n"], T.StructField("_bounds", T.ArrayType(T.DoubleType()))])
+    return spark.createDataFrame(out, schema)
 
 
 def segmented_scan(
     df: DataFrame,
     group: Sequence[str],
-    order: Sequence[str | Column],
+    order: Sequence[str],
     sums: Sequence[str] = (),
     mins: Sequence[str] = (),
     maxs: Sequence[str] = (),
+    before_mins: Sequence[str] = (),
     num_partitions: int | None = None,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``pos`` (1-based position within ``group`` by ``order``) and, per
-    column ``c``: ``cum_c`` (running sum), ``runmin_c``, ``runmax_c`` — all
-    inclusive of the current row."""
-    group = list(group)
-    sums, mins, maxs = list(sums), list(mins), list(maxs)
-    keys = _as_cols(group) + _as_cols(order)
-    # Without an explicit count the range exchange uses the session's shuffle
-    # partitions and AQE may merge adjacent ranges (still in key order); the
-    # partition ids seen by the scan are written with the rows, so later
-    # steps never depend on how many partitions there were.
-    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
-    ordered = ranged.sortWithinPartitions(*keys)
-
-    in_schema = ordered.schema
-    fields = list(in_schema.fields) + [
-        T.StructField("_p", T.IntegerType(), False),
-        T.StructField("_head", T.BooleanType(), False),
-        T.StructField("_lpos", T.LongType(), False),
-    ]
-    for c in sums:
-        fields.append(T.StructField(f"_lcum_{c}", T.DoubleType(), True))
-    for c in mins:
-        fields.append(T.StructField(f"_lmin_{c}", T.DoubleType(), True))
-    for c in maxs:
-        fields.append(T.StructField(f"_lmax_{c}", T.DoubleType(), True))
-    out_schema = T.StructType(fields)
-
-    def local_scan(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        prev_key: tuple | None = None
-        carry_n = 0
-        carry_sum = {c: 0.0 for c in sums}
-        carry_min = {c: np.nan for c in mins}
-        carry_max = {c: np.nan for c in maxs}
-        head_open = True  # still inside the partition's first group
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            m = len(pdf)
-            same = np.ones(m, dtype=bool)
-            if group:
-                for i, g in enumerate(group):
-                    same &= _same_as_prev(pdf[g], None if prev_key is None else prev_key[i], prev_key is not None)
-            else:
-                if prev_key is None:
-                    same[0] = False
-            seg = np.cumsum(~same)  # 0 = rows continuing the previous batch's group
-            cont = seg == 0
-            # the partition's first group is seg 1 of the first batch, then seg 0
-            head_seg = 1 if prev_key is None else 0
-            head = (seg == head_seg) if head_open else np.zeros(m, dtype=bool)
-            if head_open and (seg > head_seg).any():
-                head_open = False
-            out = pdf.copy()
-            out["_p"] = np.int32(pid)
-            out["_head"] = head
-            lpos = pd.Series(np.ones(m, dtype=np.int64)).groupby(seg).cumsum().to_numpy()
-            lpos = lpos + np.where(cont, carry_n, 0)
-            out["_lpos"] = lpos
-            for c in sums:
-                v = pdf[c].astype("float64").fillna(0.0)
-                cs = v.groupby(seg).cumsum().to_numpy() + np.where(cont, carry_sum[c], 0.0)
-                out[f"_lcum_{c}"] = cs
-            for c in mins:
-                v = pdf[c].astype("float64")
-                cm = v.groupby(seg).cummin().to_numpy()
-                if cont.any() and not np.isnan(carry_min[c]):
-                    cm = np.where(cont, np.fmin(cm, carry_min[c]), cm)
-                out[f"_lmin_{c}"] = cm
-            for c in maxs:
-                v = pdf[c].astype("float64")
-                cm = v.groupby(seg).cummax().to_numpy()
-                if cont.any() and not np.isnan(carry_max[c]):
-                    cm = np.where(cont, np.fmax(cm, carry_max[c]), cm)
-                out[f"_lmax_{c}"] = cm
-            # carry the state of the batch's last group into the next batch
-            last = m - 1
-            carry_n = int(lpos[last])
-            for c in sums:
-                carry_sum[c] = float(out[f"_lcum_{c}"].iloc[last])
-            for c in mins:
-                carry_min[c] = float(out[f"_lmin_{c}"].iloc[last])
-            for c in maxs:
-                carry_max[c] = float(out[f"_lmax_{c}"].iloc[last])
-            prev_key = tuple(pdf[g].iloc[last] for g in group) if group else ()
-            yield out
-
-    scanned = materialize(ordered.mapInPandas(local_scan, out_schema))
-
-    # Per partition: totals of its head group (the only group that can
-    # continue from earlier partitions) and of every (partition, group).
-    aggs = [F.count(F.lit(1)).alias("_n"), F.max(F.col("_head").cast("int")).alias("_is_head")]
-    aggs += [F.sum(F.col(c).cast("double")).alias(f"_s_{c}") for c in sums]
-    aggs += [F.min(F.col(c).cast("double")).alias(f"_mn_{c}") for c in mins]
-    aggs += [F.max(F.col(c).cast("double")).alias(f"_mx_{c}") for c in maxs]
-    stats = scanned.groupBy("_p", *group).agg(*aggs)
-    w = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    prior = [F.sum("_n").over(w).alias("_off_n")]
-    prior += [F.sum(f"_s_{c}").over(w).alias(f"_off_s_{c}") for c in sums]
-    prior += [F.min(f"_mn_{c}").over(w).alias(f"_off_mn_{c}") for c in mins]
-    prior += [F.max(f"_mx_{c}").over(w).alias(f"_off_mx_{c}") for c in maxs]
-    offsets = (
-        stats.select("_p", "_is_head", *prior)
-        .filter(F.col("_is_head") == 1)
-        .drop("_is_head")
-    )
-    # one row per partition: bounded by the partition count
-    joined = scanned.join(F.broadcast(offsets), "_p", "left")
-
-    head = F.col("_head")
-    out_cols = [F.col(f.name) for f in in_schema.fields]
-    out_cols.append((F.col("_lpos") + F.when(head, F.coalesce(F.col("_off_n"), F.lit(0))).otherwise(0)).alias(POS))
-    for c in sums:
-        out_cols.append(
-            (F.col(f"_lcum_{c}") + F.when(head, F.coalesce(F.col(f"_off_s_{c}"), F.lit(0.0))).otherwise(0.0)).alias(f"cum_{c}")
-        )
-    for c in mins:
-        out_cols.append(
-            F.when(head, F.least(F.col(f"_lmin_{c}"), F.col(f"_off_mn_{c}"))).otherwise(F.col(f"_lmin_{c}")).alias(f"runmin_{c}")
+    column ``c``: ``cum_c`` (running sum), ``runmin_c``, ``runmax_c``, all
+    inclusive of the current row, and ``prevmin_c`` for ``before_mins``: the
+    minimum of the earlier rows only. Nulls and NaN add nothing and change no
+    bound. ``order`` names columns, with a leading ``-`` for descending.
+
+    ``keys`` may be a cheaper frame with the same rows' group and leading
+    order columns (the run before it was judged), used to find hot groups."""
+    group, order = list(group), list(order)
+    ranges = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lead_name = order[0].lstrip("-")
+    source = keys if keys is not None else df
+    hot = _hot_ranges(source, group, _lead_key(source, lead_name), ranges)
+    columns = df.columns
+    if hot is None:
+        rows = df.withColumn("_r", F.lit(0))
+    else:
+        joined = df.join(F.broadcast(hot), _same([F.col(g) for g in group], [F.col(f"_g{i}") for i in range(len(group))]), "left")
+        below = F.size(F.filter("_bounds", lambda b: b <= F.col("_key")))
+        above = F.size("_bounds") - F.when(F.col("_key").isNull(), 0).otherwise(below)
+        place = above if order[0].startswith("-") else F.when(F.col("_key").isNull(), 0).otherwise(below)
+        rows = joined.withColumn("_key", _lead_key(df, lead_name)).withColumn(
+            "_r", F.when(F.col("_bounds").isNull(), -1).otherwise(place)
         )
-    for c in maxs:
-        out_cols.append(
-            F.when(head, F.greatest(F.col(f"_lmax_{c}"), F.col(f"_off_mx_{c}"))).otherwise(F.col(f"_lmax_{c}")).alias(f"runmax_{c}")
-        )
-    return joined.select(*out_cols)
+    number = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in {*sums, *mins, *maxs, *before_mins}}
+    within = Window.partitionBy(*group, "_r").orderBy(*_order(order))
+    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.select(
+        "*",
+        F.row_number().over(within).cast("long").alias(POS),
+        *[F.sum(F.coalesce(number[c], F.lit(0.0))).over(running).alias(f"cum_{c}") for c in sums],
+        *[F.min(number[c]).over(running).alias(f"runmin_{c}") for c in mins],
+        *[F.max(number[c]).over(running).alias(f"runmax_{c}") for c in maxs],
+        *[F.min(number[c]).over(earlier).alias(f"prevmin_{c}") for c in before_mins],
+    )
+    added = [POS, *[f"cum_{c}" for c in sums], *[f"runmin_{c}" for c in mins], *[f"runmax_{c}" for c in maxs], *[f"prevmin_{c}" for c in before_mins]]
+    if hot is None:
+        return out.select(*columns, *added)
+    # totals of the earlier ranges of each hot group
+    names = [f"_o{i}" for i in range(len(group))]
+    stats = rows.where("_r >= 0").groupBy(*[F.col(g).alias(n) for g, n in zip(group, names)], F.col("_r").alias("_or")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(number[c]).alias(f"_s_{c}") for c in sums],
+        *[F.min(number[c]).alias(f"_mn_{c}") for c in {*mins, *before_mins}],
+        *[F.max(number[c]).alias(f"_mx_{c}") for c in maxs],
+    )
+    before = Window.partitionBy(*names).orderBy("_or").rowsBetween(Window.unboundedPreceding, -1)
+    carried = stats.select(
+        *names, "_or",
+        F.sum("_n").over(before).alias(f"_b_{POS}"),
+        *[F.sum(f"_s_{c}").over(before).alias(f"_b_cum_{c}") for c in sums],
+        *[F.min(f"_mn_{c}").over(before).alias(f"_b_runmin_{c}") for c in mins],
+        *[F.max(f"_mx_{c}").over(before).alias(f"_b_runmax_{c}") for c in maxs],
+        *[F.min(f"_mn_{c}").over(before).alias(f"_b_prevmin_{c}") for c in before_mins],
+    )
+    on = _same([F.col(g) for g in group], [F.col(n) for n in names]) & (F.col("_r") == F.col("_or"))
+    out = out.join(F.broadcast(carried), on, "left")  # one row per range of a hot group
+    total = lambda c: (F.col(c) + F.coalesce(F.col(f"_b_{c}"), F.lit(0))).alias(c)
+    return out.select(
+        *columns,
+        total(POS),
+        *[total(f"cum_{c}") for c in sums],
+        *[F.least(f"runmin_{c}", f"_b_runmin_{c}").alias(f"runmin_{c}") for c in mins],
+        *[F.greatest(f"runmax_{c}", f"_b_runmax_{c}").alias(f"runmax_{c}") for c in maxs],
+        *[F.least(f"prevmin_{c}", f"_b_prevmin_{c}").alias(f"prevmin_{c}") for c in before_mins],
+    )
 
 
-def group_rank(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str = "rank", **kw) -> DataFrame:
+def group_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "rank", **kw) -> DataFrame:
     """Exact 1-based ``row_number`` within ``group`` by a total ``order``."""
     return segmented_scan(df, group, order, **kw).withColumnRenamed(POS, name)
 
 
-def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank", **kw) -> DataFrame:
+def top_k(df: DataFrame, group: Sequence[str], order: Sequence[str], k: int, name: str = "rank") -> DataFrame:
+    """The first ``k`` rows of each group with their position. Spark cuts
+    each group to ``k`` rows in every task before the shuffle, so no group is
+    gathered whole."""
+    w = Window.partitionBy(*group).orderBy(*_order(order))
+    return df.withColumn(name, F.row_number().over(w).cast("long")).where(F.col(name) <= k)
+
+
+def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank", **kw) -> DataFrame:
     """Exact 1-based ``row_number`` over the whole table without a
     one-partition window."""
     return group_rank(df, [], order, name=name, **kw)

@@ -122,11 +122,10 @@ def f6_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def f7_metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F7 metric log ``(run, metric, step, ts, value, n)``; step numbers each
-    (run, metric) series by (ts, event_id), computed with the skew-safe
-    ordered scan rather than a per-series window."""
-    ev = table(spark, sf_dir, "events").select(
+def f7_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7 metric log before its steps are numbered:
+    ``(run, metric, ts, event_id, value, n)``."""
+    return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run"),
         F.col("event_type").alias("metric"),
         "ts",
@@ -134,7 +133,12 @@ def f7_metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         (F.col("event_id") % 32 + 1).alias("n"),
     )
-    ranked = group_rank(ev, ["run", "metric"], ["ts", "event_id"], name="step")
+
+
+def f7_metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7 metric log ``(run, metric, step, ts, value, n)``; step numbers each
+    (run, metric) series by (ts, event_id)."""
+    ranked = group_rank(f7_events(spark, sf_dir), ["run", "metric"], ["ts", "event_id"], name="step")
     return ranked.select("run", "metric", F.col("step").cast("int").alias("step"), "ts", "value", "n", "event_id")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from layerlens.operators import classification as C
 from layerlens.operators import runlog as L
-from layerlens.plans.fixtures import f7_metric_log, f8_layer_results
+from layerlens.plans.fixtures import f7_events, f7_metric_log, f8_layer_results
 from layerlens.plans.registry import register
 from layerlens.session import ensure_checkpoint_dir
 from layerlens.sources.results import read_result_csvs as read_csvs
@@ -43,7 +43,7 @@ SELECT run, {_SPLIT} || '/' || metric || '/portion_00' AS name, count(*) AS n FR
 """)
 def metric_names(spark, sf_dir):
     """L1: ``split/metric`` names with a run postfix; rows per name."""
-    log = f7_metric_log(spark, sf_dir)
+    log = f7_events(spark, sf_dir)
     named = log.withColumn("name", L.metric_name(_split(F.col("event_id")), F.col("metric"), "/portion_00"))
     return named.groupBy("run", "name").agg(F.count(F.lit(1)).alias("n"))
 
@@ -56,7 +56,7 @@ SELECT run, metric || '/max' AS name, max(value) AS value FROM f7 GROUP BY ALL
 """)
 def metric_minmax(spark, sf_dir):
     """L2: min and max of every (run, metric) over all steps."""
-    log = f7_metric_log(spark, sf_dir).withColumnRenamed("metric", "name")
+    log = f7_events(spark, sf_dir).withColumnRenamed("metric", "name")
     return L.metric_bounds(log, ["run", "name"])
 
 
@@ -104,30 +104,6 @@ def early_stop(spark, sf_dir):
     return es.select("run", "metric", F.col("stop_step").cast("int").alias("stop_step"), "best", "n_steps")
 
 
-@register("plateau_lr", oracle=f"""
-WITH RECURSIVE {_F7},
-r AS (
-  SELECT run, metric, step, value AS best, 0 AS bad, CAST(1e-4 AS DOUBLE) AS lr, 0 AS n_red
-  FROM f7 WHERE step = 1
-  UNION ALL
-  SELECT f.run, f.metric, f.step,
-    CASE WHEN f.value < r.best * (1 - 1e-4) THEN f.value ELSE r.best END,
-    0,
-    CASE WHEN f.value < r.best * (1 - 1e-4) THEN r.lr
-         WHEN r.lr - r.lr * 0.5 > 1e-8 THEN r.lr * 0.5 ELSE r.lr END,
-    r.n_red + CASE WHEN f.value < r.best * (1 - 1e-4) THEN 0
-                   WHEN r.lr - r.lr * 0.5 > 1e-8 THEN 1 ELSE 0 END
-  FROM r JOIN f7 f ON f.run = r.run AND f.metric = r.metric AND f.step = r.step + 1)
-SELECT run, metric, lr AS final_lr, n_red AS n_reductions, best
-FROM (SELECT *, row_number() OVER (PARTITION BY run, metric ORDER BY step DESC) AS k FROM r) WHERE k = 1
-""")
-def plateau_lr(spark, sf_dir):
-    """Reduce-on-plateau replay (factor 0.5, patience 0, rel. threshold
-    1e-4, lr 1e-4) per series: final lr, reductions, best value."""
-    pl = L.plateau_schedule(f7_metric_log(spark, sf_dir))
-    return pl.select("run", "metric", "final_lr", F.col("n_reductions").cast("int").alias("n_reductions"), "best")
-
-
 @register("epoch_weighted_mean", oracle=f"""
 WITH {_F7}
 SELECT run, metric, CAST((step - 1) // 5 AS BIGINT) AS epoch, round(sum(value * n) / sum(n), 6) AS epoch_mean FROM f7 GROUP BY ALL

@@ -1,12 +1,9 @@
-"""Pooling edge cases, layer pruning, batch inference wrapper and the
-plateau schedule against a direct simulation."""
+"""Pooling edge cases, layer pruning, batch inference wrapper, early stop."""
 
-import math
 import os
 import tempfile
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from layerlens.operators import pooling as M
@@ -51,36 +48,6 @@ def test_predict_batch_udf_wrapper(spark):
     assert [list(r.vector) for r in out] == [[2.0 * i, i + 1.0] for i in range(5)]
 
 
-def _plateau(values, lr=1e-4, factor=0.5, patience=0, thr=1e-4, eps=1e-8):
-    best, bad, n = math.inf, 0, 0
-    for v in values:
-        if v < best * (1 - thr):
-            best, bad = v, 0
-        else:
-            bad += 1
-        if bad > patience:
-            new = max(lr * factor, 0.0)
-            if lr - new > eps:
-                lr, n = new, n + 1
-            bad = 0
-    return lr, n, best
-
-
-def test_plateau_schedule_matches_simulation(spark):
-    rng = np.random.default_rng(5)
-    rows = []
-    series = {}
-    for run in range(5):
-        vals = list(np.round(rng.random(30) * 10, 3)) + [1.0, 0.99995]
-        series[run] = vals
-        rows += [(run, "loss", i + 1, float(v)) for i, v in enumerate(vals)]
-    df = spark.createDataFrame(rows, "run long, metric string, step int, value double").repartition(4)
-    got = {r.run: r for r in RL.plateau_schedule(df).collect()}
-    for run, vals in series.items():
-        lr, n, best = _plateau(vals)
-        assert got[run].final_lr == pytest.approx(lr) and got[run].n_reductions == n and got[run].best == best
-
-
 def test_early_stop_patience(spark):
     vals = [5, 4, 4, 6, 7, 3, 3, 3, 3]
     df = spark.createDataFrame([(1, "m", i + 1, float(v)) for i, v in enumerate(vals)], "run long, metric string, step int, value double")
@@ -89,22 +56,31 @@ def test_early_stop_patience(spark):
     assert r.stop_step == 5 and r.best == 3.0
 
 
-@pytest.mark.parametrize("patience", [0, 2])
-def test_plateau_split_over_partitions_matches_simulation(spark, patience):
-    rng = np.random.default_rng(11)
+def test_early_stop_and_running_bounds_with_nulls(spark):
+    nan = float("nan")
     series = {
-        # a hot series: slowly falling positive loss with noise and plateaus
-        0: list(np.round(5.0 * np.exp(-np.arange(3000) / 800.0) + rng.random(3000) * 0.01, 6)),
-        # negative values (the best can drift upwards under a relative threshold)
-        1: list(np.round(-1.0 + np.cumsum(rng.random(400) * 2e-5), 8)),
-        # mixed sign with NaN
-        2: [float("nan"), 3.0, -2.0, float("nan"), -2.0001, 0.5, -3.0] * 50,
-        3: [1.0],
+        "a": [5.0, 4.0, 4.0, 4.5, 3.9, 4.0, 4.0, 4.0],
+        "b": [None, nan, 2.0, 3.0, 1.0, 1.0],
+        "c": [None, None, None, None],
+        "d": [1.0] * 400,
     }
-    rows = [(run, "loss", i + 1, float(v)) for run, vals in series.items() for i, v in enumerate(vals)]
-    df = spark.createDataFrame(rows, "run long, metric string, step int, value double")
-    got = {r.run: r for r in RL.plateau_schedule(df, patience=patience, num_partitions=16).collect()}
-    for run, vals in series.items():
-        lr, n, best = _plateau(vals, patience=patience)
-        assert got[run].n_reductions == n and got[run].final_lr == lr, run
-        assert got[run].best == best or (math.isnan(best) and math.isnan(got[run].best)), run
+    rows = [(k, i + 1, v) for k, vs in series.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "run string, step int, value double").withColumn("metric", F.lit("m"))
+    got = {r.run: r for r in RL.early_stop(df, patience=3).collect()}
+    for k, vs in series.items():
+        best, last, stop = None, 1, None
+        for i, v in enumerate(vs, 1):
+            if v is not None and v == v and (best is None or v < best):
+                best, last = v, i
+            if stop is None and i - last >= 3:
+                stop = i
+        assert (got[k].stop_step, got[k].best, got[k].n_steps) == (stop, best, len(vs)), k
+    bounds = {(r.run, r.step): (r.run_min, r.run_max) for r in RL.running_bounds(df).collect()}
+    assert bounds[("b", 2)] == (None, None) and bounds[("b", 6)] == (1.0, 3.0) and bounds[("a", 5)] == (3.9, 5.0)
+
+
+def test_best_checkpoints(spark):
+    rows = [("r", "loss", i, float(v)) for i, v in enumerate([3, 1, 2, 1, 5])] + [("r", "other", 0, 0.0)]
+    df = spark.createDataFrame(rows, "run string, metric string, step int, value double")
+    assert [(r.step, r.rank) for r in RL.best_checkpoints(df, "loss", 2).orderBy("rank").collect()] == [(1, 1), (3, 2)]
+    assert [r.step for r in RL.best_checkpoints(df, "loss", 1, mode="max").collect()] == [4]
