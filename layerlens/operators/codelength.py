@@ -20,19 +20,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerlens.functions.columns import cross_entropy, sq_dist
 from layerlens.operators import sampling as S
+from layerlens.operators.inference import infer, one_row
 from layerlens.session import materialize
 
 
-ROWS_PER_FIT_PARTITION = 50_000
-
-
 def fit_centroids(train: DataFrame, by: Sequence[str], vector: str = "vector", label: str = "label") -> DataFrame:
     """Per group in ``by``: ``centroids map<int, array<double>>`` = mean
     vector of each class, plus key -1 = mean of all rows of the group (the
@@ -93,23 +92,37 @@ def scored_chunks(
     return scored.withColumn("ce", cross_entropy(F.col("logits"), F.col(label)))
 
 
+def score_centroids(rows: DataFrame, fitted: DataFrame, num_classes: int, vector: str = "vector") -> DataFrame:
+    """``centroid_logits`` with one set of centroids (one row) for all rows,
+    by batch inference."""
+    cents = one_row(fitted.select("centroids"))["centroids"]
+    dim = len(cents[-1])
+    table = np.asarray([cents.get(y) or cents[-1] for y in range(num_classes)], dtype=np.float64)
+    missing = int(any(y not in cents for y in range(num_classes)))
+
+    def predict(x):
+        x = np.asarray(x, dtype=np.float64)
+        return -np.stack([((x - c) ** 2).sum(axis=1) for c in table], axis=1)
+
+    return infer(rows, predict, vector, dim, "logits").withColumn("missing_class", F.lit(missing))
+
+
 def online_code_lengths(
     permuted: DataFrame,
     portions: DataFrame,
     num_classes: int,
     vector: str = "vector",
     label: str = "label",
-    n_targets: str | None = None,
     by: Sequence[str] = (),
 ) -> DataFrame:
     """A5: ``(by…, portion_idx, ce_sum, n_scored, n_targets, n_missing_class)``
-    with the closed-form centroid probe, all portions in one job."""
+    with the closed-form centroid probe, all portions in one job. Every row
+    is one target."""
     scored = scored_chunks(permuted, portions, num_classes, vector, label, by)
-    t = F.col(n_targets) if n_targets else F.lit(1)
     return scored.groupBy(*by, "portion_idx").agg(
         F.sum("ce").alias("ce_sum"),
         F.count(F.lit(1)).alias("n_scored"),
-        F.sum(t).cast("long").alias("n_targets"),
+        F.count(F.lit(1)).alias("n_targets"),
         F.sum("missing_class").cast("long").alias("n_missing_class"),
     )
 
@@ -144,6 +157,22 @@ def mdl_and_compression(
     )
 
 
+def permute_instances(targets: DataFrame, id_col: str = "id", seed: int = S.SPLIT_SEED, shuffle: bool = True) -> DataFrame:
+    """Target rows with the position of their instance: portions are cut
+    over instances, an instance's targets stay together."""
+    ids = targets.select(id_col).distinct()
+    return targets.join(S.permute(ids, id_col, seed, shuffle), id_col)
+
+
+def _sizes(permuted: DataFrame, fractions: Sequence[float]) -> tuple[int, list[int], int, int]:
+    """Instances, portion sizes, targets in the first portion, all targets."""
+    last = permuted.agg(F.max(S.PERM)).first()[0]
+    n = 0 if last is None else int(last) + 1
+    sizes = S.portion_sizes(n, fractions)
+    first, total = permuted.agg(F.sum((F.col(S.PERM) < sizes[0]).cast("long")), F.count(F.lit(1))).first()
+    return n, sizes, int(first or 0), int(total)
+
+
 def online_coding(
     train: DataFrame,
     num_classes: int,
@@ -151,22 +180,32 @@ def online_coding(
     id_col: str = "id",
     vector: str = "vector",
     label: str = "label",
-    n_targets: str | None = None,
     unit: str = "mixed",
+    seed: int = S.SPLIT_SEED,
+    shuffle_first: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """A8 with the closed-form probe: per-portion code lengths and the MDL
-    / compression row. Driver work is two counts and a ≤ K-row table."""
+    / compression row. ``train`` has one row per target; ``id_col`` names
+    the instance, of which portions are made (``seed`` and ``shuffle_first``
+    fix their order). Driver work is counts and a ≤ K-row table."""
     spark = train.sparkSession
     # read by the counts, every portion and every chunk: written once
-    permuted = materialize(S.permute(train, id_col))
-    t = F.col(n_targets) if n_targets else F.lit(1)
-    tot = permuted.agg(F.count(F.lit(1)).alias("n"), F.sum(t).alias("t")).first()
-    n, total_targets = int(tot["n"]), int(tot["t"] or 0)
-    portions = S.portions_table(spark, n, fractions)
-    n0 = S.portion_sizes(n, fractions)[0]
-    first = permuted.filter(F.col(S.PERM) < n0).agg(F.sum(t).alias("t")).first()["t"] or 0
-    per = online_code_lengths(permuted, portions, num_classes, vector, label, n_targets)
-    return per, mdl_and_compression(spark, per, int(first), total_targets, num_classes, unit)
+    permuted = materialize(permute_instances(train, id_col, seed, shuffle_first))
+    n, sizes, first, total = _sizes(permuted, fractions)
+    per = online_code_lengths(permuted, S.portions_table(spark, n, fractions), num_classes, vector, label)
+    return per, mdl_and_compression(spark, per, first, total, num_classes, unit)
+
+
+def padded_logits(raw: Column, num_classes: int) -> Column:
+    """Raw scores of all classes. A class that the fit never saw (beyond the
+    model's classes, or scored -inf) gets the mean of the others: finite and
+    uninformative."""
+    finite = F.filter(raw, lambda x: (x > float("-inf")) & ~F.isnan(x))
+    mean = F.aggregate(finite, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(finite), F.lit(1))
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(num_classes - 1)),
+        lambda i: F.coalesce(F.when(F.get(raw, i) > float("-inf"), F.get(raw, i)), mean),
+    )
 
 
 def online_coding_with_estimator(
@@ -177,64 +216,63 @@ def online_coding_with_estimator(
     id_col: str = "id",
     features: str = "features",
     label: str = "label",
+    seed: int = S.SPLIT_SEED,
+    shuffle_first: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """A8 with a trained Spark ML probe: for each portion, fit from scratch
     on the prefix and score the next chunk (≤ K-1 fits driven from the
-    driver; each fit and transform is a distributed job). Cross-entropy is
-    ``-ln p(y)`` from the model's probability column."""
+    driver; each fit and transform is a distributed job). The code length
+    comes from the raw scores by log-sum-exp. An empty portion has no probe:
+    its chunk is coded uniformly; a portion with one class as well."""
     spark = train.sparkSession
-    permuted = S.permute(train, id_col).cache()
-    n = permuted.count()
-    sizes = S.portion_sizes(n, fractions)
+    permuted = materialize(permute_instances(train, id_col, seed, shuffle_first))
+    _, sizes, first, total = _sizes(permuted, fractions)
     rows = []
-    cores = spark.sparkContext.defaultParallelism
     for k in range(len(sizes) - 1):
-        # iterative solvers run one job per iteration over every partition:
-        # give a portion about ROWS_PER_FIT_PARTITION rows per partition
-        parts = max(1, min(cores, sizes[k] // ROWS_PER_FIT_PARTITION + 1))
-        fit_rows = permuted.filter(F.col(S.PERM) < sizes[k]).repartition(parts).cache()
+        fit_rows = permuted.filter(F.col(S.PERM) < sizes[k]).persist()
         chunk = permuted.filter((F.col(S.PERM) >= sizes[k]) & (F.col(S.PERM) < sizes[k + 1]))
-        model = estimator.fit(fit_rows)
-        p = vector_to_array(F.col("probability"))
-        ce = -F.log(F.greatest(F.element_at(p, F.col(label).cast("int") + 1), F.lit(1e-45)))
-        agg = model.transform(chunk).agg(F.sum(ce).alias("ce_sum"), F.count(F.lit(1)).alias("n")).first()
+        seen = fit_rows.select(F.col(label).cast("int").alias("y")).distinct().limit(num_classes).collect()
+        if len(seen) < 2:
+            n = chunk.count()
+            rows.append((k, n * math.log(num_classes), n, n, n))
+        else:
+            scored = estimator.fit(fit_rows).transform(chunk)
+            ce = cross_entropy(padded_logits(vector_to_array(F.col("rawPrediction")), num_classes), F.col(label))
+            ce_sum, n = scored.agg(F.sum(ce), F.count(F.lit(1))).first()
+            n = int(n)
+            rows.append((k, float(ce_sum or 0.0), n, n, n if len(seen) < num_classes else 0))
         fit_rows.unpersist()
-        rows.append((k, float(agg["ce_sum"] or 0.0), int(agg["n"]), int(agg["n"]), 0))
-    permuted.unpersist()
     per = spark.createDataFrame(
         rows, "portion_idx int, ce_sum double, n_scored long, n_targets long, n_missing_class long"
     )
-    return per, mdl_and_compression(spark, per, sizes[0], n, num_classes)
+    return per, mdl_and_compression(spark, per, first, total, num_classes)
 
 
-def layer_sweep(
-    train: DataFrame,
-    layers: DataFrame,
+def sweep(
+    features: DataFrame,
+    by: Sequence[str],
     num_classes: int,
     fractions: Sequence[float] = S.DEFAULT_PORTIONS,
     id_col: str = "id",
     vector: str = "vector",
     label: str = "label",
 ) -> DataFrame:
-    """M9: online coding for every sweep point in ``layers`` (a small grid
-    table with a ``layer`` key and the ``vector`` to probe at that point,
-    computed from the row) in one job: ``(layer, mdl, compression, n_scored)``.
-    ``layers`` must have columns ``layer`` and ``dims`` (the number of
-    leading vector components that layer exposes)."""
-    spark = train.sparkSession
-    permuted = materialize(S.permute(train, id_col))
-    n = permuted.count()
+    """M9: online coding at every point of a grid (model × layer × …) in one
+    job, from stored features: ``features`` has one row per point of ``by``
+    and target. Every point uses the same order of instances:
+    ``(by…, mdl, compression, n_scored)``."""
+    by = list(by)
+    spark = features.sparkSession
+    order = S.permute(features.select(id_col).distinct(), id_col)
+    permuted = features.join(order, id_col)
+    n = features.select(id_col).distinct().count()
     portions = S.portions_table(spark, n, fractions)
     n0 = S.portion_sizes(n, fractions)[0]
-    points = layers.select("layer", "dims").collect()  # the sweep grid (a handful of points)
-    grid_col = F.explode(F.array(*[F.struct(F.lit(r["layer"]).alias("layer"), F.lit(r["dims"]).alias("dims")) for r in points]))
-    grid = permuted.withColumn("_pt", grid_col).select("*", "_pt.layer", "_pt.dims").drop("_pt")
-    grid = grid.withColumn(vector, F.slice(F.col(vector), 1, F.col("dims")))
-    per = online_code_lengths(grid, portions, num_classes, vector, label, by=["layer"])
-    log2c = math.log2(num_classes)
-    mdl = F.lit(n0 * log2c) + F.sum("ce_sum")
-    return per.groupBy("layer").agg(
-        mdl.alias("mdl"),
-        (F.lit(n * log2c) / mdl).alias("compression"),
-        F.sum("n_scored").alias("n_scored"),
+    per = online_code_lengths(permuted, portions, num_classes, vector, label, by=by)
+    counts = permuted.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_t"), F.sum((F.col(S.PERM) < n0).cast("long")).alias("_t0")
     )
+    log2c = math.log2(num_classes)
+    total = per.groupBy(*by).agg(F.sum("ce_sum").alias("_ce"), F.sum("n_scored").alias("n_scored")).join(counts, by)
+    mdl = F.col("_t0") * log2c + F.col("_ce")
+    return total.select(*by, mdl.alias("mdl"), (F.col("_t") * log2c / mdl).alias("compression"), "n_scored")

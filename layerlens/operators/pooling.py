@@ -15,22 +15,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layerlens.functions.columns import dot
-from layerlens.session import attach_params
+from layerlens.operators.inference import infer, one_row
 
 # Default sizes of the random-embedding baseline model.
 RANDOM_EMBEDDING_VOCAB = 30522
 RANDOM_EMBEDDING_DIM = 768
 
-# Broadcast limit for an embedding table (vocab × dim × 8 bytes).
-MAX_BROADCAST_TABLE_BYTES = 256 * 1024 * 1024
-
 
 def _uniform(*parts: Column) -> Column:
     """Deterministic uniform value in [-1, 1) from md5 of the parts."""
@@ -51,14 +48,10 @@ def random_embedding_table(spark: SparkSession, vocab_size: int = RANDOM_EMBEDDI
     )
 
 
-def lookup_embeddings(tokens: DataFrame, table: DataFrame, vocab_size: int, dim: int, token: str = "token_id") -> DataFrame:
-    """Token id → embedding row. The table is a model artefact; it is
-    broadcast when ``vocab_size × dim`` fits the limit, otherwise the join is
-    shuffled and AQE splits partitions skewed by frequent tokens."""
-    t = table.withColumnRenamed("token_id", token)
-    if vocab_size * dim * 8 <= MAX_BROADCAST_TABLE_BYTES:
-        t = F.broadcast(t)
-    return tokens.join(t, token, "left")
+def lookup_embeddings(tokens: DataFrame, table: DataFrame, token: str = "token_id") -> DataFrame:
+    """Token id → embedding row. Spark broadcasts the table where it has
+    measured it to be small, and else splits partitions of frequent tokens."""
+    return tokens.join(table.withColumnRenamed("token_id", token), token, "left")
 
 
 def select_layer(hidden: DataFrame, layer: int) -> DataFrame:
@@ -89,8 +82,6 @@ def random_embedding_model(vocab_size: int, dim: int, seed: int = 42) -> Callabl
     def make_predict_fn():
         import hashlib
 
-        import numpy as np
-
         table = np.empty((vocab_size, dim), dtype=np.float64)
         for t in range(vocab_size):
             for d in range(dim):
@@ -127,20 +118,27 @@ def span_tokens(tokens: DataFrame, spans: DataFrame, seq: str = "seq") -> DataFr
 def attention_pool(tokens: DataFrame, spans: DataFrame, params: DataFrame, slot: int,
                    keys: Sequence[str] = ("seq", "target_idx"), seq: str = "seq") -> DataFrame:
     """M4 (card C4): ``(keys…, pooled array<double>)``; an empty span pools
-    to the zero vector."""
+    to the zero vector.
+
+    Each token of a span is projected and scored once by batch inference.
+    The span's largest score is a window over the span's own tokens (as many
+    as a sequence has at most); the weighted mean then aggregates on the same
+    partitioning, so the projected vectors are shuffled once."""
     keys = list(keys)
-    p = params.filter(F.col("slot") == slot).select(
-        F.col("w").alias("_pw"), F.col("b").alias("_pb"), F.col("v").alias("_pv")
-    )
-    j = attach_params(span_tokens(tokens, spans, seq), p)
-    j = j.withColumn("_h", F.transform("_pw", lambda row, i: dot(row, F.col("vector")) + F.element_at(F.col("_pb"), i + 1)))
-    j = j.withColumn("_s", dot(F.col("_pv"), F.col("_h")))
-    mx = j.groupBy(*keys).agg(F.max("_s").alias("_m"))
-    j = j.join(mx, keys).withColumn("_w", F.exp(F.col("_s") - F.col("_m")))
+    p = one_row(params.filter(F.col("slot") == slot).select("w", "b", "v"))
+    w, b, v = (np.asarray(p[c], dtype=np.float64) for c in ("w", "b", "v"))
+
+    def project(x):
+        h = np.asarray(x, dtype=np.float64) @ w.T + b
+        return np.concatenate([h, (h @ v)[:, None]], axis=1)
+
+    width = len(b)
+    j = infer(span_tokens(tokens, spans, seq).select(*keys, "vector"), project, "vector", w.shape[1], "_hs")
+    j = j.select(*keys, F.slice("_hs", 1, width).alias("_h"), F.element_at("_hs", -1).alias("_s"))
+    j = j.withColumn("_w", F.exp(F.col("_s") - F.max("_s").over(Window.partitionBy(*keys))))
     pooled = j.groupBy(*keys).agg(
         Summarizer.mean(array_to_vector(F.col("_h")), F.col("_w")).alias("_p"),
     ).select(*keys, vector_to_array("_p").alias("pooled"))
-    width = p.select(F.size("_pb")).first()[0]  # the projection width (a model parameter)
     out = spans.select(*keys).join(pooled, keys, "left")
     return out.select(*keys, F.coalesce(F.col("pooled"), F.array_repeat(F.lit(0.0), width)).alias("pooled"))
 

@@ -3,9 +3,8 @@
 * fitting (M6) uses Spark ML — ``MultilayerPerceptronClassifier`` or
   multinomial ``LogisticRegression``; parity with the reference probe is of
   purpose, not of weights (different activation/regulariser, SURVEY O2);
-* scoring with stored weights (M7) is the forward pass of both reference
-  heads: array higher-order functions over the weights as a folded
-  constant, or batch inference with numpy for a probe above the size bound;
+* scoring with stored weights (M7) is the forward pass of both probe heads
+  by batch inference, at any size;
 * predictions (M10) are ``(logits, label)`` rows.
 """
 
@@ -13,14 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from layerlens.functions.columns import array_sum, dot
-from layerlens.session import PARAM_LITERAL_MAX_VALUES, attach_params, count_values
+from layerlens.operators.inference import BATCH_ROWS, infer, one_row
 
 LAYER_NORM_EPS = 1e-5
 
@@ -57,48 +55,8 @@ def predict(model, df: DataFrame, keep: Sequence[str] = ("id",), label: str = "l
     )
 
 
-def _linear(x: Column, w: Column, b: Column) -> Column:
-    return F.transform(w, lambda row, i: dot(row, x) + F.element_at(b, i + 1))
-
-
-def _relu(arr: Column) -> Column:
-    return F.transform(arr, lambda v: F.greatest(v, F.lit(0.0)))
-
-
-def _stage(df: DataFrame, name: str, expr: Column) -> DataFrame:
-    """Add one intermediate array as a column. Each stage is its own
-    projection so that a later lambda reading the array many times does not
-    inline (and recompute) the whole expression that built it."""
-    return df.withColumn(name, expr)
-
-
-def tenney_forward(df: DataFrame, x: str = "vector", p: str = "p") -> DataFrame:
-    """Linear → Tanh → LayerNorm → (Dropout: identity at inference) → Linear."""
-    df = _stage(df, "_h", F.transform(_linear(F.col(x), F.col(f"{p}.w1"), F.col(f"{p}.b1")), lambda v: F.tanh(v)))
-    n = F.size("_h").cast("double")
-    df = _stage(df, "_mu", array_sum(F.col("_h")) / n)
-    df = _stage(df, "_var", array_sum(F.transform("_h", lambda v: (v - F.col("_mu")) * (v - F.col("_mu")))) / n)
-    df = _stage(df, "_hn", F.transform(
-        "_h",
-        lambda v, i: (v - F.col("_mu")) / F.sqrt(F.col("_var") + LAYER_NORM_EPS) * F.element_at(F.col(f"{p}.gamma"), i + 1)
-        + F.element_at(F.col(f"{p}.beta"), i + 1),
-    ))
-    df = _stage(df, "logits", _linear(F.col("_hn"), F.col(f"{p}.w2"), F.col(f"{p}.b2")))
-    return df.drop("_h", "_mu", "_var", "_hn")
-
-
-def hewitt_forward(df: DataFrame, x: str = "vector", p: str = "p") -> DataFrame:
-    """Linear → ReLU → Linear → ReLU → Linear (dropout is identity)."""
-    df = _stage(df, "_h1", _relu(_linear(F.col(x), F.col(f"{p}.w1"), F.col(f"{p}.b1"))))
-    df = _stage(df, "_h2", _relu(_linear(F.col("_h1"), F.col(f"{p}.wh"), F.col(f"{p}.bh"))))
-    df = _stage(df, "logits", _linear(F.col("_h2"), F.col(f"{p}.w2"), F.col(f"{p}.b2")))
-    return df.drop("_h1", "_h2")
-
-
 def _numpy_forward(p: dict, kind: str):
-    """The same forward pass over a numpy batch ``(N, d) → (N, C)``."""
-    import numpy as np
-
+    """The forward pass over a numpy batch ``(N, d) → (N, C)``."""
     w = {c: np.asarray(v, dtype=np.float64) for c, v in p.items()}
 
     def predict(x):
@@ -117,28 +75,15 @@ def _numpy_forward(p: dict, kind: str):
 
 
 def score_with_weights(df: DataFrame, params: DataFrame, kind: str = "tenney", vector: str = "vector",
-                       max_values: int = PARAM_LITERAL_MAX_VALUES, batch_size: int = 1024) -> DataFrame:
-    """M7: logits of stored probe weights for every row. ``params`` is one
-    row of weight arrays (``w1 b1 gamma beta w2 b2`` or ``w1 b1 wh bh w2 b2``).
-
-    Up to ``max_values`` weights the forward pass is array higher-order
-    functions over the weights as a folded constant (JVM, codegen). A larger
-    probe is scored by batch inference: ``predict_batch_udf`` with a numpy
-    forward pass over Arrow batches; the weights travel in the pickled
-    function, which Spark broadcasts once."""
-    fwd = {"tenney": tenney_forward, "hewitt": hewitt_forward}[kind]
-    rows = params.limit(2).collect()
-    if len(rows) != 1:
-        raise ValueError(f"a parameter table has exactly one row, got {len(rows)}")
-    value = rows[0].asDict(recursive=True)
-    if count_values(value) <= max_values:
-        p = params.select(F.struct(*params.columns).alias("p"))
-        return fwd(attach_params(df, p, max_values), vector).drop("p")
-    dim = len(value["w1"][0])
-    predict = _numpy_forward(value, kind)
-    udf = predict_batch_udf(lambda: predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
-                            input_tensor_shapes=[[dim]])
-    return df.withColumn("logits", udf(F.col(vector)))
+                       batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """M7: logits of stored probe weights for every row, by batch inference.
+    ``params`` is one row of weight arrays: ``w1 b1 gamma beta w2 b2``
+    (``tenney``: Linear, Tanh, LayerNorm, Linear) or ``w1 b1 wh bh w2 b2``
+    (``hewitt``: Linear, ReLU, Linear, ReLU, Linear); dropout is the identity."""
+    if kind not in ("tenney", "hewitt"):
+        raise ValueError("kind is 'tenney' or 'hewitt'")
+    value = one_row(params)
+    return infer(df, _numpy_forward(value, kind), vector, len(value["w1"][0]), "logits", batch_rows)
 
 
 def params_from_rule(spark: SparkSession, input_dim: int, hidden_dim: int, num_classes: int, kind: str = "tenney") -> DataFrame:

@@ -108,7 +108,7 @@ def _empty(metric: Column, has_rel: Column, action: str) -> Column:
         return F.when(has_rel, metric)
     if action == "error":
         return F.when(has_rel, metric).otherwise(
-            F.raise_error(F.lit("a query has no positive target")).cast("double")
+            F.raise_error(F.lit("empty_target_action is error, and some query has nothing relevant")).cast("double")
         )
     raise ValueError(f"empty_target_action must be one of {EMPTY_ACTIONS}")
 

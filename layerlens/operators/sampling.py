@@ -68,9 +68,14 @@ def permute(df: DataFrame, id_col: str = "id", seed: int = SPLIT_SEED, shuffle:
 
 
 def check_split_sizes(n: int, num_train: int, num_test: int) -> None:
-    """The reference asserts ``len >= train + test``."""
+    """A split needs as many rows as it hands out."""
     if n < num_train + num_test:
-        raise ValueError(f"too many train/test samples: dataset too small ({n} < {num_train} + {num_test})")
+        raise ValueError(f"{n} rows cannot give {num_train} train and {num_test} held-out rows")
+
+
+def split_fits(counts: DataFrame, num_train: str, num_test: str, n: str = "n") -> DataFrame:
+    """D2 for many tables at once: ``fits`` beside each row of sizes."""
+    return counts.withColumn("fits", F.col(n) >= F.col(num_train) + F.col(num_test))
 
 
 def split_of(perm: F.Column, num_train: int, num_test: int) -> F.Column:

@@ -107,13 +107,10 @@ def bucketize_scores(df: DataFrame, num_buckets: int, label: str = "label", out:
 
 
 def split_pair(text: F.Column) -> F.Column:
-    """``split(text, ' [SEP] ')`` into an array (must have 2 parts)."""
-    return F.split(text, r" \[SEP\] ", -1)
-
-
-def assert_pair(parts: F.Column) -> F.Column:
+    """Query and passage; a text without exactly one separator fails."""
+    parts = F.split(text, r" \[SEP\] ", -1)
     return F.when(F.size(parts) == 2, parts).otherwise(
-        F.raise_error(F.lit("text must hold exactly one ' [SEP] '"))
+        F.raise_error(F.concat(F.lit("not a pair of query and passage: "), F.substring(text, 1, 80)))
     )
 
 

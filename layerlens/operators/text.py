@@ -32,8 +32,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layerlens.session import spread_for_python
-
 # Special tokens and limits of the uncased WordPiece scheme.
 UNK, CLS, SEP, PAD = "[UNK]", "[CLS]", "[SEP]", "[PAD]"
 CONTINUATION = "##"
@@ -162,7 +160,7 @@ def _word_counts(texts: DataFrame, text: str) -> DataFrame:
         return s.map(normalize_word)
 
     return (
-        spread_for_python(texts.select(text))
+        texts.select(text)
         .select(F.explode(words(F.col(text))).alias("w"))
         .groupBy("w").agg(F.count(F.lit(1)).alias("c"))
         .select(norm(F.col("w")).alias("w"), "c")
@@ -220,7 +218,7 @@ def tokenize_texts(df: DataFrame, vocab: dict[str, int], text: str = "text", pre
     """Add ``{prefix}words`` and ``{prefix}pieces`` (struct of ids,
     per-word counts and offsets) for the whole text of every row."""
     tok = make_tokenizer(vocab)
-    return spread_for_python(df).withColumn(f"{prefix}words", words(F.col(text))).withColumn(
+    return df.withColumn(f"{prefix}words", words(F.col(text))).withColumn(
         f"{prefix}pieces", tok(F.col(f"{prefix}words"))
     )
 

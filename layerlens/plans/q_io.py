@@ -16,14 +16,15 @@ from layerlens.operators import codelength as L
 from layerlens.operators import probes as P
 from layerlens.operators import ranking as R
 from layerlens.operators import targets as T
+from layerlens.operators.sampling import split_fits
 from layerlens.plans.fixtures import f2_instances, f3_vectors, f4_star, f6_qrels, f6_run
 from layerlens.plans.q_dataset import F3_PORTIONS, _F1_SPLIT, _f1_split
 from layerlens.plans.q_probe import NUM_CLASSES, _centroid_sql, _f3_split, _PERM
 from layerlens.plans.q_ranking import _PQ
 from layerlens.plans.registry import ORACLES, register
-from layerlens.session import attach_params
 from layerlens.sinks import writers as K
 from layerlens.sources import instances as S
+from layerlens.sources.tables import table
 from layerlens.streaming.metric_streams import scratch
 
 
@@ -32,8 +33,9 @@ WITH {_F1_SPLIT},
 b AS (SELECT min(label) AS lo, max(label) AS hi FROM sp WHERE split = 'train'),
 n AS (SELECT split, (least(greatest(label, lo), hi) - lo) / (hi - lo) AS x FROM sp, b WHERE split IS NOT NULL)
 SELECT split, count(*) AS n_instances, round(sum(x), 6) AS label_sum, round(min(x), 6) AS label_min,
-       round(max(x), 6) AS label_max, true AS was_missing, false AS now_missing
-FROM n GROUP BY split
+       round(max(x), 6) AS label_max, round(min(lo), 6) AS min_score, round(max(hi), 6) AS max_score,
+       true AS was_missing, false AS now_missing
+FROM n, b GROUP BY split
 """)
 def export_splits(spark, sf_dir):
     """Normalised F1 splits written as JSON lines (one folder
@@ -48,8 +50,10 @@ def export_splits(spark, sf_dir):
         F.col("id").cast("string").alias("text"),
         F.array(F.struct(F.col("label").alias("label"))).alias("targets"),
     )
-    K.write_splits(inst, root)
-    K.write_bounds(bounds, os.path.join(root, "meta"))
+    if was_missing:
+        K.write_splits(inst, root)
+        K.write_bounds(bounds, os.path.join(root, "meta"))
+    lo, hi = S.read_bounds(spark, os.path.join(root, "meta"))
     now_missing = K.splits_missing(spark, root)
     parts = []
     for split in K.SPLITS:
@@ -61,7 +65,49 @@ def export_splits(spark, sf_dir):
         F.round(F.sum("x"), 6).alias("label_sum"),
         F.round(F.min("x"), 6).alias("label_min"),
         F.round(F.max("x"), 6).alias("label_max"),
-    ).withColumn("was_missing", F.lit(was_missing)).withColumn("now_missing", F.lit(now_missing))
+    ).withColumn("min_score", F.round(F.lit(lo), 6)).withColumn("max_score", F.round(F.lit(hi), 6)).withColumn("was_missing", F.lit(was_missing)).withColumn("now_missing", F.lit(now_missing))
+
+
+_TWO_SPANS = """
+SELECT l_orderkey AS id, l_linenumber AS span1_a, l_linenumber + 1 + CAST(l_quantity % 5 AS INTEGER) AS span1_b,
+       l_linenumber + 2 AS span2_a, l_linenumber + 4 AS span2_b, l_returnflag AS label
+FROM lineitem
+"""
+
+
+@register("json_array_instances", oracle=_TWO_SPANS)
+def json_array_instances(spark, sf_dir):
+    """Instances with two spans per target, stored as JSON arrays (a
+    file for each run of order keys, as the format is one document a file),
+    read back and unpacked."""
+    root = scratch(spark, "json-arrays")
+    item = F.struct(
+        F.array("l_linenumber", F.col("l_linenumber") + 1 + (F.col("l_quantity") % 5).cast("int")).alias("span1"),
+        F.array(F.col("l_linenumber") + 2, F.col("l_linenumber") + 4).alias("span2"),
+        F.col("l_returnflag").alias("label"),
+    )
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("targets"))
+    run = F.floor(F.col("l_orderkey") / 4096)
+    arrays = orders.groupBy(run.alias("run")).agg(
+        F.to_json(F.collect_list(F.struct(F.col("l_orderkey").cast("string").alias("text"), "targets"))).alias("value")
+    )
+    arrays.write.partitionBy("run").text(root)
+    back = S.read_json_array_instances(spark, os.path.join(root, "run=*"))
+    return T.explode_targets(back, keep=("text",)).select(
+        F.col("text").cast("long").alias("id"), "span1_a", "span1_b", "span2_a", "span2_b", "label"
+    )
+
+
+@register("split_sizes_fit", oracle="""
+SELECT c_nationkey AS nation, count(*) AS n, CAST(5 + c_nationkey AS BIGINT) AS num_train, CAST(2 * c_nationkey AS BIGINT) AS num_test,
+       count(*) >= 5 + 3 * c_nationkey AS fits
+FROM customer GROUP BY c_nationkey
+""")
+def split_sizes_fit(spark, sf_dir):
+    """Whether each nation's customers can give the asked-for split."""
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.withColumn("num_train", (F.col("nation") + 5).cast("long")).withColumn("num_test", (F.col("nation") * 2).cast("long"))
+    return split_fits(sizes, "num_train", "num_test")
 
 
 @register("label_file", oracle="""
@@ -97,7 +143,7 @@ def trec_files(spark, sf_dir):
     judged = R.judge_run(f6_run(spark, sf_dir), qr, "q_id", ["l_orderkey", "l_partkey", "l_linenumber"])
     ranked = R.rank_run(judged, "q_id", ["l_orderkey", "l_partkey", "l_linenumber"], "score")
     K.write_trec_run(R.trec_run_rows(ranked, "q_id", _doc_id(), "score", "layerlens"), os.path.join(root, "run"))
-    run = spark.read.schema("q_id long, q0 string, d_id long, rank int, score double, name string").option(
+    run = spark.read.schema("q_id long, q0 string, d_id string, rank int, score double, name string").option(
         "sep", "\t").csv(os.path.join(root, "run"))
     q_back = S.read_trec_qrels(spark, os.path.join(root, "qrels"))
     pq = R.evaluate_run(run.select("q_id", "d_id", "score"), q_back, ks=(10,))
@@ -196,7 +242,7 @@ def full_procedure(spark, sf_dir):
     _, mdl = L.online_coding(train, NUM_CLASSES, F3_PORTIONS)
     cents = L.fit_centroids(train, [])
     test = sp.filter(F.col("split") == "test")
-    scored = C.with_predictions(L.centroid_logits(attach_params(test, cents), NUM_CLASSES))
+    scored = C.with_predictions(L.score_centroids(test, cents, NUM_CLASSES))
     acc = C.accuracy(scored).first()["accuracy"]
     return mdl.select(F.round("mdl", 6).alias("mdl"), F.round("compression", 6).alias("compression"),
                       F.round(F.lit(acc), 6).alias("accuracy"))

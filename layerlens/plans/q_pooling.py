@@ -43,7 +43,7 @@ def random_embedding_lookup(spark, sf_dir):
     """Every conversation word → token id (hash) → fixed random
     16-dim vector from a 1,000-row embedding table; summed per turn."""
     ids = _word_ids(spark, sf_dir)
-    emb = M.lookup_embeddings(ids, M.random_embedding_table(spark, VOCAB, DIM), VOCAB, DIM)
+    emb = M.lookup_embeddings(ids, M.random_embedding_table(spark, VOCAB, DIM))
     return emb.groupBy("conv_id", "turn").agg(
         F.count(F.lit(1)).alias("n_tokens"),
         F.round(F.sum(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)), 5).alias("vec_sum"),

@@ -13,7 +13,6 @@ from layerlens.operators import sampling as S
 from layerlens.plans.fixtures import f3_vectors
 from layerlens.plans.q_dataset import F3_PORTIONS, _PERM, _split_sizes
 from layerlens.plans.registry import register
-from layerlens.session import attach_params
 
 NUM_CLASSES = 10
 
@@ -31,7 +30,7 @@ def centroid_predictions(spark, sf_dir):
     sp = _f3_split(spark, sf_dir)
     cents = L.fit_centroids(sp.filter(F.col("split") == "train"), [])
     ev = sp.filter(F.col("split") != "train")
-    scored = L.centroid_logits(attach_params(ev, cents), NUM_CLASSES)
+    scored = L.score_centroids(ev, cents, NUM_CLASSES)
     return C.with_predictions(scored.select("id", "split", "label", "logits"))
 
 

@@ -8,13 +8,10 @@ session has none (local tests and the bench), never on a cluster.
 
 from __future__ import annotations
 
-import json
 import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Tables whose row count is bounded by a parameter, not by the data
 # (portions, label dictionaries, per-partition offsets), may be broadcast
@@ -75,7 +72,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder; set a local one only if unset."""
+    """The session's checkpoint folder. A local one is set only where none is
+    configured and the master is local (tests, bench)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -84,7 +82,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
-    # Only reached where nobody configured a shared folder: local runs.
+    # a folder of one machine serves local runs only
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="layerlens-ckpt-", dir=os.environ.get("LAYERLENS_TMP", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
@@ -99,74 +99,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread_for_python(df: DataFrame) -> DataFrame:
-    """Before a CPU-heavy Python stage: if the input has fewer partitions
-    than the cluster has cores (a small file is one split), spread it
-    round-robin over the cores. Large inputs already have many splits and
-    are left as they are (no extra shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
-# Largest parameter row (counted in leaf values) shipped inside a plan as a
-# constant. Measured on local[4] with a dot-product forward pass over 20,000
-# rows: the folded constant beats a broadcast of the one-row table at 512,
-# 16,384 and 65,536 values.
-PARAM_LITERAL_MAX_VALUES = 65_536
-
-
-def count_values(v) -> int:
-    """Leaf values in a parameter row (nested dicts / lists)."""
-    if isinstance(v, dict):
-        return sum(count_values(x) for x in v.values())
-    if isinstance(v, (list, tuple)):
-        return sum(count_values(x) for x in v)
-    return 1
-
-
-def _json_type(dt: T.DataType, json_keys: bool = True) -> T.DataType:
-    """The type ``from_json`` returns for ``dt``: every field and element
-    nullable and, with ``json_keys``, map keys read as strings (JSON object
-    keys are strings); with ``json_keys=False`` the nullable form of ``dt``
-    to cast back to."""
-    if isinstance(dt, T.StructType):
-        return T.StructType([T.StructField(f.name, _json_type(f.dataType, json_keys), True) for f in dt.fields])
-    if isinstance(dt, T.ArrayType):
-        return T.ArrayType(_json_type(dt.elementType, json_keys), True)
-    if isinstance(dt, T.MapType):
-        key = T.StringType() if json_keys else dt.keyType
-        return T.MapType(key, _json_type(dt.valueType, json_keys), True)
-    return dt
-
-
-def attach_params(df: DataFrame, params: DataFrame, max_values: int = PARAM_LITERAL_MAX_VALUES) -> DataFrame:
-    """Add the columns of a one-row parameter table (probe weights,
-    centroids, pooling projections) to every row of ``df``.
-
-    The row is a model artefact whose size is fixed by the model, not by the
-    data. It is read once (size checked against ``max_values``) and written
-    into the plan as one constant: ``from_json`` of a literal, which the
-    optimizer folds, so no join is planned and the scan of ``df`` streams
-    through a single projection. The constant travels in each stage's task
-    binary, which Spark broadcasts to the executors once per stage. A model
-    larger than the bound is scored through batch inference
-    (``pooling.extract_hidden_states`` / ``predict_batch_udf``), where each
-    Python worker loads it once."""
-    rows = params.limit(2).collect()
-    if len(rows) != 1:
-        raise ValueError(f"a parameter table has exactly one row, got {len(rows)}")
-    value = rows[0].asDict(recursive=True)
-    n = count_values(value)
-    if n > max_values:
-        raise ValueError(
-            f"parameter row holds {n} values (bound {max_values}); score this model with batch inference instead"
-        )
-    schema = params.schema
-    read_as, want = _json_type(schema), _json_type(schema, json_keys=False)
-    parsed = F.from_json(F.lit(json.dumps(value)), read_as, {"allowNonNumericNumbers": "true"})
-    const = parsed.cast(want) if read_as != want else parsed
-    return df.select("*", const.alias("_params")).select("*", "_params.*").drop("_params")

@@ -19,8 +19,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def splits_missing(spark: SparkSession, output_dir: str) -> bool:
-    """K5: true when any split output is absent (then the splits are built)."""
-    return not all(_exists(spark, os.path.join(output_dir, f"split={s}")) for s in SPLITS)
+    """K5: true when any split is absent or the write did not finish (Spark
+    leaves ``_SUCCESS`` when it has); then the splits are built."""
+    done = _exists(spark, os.path.join(output_dir, "_SUCCESS"))
+    return not (done and all(_exists(spark, os.path.join(output_dir, f"split={s}")) for s in SPLITS))
 
 
 def write_splits(instances: DataFrame, output_dir: str, mode: str = "overwrite") -> None:

@@ -53,19 +53,34 @@ def read_label_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """S3: ``labels.txt`` → ``(label, id)`` with id = 0-based line number,
     trailing whitespace stripped. The file is one class per line (small)."""
     whole = spark.read.text(path, wholetext=True)
-    parts = F.split(F.col("value"), "\n")
+    parts = F.split(F.col("value"), "\\r?\n")
     # a file ending in a newline yields one empty trailing element
     kept = F.filter(parts, lambda x, i: ~((i == F.size(parts) - 1) & (x == "")))
     lines = whole.select(F.posexplode(kept).alias("id", "label"))
-    return lines.select(F.rtrim("label").alias("label"), F.col("id").cast("int").alias("id"))
+    return lines.select(F.regexp_replace("label", r"\s+$", "").alias("label"), F.col("id").cast("int").alias("id"))
 
 
-QRELS_SCHEMA = "q_id long, unused string, d_id long, grade int"
+def read_trec_qrels(spark: SparkSession, path: str) -> DataFrame:
+    """``qid _ docid grade`` separated by blanks or tabs, as
+    ``q_id long, d_id string, grade int``. Blank lines are skipped; any other
+    line without four fields, or whose query id or grade is no whole number,
+    fails the read with the line in the message."""
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line")).where("line <> ''")
+    part = F.split("line", " ")
+    q_id, grade = F.get(part, F.lit(0)).try_cast("long"), F.get(part, F.lit(3)).try_cast("int")
+    good = (F.size(part) == 4) & q_id.isNotNull() & grade.isNotNull()
+    bad = F.raise_error(F.concat(F.lit("not a qrels line: "), F.col("line")))
+    return lines.select(
+        F.when(good, q_id).otherwise(bad.cast("long")).alias("q_id"),
+        F.when(good, F.get(part, F.lit(2))).otherwise(bad.cast("string")).alias("d_id"),
+        F.when(good, grade).otherwise(bad.cast("int")).alias("grade"),
+    )
 
 
-def read_trec_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """Space-separated ``qid _ docid grade``."""
-    return spark.read.schema(QRELS_SCHEMA).option("sep", " ").csv(path).drop("unused")
+def read_bounds(spark: SparkSession, path: str) -> tuple[float, float]:
+    """K2 read back: ``(min_score, max_score)``."""
+    row = spark.read.schema("max_score double, min_score double").json(path).first()
+    return row["min_score"], row["max_score"]
 
 
 def read_ranking_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -1,33 +1,22 @@
-import math
+"""The checkpoint folder rule and the one-row parameter tables."""
+
+import types
 
 import pytest
-from pyspark.sql import functions as F
 
-from layerlens.session import attach_params
+from layerlens import session
+from layerlens.operators.inference import one_row
 
 
-def test_attach_params_is_a_folded_constant(spark):
-    params = spark.createDataFrame(
-        [({0: [1.0, 2.0], -1: [0.5, float("nan")]}, [[1.0, -2.0], [3.0, 4.0]], 7)],
-        "centroids map<int, array<double>>, w array<array<double>>, k int",
-    )
-    df = spark.range(5).withColumnRenamed("id", "i")
-    out = attach_params(df, params)
-    assert out.columns == ["i", "centroids", "w", "k"]
-    rows = out.orderBy("i").collect()
-    assert [r.i for r in rows] == list(range(5))
-    r = rows[3]
-    assert r.centroids[0] == [1.0, 2.0] and r.centroids[-1][0] == 0.5 and math.isnan(r.centroids[-1][1])
-    assert r.w == [[1.0, -2.0], [3.0, 4.0]] and r.k == 7
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan and "from_json" not in plan
-    assert out.select(F.element_at(F.element_at("w", 2), 1).alias("x")).first().x == 3.0
+def test_one_row_tables(spark):
+    assert one_row(spark.createDataFrame([([[1.0, 2.0]], 7)], "w array<array<double>>, k int")) == {"w": [[1.0, 2.0]], "k": 7}
+    with pytest.raises(ValueError, match="exactly one row"):
+        one_row(spark.createDataFrame([([0.0],), ([1.0],)], "w array<double>"))
 
 
-def test_attach_params_checks_size_and_rows(spark):
-    big = spark.createDataFrame([([0.0] * 100,)], "w array<double>")
-    with pytest.raises(ValueError, match="bound"):
-        attach_params(spark.range(1), big, max_values=99)
-    two = spark.createDataFrame([([0.0],), ([1.0],)], "w array<double>")
-    with pytest.raises(ValueError, match="exactly one row"):
-        attach_params(spark.range(1), two)
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"])
+def test_no_local_folder_on_a_cluster(master):
+    conf = types.SimpleNamespace(get=lambda k, d=None: d)
+    sc = types.SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master=master)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(types.SimpleNamespace(sparkContext=sc))
