@@ -25,9 +25,10 @@ NO_ID = np.iinfo(np.int64).max
 
 def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
     """As many chunks that one holds about ``chunk_bytes`` of text, and at
-    least two for each shuffle partition."""
+    least as many as there are shuffle partitions. Packed lists are one row
+    for each chunk and bucket, so neither number is larger than needed."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // chunk_bytes) + 1)
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // chunk_bytes) + 1)
 
 
 def chunk_of(doc_id: Column, n: int) -> Column:
