@@ -155,6 +155,24 @@ def test_jaccard_long_list_of_unlinked_sets(spark):
     check_jaccard(spark.createDataFrame(list(enumerate(texts)), DOC).repartition(4), 4, 50)
 
 
+def test_jaccard_blocks_and_hubs(spark, monkeypatch):
+    """Copies of copies, so that hubs link few of them directly."""
+    monkeypatch.setattr(jaccard, "MORE_HUBS", 1)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+    rng = random.Random(9)
+    texts = []
+    for _ in range(2):
+        chain = [copies(rng, 1, 120, 0)[0].split()]
+        for _ in range(70):
+            w = list(rng.choice(chain[-25:]))
+            for _ in range(rng.randint(1, 4)):
+                w[rng.randrange(len(w))] = f"x{rng.randint(0, 10**6)}"
+            chain.append(w)
+        texts += [" ".join(w) for w in chain]
+    rng.shuffle(texts)
+    check_jaccard(spark.createDataFrame(list(enumerate(texts)), DOC).repartition(4))
+
+
 def test_jaccard_rule_covers_every_linked_pair():
     for rule in (jaccard.Rule(4, 85), jaccard.Rule(5, 80), jaccard.Rule(2, 50)):
         for a in range(1, 80):
