@@ -8,6 +8,7 @@ ASCII bytes, so in UTF-8 the scan can work on bytes and never decodes.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,6 +46,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def give_back() -> None:
+    """At the end of a task: return freed memory to the system, since the
+    worker process lives on and the next task may need little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 # ---------------------------------------------------------------- Arrow rows
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerlens.llm.common import text_slices
+from layerlens.llm.common import give_back, text_slices
 
 MAX_N = 3
 BINS = 1 << 14
@@ -45,7 +45,7 @@ def _letter_codes() -> np.ndarray:
     """Code of each code point: letters their lower-case code point, all else
     0. Built once per process from Python's character data."""
     if not _CODE:
-        table = np.zeros(0x110000, np.int64)
+        table = np.zeros(0x110000, np.int32)
         for c in range(0x30000):
             ch = chr(c)
             if ch.isalpha():
@@ -221,5 +221,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                     names=[*carried, "lang_pred", "score"],
                 )
+        give_back()
 
     return docs.mapInArrow(run, out)

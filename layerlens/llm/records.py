@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from layerlens.llm.common import LOWER as _LOWER
-from layerlens.llm.common import Words, scan, text_slices
+from layerlens.llm.common import Words, give_back, scan, text_slices
 from layerlens.llm.idtable import IdTable
 
 SHARD_RECORDS = 1000
@@ -177,6 +177,7 @@ def write_records(docs: DataFrame, path: str, vocab_path: str, end_id: int) -> N
                 ids = encoder.encode(part.column(1), end_id)
                 rows = [frame(d, x, encoder.wide) for d, x in zip(part.column(0).to_pylist(), ids)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["record"])
+        give_back()
 
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

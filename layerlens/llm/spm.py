@@ -30,12 +30,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from layerlens.llm.common import Words, text_bytes, text_slices
+from layerlens.llm.common import Words, give_back, text_bytes, text_slices
 from layerlens.llm.idtable import IdTable
 
 BLANK = "\u2581"
 CACHE_STRINGS = 1_000_000
-PAIRS = 2_000_000
+PAIRS = 500_000
 
 
 class PieceLattice:
@@ -51,7 +51,7 @@ class PieceLattice:
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.longest = max(map(len, self.id))
         self.begins = {p[:n] for p in self.id for n in range(1, len(p) + 1)}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """What the model makes of a short text: the best-scored joinable
@@ -68,7 +68,9 @@ class PieceLattice:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def allowed(self, left: str, right: str) -> bool:
-        key = (left, right)
+        # unknown single characters are numbered after the pieces
+        a, b = (self.id.get(p, -1) for p in (left, right))
+        key = (a if a >= 0 else len(self.pieces) + ord(left)) * 0x200000 + (b if b >= 0 else len(self.pieces) + ord(right))
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= PAIRS:
@@ -238,5 +240,6 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
                     [*kept, lists, pa.array(size, pa.int64()), pa.array(same, pa.bool_())],
                     names=[*carried, "ids", "n_ids", "round_trip"],
                 )
+        give_back()
 
     return docs.mapInArrow(run, schema)

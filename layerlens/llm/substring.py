@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from layerlens.llm import chunks
-from layerlens.llm.common import Words, scan, windows
+from layerlens.llm.common import Words, give_back, scan, windows
 
 WINDOW = 13
 ANCHOR = 7
@@ -96,6 +96,11 @@ def _bits(table: pa.Table, phase: int) -> dict[int, bytes]:
     return {b: x for p, b, x in rows if p == phase}
 
 
+def _done(table: pa.Table) -> pa.Table:
+    give_back()
+    return table
+
+
 def _in_several(group: np.ndarray, low: np.ndarray, several: np.ndarray) -> np.ndarray:
     count = np.bincount(group)
     known = np.bincount(group, weights=several) > 0
@@ -120,7 +125,7 @@ def dedup(docs: DataFrame, untouched: bool = False) -> DataFrame:
 
     # no type hints on functions given to applyInArrow: Spark reads them
     def seeds(key, table):
-        return chunks.send(key[0].as_py(), n, *Chunk(table.rename_columns(names)).seeds())
+        return _done(chunks.send(key[0].as_py(), n, *Chunk(table.rename_columns(names)).seeds()))
 
     def shared_in(table: pa.Table, replies: pa.Table) -> np.ndarray:
         h, _, _ = Chunk(table).seeds()
@@ -128,7 +133,7 @@ def dedup(docs: DataFrame, untouched: bool = False) -> DataFrame:
 
     def extend(key, table, replies):
         table = table.rename_columns(names)
-        return chunks.send(key[0].as_py(), n, *Chunk(table).extended(shared_in(table, replies)))
+        return _done(chunks.send(key[0].as_py(), n, *Chunk(table).extended(shared_in(table, replies))))
 
     out_names = [c for c in names if c != "_llm_chunk"]
     span = T.StructType().add("first", "long").add("end", "long")
@@ -152,7 +157,7 @@ def dedup(docs: DataFrame, untouched: bool = False) -> DataFrame:
             parts.append(_cut(batch, w, hit, out_names, schema_arrow, untouched))
         if not parts:
             return pa.Table.from_batches([], schema=schema_arrow)
-        return pa.Table.from_batches(parts, schema=schema_arrow)
+        return _done(pa.Table.from_batches(parts, schema=schema_arrow))
 
     schema_arrow = to_arrow_schema(schema)
     by_chunk = dealt.groupBy("_llm_chunk")

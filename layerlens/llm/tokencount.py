@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerlens.llm.common import byte_lengths, text_slices
+from layerlens.llm.common import byte_lengths, give_back, text_slices
 
 # Unicode White_Space, and the pattern that the public
 # byte-level vocabulary splits text with before merging.
@@ -208,6 +208,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 1024) -> DataFra
                     [part.column(0), pa.array(byte_lengths(part.column(1)), pa.int64()), pa.array(n, pa.int64())],
                     names=["doc_id", "n_bytes", "n_tokens"],
                 )
+        give_back()
 
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_bytes long, n_tokens long"
