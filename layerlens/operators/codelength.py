@@ -89,7 +89,9 @@ def scored_chunks(
     # (sweep points × K-1) rows of C centroids of D values: bounded by the
     # parameters, not by the data
     scored = centroid_logits(chunks.join(F.broadcast(cents), keys, "left"), num_classes, vector)
-    return scored.withColumn("ce", cross_entropy(F.col("logits"), F.col(label)))
+    # an empty portion has no probe: its chunk is coded uniformly
+    ce = F.coalesce(cross_entropy(F.col("logits"), F.col(label)), F.lit(math.log(num_classes)))
+    return scored.withColumn("ce", ce).withColumn("missing_class", F.coalesce("missing_class", F.lit(1)))
 
 
 def score_centroids(rows: DataFrame, fitted: DataFrame, num_classes: int, vector: str = "vector") -> DataFrame:

@@ -216,6 +216,43 @@ def ranking_report(per_query: DataFrame, ks: Sequence[int] = (10, 20)) -> DataFr
     return wide.selectExpr(stack, "n_queries")
 
 
+# The metrics reported for each split.
+SPLIT_BUNDLES = {
+    "train": ("accuracy", "macro_f1"),
+    "validation": ("accuracy", "macro_f1", "precision@10", "precision@20", "mrr", "map"),
+    "test": ("accuracy", "macro_f1", "precision@10", "precision@20", "mrr", "trec_map", "trec_ndcg@10", "trec_ndcg@20"),
+}
+
+
+def split_bundles(scored: DataFrame, qrels: DataFrame, num_classes: int, q: str = "q_id", doc: Sequence[str] = ("d_id",)) -> DataFrame:
+    """A9 by split: ``(split, metric, value)``. ``scored`` has ``split``, the
+    query and document keys, ``label``, ``pred``, ``score`` and, for splits
+    without judgements, ``own_grade``."""
+    from layerlens.operators import classification as C
+
+    doc = list(doc)
+    out = None
+    for split, wanted in SPLIT_BUNDLES.items():
+        rows = scored.filter(F.col("split") == split)
+        parts = [
+            C.accuracy(rows).select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
+            C.macro_f1(rows, num_classes).select(F.lit("macro_f1").alias("metric"), F.col("macro_f1").alias("value")),
+        ]
+        if len(wanted) > 2:
+            run = rows.select(q, *doc, "score", "own_grade")
+            if split == "test":
+                per_query = evaluate_run(run, qrels, q, doc)
+            else:
+                judged = judge_run(run, qrels, q, doc, split=split, label="own_grade")
+                ranked = rank_run(judged, q, doc, "score", run)
+                per_query = trec_metrics(per_query_metrics(ranked, q), ideal_dcg(qrels, q), q)
+            parts.append(ranking_report(per_query).filter(F.col("metric").isin(*wanted)).select("metric", "value"))
+        for part in parts:
+            part = part.select(F.lit(split).alias("split"), "metric", "value")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def trec_run_rows(ranked: DataFrame, q: str, doc_id: Column, score: str, name: str) -> DataFrame:
     """K4/R10 rows ``q_id Q0 doc_id rank score name`` (rank from 1)."""
     return ranked.select(

@@ -4,7 +4,7 @@
 * word split (X2) is ``regexp_extract_all`` on the JVM: runs of letters /
   digits / marks are words, every other non-blank character is its own
   token;
-* WordPiece (X1, uncased: lower-case, accents stripped, greedy longest match,
+* WordPiece (X1, uncased: word rules of its own, lower-case, accents stripped, greedy longest match,
   ``##`` continuation, ``[UNK]`` for unmatchable words or words longer than
   100 characters) runs in an Arrow ``pandas_udf`` over each document's whole
   word array, with a per-process cache of words already split. Nothing is
@@ -41,9 +41,28 @@ MAX_CHARS_PER_WORD = 100
 # token of its own. Blanks are spelled out so both regex engines agree.
 WORD_PATTERN = r"[\p{L}\p{N}\p{M}]+|[^\t\n\x0B\f\r \p{L}\p{N}\p{M}]"
 
+# The word rules of the uncased scheme: control characters go, every kind of
+# blank parts words, punctuation (ASCII symbols and all of category P) and
+# ideographs are tokens of their own. Other symbols, as currency signs, stay
+# within words.
+_BLANK = r"[\t\n\r\p{Z}]"
+_DROPPED = r"[\p{Cc}\p{Cf}\p{Co}\x{FFFD}]"
+_PUNCT = r"!-/:-@\[-`{-~\p{P}"
+_IDEOGRAPH = (
+    r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}"
+    r"\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}"
+)
+PIECE_WORD_PATTERN = rf"[{_PUNCT}]|[{_IDEOGRAPH}]|[^ {_PUNCT}{_IDEOGRAPH}]+"
+
 MAX_VOCAB_ROWS = 2_000_000
 
 
+def piece_words(text: Column) -> Column:
+    """The words that WordPiece splits, in order (array<string>)."""
+    clean = F.regexp_replace(F.regexp_replace(text, _BLANK, " "), _DROPPED, "")
+    return F.regexp_extract_all(clean, F.lit(PIECE_WORD_PATTERN), 0)
+
+
 def words(text: Column) -> Column:
     """Word tokens of a text, in order (array<string>)."""
     return F.regexp_extract_all(text, F.lit(WORD_PATTERN), 0)
@@ -161,7 +180,7 @@ def _word_counts(texts: DataFrame, text: str) -> DataFrame:
 
     return (
         texts.select(text)
-        .select(F.explode(words(F.col(text))).alias("w"))
+        .select(F.explode(piece_words(F.col(text))).alias("w"))
         .groupBy("w").agg(F.count(F.lit(1)).alias("c"))
         .select(norm(F.col("w")).alias("w"), "c")
         .groupBy("w").agg(F.sum("c").alias("c"))
@@ -218,7 +237,7 @@ def tokenize_texts(df: DataFrame, vocab: dict[str, int], text: str = "text", pre
     """Add ``{prefix}words`` and ``{prefix}pieces`` (struct of ids,
     per-word counts and offsets) for the whole text of every row."""
     tok = make_tokenizer(vocab)
-    return df.withColumn(f"{prefix}words", words(F.col(text))).withColumn(
+    return df.withColumn(f"{prefix}words", piece_words(F.col(text))).withColumn(
         f"{prefix}pieces", tok(F.col(f"{prefix}words"))
     )
 
@@ -321,3 +340,14 @@ def padded_batches(df: DataFrame, rank: str, ids: str, batch_size: int, pad_id:
     return b.withColumn("padded", F.concat(F.col(ids), pad)).withColumn(
         "mask", F.concat(F.array_repeat(F.lit(1), F.col("_len")), F.array_repeat(F.lit(0), F.col("_max") - F.col("_len")))
     ).drop("_len", "_max")
+
+
+def batch_targets(batches: DataFrame, targets: str = "targets") -> DataFrame:
+    """The spans and labels of a batch as flat rows, each with the place
+    of its text in the batch: ``batch, i, target_idx, span1_a, …, label``."""
+    return batches.select("batch", "i", F.posexplode(targets).alias("target_idx", "t")).select(
+        "batch", "i", "target_idx",
+        F.col("t.span1.a").alias("span1_a"), F.col("t.span1.b").alias("span1_b"),
+        F.col("t.span2.a").alias("span2_a"), F.col("t.span2.b").alias("span2_b"),
+        F.col("t.label").alias("label"),
+    )

@@ -7,13 +7,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.sql import functions as F
 
-from layerlens.functions.columns import softmax
+from layerlens.functions.columns import rotate_left
 from layerlens.operators import classification as C
 from layerlens.operators import codelength as L
-from layerlens.operators import probes as P
 from layerlens.operators import ranking as R
 from layerlens.operators import targets as T
 from layerlens.operators.sampling import split_fits
@@ -161,57 +159,45 @@ def ranking_star_files(spark, sf_dir):
     return T.ranking_pairs(star["pairs"], star["queries"], star["docs"])
 
 
-_SWEEP = [(0, 16), (1, 32), (2, 48), (3, 64)]
+_GRID = [(m, l) for m in (0, 1) for l in (0, 1, 2)]
 
 
 @register("layer_sweep", oracle=f"""
-WITH p AS (SELECT vec_id AS id, embedding AS v0, label, {_PERM.format(id='vec_id')} AS perm FROM embeddings),
-lay AS (SELECT * FROM (VALUES {", ".join(f"({a}, {b})" for a, b in _SWEEP)}) t(layer, dims)),
-pl AS (SELECT p.id, p.label, p.perm, lay.layer, list_slice(p.v0, 1, lay.dims) AS v FROM p CROSS JOIN lay),
+WITH p AS (SELECT vec_id AS id, embedding AS e, label, {_PERM.format(id='vec_id')} AS perm FROM embeddings),
+grid AS (SELECT * FROM (VALUES {", ".join(map(str, _GRID))}) t(model, layer)),
+pl AS (SELECT p.id, p.label, p.perm, model, layer,
+         list_transform(range(0, 64), lambda i: e[i + 1] * (1 + model * (i % 3)) + layer * 0.5 * e[((i + layer) % 64) + 1]) AS v
+       FROM p CROSS JOIN grid),
 fr AS (SELECT * FROM (VALUES (0, 0.0625), (1, 0.125), (2, 0.25), (3, 0.5), (4, 1.0)) t(portion_idx, fraction)),
 pt0 AS (SELECT portion_idx, CAST(floor((SELECT count(*) FROM embeddings) * fraction) AS BIGINT) AS n FROM fr),
 pt AS (SELECT portion_idx, n, lead(n) OVER (ORDER BY portion_idx) AS n_next FROM pt0),
-mem AS (SELECT pl.layer * 10 + pt.portion_idx AS g, pl.v, pl.label FROM pl JOIN pt ON pl.perm < pt.n WHERE pt.n_next IS NOT NULL),
-chk AS (SELECT pl.layer * 10 + pt.portion_idx AS g, pl.id, pl.v, pl.label FROM pl JOIN pt ON pl.perm >= pt.n AND pl.perm < pt.n_next),
+mem AS (SELECT (pl.model * 10 + pl.layer) * 10 + pt.portion_idx AS g, pl.v, pl.label FROM pl JOIN pt ON pl.perm < pt.n WHERE pt.n_next IS NOT NULL),
+chk AS (SELECT (pl.model * 10 + pl.layer) * 10 + pt.portion_idx AS g, pl.id, pl.v, pl.label FROM pl JOIN pt ON pl.perm >= pt.n AND pl.perm < pt.n_next),
 {_centroid_sql('mem', 'chk')},
 n0 AS (SELECT n AS n0 FROM pt WHERE portion_idx = 0),
 tot AS (SELECT count(*) AS t FROM embeddings),
-per AS (SELECT g // 10 AS layer, sum(ce) AS ce, count(*) AS n_scored FROM sc GROUP BY g // 10)
-SELECT CAST(layer AS INTEGER) AS layer, round(n0 * log2({NUM_CLASSES}) + ce, 6) AS mdl,
+per AS (SELECT g // 10 AS point, sum(ce) AS ce, count(*) AS n_scored FROM sc GROUP BY g // 10)
+SELECT CAST(point // 10 AS INTEGER) AS model, CAST(point % 10 AS INTEGER) AS layer,
+       round(n0 * log2({NUM_CLASSES}) + ce, 6) AS mdl,
        round(t * log2({NUM_CLASSES}) / (n0 * log2({NUM_CLASSES}) + ce), 6) AS compression, n_scored
 FROM per, n0, tot
 """)
 def layer_sweep(spark, sf_dir):
-    """M9/K6: MDL and compression for four sweep points ("layers" exposing
-    16, 32, 48, 64 vector components) in one job."""
-    layers = spark.createDataFrame(_SWEEP, "layer int, dims int")
-    res = L.layer_sweep(f3_vectors(spark, sf_dir), layers, NUM_CLASSES, F3_PORTIONS)
-    return res.select("layer", F.round("mdl", 6).alias("mdl"), F.round("compression", 6).alias("compression"),
+    """M8/M9: features of two models and three layers written once, a folder
+    for each, then MDL and compression at every point of the grid, read from
+    the stored features in one job."""
+    path = scratch(spark, "features")
+    points = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(l).alias("layer")) for m, l in _GRID]))
+    rows = f3_vectors(spark, sf_dir).withColumn("_p", points).select("id", "label", "vector", "_p.model", "_p.layer")
+    turned = rotate_left(F.col("vector"), F.col("layer"))
+    stretch = F.transform("vector", lambda x, i: x * (1 + F.col("model") * (i % 3)))
+    state = F.zip_with(stretch, turned, lambda x, y: x + F.col("layer") * 0.5 * y)
+    rows.withColumn("vector", state).write.partitionBy("model", "layer").parquet(path)
+    res = L.sweep(spark.read.parquet(path), ["model", "layer"], NUM_CLASSES, F3_PORTIONS)
+    return res.select("model", "layer", F.round("mdl", 6).alias("mdl"), F.round("compression", 6).alias("compression"),
                       F.col("n_scored").cast("long").alias("n_scored"))
 
 
-def _fit_and_store(spark, sf_dir):
-    sp = P.features(_f3_split(spark, sf_dir))
-    model = P.probe_estimator("mlp", 64, NUM_CLASSES, hidden_dim=32, max_iter=50).fit(sp.filter(F.col("split") == "train"))
-    path = scratch(spark, "probe")
-    model.write().overwrite().save(path)
-    return sp, path
-
-
-@register("test_only")
-def test_only(spark, sf_dir):
-    """A10: load a stored probe and evaluate it on the test split:
-    accuracy, macro F1 and loss (rows-only)."""
-    sp, path = _fit_and_store(spark, sf_dir)
-    model = MultilayerPerceptronClassificationModel.load(path)
-    pred = P.predict(model, sp.filter(F.col("split") == "test"), keep=("id",))
-    pred = pred.withColumn("ce", -F.log(F.element_at(softmax(F.col("logits")), F.col("label") + 1)))
-    acc = C.accuracy(pred).first()["accuracy"]
-    f1 = C.macro_f1(pred, NUM_CLASSES).first()["macro_f1"]
-    loss = pred.agg(F.avg("ce")).first()[0]
-    return spark.createDataFrame([(acc, f1, loss)], "accuracy double, macro_f1 double, loss double")
-
-
 @register("full_procedure", oracle=f"""
 WITH f3 AS (SELECT vec_id AS id, embedding AS v, label FROM embeddings),
 sz AS (SELECT count(*) * 6 // 10 AS n_train, count(*) * 3 // 10 AS n_test FROM embeddings),

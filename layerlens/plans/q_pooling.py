@@ -11,6 +11,7 @@ from layerlens.operators import text as X
 from layerlens.plans.fixtures import f5_hidden_states, f5_spans
 from layerlens.plans.registry import register
 from layerlens.sources.tables import table
+from layerlens.streaming.metric_streams import scratch
 
 VOCAB = 1000
 DIM = 16
@@ -77,8 +78,11 @@ WITH {_F5}
 SELECT seq, pos, round(list_sum(vector), 5) AS v_sum, round(vector[1], 6) AS v0 FROM f5
 """)
 def layer_select(spark, sf_dir):
-    """M3: the hidden states of the probed layer (layer 1 of F5)."""
-    h = M.select_layer(f5_hidden_states(spark, sf_dir), LAYER)
+    """M3/M8: hidden states of all layers written once, a folder for each;
+    then the probed layer read back, which opens that folder only."""
+    path = scratch(spark, "hidden-states")
+    M.write_hidden_states(f5_hidden_states(spark, sf_dir), path)
+    h = M.select_layer(spark.read.parquet(path), LAYER)
     return h.select(
         "seq", "pos",
         F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 5).alias("v_sum"),
@@ -86,7 +90,7 @@ def layer_select(spark, sf_dir):
     )
 
 
-def _pool_sql(name: str, spans: str, slot: int) -> str:
+def _pool_sql(name: str, spans: str, slot: int, POOL_DIM: int = POOL_DIM) -> str:
     w = f"(((r * 7 + d * 3 + {slot}) % 11) - 5) / 10.0"
     b = f"(((r * 5 + {slot}) % 7) - 3) / 10.0"
     v = f"(((r * 3 + {slot}) % 5) - 2) / 10.0"
@@ -114,10 +118,13 @@ spans AS (SELECT seq, 0 AS target_idx, 3 AS a, 8 AS b FROM seqs
           UNION ALL SELECT seq, 2, 17, 25 FROM seqs WHERE seq = 0)"""
 
 
-def _pooled(spark, sf_dir, slot=0, spans=None):
+def _pooled(spark, sf_dir, slot=0, spans=None, width=64, pool_dim=POOL_DIM):
+    """``width``: the 64 components of a state are repeated up to it."""
     tokens = M.select_layer(f5_hidden_states(spark, sf_dir), LAYER)
+    if width != 64:
+        tokens = tokens.withColumn("vector", F.flatten(F.array_repeat("vector", width // 64)))
     spans = f5_spans(spark, sf_dir) if spans is None else spans
-    params = M.projection_params(spark, 64, POOL_DIM)
+    params = M.projection_params(spark, width, pool_dim)
     return M.attention_pool(tokens, spans, params, slot)
 
 
@@ -145,6 +152,15 @@ def span_attention_pool(spark, sf_dir):
     return _summary(_pooled(spark, sf_dir, 0))
 
 
+@register("span_attention_pool_768", oracle=f"""
+WITH {_F5.replace("range(0, len(embedding))", "range(0, 768)")}, {_SPANS}, {_pool_sql('pool0', 'spans', 0, 256)}
+{_SUMMARY} FROM pool0
+""")
+def span_attention_pool_768(spark, sf_dir):
+    """M4 at the usual sizes: 768 components projected to 256."""
+    return _summary(_pooled(spark, sf_dir, 0, None, 768, 256))
+
+
 @register("pair_concat", oracle=f"""
 WITH {_F5},
 seqs AS (SELECT DISTINCT CAST(vec_id // 20 AS INTEGER) AS seq FROM embeddings),

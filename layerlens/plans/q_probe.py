@@ -9,10 +9,14 @@ from layerlens.functions.columns import softmax
 from layerlens.operators import classification as C
 from layerlens.operators import codelength as L
 from layerlens.operators import probes as P
+from layerlens.operators import ranking as R
 from layerlens.operators import sampling as S
 from layerlens.plans.fixtures import f3_vectors
 from layerlens.plans.q_dataset import F3_PORTIONS, _PERM, _split_sizes
 from layerlens.plans.registry import register
+from layerlens.session import materialize
+from layerlens.sources.tables import table
+from layerlens.streaming.metric_streams import scratch
 
 NUM_CLASSES = 10
 
@@ -192,59 +196,246 @@ def _vec_rule(i: str, salt: int) -> str:
     return f"(((({i}) * 5 + {salt}) % 7) - 3) / 10.0"
 
 
-_TENNEY_SQL = f"""
-h1 AS (SELECT id, list_transform(range(0, {_HIDDEN}), lambda hi:
-          tanh(list_sum(list_transform(range(0, len(v)), lambda d: {_rule('hi', 'd', 0)} * v[d + 1])) + {_vec_rule('hi', 0)})) AS h
-       FROM f3),
+def _linear_sql(rows: int, cols: int, x: str, w_salt: int, b_salt: int) -> str:
+    return (f"list_transform(range(0, {rows}), lambda hi: list_sum(list_transform(range(0, {cols}), lambda d: "
+            f"{_rule('hi', 'd', w_salt)} * {x}[d + 1])) + {_vec_rule('hi', b_salt)})")
+
+
+def _tenney_sql(dim: int = 64, hidden: int = _HIDDEN) -> str:
+    """CTEs from ``f3(id, v)`` to ``out(id, z)``."""
+    return f"""
+h1 AS (SELECT id, list_transform({_linear_sql(hidden, dim, 'v', 0, 0)}, lambda x: tanh(x)) AS h FROM f3),
 ln AS (SELECT id, h, list_sum(h) / len(h) AS mu FROM h1),
 ln2 AS (SELECT id, h, mu, list_sum(list_transform(h, lambda x: (x - mu) * (x - mu))) / len(h) AS var FROM ln),
-hn AS (SELECT id, list_transform(range(0, {_HIDDEN}), lambda hi:
+hn AS (SELECT id, list_transform(range(0, {hidden}), lambda hi:
           (h[hi + 1] - mu) / sqrt(var + 1e-5) * (1.0 + hi / 10.0) + {_vec_rule('hi', 1)}) AS h FROM ln2),
-out AS (SELECT id, list_transform(range(0, {NUM_CLASSES}), lambda c:
-          list_sum(list_transform(range(0, {_HIDDEN}), lambda hi: {_rule('c', 'hi', 1)} * h[hi + 1])) + {_vec_rule('c', 2)}) AS z
-        FROM hn)"""
+out AS (SELECT id, {_linear_sql(NUM_CLASSES, hidden, 'h', 1, 2)} AS z FROM hn)"""
+
+
+def _hewitt_sql(dim: int, hidden: int) -> str:
+    return f"""
+h1 AS (SELECT id, list_transform({_linear_sql(hidden, dim, 'v', 0, 0)}, lambda x: greatest(x, 0.0)) AS h FROM f3),
+h2 AS (SELECT id, list_transform({_linear_sql(hidden, hidden, 'h', 2, 1)}, lambda x: greatest(x, 0.0)) AS h FROM h1),
+out AS (SELECT id, {_linear_sql(NUM_CLASSES, hidden, 'h', 1, 2)} AS z FROM h2)"""
+
+
+_SCORED = """SELECT id, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS pred, round(list_max(z), 6) AS z_max,
+       round(z[1], 6) AS z_0"""
+
+
+def _scored(df):
+    z = F.col("logits")
+    return df.select(
+        "id",
+        (F.array_position(z, F.array_max(z)) - 1).cast("int").alias("pred"),
+        F.round(F.array_max(z), 6).alias("z_max"),
+        F.round(F.element_at(z, 1), 6).alias("z_0"),
+    )
 
 
 @register("probe_score", oracle=f"""
-WITH f3 AS (SELECT vec_id AS id, embedding AS v FROM embeddings), {_TENNEY_SQL}
-SELECT id, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS pred, round(list_max(z), 6) AS z_max,
-       round(z[1], 6) AS z_0 FROM out
+WITH f3 AS (SELECT vec_id AS id, embedding AS v FROM embeddings), {_tenney_sql()}
+{_SCORED} FROM out
 """)
 def probe_score(spark, sf_dir):
     """M7: forward pass of stored probe weights (1-hidden-layer head: Linear,
     Tanh, LayerNorm, Linear) over every pooled vector."""
-    f3 = f3_vectors(spark, sf_dir)
     params = P.params_from_rule(spark, 64, _HIDDEN, NUM_CLASSES, "tenney")
-    scored = P.score_with_weights(f3, params, "tenney")
-    z = F.col("logits")
-    return scored.select(
-        "id",
-        (F.array_position(z, F.array_max(z)) - 1).cast("int").alias("pred"),
-        F.round(F.array_max(z), 6).alias("z_max"),
-        F.round(F.element_at(z, 1), 6).alias("z_0"),
+    return _scored(P.score_with_weights(f3_vectors(spark, sf_dir), params, "tenney"))
+
+
+_F3_WIDE = """WITH f3 AS (SELECT vec_id AS id, list_transform(range(0, 512), lambda i: embedding[(i % 64) + 1]) AS v FROM embeddings)"""
+
+
+def _wide(spark, sf_dir, kind):
+    wide = f3_vectors(spark, sf_dir).withColumn("vector", F.flatten(F.array_repeat("vector", 8)))
+    return _scored(P.score_with_weights(wide, P.params_from_rule(spark, 512, 256, NUM_CLASSES, kind), kind))
+
+
+@register("probe_score_512", oracle=f"""
+{_F3_WIDE}, {_tenney_sql(512, 256)}
+{_SCORED} FROM out
+""")
+def probe_score_512(spark, sf_dir):
+    """M7 at the usual pair size, 512 → 256 → classes, first head."""
+    return _wide(spark, sf_dir, "tenney")
+
+
+@register("probe_score_512_relu", oracle=f"""
+{_F3_WIDE}, {_hewitt_sql(512, 256)}
+{_SCORED} FROM out
+""")
+def probe_score_512_relu(spark, sf_dir):
+    """M7 at the usual pair size, second head (two ReLU layers)."""
+    return _wide(spark, sf_dir, "hewitt")
+
+
+_RULE_SCORED = f"""
+{_F3_SPLIT}, {_tenney_sql()},
+sc0 AS (SELECT sp.id, split, label, z, list_max(z) AS m FROM out JOIN sp USING (id)),
+sc AS (SELECT id, split, label, list_position(z, m) - 1 AS pred,
+         m + ln(list_sum(list_transform(z, lambda x: exp(x - m)))) AS lse, z FROM sc0 WHERE split IS NOT NULL),
+cls AS (SELECT range AS k FROM range(0, {NUM_CLASSES})),
+st AS (SELECT s.split, cls.k,
+         sum(CASE WHEN label = k AND pred = k THEN 1 ELSE 0 END) AS tp,
+         sum(CASE WHEN label <> k AND pred = k THEN 1 ELSE 0 END) AS fp,
+         sum(CASE WHEN label = k AND pred <> k THEN 1 ELSE 0 END) AS fn
+       FROM sc s CROSS JOIN cls GROUP BY s.split, cls.k),
+f1 AS (SELECT split, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) END) AS f1 FROM st GROUP BY split),
+acc AS (SELECT split, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS acc, avg(lse - z[label + 1]) AS loss FROM sc GROUP BY split)"""
+
+
+def rule_scored(spark, sf_dir):
+    """Rows of all F3 splits scored by a stored probe: the weights are
+    written, loaded again and applied."""
+    path = scratch(spark, "probe-weights")
+    P.params_from_rule(spark, 64, _HIDDEN, NUM_CLASSES, "tenney").write.parquet(path)
+    scored = P.score_with_weights(_f3_split(spark, sf_dir), spark.read.parquet(path), "tenney")
+    return C.with_predictions(scored)
+
+
+@register("test_only", oracle=f"""
+WITH {_RULE_SCORED}
+SELECT metric, round(value, 6) AS value FROM (
+  SELECT 'accuracy' AS metric, acc AS value FROM acc WHERE split = 'test'
+  UNION ALL SELECT 'macro_f1', f1 FROM f1 WHERE split = 'test'
+  UNION ALL SELECT 'loss', loss FROM acc WHERE split = 'test')
+""")
+def test_only(spark, sf_dir):
+    """A10: load a stored probe and evaluate it on the test split."""
+    test = rule_scored(spark, sf_dir).filter(F.col("split") == "test")
+    rows = [
+        C.accuracy(test).select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
+        C.macro_f1(test, NUM_CLASSES).select(F.lit("macro_f1").alias("metric"), F.col("macro_f1").alias("value")),
+        C.mean_cross_entropy(test).select(F.lit("loss").alias("metric"), F.col("loss").alias("value")),
+    ]
+    out = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return out.select("metric", F.round("value", 6).alias("value"))
+
+
+_QUERIES = 25
+
+
+@register("probe_ranking_bundles", oracle=f"""
+WITH {_RULE_SCORED},
+run AS (SELECT split, id % {_QUERIES} AS q, id, exp(z[{NUM_CLASSES}] - lse) AS score,
+          CASE WHEN label >= 7 THEN label - 6 ELSE 0 END AS grade FROM sc),
+rk AS (SELECT *, CASE WHEN grade >= 1 THEN 1 ELSE 0 END AS rel,
+         row_number() OVER (PARTITION BY split, q ORDER BY score DESC, id) AS rnk FROM run),
+cu AS (SELECT *, sum(rel) OVER (PARTITION BY split, q ORDER BY rnk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM rk),
+pq AS (SELECT split, q, sum(rel) AS n_rel,
+    sum(CASE WHEN rnk <= 10 THEN rel ELSE 0 END) / 10.0 AS p10, sum(CASE WHEN rnk <= 20 THEN rel ELSE 0 END) / 20.0 AS p20,
+    min(CASE WHEN rel = 1 THEN rnk END) AS first_rel, avg(CASE WHEN rel = 1 THEN cum / rnk END) AS ap,
+    sum(CASE WHEN rel = 1 THEN cum / rnk ELSE 0 END) AS ap_sum,
+    sum(CASE WHEN rnk <= 10 THEN grade / log2(rnk + 1) ELSE 0 END) AS d10,
+    sum(CASE WHEN rnk <= 20 THEN grade / log2(rnk + 1) ELSE 0 END) AS d20
+  FROM cu GROUP BY split, q),
+qrels AS (SELECT vec_id % {_QUERIES} AS q, CASE WHEN label >= 7 THEN label - 6 ELSE 0 END AS grade FROM embeddings),
+ideal AS (SELECT q, sum(CASE WHEN r <= 10 THEN grade / log2(r + 1) ELSE 0 END) AS i10,
+            sum(CASE WHEN r <= 20 THEN grade / log2(r + 1) ELSE 0 END) AS i20, sum(CASE WHEN grade > 0 THEN 1 ELSE 0 END) AS n_all
+          FROM (SELECT q, grade, row_number() OVER (PARTITION BY q ORDER BY grade DESC) AS r FROM qrels) GROUP BY q),
+m AS (SELECT split, avg(CASE WHEN n_rel > 0 THEN p10 ELSE 0 END) AS p10, avg(CASE WHEN n_rel > 0 THEN p20 ELSE 0 END) AS p20,
+    avg(CASE WHEN n_rel > 0 THEN 1.0 / first_rel ELSE 0 END) AS mrr, avg(CASE WHEN n_rel > 0 THEN ap ELSE 0 END) AS map,
+    avg(CASE WHEN n_all > 0 THEN ap_sum / n_all ELSE 0 END) AS trec_map,
+    avg(CASE WHEN i10 <> 0 THEN d10 / i10 END) AS t10, avg(CASE WHEN i20 <> 0 THEN d20 / i20 END) AS t20
+  FROM pq LEFT JOIN ideal USING (q) GROUP BY split)
+SELECT split, metric, round(value, 6) AS value FROM (
+  SELECT split, 'accuracy' AS metric, acc AS value FROM acc
+  UNION ALL SELECT split, 'macro_f1', f1 FROM f1
+  UNION ALL SELECT split, 'precision@10', p10 FROM m WHERE split <> 'train'
+  UNION ALL SELECT split, 'precision@20', p20 FROM m WHERE split <> 'train'
+  UNION ALL SELECT split, 'mrr', mrr FROM m WHERE split <> 'train'
+  UNION ALL SELECT split, 'map', map FROM m WHERE split = 'validation'
+  UNION ALL SELECT split, 'trec_map', trec_map FROM m WHERE split = 'test'
+  UNION ALL SELECT split, 'trec_ndcg@10', t10 FROM m WHERE split = 'test'
+  UNION ALL SELECT split, 'trec_ndcg@20', t20 FROM m WHERE split = 'test')
+""")
+def probe_ranking_bundles(spark, sf_dir):
+    """The main evaluation end to end: stored probe weights → logits →
+    softmax → probability of the last class as the score → judged run →
+    the metric bundle of each split (A1, A2, A9, R1–R8)."""
+    grade = F.when(F.col("label") >= 7, F.col("label") - 6).otherwise(0).cast("int")
+    scored = materialize(rule_scored(spark, sf_dir).select(
+        "split", (F.col("id") % _QUERIES).alias("q_id"), F.col("id").alias("d_id"), "label", "pred", "score", grade.alias("own_grade")
+    ))
+    qrels = f3_vectors(spark, sf_dir).select((F.col("id") % _QUERIES).alias("q_id"), F.col("id").alias("d_id"), grade.alias("grade"))
+    return R.split_bundles(scored, qrels, NUM_CLASSES).select("split", "metric", F.round("value", 6).alias("value"))
+
+
+_MULTI = """
+tg AS (SELECT l_orderkey AS inst, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_linenumber, l_suppkey) AS id,
+         [l_quantity / 50.0, l_discount * 10.0, l_tax * 10.0, CAST(l_linenumber AS DOUBLE) / 7.0]::DOUBLE[] AS v,
+         CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label FROM lineitem),
+ip AS (SELECT inst, {perm} AS perm FROM (SELECT DISTINCT inst FROM tg)),
+fr AS (SELECT * FROM (VALUES {portions}) t(portion_idx, fraction)),
+pt0 AS (SELECT portion_idx, CAST(floor((SELECT count(*) FROM ip) * CAST(fraction AS DOUBLE)) AS BIGINT) AS n FROM fr),
+pt AS (SELECT portion_idx, n, lead(n) OVER (ORDER BY portion_idx) AS n_next FROM pt0),
+p AS (SELECT tg.id, tg.v, tg.label, ip.perm FROM tg JOIN ip USING (inst)),
+mem AS (SELECT pt.portion_idx AS g, p.v, p.label FROM p JOIN pt ON p.perm < pt.n WHERE pt.n_next IS NOT NULL),
+chk AS (SELECT pt.portion_idx AS g, p.id, p.v, p.label FROM p JOIN pt ON p.perm >= pt.n AND p.perm < pt.n_next),
+""".format(perm=_PERM.format(id="inst"), portions=", ".join(f"({i}, {f})" for i, f in enumerate(S.DEFAULT_PORTIONS)))
+
+
+def _target_vectors(spark, sf_dir):
+    """One row per target: an order's line items, with a vector and a class."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_orderkey").alias("id"),
+        F.array(F.col("l_quantity") / 50.0, F.col("l_discount") * 10.0, F.col("l_tax") * 10.0,
+                F.col("l_linenumber").cast("double") / 7.0).cast("array<double>").alias("vector"),
+        F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("label"),
     )
 
 
-@register("probe_fit_predict")
+@register("mdl_multi_target", oracle=f"""
+WITH {_MULTI} {_centroid_sql('mem', 'chk', 3)},
+m AS (SELECT (SELECT count(*) FROM p WHERE perm < (SELECT n FROM pt WHERE portion_idx = 0)) * log2(3) + (SELECT sum(ce) FROM sc) AS mdl,
+        (SELECT count(*) FROM p) * log2(3) AS uniform, (SELECT count(*) FROM sc) AS n_scored)
+SELECT round(mdl, 4) AS mdl, round(uniform / mdl, 6) AS compression, round(uniform, 4) AS uniform_codelength, n_scored FROM m
+""")
+def mdl_multi_target(spark, sf_dir):
+    """A5–A8 over instances with several targets and the 11 default
+    portions: portions are cut over instances, losses and T run over
+    targets."""
+    _, rep = L.online_coding(_target_vectors(spark, sf_dir), 3)
+    return rep.select(F.round("mdl", 4).alias("mdl"), F.round("compression", 6).alias("compression"),
+                      F.round("uniform_codelength", 4).alias("uniform_codelength"), "n_scored")
+
+
+@register("probe_fit_predict", oracle=f"""
+WITH {_F3_SPLIT}
+SELECT split, count(*) AS n_rows, true AS probabilities, true AS learned FROM sp WHERE split IS NOT NULL GROUP BY split
+""")
 def probe_fit_predict(spark, sf_dir):
-    """Fit a Spark ML MLP probe on the F3 train split and predict the
-    held-out rows ``(id, split, label, pred, p_label)`` (rows-only check)."""
+    """Fit a Spark ML MLP probe on the F3 train split and predict
+    every row. SQL cannot repeat the fit, so what it must give is checked:
+    all rows, probabilities, and on the rows it was fitted on more hits than
+    the most frequent class would give."""
     sp = P.features(_f3_split(spark, sf_dir))
     model = P.probe_estimator("mlp", 64, NUM_CLASSES, hidden_dim=32, max_iter=50).fit(
         sp.filter(F.col("split") == "train")
     )
-    pred = P.predict(model, sp.filter(F.col("split") != "train"), keep=("id", "split"))
-    return pred.select(
-        "id", "split", "label", "pred",
-        F.round(F.element_at(softmax(F.col("logits")), F.col("label") + 1), 6).alias("p_label"),
+    pred = P.predict(model, sp, keep=("id", "split"))
+    p = F.element_at(softmax(F.col("logits")), F.col("label") + 1)
+    rows = pred.select("split", "label", (F.col("pred") == F.col("label")).cast("int").alias("right"), p.between(0, 1).alias("ok"))
+    major = rows.groupBy("split", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("split").agg(F.max("c").alias("major"))
+    return rows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("ok").alias("probabilities"), F.sum("right").alias("right")
+    ).join(major, "split").select(
+        "split", "n_rows", "probabilities", ((F.col("split") != "train") | (F.col("right") > F.col("major"))).alias("learned")
     )
 
 
-@register("online_coding_trained")
+@register("online_coding_trained", oracle=f"""
+WITH {_MDL}
+SELECT CAST(portion_idx AS INTEGER) AS portion_idx, n_scored, true AS finite, true AS compresses FROM per
+""")
 def online_coding_trained(spark, sf_dir):
     """A8/A11 with a trained probe (multinomial logistic regression) per
-    portion: per-portion code lengths, then MDL and compression (rows-only)."""
+    portion. What SQL knows of it is checked: the rows scored after each
+    portion, finite code lengths, and a code shorter than the uniform one."""
     f3 = P.features(f3_vectors(spark, sf_dir))
     est = P.probe_estimator("logreg", 64, NUM_CLASSES, max_iter=50)
     per, rep = L.online_coding_with_estimator(f3, est, NUM_CLASSES, F3_PORTIONS)
-    return rep.select(F.round("mdl", 4).alias("mdl"), F.round("compression", 4).alias("compression"), "n_scored")
+    shorter = F.lit(bool(rep.first()["compression"] > 1.0))
+    return per.select(F.col("portion_idx").cast("int"), "n_scored", F.col("ce_sum").between(0, 1e12).alias("finite"), shorter.alias("compresses"))

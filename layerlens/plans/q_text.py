@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from layerlens.operators import sampling as S
 from layerlens.operators import text as X
-from layerlens.plans.fixtures import f4_pairs
+from layerlens.plans.fixtures import f2_instances, f4_pairs
 from layerlens.plans.q_dataset import _PERM
 from layerlens.plans.registry import register
 from layerlens.sources.tables import table
 
-PAIR_MAX_LEN = 128
+PAIR_MAX_LEN = 512
 TOP_WORDS = 2000
 BATCH_SIZE = 8
 _WORD_ONLY = r"^[\p{L}\p{N}\p{M}]+$"
@@ -37,11 +37,20 @@ def word_tokens(spark, sf_dir):
     )
 
 
-def corpus_vocab(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("text")
-    return X.corpus_vocab(docs, "text", top_words=TOP_WORDS)
+# texts with ideographs, a currency sign, a no-break and a zero-width space,
+# an accent and a control character, put after every tenth document
+_HARD = "中文 5€\u00a0x\u200by Éa\u0007b"
+
+
+def hard_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hard = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" " + _HARD))).otherwise(F.col("text"))
+    return docs.withColumn("text", hard)
 
 
+def corpus_vocab(spark, sf_dir):
+    return X.corpus_vocab(hard_documents(spark, sf_dir).select("text"), "text", top_words=TOP_WORDS)
+
 
 # --- DuckDB form of the corpus vocabulary and of greedy WordPiece ----------
 # With a vocabulary of specials, top words, characters and "##"+character,
@@ -49,10 +58,23 @@ def corpus_vocab(spark, sf_dir):
 # L = longest vocabulary entry that is a prefix of w; the word is [UNK] if
 # it is longer than 100 characters, if L = 0, or if a character after the
 # first L has no "##" entry; otherwise it has 1 + len(w) - L pieces.
-_P = X.WORD_PATTERN
+
+def _words_sql(text: str) -> str:
+    """The uncased word rules once more, by replacement only: drop control
+    characters, put blanks around punctuation and ideographs, cut at blanks."""
+    blank = rf"regexp_replace({text}, '[\t\n\r\pZ]', ' ', 'g')"
+    clean = rf"regexp_replace({blank}, '\p{{Cc}}|\p{{Cf}}|\p{{Co}}|\x{{FFFD}}', '', 'g')"
+    punct = rf"regexp_replace({clean}, '([[:punct:]]|\pP)', ' \1 ', 'g')"
+    han = rf"regexp_replace({punct}, '([\x{{4E00}}-\x{{9FFF}}\x{{3400}}-\x{{4DBF}}\x{{20000}}-\x{{2CEAF}}\x{{F900}}-\x{{FAFF}}\x{{2F800}}-\x{{2FA1F}}])', ' \1 ', 'g')"
+    return f"list_filter(string_split({han}, ' '), lambda part: part <> '')"
+
+
+_HARD_DOCS = f"""
+hard AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || ' {_HARD}' ELSE text END AS text FROM documents)"""
 
 _VOCAB_SQL = f"""
-dw0 AS (SELECT unnest(regexp_extract_all(text, '{_P}')) AS x FROM documents),
+{_HARD_DOCS},
+dw0 AS (SELECT unnest({_words_sql('text')}) AS x FROM hard),
 wcount AS (SELECT strip_accents(lower(x)) AS w, count(*) AS c FROM dw0 GROUP BY 1),
 vw AS (SELECT w FROM wcount ORDER BY c DESC, w LIMIT {TOP_WORDS}),
 vchars AS (SELECT DISTINCT unnest(regexp_extract_all(w, '.')) AS ch FROM wcount),
@@ -76,7 +98,7 @@ wp AS (SELECT wd.w,
 
 
 _DOC_WORDS = f"""
-tw0 AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_P}')) AS x FROM documents),
+tw0 AS (SELECT doc_id, unnest({_words_sql('text')}) AS x FROM hard),
 tw AS (SELECT doc_id, strip_accents(lower(x)) AS w FROM tw0)"""
 
 
@@ -93,7 +115,7 @@ def tokenize_pieces(spark, sf_dir):
     corpus (characters + 2,000 most frequent words): words, pieces, [UNK]s."""
     vocab = corpus_vocab(spark, sf_dir)
     unk = vocab[X.UNK]
-    t = X.tokenize_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab)
+    t = X.tokenize_texts(hard_documents(spark, sf_dir), vocab)
     return t.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
@@ -108,10 +130,10 @@ _PAIR_SQL = f"""
 pr AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS p
        FROM (SELECT conv_id, turn, text FROM conversations WHERE role = 'user') u
        JOIN (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant') a USING (conv_id, turn)),
-qw0 AS (SELECT conv_id, turn, unnest(regexp_extract_all(q, '{_P}')) AS x,
-               generate_subscripts(regexp_extract_all(q, '{_P}'), 1) AS i FROM pr),
-pw0 AS (SELECT conv_id, turn, unnest(regexp_extract_all(p, '{_P}')) AS x,
-               generate_subscripts(regexp_extract_all(p, '{_P}'), 1) AS i FROM pr),
+qw0 AS (SELECT conv_id, turn, unnest({_words_sql('q')}) AS x,
+               generate_subscripts({_words_sql('q')}, 1) AS i FROM pr),
+pw0 AS (SELECT conv_id, turn, unnest({_words_sql('p')}) AS x,
+               generate_subscripts({_words_sql('p')}, 1) AS i FROM pr),
 qw AS (SELECT conv_id, turn, i, strip_accents(lower(x)) AS w FROM qw0),
 pw AS (SELECT conv_id, turn, i, strip_accents(lower(x)) AS w FROM pw0),
 allw AS (SELECT w FROM qw UNION ALL SELECT w FROM pw),
@@ -144,7 +166,7 @@ SELECT conv_id, turn, n_q, n_p, kept_q, kept_p, kept_q + kept_p + 3 AS seq_len,
 FROM kept
 """)
 def pair_encoding(spark, sf_dir):
-    """Pair encodings with longest-side-first truncation (max 128)."""
+    """Pair encodings with longest-side-first truncation (max 512)."""
     enc, _ = encoded_pairs(spark, sf_dir)
     return enc.select(
         "conv_id", "turn", "n_q", "n_p", "kept_q", "kept_p",
@@ -202,27 +224,38 @@ def realign_spans(spark, sf_dir):
 
 
 @register("padded_batches", oracle=f"""
-WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
-     a AS (SELECT conv_id, turn - 1 AS turn FROM conversations WHERE role = 'assistant'),
-     pr AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '{X.WORD_PATTERN}'), lambda x: length(x)) AS ids,
-                   conv_id * 100 + turn AS k
-            FROM u JOIN a USING (conv_id, turn)),
-     r AS (SELECT *, {_PERM.format(id='k')} AS perm FROM pr),
-     b AS (SELECT *, perm // {BATCH_SIZE} AS batch, CAST(perm % {BATCH_SIZE} AS INTEGER) AS i,
-                  max(len(ids)) OVER (PARTITION BY perm // {BATCH_SIZE}) AS padded_len FROM r)
-SELECT conv_id, turn, batch, i, padded_len, CAST(len(ids) AS BIGINT) AS n_real,
-       CAST(COALESCE(list_sum(ids), 0) AS BIGINT) AS id_sum
-FROM b
+WITH {_PAIR_SQL},
+r AS (SELECT *, kept_q + kept_p + 3 AS len, {_PERM.format(id='k')} AS perm FROM (SELECT *, conv_id * 100 + turn AS k FROM kept))
+SELECT conv_id, turn, perm // {BATCH_SIZE} AS batch, CAST(perm % {BATCH_SIZE} AS INTEGER) AS i,
+       CAST(max(len) OVER (PARTITION BY perm // {BATCH_SIZE}) AS BIGINT) AS padded_len, CAST(len AS BIGINT) AS n_real
+FROM r
 """)
 def padded_batches(spark, sf_dir):
-    """Batches of 8 consecutive (seeded) pairs, padded to the longest;
-    ids here are the query's word lengths."""
-    pairs = f4_pairs(spark, sf_dir).withColumn("k", F.col("conv_id") * 100 + F.col("turn"))
-    pairs = pairs.withColumn("ids", F.transform(X.words(F.col("query")), lambda x: F.length(x)))
-    ranked = S.permute(pairs.select("conv_id", "turn", "k", "ids"), "k")
-    b = X.padded_batches(ranked, S.PERM, "ids", BATCH_SIZE)
+    """Batches of 8 consecutive (seeded) encoded pairs, the input ids
+    padded to the longest of the batch."""
+    enc, vocab = encoded_pairs(spark, sf_dir)
+    pairs = enc.withColumn("k", F.col("conv_id") * 100 + F.col("turn")).select("conv_id", "turn", "k", "input_ids")
+    b = X.padded_batches(S.permute(pairs, "k"), S.PERM, "input_ids", BATCH_SIZE, vocab[X.PAD])
     return b.select(
         "conv_id", "turn", "batch", "i", F.size("padded").cast("long").alias("padded_len"),
         F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"),
-        F.aggregate("padded", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
     )
+
+
+@register("batch_targets", oracle=f"""
+WITH items AS (
+  SELECT l_orderkey AS id,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS target_idx,
+    l_linenumber AS span1_a, l_linenumber + 1 + CAST(l_quantity % 5 AS INTEGER) AS span1_b, l_returnflag AS label
+  FROM lineitem),
+p AS (SELECT o_orderkey AS id, {_PERM.format(id='o_orderkey')} AS perm FROM orders)
+SELECT perm // {BATCH_SIZE} AS batch, CAST(perm % {BATCH_SIZE} AS INTEGER) AS i, CAST(target_idx AS INTEGER) AS target_idx, span1_a, span1_b, label
+FROM items JOIN p USING (id)
+""")
+def batch_targets(spark, sf_dir):
+    """Spans and labels of seeded batches of F2, flattened, each with its
+    text's place in the batch."""
+    ranked = S.permute(f2_instances(spark, sf_dir))
+    place = F.col(S.PERM)
+    batches = ranked.withColumn("batch", F.floor(place / BATCH_SIZE).cast("long")).withColumn("i", (place % BATCH_SIZE).cast("int"))
+    return X.batch_targets(batches).select("batch", "i", "target_idx", "span1_a", "span1_b", "label")

@@ -58,14 +58,53 @@ def test_mdl_units(spark):
 
 
 @pytest.mark.parametrize("kind", ["tenney", "hewitt"])
-def test_large_probe_batch_inference_matches_constant_path(spark, kind):
+def test_probe_forward_pass(spark, kind):
+    import numpy as np
+
     from layerlens.operators import probes as P
 
     params = P.params_from_rule(spark, 6, 5, 3, kind)
-    df = spark.createDataFrame([(i, [((i * 3 + d) % 7) / 7.0 - 0.4 for d in range(6)]) for i in range(40)],
-                               "id int, vector array<double>")
-    small = {r.id: r.logits for r in P.score_with_weights(df, params, kind).collect()}
-    large = {r.id: r.logits for r in P.score_with_weights(df, params, kind, max_values=10).collect()}
-    assert small.keys() == large.keys()
-    for i in small:
-        assert large[i] == pytest.approx(small[i], rel=1e-9, abs=1e-12)
+    x = np.array([[((i * 3 + d) % 7) / 7.0 - 0.4 for d in range(6)] for i in range(40)])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, vector array<double>")
+    got = np.array([r.logits for r in P.score_with_weights(df, params, kind, batch_rows=7).orderBy("id").collect()])
+    w = {k: np.array(v) for k, v in params.first().asDict().items()}
+    h = x @ w["w1"].T + w["b1"]
+    if kind == "tenney":
+        h = np.tanh(h)
+        h = (h - h.mean(1, keepdims=True)) / np.sqrt(h.var(1, keepdims=True) + 1e-5) * w["gamma"] + w["beta"]
+    else:
+        h = np.maximum(np.maximum(h, 0) @ w["wh"].T + w["bh"], 0)
+    assert np.allclose(got, h @ w["w2"].T + w["b2"])
+
+
+def test_several_targets_per_instance(spark):
+    """Identical vectors: every loss is ln C, and T counts targets."""
+    rows = [(i, [1.0], (i + j) % 4) for i in range(100) for j in range(1 + i % 3)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, label int")
+    per, rep = L.online_coding(df, 4, (0.25, 0.5, 1.0))
+    r = rep.first()
+    first = len(rows) - r.n_scored
+    assert per.agg(F.sum("n_targets")).first()[0] == r.n_scored
+    assert r.uniform_codelength == pytest.approx(len(rows) * 2)
+    assert r.mdl == pytest.approx(first * 2 + r.n_scored * math.log(4))
+    other = L.online_coding(df, 4, (0.25, 0.5, 1.0), seed=7)[1].first()
+    kept = L.online_coding(df, 4, (0.25, 0.5, 1.0), shuffle_first=False)[1].first()
+    assert kept.n_scored == sum(1 for i, *_ in rows if i >= 25) and other.uniform_codelength == r.uniform_codelength
+
+
+def test_trained_coding_with_missing_classes_and_empty_portions(spark):
+    from layerlens.operators import probes as P
+
+    # the top class only in the last rows, and fewer than 1000 rows for the
+    # default portions, so that the first is empty
+    rows = [(i, [float(i % 2), float(i % 3)], 9 if i >= 150 else i % 3) for i in range(200)]
+    df = P.features(spark.createDataFrame(rows, "id long, vector array<double>, label int"))
+    est = P.probe_estimator("logreg", 2, 10, max_iter=5)
+    per, rep = L.online_coding_with_estimator(df, est, 10, shuffle_first=False)
+    got = {r.portion_idx: r for r in per.collect()}
+    assert len(got) == 10 and got[0].n_missing_class == got[0].n_scored == 0
+    assert all(math.isfinite(r.ce_sum) for r in got.values())
+    assert sum(r.n_scored for r in got.values()) == 200 and got[9].n_missing_class == 100
+    assert rep.first().n_scored == 200
+    closed = L.online_coding(df.select("id", "vector", "label"), 10)[1].first()
+    assert closed.n_scored + 0 == 200 and math.isfinite(closed.mdl)

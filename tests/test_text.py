@@ -16,6 +16,19 @@ def test_wordpiece_greedy_longest_match():
     assert X.normalize_word("Éçole") == "ecole"
 
 
+def test_uncased_word_rules(spark):
+    cases = {
+        "中文 5€": ["中", "文", "5€"],
+        "a\u00a0b\u200bc\u2003d\ue000e": ["a", "bc", "de"],
+        "Don't, (stop)!\x07x\ty\r\nz": ["Don", "'", "t", ",", "(", "stop", ")", "!", "x", "y", "z"],
+        "$5 ~ «q»…": ["$", "5", "~", "«", "q", "»", "…"],
+        "": [],
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r.t: r.w for r in df.select("t", X.piece_words(F.col("t")).alias("w")).collect()}
+    assert got == cases
+
+
 def _one_at_a_time(nq, npp, max_len):
     t = max_len - 3
     while nq + npp > t:
