@@ -9,8 +9,8 @@ reference (``unit='bits'`` converts the sum; never the default).
 
 The *closed-form* probe (class centroids, logits ``-‖x - c‖²``) makes the
 whole procedure one Spark job whose every step is SQL-checkable: centroids
-of all portions at once by ``groupBy(portion, label)`` with a vector mean
-(partial aggregation, no per-dimension explode), a K×C centroid table
+of all portions at once from vector sums per (chunk, label), which are added
+up over the nested portions (no row is copied), a K×C centroid table
 (bounded by the parameters K, C, D → broadcast), and scoring by array HOFs.
 Trained probes (Spark ML) run the same loop as one fit per portion.
 """
@@ -32,30 +32,55 @@ from layerlens.operators.inference import infer, one_row
 from layerlens.session import materialize
 
 
-def fit_centroids(train: DataFrame, by: Sequence[str], vector: str = "vector", label: str = "label") -> DataFrame:
-    """Per group in ``by``: ``centroids map<int, array<double>>`` = mean
-    vector of each class, plus key -1 = mean of all rows of the group (the
-    fallback for a class absent from the fit rows)."""
-    by = list(by)
-    per_class = train.groupBy(*by, F.col(label).cast("int").alias("_y")).agg(
-        Summarizer.mean(array_to_vector(F.col(vector))).alias("_c"), F.count(F.lit(1)).alias("_n")
+def _class_sums(rows: DataFrame, by: Sequence[str], vector: str, label: str) -> DataFrame:
+    """``by…, _y, _s`` (vector sum), ``_n``: partial sums in every task."""
+    return rows.groupBy(*by, F.col(label).cast("int").alias("_y")).agg(
+        Summarizer.sum(array_to_vector(F.col(vector))).alias("_s"), F.count(F.lit(1)).alias("_n")
     )
-    # at most C entries per group
-    grouped = per_class.groupBy(*by).agg(
-        F.collect_list(F.struct("_y", "_n", vector_to_array("_c").alias("_v"))).alias("_l")
+
+
+def _centroids(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Centroid map of each group from its class sums (≤ C rows a group)."""
+    grouped = sums.groupBy(*by).agg(
+        F.collect_list(F.struct("_y", "_n", vector_to_array("_s").alias("_v"))).alias("_l")
     )
     first = F.element_at(F.col("_l"), 1)["_v"]
     total = F.aggregate("_l", F.lit(0).cast("long"), lambda acc, e: acc + e["_n"])
-    weighted = F.aggregate(
-        "_l",
-        F.transform(first, lambda _: F.lit(0.0)),
-        lambda acc, e: F.zip_with(acc, e["_v"], lambda a, b: a + b * e["_n"]),
+    whole = F.aggregate(
+        "_l", F.transform(first, lambda _: F.lit(0.0)), lambda acc, e: F.zip_with(acc, e["_v"], lambda a, b: a + b)
     )
-    overall = F.transform(weighted, lambda v: v / total)
-    per = F.map_from_entries(F.transform("_l", lambda e: F.struct(e["_y"], e["_v"])))
+    overall = F.transform(whole, lambda v: v / total)
+    per = F.map_from_entries(F.transform("_l", lambda e: F.struct(e["_y"], F.transform(e["_v"], lambda v: v / e["_n"]))))
     return grouped.select(*by, F.map_concat(per, F.create_map(F.lit(-1), overall)).alias("centroids"))
 
 
+def fit_centroids(train: DataFrame, by: Sequence[str], vector: str = "vector", label: str = "label") -> DataFrame:
+    """Per group in ``by``: ``centroids map<int, array<double>>`` = mean
+    vector of each class, plus key -1 = mean of all rows of the group (the
+    fallback for a class absent from the fit rows)."""
+    by = list(by)
+    return _centroids(_class_sums(train, by, vector, label), by)
+
+
+def fit_portion_centroids(
+    permuted: DataFrame, portions: DataFrame, by: Sequence[str], vector: str = "vector", label: str = "label"
+) -> DataFrame:
+    """``fit_centroids`` of every portion with a next chunk. Portions are
+    nested: each row is summed once, in the first portion that holds it, and
+    the few sums (chunks × classes) are then added up over the portions."""
+    by = list(by)
+    sizes = sorted((r["portion_idx"], r["n"]) for r in portions.filter(F.col("n_next").isNotNull()).collect())
+    first = F.lit(None).cast("int")
+    for idx, n in reversed(sizes):
+        first = F.when(F.col(S.PERM) < n, idx).otherwise(first)
+    own = permuted.withColumn("_first", first).filter(F.col("_first").isNotNull())
+    sums = _class_sums(own, [*by, "_first"], vector, label)
+    later = F.filter(F.array(*[F.lit(i) for i, _ in sizes]), lambda i: i >= F.col("_first"))
+    spread = sums.withColumn("portion_idx", F.explode(later))
+    added = spread.groupBy(*by, "portion_idx", "_y").agg(Summarizer.sum(F.col("_s")).alias("_s"), F.sum("_n").alias("_n"))
+    return _centroids(added, [*by, "portion_idx"])
+
+
 def centroid_logits(rows: DataFrame, num_classes: int, vector: str = "vector", centroids: str = "centroids") -> DataFrame:
     """Logits ``-‖x - c_y‖²`` for y = 0..C-1. A class absent from the fit
     rows is scored against the overall mean of those rows (an uninformative
@@ -82,9 +107,7 @@ def scored_chunks(
     it: adds ``portion_idx``, ``logits``, ``missing_class`` and ``ce``.
     ``by`` adds sweep keys (e.g. layer): one probe per key and portion."""
     keys = [*by, "portion_idx"]
-    fit_portions = portions.filter(F.col("n_next").isNotNull())
-    members = S.portion_members(permuted, fit_portions)
-    cents = fit_centroids(members, keys, vector, label)
+    cents = fit_portion_centroids(permuted, portions, by, vector, label)
     chunks = S.next_chunks(permuted, portions)
     # (sweep points × K-1) rows of C centroids of D values: bounded by the
     # parameters, not by the data

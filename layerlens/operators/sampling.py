@@ -24,23 +24,13 @@ DEFAULT_PORTIONS = (0.001, 0.002, 0.004, 0.008, 0.016, 0.032, 0.0625, 0.125, 0.2
 PERM = "perm"
 
 
-# Rows per hash bucket the permutation aims for (one window sort per bucket),
-# and the widest bucket key: 16^5 offsets rows (~16 MB) is still broadcast.
-BUCKET_ROWS = 1_000_000
-MAX_PREFIX_CHARS = 5
-
-
-def bucket_prefix_chars(n_rows: int | None) -> int:
-    """Hex digits of the hash prefix: 4 (65,536 buckets) unless a known row
-    count would put more than ``BUCKET_ROWS`` rows in a bucket."""
-    k = 4
-    while n_rows is not None and k < MAX_PREFIX_CHARS and n_rows > BUCKET_ROWS * 16**k:
-        k += 1
-    return k
+# Hex digits of the hash that name a bucket: 65,536 buckets of equal size.
+# One bucket is sorted by one task, so very large tables ask for more.
+PREFIX_CHARS = 4
 
 
 def permute(df: DataFrame, id_col: str = "id", seed: int = SPLIT_SEED, shuffle: bool = True,
-            prefix_chars: int | None = None, n_rows: int | None = None) -> DataFrame:
+            prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """Add ``perm`` = exact 0-based position in the seeded order
     ``(md5('<seed>:<id>'), id)`` (or in id order when ``shuffle`` is False).
 
@@ -52,8 +42,6 @@ def permute(df: DataFrame, id_col: str = "id", seed: int = SPLIT_SEED, shuffle:
     Ids are unique per instance, so no bucket is hot."""
     if not shuffle:
         return global_rank(df, [id_col], name=PERM).withColumn(PERM, F.col(PERM) - 1)
-    if prefix_chars is None:
-        prefix_chars = bucket_prefix_chars(n_rows)
     d = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_b", F.substring("_h", 1, prefix_chars))
     counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     # one ordered pass over at most 16^k bucket counts
@@ -78,31 +66,65 @@ def split_fits(counts: DataFrame, num_train: str, num_test: str, n: str = "n") -
     return counts.withColumn("fits", F.col(n) >= F.col(num_train) + F.col(num_test))
 
 
-def split_of(perm: F.Column, num_train: int, num_test: int) -> F.Column:
-    """D1 split rule on the permutation rank: the first ``num_test`` rows are
-    held out, their first half is **test**, the second half **validation**;
-    the next ``num_train`` rows are **train**; the rest is unused (null)."""
-    half = num_test // 2
-    return (
-        F.when(perm < half, "test")
-        .when(perm < num_test, "validation")
-        .when(perm < num_test + num_train, "train")
-    )
+def cut_keys(df: DataFrame, positions: Sequence[int], id_col: str = "id", seed: int = SPLIT_SEED,
+             prefix_chars: int = PREFIX_CHARS) -> dict[int, tuple | None]:
+    """The ``(hash, id)`` at each 0-based position of the seeded order (None
+    past the end). Counts per hash bucket say in which bucket a position
+    lies, and only the rows of those few buckets are ranked: no row of any
+    other bucket is shuffled."""
+    d = df.select(hash_key(id_col, seed).alias("_h"), F.col(id_col).alias("_id"))
+    d = d.withColumn("_b", F.substring("_h", 1, prefix_chars))
+    counts = sorted(tuple(r) for r in d.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect())  # ≤ 16^k rows
+    wanted: dict[str, list[tuple[int, int]]] = {}
+    for position in set(positions):
+        before = 0
+        for bucket, n in counts:
+            if before <= position < before + n:
+                wanted.setdefault(bucket, []).append((position, position - before + 1))
+            before += n
+    out: dict[int, tuple | None] = {p: None for p in positions}
+    if wanted:
+        inside = Window.partitionBy("_b").orderBy("_h", "_id")
+        ranked = d.filter(F.col("_b").isin(list(wanted))).withColumn("_r", F.row_number().over(inside))
+        hit = F.lit(False)
+        for bucket, places in wanted.items():
+            hit = hit | ((F.col("_b") == bucket) & F.col("_r").isin([r for _, r in places]))
+        found = {(r["_b"], r["_r"]): (r["_h"], r["_id"]) for r in ranked.filter(hit).collect()}
+        for bucket, places in wanted.items():
+            out.update({position: found[bucket, r] for position, r in places})
+    return out
+
+
+def is_before(key: tuple | None, id_col: str = "id", seed: int = SPLIT_SEED) -> Column:
+    """Whether a row comes before a key of the seeded order: a test of the row alone."""
+    if key is None:
+        return F.lit(True)
+    h = hash_key(id_col, seed)
+    return (h < F.lit(key[0])) | ((h == F.lit(key[0])) & (F.col(id_col) < F.lit(key[1])))
 
 
 def exact_split(
-    df: DataFrame, num_train: int, num_test: int, id_col: str = "id", seed: int = SPLIT_SEED, n: int | None = None
+    df: DataFrame, num_train: int, num_test: int, id_col: str = "id", seed: int = SPLIT_SEED, n: int | None = None,
+    val_fraction: float = 1.0,
 ) -> DataFrame:
-    """D1+D2: rows with a ``split`` column; unused rows are dropped."""
+    """D1+D2: rows with a ``split`` column; unused rows are dropped. In the
+    seeded order the first ``num_test`` rows are held out, their first half is
+    **test**, the second half **validation** (D9: only its first
+    ``val_fraction``); the next ``num_train`` rows are **train**."""
     n = df.count() if n is None else n
     check_split_sizes(n, num_train, num_test)
-    p = permute(df, id_col, seed, n_rows=n)
-    return p.withColumn("split", split_of(F.col(PERM), num_train, num_test)).filter(F.col("split").isNotNull())
+    half = num_test // 2
+    kept = half + int((num_test - half) * val_fraction)
+    keys = cut_keys(df, [half, kept, num_test, num_test + num_train], id_col, seed)
+    before = {p: is_before(k, id_col, seed) for p, k in keys.items()}
+    split = F.when(before[half], "test").when(before[kept], "validation").when(before[num_test], F.lit(None))
+    split = split.when(before[num_test + num_train], "train")
+    return df.withColumn("split", split).filter(F.col("split").isNotNull())
 
 
 def sample_n(df: DataFrame, n: int, id_col: str = "id", seed: int = SPLIT_SEED) -> DataFrame:
     """D3: exactly ``n`` rows without replacement, fixed by the seed."""
-    return permute(df, id_col, seed).filter(F.col(PERM) < n)
+    return df.filter(is_before(cut_keys(df, [n], id_col, seed)[n], id_col, seed))
 
 
 def portion_sizes(n_total: int, fractions: Sequence[float] = DEFAULT_PORTIONS) -> list[int]:

@@ -45,22 +45,22 @@ sp AS (
 
 @register("exact_split", oracle=f"""
 WITH {_F1_SPLIT}
-SELECT id, split, perm FROM sp WHERE split IS NOT NULL
+SELECT id, split FROM sp WHERE split IS NOT NULL
 """)
 def exact_split(spark, sf_dir):
     """Exact-size seeded split of F1 (60 % train, 15 % val, 15 % test)."""
-    return _f1_split(spark, sf_dir).select("id", "split", F.col("perm").cast("long").alias("perm"))
+    return _f1_split(spark, sf_dir).select("id", "split")
 
 
 @register("sample_n", oracle=f"""
 WITH p AS (SELECT o_orderkey AS id, {_PERM.format(id='o_orderkey')} AS perm FROM orders)
-SELECT id, perm FROM p WHERE perm < (SELECT count(*) // 10 FROM orders)
+SELECT id FROM p WHERE perm < (SELECT count(*) // 10 FROM orders)
 """)
 def sample_n(spark, sf_dir):
     """D3: a fixed-seed sample of exactly 10 % of the orders."""
     f1 = f1_scored(spark, sf_dir)
     n = f1.count() // 10
-    return S.sample_n(f1, n).select("id", F.col("perm").cast("long").alias("perm"))
+    return S.sample_n(f1, n).select("id")
 
 
 def _f3_perm(spark, sf_dir):
@@ -116,13 +116,17 @@ def next_chunk(spark, sf_dir):
 
 
 @register("val_fraction", oracle=f"""
-WITH {_F3_PORTIONS}
-SELECT id FROM p WHERE perm < CAST(floor((SELECT count(*) FROM embeddings) * 0.5) AS BIGINT)
+WITH p AS (SELECT vec_id AS id, {_PERM.format(id='vec_id')} AS perm FROM embeddings),
+sz AS (SELECT count(*) * 3 // 10 AS n_test FROM embeddings)
+SELECT id FROM p, sz
+WHERE perm >= n_test // 2 AND perm < n_test // 2 + CAST(floor((n_test - n_test // 2) * 0.5) AS BIGINT)
 """)
 def val_fraction(spark, sf_dir):
-    """Evaluate on the first half of the (permuted) validation rows."""
-    perm, _, n = _f3_perm(spark, sf_dir)
-    return S.limit_fraction(perm, 0.5, n).select("id")
+    """The first half of the validation split, in its seeded order."""
+    f3 = f3_vectors(spark, sf_dir).select("id", "label")
+    n = f3.count()
+    split = S.exact_split(f3, *_split_sizes(n), n=n, val_fraction=0.5)
+    return split.filter(F.col("split") == "validation").select("id")
 
 
 @register("portion_report", oracle=f"""

@@ -151,13 +151,22 @@ def layer_pivot(spark, sf_dir):
     return pv.select("task", "model", *[F.round(F.col(str(i)), 6).alias(f"l{i}") for i in LAYERS])
 
 
+_TASK_OF = {"click": "ner", "view": "bm25_small", "error": "fact_check"}
+
+
 @register("task_names", oracle=f"""
-WITH {_F8}
-SELECT DISTINCT task, upper(left(task, 1)) || lower(substr(task, 2)) AS task_name FROM f8
+WITH {_F8},
+t AS (SELECT DISTINCT CASE task WHEN 'click' THEN 'ner' WHEN 'view' THEN 'bm25_small' WHEN 'error' THEN 'fact_check' ELSE task END AS task FROM f8)
+SELECT task, CASE task WHEN 'ner' THEN 'Named Entity Recognition' WHEN 'bm25_small' THEN 'BM25 Score' WHEN 'fact_check' THEN 'Fact Checking'
+       ELSE upper(left(task, 1)) || lower(substr(task, 2)) END AS task_name FROM t
 """)
 def task_names(spark, sf_dir):
-    """Display names for the tasks (literal map, identifier fallback)."""
-    tasks = f8_layer_results(spark, sf_dir).select("task").distinct()
+    """Display names for the tasks: from the map where it has the task,
+    else from the identifier."""
+    name = F.col("task")
+    for event, task in _TASK_OF.items():
+        name = F.when(F.col("task") == event, task).otherwise(name)
+    tasks = f8_layer_results(spark, sf_dir).select(name.alias("task")).distinct()
     return L.task_display_names(tasks).select("task", "task_name")
 
 

@@ -25,14 +25,19 @@ def read_result_csvs(spark: SparkSession, paths: Sequence[str],
     -2 for ``<task>/<model>.csv`` files, -3 for folders written by Spark;
     ``None`` when each path is a Spark-partitioned folder with ``task=…``
     subfolders (the partition column is kept)."""
-    frames = []
+    # files with the same header line are one read, so the plan grows with
+    # the spellings of the header and not with the files
+    groups: dict[str, list[str]] = {}
     for path in paths:
-        df = (
-            spark.read.option("header", True)
-            .option("ignoreLeadingWhiteSpace", True)
-            .option("ignoreTrailingWhiteSpace", True)
-            .csv(path)
-        )
+        first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+        groups.setdefault(first[0][0] if first else "", []).append(path)
+    frames = []
+    for same in groups.values():
+        reader = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+        df = reader.csv(same if task_level is not None else same[0])
+        if task_level is None:  # partitioned folders each have a root of their own
+            for other in same[1:]:
+                df = df.unionByName(reader.csv(other), allowMissingColumns=True)
         for old, new in aliases.items():
             if old in df.columns and new not in df.columns:
                 df = df.withColumnRenamed(old, new)

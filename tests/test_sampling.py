@@ -52,4 +52,16 @@ def test_permutation_independent_of_bucket_width(ids):
     base = {r.id: r.perm for r in S.permute(ids).collect()}
     for k in (1, 2, 5):
         assert {r.id: r.perm for r in S.permute(ids, prefix_chars=k).collect()} == base
-    assert S.bucket_prefix_chars(None) == 4 and S.bucket_prefix_chars(10**12) == 5
+
+
+def test_cut_keys_equal_the_permutation(spark, ids):
+    perm = {r.perm: r.id for r in S.permute(ids).collect()}
+    for k in (1, 4):
+        keys = S.cut_keys(ids, [0, 1, 37, 500, 1002, 1003, 5000], prefix_chars=k)
+        assert {p: key and key[1] for p, key in keys.items()} == {p: perm.get(p) for p in keys}
+    assert {r.id for r in S.sample_n(ids, 37).collect()} == {perm[i] for i in range(37)}
+    plan = S.sample_n(ids, 37)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    half = S.exact_split(ids, 600, 301, val_fraction=0.5)
+    assert {r.id for r in half.filter("split = 'validation'").collect()} == {perm[i] for i in range(150, 225)}
+    assert S.sample_n(ids, 0).count() == 0 and S.sample_n(ids, 9999).count() == 1003
