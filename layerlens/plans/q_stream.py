@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from layerlens.operators import ranking as R
 from layerlens.operators import codelength as L
 from layerlens.operators import sampling as S
-from layerlens.plans.fixtures import F6_DOC, f3_vectors, f6_qrels, f6_run
+from layerlens.plans.fixtures import F6_DOC, f3_vectors, f6_qrels, f6_run, f7_metric_log
 from layerlens.plans.q_dataset import F3_PORTIONS
 from layerlens.plans.q_probe import _MDL, NUM_CLASSES
 from layerlens.plans.q_ranking import KS
@@ -53,8 +53,7 @@ SELECT user_id AS run, event_type AS metric, CAST(floor(epoch(ts) / 21600) * 216
 FROM events GROUP BY ALL
 """)
 def stream_epoch_mean(spark, sf_dir):
-    """ST2: batch-size weighted mean per (run, metric, 6-hour window), with
-    a watermark; replayed in time order so no event is late."""
+    """ST2: batch-size weighted mean per (run, metric, 6-hour window)."""
     stream = _replay(spark, _event_log(spark, sf_dir), "ts", "st2")
     sink, ck = ST.scratch(spark, "st2-out"), ST.scratch(spark, "st2-ck")
     ST.run_available(ST.live_weighted_mean(stream), sink, ck, "update")
@@ -62,6 +61,20 @@ def stream_epoch_mean(spark, sf_dir):
     return out.select("run", "metric", "window_start", F.round("epoch_mean", 6).alias("epoch_mean"))
 
 
+@register("stream_epochs", oracle=ORACLES["epoch_weighted_mean"])
+def stream_epochs(spark, sf_dir):
+    """ST2/A4: the weighted mean of every epoch (5 logged batches) as the
+    log arrives; equals the batch result."""
+    log = f7_metric_log(spark, sf_dir).select(
+        "run", "metric", "ts", "value", "n", F.floor((F.col("step") - 1) / 5).cast("long").alias("epoch")
+    )
+    stream = _replay(spark, log, "ts", "st2e")
+    sink, ck = ST.scratch(spark, "st2e-out"), ST.scratch(spark, "st2e-ck")
+    ST.run_available(ST.live_epoch_mean(stream), sink, ck, "update")
+    out = ST.latest_state(sink, spark, ["run", "metric", "epoch"])
+    return out.select("run", "metric", "epoch", F.round("epoch_mean", 6).alias("epoch_mean"))
+
+
 @register("stream_codelength", oracle=f"""
 WITH {_MDL}
 SELECT CAST(portion_idx AS INTEGER) AS portion_idx, round(ce_sum, 6) AS ce_sum, n_scored FROM per
@@ -69,6 +82,11 @@ SELECT CAST(portion_idx AS INTEGER) AS portion_idx, round(ce_sum, 6) AS ce_sum,
 def stream_codelength(spark, sf_dir):
     """ST3: code length accumulated per portion as scored chunks arrive (one
     file per portion); equals the batch online-coding sums."""
+    out, _ = _streamed_code(spark, sf_dir)
+    return out.select("portion_idx", F.round("ce_sum", 6).alias("ce_sum"), "n_scored")
+
+
+def _streamed_code(spark, sf_dir):
     f3 = f3_vectors(spark, sf_dir)
     n = f3.count()
     permuted = S.permute(f3)
@@ -80,8 +98,19 @@ def stream_codelength(spark, sf_dir):
     stream = ST.file_stream(spark, root, scored.schema)
     sink, ck = ST.scratch(spark, "st3-out"), ST.scratch(spark, "st3-ck")
     ST.run_available(ST.live_code_length(stream), sink, ck, "update")
-    out = ST.latest_state(sink, spark, ["portion_idx"])
-    return out.select("portion_idx", F.round("ce_sum", 6).alias("ce_sum"), "n_scored")
+    return ST.latest_state(sink, spark, ["portion_idx"]), n
+
+
+@register("stream_mdl", oracle=ORACLES["compression"])
+def stream_mdl(spark, sf_dir):
+    """ST3/A6/A7: description length and compression over the streamed code
+    lengths; equals the batch result when all chunks have arrived."""
+    out, n = _streamed_code(spark, sf_dir)
+    rep = ST.live_mdl(spark, out, S.portion_sizes(n, F3_PORTIONS)[0], n, NUM_CLASSES)
+    return rep.select(
+        F.round("mdl", 6).alias("mdl"), F.round("compression", 6).alias("compression"),
+        F.round("uniform_codelength", 6).alias("uniform_codelength"), "n_scored",
+    )
 
 
 @register("stream_predictions")

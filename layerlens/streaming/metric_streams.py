@@ -2,9 +2,10 @@
 (ST1–ST4).
 
 * ST1 live min/max per (run, metric): stateful ``groupBy.agg(min, max)``;
-* ST2 live batch-size weighted mean per (run, metric, event-time window),
-  with a watermark so finished windows leave the state store;
-* ST3 accumulating code length per portion (MDL view on top);
+* ST2 live batch-size weighted mean per (run, metric, epoch), or per
+  event-time window, with a watermark if old windows may leave the state;
+* ST3 accumulating code length per portion, and the description length as
+  it stands (``live_mdl``);
 * ST4 predictions appended as they arrive, metrics computed over the sink.
 
 Sinks are ``foreachBatch`` writers that put every micro-batch into its own
@@ -102,9 +103,19 @@ def event_time_utc(df: DataFrame, col: str = "ts") -> F.Column:
     return F.col(col)
 
 
-def live_weighted_mean(events: DataFrame, window: str = "6 hours", watermark: str = "1 hour") -> DataFrame:
-    """ST2: batch-size weighted mean per (run, metric, event-time window)."""
-    e = events.withColumn("event_time", event_time_utc(events)).withWatermark("event_time", watermark)
+def live_epoch_mean(events: DataFrame) -> DataFrame:
+    """ST2: batch-size weighted mean per (run, metric, epoch) over a stream
+    ``(run, metric, epoch, value, n)``; every row counts, however late."""
+    g = events.groupBy("run", "metric", "epoch").agg(F.sum(F.col("value") * F.col("n")).alias("_vn"), F.sum("n").alias("_n"))
+    return g.select("run", "metric", "epoch", (F.col("_vn") / F.col("_n")).alias("epoch_mean"))
+
+
+def live_weighted_mean(events: DataFrame, window: str = "6 hours", watermark: str | None = None) -> DataFrame:
+    """ST2 by event-time window. Without ``watermark`` no row is too late;
+    with one, windows older than it leave the state and rows for them are
+    dropped."""
+    e = events.withColumn("event_time", event_time_utc(events))
+    e = e.withWatermark("event_time", watermark) if watermark else e
     g = e.groupBy("run", "metric", F.window("event_time", window).alias("w")).agg(
         F.sum(F.col("value") * F.col("n")).alias("_vn"), F.sum("n").alias("_n")
     )
@@ -115,3 +126,12 @@ def live_weighted_mean(events: DataFrame, window: str = "6 hours", watermark: st
 def live_code_length(scored: DataFrame) -> DataFrame:
     """ST3 over a stream of scored rows ``(portion_idx, ce)``."""
     return scored.groupBy("portion_idx").agg(F.sum("ce").alias("ce_sum"), F.count(F.lit(1)).alias("n_scored"))
+
+
+def live_mdl(spark: SparkSession, code_lengths: DataFrame, first_portion_targets: int, total_targets: int, num_classes: int) -> DataFrame:
+    """ST3 view: description length and compression of the code lengths that
+    have arrived so far (``portion_idx, ce_sum, n_scored``)."""
+    from layerlens.operators.codelength import mdl_and_compression
+
+    rows = code_lengths.withColumn("n_missing_class", F.lit(0).cast("long"))
+    return mdl_and_compression(spark, rows, first_portion_targets, total_targets, num_classes)
