@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from layerlens.functions.columns import bucketize, one_hot
-from layerlens.session import BOUNDED_BROADCAST_ROWS
-
 # Fixed value: the separator between query and passage in a pair text.
 SEP = " [SEP] "
 
@@ -47,20 +45,10 @@ def label_dictionary(targets: DataFrame, label: str = "label") -> DataFrame:
     return labels.select("label", (F.row_number().over(w) - 1).cast("int").alias("id"))
 
 
-def _bounded(df: DataFrame, limit: int = BOUNDED_BROADCAST_ROWS) -> DataFrame:
-    """Collect a class-set table once (checked to be small) and hand it back
-    as a local relation, which Spark broadcasts; no second evaluation of the
-    plan that produced it."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"label dictionary has more than {limit} rows; expected a class set")
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def label_ids(targets: DataFrame, dictionary: DataFrame, label: str = "label") -> DataFrame:
-    """Label string → id via the dictionary; an unknown label fails
-    the job (the reference raises KeyError)."""
-    d = _bounded(dictionary).select(F.col("label").alias("_lbl"), F.col("id").alias("label_id"))
+    """Label string → id via the dictionary, which Spark broadcasts
+    where it has measured it to be small; an unknown label fails the job."""
+    d = dictionary.select(F.col("label").alias("_lbl"), F.col("id").alias("label_id"))
     j = targets.join(d, F.col(label).cast("string") == F.col("_lbl"), "left")
     return j.withColumn(
         "label_id",

@@ -10,6 +10,7 @@ from layerlens.operators import sampling as S
 from layerlens.operators import targets as T
 from layerlens.plans.fixtures import f1_scored, f2_instances, f3_vectors, f4_pairs, f4_star
 from layerlens.plans.registry import register
+from layerlens.sources.tables import table
 
 # Portions for the 500-row embeddings fixture (the default 0.001 would give
 # int(0.5) = 0 rows in the first portion).
@@ -239,6 +240,11 @@ dict AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) A
 ids AS (SELECT items.id, items.target_idx, items.label, dict.label_id FROM items JOIN dict USING (label))"""
 
 
+def _label_dictionary(spark, sf_dir):
+    """The dictionary from the raw label column, before instances are built."""
+    return T.label_dictionary(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label")))
+
+
 @register("label_ids", oracle=f"""
 WITH {_LABEL_IDS}
 SELECT id, target_idx, label, label_id FROM ids
@@ -246,7 +252,7 @@ SELECT id, target_idx, label, label_id FROM ids
 def label_ids(spark, sf_dir):
     """Label → id through the (broadcast) dictionary."""
     ex = T.explode_targets(f2_instances(spark, sf_dir))
-    out = T.label_ids(ex, T.label_dictionary(ex))
+    out = T.label_ids(ex, _label_dictionary(spark, sf_dir))
     return out.select("id", F.col("target_idx").cast("long").alias("target_idx"), "label", "label_id")
 
 
@@ -260,7 +266,7 @@ FROM ids, c
 def label_onehot(spark, sf_dir):
     """One-hot rows of eye(C) (rendered as text for the value check)."""
     ex = T.explode_targets(f2_instances(spark, sf_dir))
-    d = T.label_dictionary(ex)
+    d = _label_dictionary(spark, sf_dir)
     c = d.count()
     out = T.label_onehot(T.label_ids(ex, d), c)
     return out.select(

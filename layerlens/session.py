@@ -13,13 +13,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Tables whose row count is bounded by a parameter, not by the data
-# (portions, label dictionaries, per-partition offsets), may be broadcast
-# explicitly. Everything else is left to AQE, which converts a join to a
-# broadcast only after measuring the materialised side at run time.
-BOUNDED_BROADCAST_ROWS = 1_000_000
-
-
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "layerlens") -> SparkSession:
     """A local session configured the way the tests and the bench expect."""
     spark = (
