@@ -27,6 +27,7 @@ BIN_BITS = 8
 BINS = 1 << BIN_BITS
 LOW_BITS = 4
 TRIES = 24
+MAX_RANGES = 1 << 14  # the ranges' bounds are a constant of the plan
 PRIME = (1 << 31) - 1
 
 
@@ -166,7 +167,7 @@ def with_next(docs: DataFrame, carried: list[str], ranges: int) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text (the last quarter
     replaced by the beginning of the next document), and their likeness."""
-    ranges = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(MAX_RANGES, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("fingerprint", fingerprint(F.col("text")))
     rows = with_next(own, ["text", "fingerprint"], ranges)
