@@ -167,22 +167,31 @@ def fit(
     # at most `each` rows a label; the windowed rows are those of the sample
     order = F.row_number().over(Window.partitionBy("label").orderBy("at", "bits"))
     got = sample.withColumn("r", order).where(F.col("r") <= each).orderBy("at", "label").collect()
-    x = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), -1), axis=1)
-    x = x.astype(np.float32)
-    x /= np.sqrt(x.sum(axis=1, keepdims=True))
+    bits = np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), -1)
     y = np.array([names.index(r["label"]) for r in got])
-    return _solve(x, y, names, landmarks, max_n, bins)
+    return _solve(bits, y, names, landmarks, max_n, bins)
 
 
-def _solve(x: np.ndarray, y: np.ndarray, names: list[str], landmarks: int, max_n: int, bins: int) -> Model:
+def _rows(bits: np.ndarray) -> np.ndarray:
+    """Normalised presence vectors of packed bitmaps."""
+    x = np.unpackbits(bits, axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+
+
+def _solve(bits: np.ndarray, y: np.ndarray, names: list[str], landmarks: int, max_n: int, bins: int) -> Model:
     # landmarks: the first rows of each label in turn (rows are in hash order)
-    order = np.argsort([np.flatnonzero(y == c).tolist().index(i) for i, c in enumerate(y)], kind="stable")
-    marks = x[order[:landmarks]]
+    turn = np.zeros(len(y), np.int64)
+    for c in range(len(names)):
+        turn[y == c] = np.arange(int((y == c).sum()))
+    order = np.argsort(turn, kind="stable")
+    marks = _rows(bits[order[:landmarks]])
     kmm = (marks @ marks.T).astype(np.float64)
     value, vector = np.linalg.eigh(kmm)
     keep = value > 1e-6 * value[-1]
     root = vector[:, keep] / np.sqrt(value[keep])
-    z = (x @ marks.T).astype(np.float64) @ root  # Nyström features
+    # kernel columns of the sample, a block of rows at a time
+    k = np.concatenate([_rows(bits[lo : lo + 256]) @ marks.T for lo in range(0, len(bits), 256)])
+    z = k.astype(np.float64) @ root  # Nyström features
     mean = z.mean(axis=0)
     zc = z - mean
     target = np.where(y[:, None] == np.arange(len(names))[None, :], 1.0, -1.0)
