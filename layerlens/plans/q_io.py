@@ -163,10 +163,10 @@ _GRID = [(m, l) for m in (0, 1) for l in (0, 1, 2)]
 
 
 @register("layer_sweep", oracle=f"""
-WITH p AS (SELECT vec_id AS id, embedding AS e, label, {_PERM.format(id='vec_id')} AS perm FROM embeddings),
+WITH p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label, {_PERM.format(id='vec_id')} AS perm FROM embeddings),
 grid AS (SELECT * FROM (VALUES {", ".join(map(str, _GRID))}) t(model, layer)),
 pl AS (SELECT p.id, p.label, p.perm, model, layer,
-         list_transform(range(0, 64), lambda i: e[i + 1] * (1 + model * (i % 3)) + layer * 0.5 * e[((i + layer) % 64) + 1]) AS v
+         list_transform(range(0, 64), lambda i: e[i + 1] * CAST(1 + model * (i % 3) AS DOUBLE) + CAST(layer AS DOUBLE) / 2 * e[((i + layer) % 64) + 1]) AS v
        FROM p CROSS JOIN grid),
 fr AS (SELECT * FROM (VALUES (0, 0.0625), (1, 0.125), (2, 0.25), (3, 0.5), (4, 1.0)) t(portion_idx, fraction)),
 pt0 AS (SELECT portion_idx, CAST(floor((SELECT count(*) FROM embeddings) * fraction) AS BIGINT) AS n FROM fr),
@@ -188,10 +188,11 @@ def layer_sweep(spark, sf_dir):
     the stored features in one job."""
     path = scratch(spark, "features")
     points = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(l).alias("layer")) for m, l in _GRID]))
-    rows = f3_vectors(spark, sf_dir).withColumn("_p", points).select("id", "label", "vector", "_p.model", "_p.layer")
+    wide = f3_vectors(spark, sf_dir).withColumn("vector", F.col("vector").cast("array<double>"))
+    rows = wide.withColumn("_p", points).select("id", "label", "vector", "_p.model", "_p.layer")
     turned = rotate_left(F.col("vector"), F.col("layer"))
-    stretch = F.transform("vector", lambda x, i: x * (1 + F.col("model") * (i % 3)))
-    state = F.zip_with(stretch, turned, lambda x, y: x + F.col("layer") * 0.5 * y)
+    stretch = F.transform("vector", lambda x, i: x * (1 + F.col("model") * (i % 3)).cast("double"))
+    state = F.zip_with(stretch, turned, lambda x, y: x + F.col("layer").cast("double") / 2 * y)
     rows.withColumn("vector", state).write.partitionBy("model", "layer").parquet(path)
     res = L.sweep(spark.read.parquet(path), ["model", "layer"], NUM_CLASSES, F3_PORTIONS)
     return res.select("model", "layer", F.round("mdl", 6).alias("mdl"), F.round("compression", 6).alias("compression"),
