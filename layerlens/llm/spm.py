@@ -34,8 +34,8 @@ from layerlens.llm.common import Words, give_back, text_bytes, text_slices
 from layerlens.llm.idtable import IdTable
 
 BLANK = "\u2581"
-CACHE_STRINGS = 1_000_000
-PAIRS = 500_000
+CACHE_STRINGS = 500_000
+PAIRS = 200_000
 
 
 class PieceLattice:
