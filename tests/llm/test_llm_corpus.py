@@ -173,6 +173,22 @@ def test_jaccard_blocks_and_hubs(spark, monkeypatch):
     check_jaccard(spark.createDataFrame(list(enumerate(texts)), DOC).repartition(4))
 
 
+def test_jaccard_link_that_no_hub_may_have(spark, monkeypatch):
+    """y links to x only; x links to the copies, but is no hub of their lists."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(1083)]
+    texts = []
+    for _ in range(300):
+        gone, at = rng.randint(1, 40), rng.randint(0, 1000)
+        texts.append(" ".join(base[:at] + base[at + gone :]))
+    x = base[:933]
+    texts += [" ".join(x), " ".join(x + [f"new{i}" for i in range(130)])]
+    compared, within = [], jaccard._within
+    monkeypatch.setattr(jaccard, "_within", lambda *a: compared.append(1) or within(*a))
+    check_jaccard(spark.createDataFrame(list(enumerate(texts)), DOC).repartition(4))
+    assert compared
+
+
 def test_jaccard_rule_covers_every_linked_pair():
     for rule in (jaccard.Rule(4, 85), jaccard.Rule(5, 80), jaccard.Rule(2, 50)):
         for a in range(1, 80):
