@@ -189,6 +189,40 @@ def test_jaccard_link_that_no_hub_may_have(spark, monkeypatch):
     assert compared
 
 
+def test_jaccard_rows_without_an_id_are_apart(spark):
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):  # some keys of texts are less than any id
+        text = [f"g{g}_{i}" for i in range(60)]
+        near = [" ".join(text + [f"n{g}_{j}"]) for j in range(3)]
+        rows += [(None, x) for x in near]
+        rows += [(5 + g, " ".join(text))] if g % 3 else []
+    rows += [(None, rows[0][1]), (None, None), (None, ""), (None, "two words"), (42, "another text of some words")]
+    rng.shuffle(rows)
+    check_jaccard(spark.createDataFrame(rows, DOC).repartition(4))
+
+
+def test_jaccard_sizes_of_texts_with_one_id(spark, monkeypatch):
+    """The second id has a text that may not link with the first's, and one of
+    another size that does; empty texts of linked ids change nothing."""
+    rows, common = [], []
+    for g in range(10):
+        b = [f"b{g}_{i}" for i in range(100)]
+        other = b[:20] + [f"o{g}_{i}" for i in range(80)]
+        common += b + other
+        rows += [(2 * g, " ".join(b)), (2 * g + 1, " ".join(other)), (2 * g + 1, " ".join(b + [f"n{g}_{i}" for i in range(17)]))]
+    batch = jaccard.pa.RecordBatch.from_arrays([jaccard.pa.array([" ".join(common)])], names=["text"])
+    known = jaccard.np.unique(jaccard._scan(batch)[1])
+    monkeypatch.setattr(jaccard, "frequent_words", lambda docs: (known, jaccard.np.ones(len(known), jaccard.np.uint8)))
+    check_jaccard(spark.createDataFrame(rows, DOC).repartition(4))
+
+
+def test_jaccard_empty_texts_of_one_id_do_not_link(spark):
+    share = " ".join(f"s{i}" for i in range(50))
+    rows = [(d, share + " " + " ".join(f"u{d}_{i}" for i in range(12))) for d in (1, 2)] + [(1, ""), (2, " ")]
+    check_jaccard(spark.createDataFrame(rows, DOC).repartition(2), 1, 70)
+
+
 def test_jaccard_rule_covers_every_linked_pair():
     for rule in (jaccard.Rule(4, 85), jaccard.Rule(5, 80), jaccard.Rule(2, 50)):
         for a in range(1, 80):
