@@ -385,3 +385,15 @@ def test_pipeline_stages(spark, tmp_path):
     last = tables[-1]
     assert last.count() == len(rows[4]) and last.where("not round_trip").count() == 0
     assert corpus_pipeline.run(spark, SF_SMALL).count() == last.count()
+
+
+def test_pipeline_keeps_clean_texts_that_share_an_id(spark):
+    sys.path.insert(0, str(__import__("pathlib").Path(__file__).resolve().parents[2]))
+    import corpus_pipeline
+
+    text = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    stay = [(3, text("a")), (7, text("b")), (7, text("c")), (9, text("d")), (None, text("a")), (8, "")]
+    gone = [(7, text("a") + " more"), (7, text("c")), (12, text("c") + " more"), (8, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in stay + gone], DOC + ", lang string, source string, n_chars long")
+    got = corpus_pipeline.one_of_each_group(spark, docs, SF_SMALL).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(stay, key=repr)
