@@ -325,7 +325,9 @@ def with_start(records: DataFrame, index: DataFrame) -> DataFrame:
     base = index.groupBy("part").agg(F.sum("n_tokens").alias("_n")).select(
         "part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base")
     )
-    inner = Window.partitionBy("part").orderBy("shard", "record").rowsBetween(Window.unboundedPreceding, -1)
+    # names sort as text only up to 1000 files of a task: c1000 is after c999
+    file = F.nullif(F.regexp_extract("shard", r"-c(\d+)\.", 1), F.lit("")).cast("long")
+    inner = Window.partitionBy("part").orderBy(file, "shard", "record").rowsBetween(Window.unboundedPreceding, -1)
     return (
         records.join(base, "part")
         .withColumn("start", F.col("_base") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))

@@ -328,6 +328,13 @@ def test_records_round_trip(spark, edge, empty, tmp_path):
     assert records.read_records(spark, none).count() == 0
 
 
+def test_record_order_after_a_thousand_files(spark):
+    rows = [(f"part-00000-4d6a-c{i:03d}.txt", 0, 0, i, 2) for i in (101, 999, 1000, 1001)] + [("part-00001-4d6a-c000.txt", 1, 0, 5000, 2)]
+    table = spark.createDataFrame(rows, "shard string, part int, record long, doc_id long, n_tokens long")
+    got = records.with_start(table, table).orderBy("start").collect()
+    assert [(r["doc_id"], r["start"]) for r in got] == [(101, 0), (999, 2), (1000, 4), (1001, 6), (5000, 8)]
+
+
 def test_damaged_records_are_noticed():
     whole = records.frame(5, np.array([1, 2, 3], "<u2").tobytes(), False) + b"\n"
     doc, ids = records._parse(memoryview(whole))
