@@ -37,15 +37,21 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stage_in_order(df: DataFrame, order_col: str, n_files: int, root: str) -> str:
     """Write ``df`` as ``n_files`` parquet folders holding consecutive ranges
     of ``order_col`` (written one after the other, so a file source reads
-    them in that order). Used to replay a table as a stream."""
+    them in that order; null keys are in the first). Used to replay a table as
+    a stream."""
     b = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
     lo, hi = b["lo"], b["hi"]
+    if lo is None:  # no row has a key
+        df.write.mode("overwrite").parquet(os.path.join(root, "part-0000"))
+        return root
     step = (hi - lo) / n_files
     for i in range(n_files):
         start = lo + step * i
         cond = F.col(order_col) >= F.lit(start)
         if i < n_files - 1:
             cond = cond & (F.col(order_col) < F.lit(lo + step * (i + 1)))
+        if i == 0:
+            cond = cond | F.col(order_col).isNull()
         df.filter(cond).write.mode("overwrite").parquet(os.path.join(root, f"part-{i:04d}"))
     return root
 

@@ -111,3 +111,12 @@ def test_unfinished_splits_count_as_missing(spark):
     bounds = spark.createDataFrame([(1.5, -2.0)], "max_score double, min_score double")
     K.write_bounds(bounds, os.path.join(d, "meta"))
     assert S.read_bounds(spark, os.path.join(d, "meta")) == (-2.0, 1.5)
+
+
+def test_stage_in_order_keeps_null_keys(spark, tmp_path):
+    from layerlens.streaming.metric_streams import stage_in_order
+
+    for name, keys in (("some", [1, None, 5, 9, None]), ("nulls", [None, None]), ("none", [])):
+        root = stage_in_order(spark.createDataFrame([(k,) for k in keys], "k long"), "k", 3, str(tmp_path / name))
+        got = spark.read.schema("k long").option("recursiveFileLookup", True).parquet(root)
+        assert sorted((r["k"] for r in got.collect()), key=repr) == sorted(keys, key=repr)
