@@ -121,9 +121,83 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+# CRC-32 byte by byte, over a table that the rule of its polynomial gives
+OP11 = r"""
+WITH RECURSIVE tab AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+    FROM (SELECT unnest(range(256)) AS i)
+  )
+), w AS (
+  SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS nth, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+  UNION ALL
+  SELECT 'b', item_id, row_number() OVER (), regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+  FROM benchmark
+), f AS (
+  SELECT side, nth, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w
+), counted AS (
+  SELECT side, nth, f, count(*) AS n FROM f GROUP BY ALL
+), bytes AS (
+  SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)
+), crc AS (
+  SELECT f, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT)),
+    lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM bytes, tab
+), total AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t
+  FROM counted JOIN crc USING (f) GROUP BY bucket
+), all_of AS (
+  SELECT coalesce(sum(s), 0) AS bs, coalesce(sum(t), 0) AS bt FROM total
+), gain AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * (bs + 10000))::DOUBLE / ((s + 1) * (bt + 10000))::DOUBLE))::BIGINT AS g FROM total, all_of
+), mass AS (
+  SELECT nth, sum(n) AS n, sum(n * g) AS m FROM counted JOIN crc USING (f) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY nth
+), known AS (
+  SELECT id AS doc_id, nth, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features,
+    coalesce(floor(m::DOUBLE / n::DOUBLE), 0)::BIGINT AS weight,
+    ('0x' || sha256('7:' || coalesce(id::VARCHAR, ''))[1:8])::BIGINT AS h
+  FROM w LEFT JOIN mass USING (nth) WHERE side = 'd'
+), scored AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM known
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS r,
+    count(*) FILTER (n_words >= 20) OVER () AS big_n FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_words >= 20 AND r <= big_n * 25 // 100 THEN r END AS rank
+FROM ranked
+"""
+
+OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+    list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * r.q[i]))::BIGINT AS score
+  FROM v a JOIN v r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id
+), pos AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 ORACLES = {
     "op1_quality_rules": OP1,
     "op5_substring_dedup": OP5,
     "op8_jaccard_join": OP8,
     "op10_chat_format": OP10,
+    "op11_importance": OP11,
+    "op13_hard_negatives": OP13,
 }

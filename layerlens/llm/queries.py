@@ -6,11 +6,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerlens.llm import chat, fingerprint, jaccard, langid, mixing, quality, records, substring, tokencount
+from layerlens.llm import (
+    chat, fingerprint, hardneg, importance, jaccard, langid, mixing, quality, records, simhash, spm, substring, tokencount,
+)
 from layerlens.llm.common import documents, prepare, shared_dir
 from layerlens.llm.oracles import ORACLES  # noqa: F401  (read by the entry module)
 
@@ -85,6 +88,30 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ------------------------------------------------------------------------ 6
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document, and whether they decode to it."""
+
+    def digest(batches):
+        for batch in batches:
+            size = batch.column(1).value_lengths().to_numpy()
+            ids = batch.column(1).flatten().to_numpy().astype("<u4").tobytes()
+            ends = 4 * np.cumsum(size, dtype=np.int64)
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip((ends - 4 * size).tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), batch.column(2)],
+                names=["doc_id", "n_ids", "ids_crc32", "round_trip"],
+            )
+
+    rows = spm.encode(documents(spark, sf_dir).select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+    return rows.select("doc_id", "ids", "round_trip").mapInArrow(
+        digest, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean"
+    )
+
+
 # ------------------------------------------------------------------------ 7
 
 
@@ -163,3 +190,39 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"),
         "valid",
     )
+
+
+# ----------------------------------------------------------------------- 11
+
+
+@query
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and draw of every document towards the benchmark."""
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = importance.resample(documents(spark, sf_dir), target)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# ----------------------------------------------------------------------- 12
+
+
+@query
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ----------------------------------------------------------------------- 13
+
+LABELS = 10
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the positives of every hundredth vector."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % LABELS).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        "vec_id", shifted.alias("label"), F.col("embedding").alias("vector")
+    )
+    return hardneg.mine(vectors, lambda vec_id: vec_id % 100 == 0)
