@@ -326,7 +326,8 @@ def subtries(prints: DataFrame, nodes: list[tuple[int, int]], budget: int = BUDG
             }
         )
 
-    packed = _subtrie(prints.select("fp").distinct(), nodes)
+    # few bytes, much work: tasks by number, not by size
+    packed = _subtrie(prints.select("fp").distinct(), nodes).repartition(max(1, len(nodes)), "node")
     return packed.groupBy("node").applyInArrow(run, "node int, fps binary, labels binary")
 
 
@@ -349,6 +350,7 @@ def links_between(tries: DataFrame, nodes: list[tuple[int, int]], budget: int =
         return pa.table({"a": pa.array(x.view(np.int64), pa.int64()), "b": pa.array(y.view(np.int64), pa.int64())})
 
     met_rows = tries.join(sides, "node").select("pair", "depth", "errors", "side", "fps", "labels")
+    met_rows = met_rows.repartition(max(1, min(len(pairs), 4 * len(nodes))), "pair")
     return met_rows.groupBy("pair", "depth", "errors").applyInArrow(run, "a long, b long")
 
 
