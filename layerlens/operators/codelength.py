@@ -12,13 +12,15 @@ whole procedure one Spark job whose every step is SQL-checkable: centroids
 of all portions at once from vector sums per (chunk, label), which are added
 up over the nested portions (no row is copied), a K×C centroid table
 (bounded by the parameters K, C, D → broadcast), and scoring by array HOFs.
-Trained probes (Spark ML) run the same loop as one fit per portion.
+Trained probes are fitted together, all portions in one job a step
+(``online_coding_fitted``); Spark ML estimators run one fit per portion.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from layerlens.functions.columns import cross_entropy, sq_dist
 from layerlens.operators import sampling as S
+from layerlens.operators import training
 from layerlens.operators.inference import infer, one_row
 from layerlens.session import materialize
 
@@ -301,3 +304,83 @@ def sweep(
     total = per.groupBy(*by).agg(F.sum("ce_sum").alias("_ce"), F.sum("n_scored").alias("n_scored")).join(counts, by)
     mdl = F.col("_t0") * log2c + F.col("_ce")
     return total.select(*by, mdl.alias("mdl"), (F.col("_t") * log2c / mdl).alias("compression"), "n_scored")
+
+
+def online_coding_fitted(
+    train: DataFrame,
+    shape: training.Shape,
+    plan: training.Plan,
+    path: str,
+    fractions: Sequence[float] = S.DEFAULT_PORTIONS,
+    settings: Sequence[training.Model] = (training.Model(),),
+    by: Sequence[str] = (),
+    id_col: str = "id",
+    vectors: Sequence[str] = ("vector",),
+    label: str = "label",
+    validation: DataFrame | None = None,
+    first: np.ndarray | None = None,
+    seed: int = S.SPLIT_SEED,
+) -> DataFrame:
+    """A8/M9 with trained probes: the probes of all portions, of all points of
+    ``by`` (layers, models: a column of ``train``) and of all ``settings``
+    (penalty, rate) are fitted together, one job a step, and all chunks are
+    scored in one more: ``(by…, setting, portion_idx, n_fit, ce_sum, n_scored,
+    mdl, compression)``, MDL and compression repeated on the portions of a
+    point. An empty portion has no probe: its chunk is coded uniformly.
+    ``first``: first parameters of all models (points, settings, portions, in
+    this order), by default from each setting's seed."""
+    spark, by = train.sparkSession, list(by)
+    rows = train.join(materialize(S.permute(train.select(id_col).distinct(), id_col, seed)), id_col)
+    points = sorted(tuple(r) for r in train.select(*by).distinct().limit(10_000).collect()) if by else [()]
+    grp = F.lit(0)
+    if by:
+        number = F.lit(None).cast("int")
+        for i, p in enumerate(points):
+            number = F.when(_all_equal(by, p), i).otherwise(number)
+        grp = number
+    rows = materialize(rows.withColumn("_grp", grp))
+    last = rows.agg(F.max(S.PERM)).first()[0]
+    n = 0 if last is None else int(last) + 1
+    sizes = S.portion_sizes(n, fractions)
+    models, of = [], []
+    for i, _ in enumerate(points):
+        for j, setting in enumerate(settings):
+            for k in range(len(sizes) - 1):
+                models.append(replace(setting, limit=sizes[k], grp=i))
+                of.append((i, j, k))
+    examples = training.example_rows(rows, vectors, id_col, label, S.PERM, "_grp")
+    held_out = None if validation is None else training.example_rows(validation, vectors, id_col, label)
+    fitted = training.fit(examples, shape, models, plan, path, held_out, first)
+    lo = np.array([sizes[k] for _, _, k in of])
+    hi = np.array([sizes[k + 1] for _, _, k in of])
+    group = np.array([i for i, _, _ in of])
+
+    def chunk(perm, grp):
+        return (perm[None, :] >= lo[:, None]) & (perm[None, :] < hi[:, None]) & (grp[None, :] == group[:, None])
+
+    loss, _, count = training.losses(examples, shape, models, fitted.theta, chunk)
+    uniform = math.log(shape.num_classes)
+    loss = np.where(lo > 0, loss, count * uniform)
+    targets = rows.groupBy("_grp").agg(F.count("*").alias("t"), F.sum((F.col(S.PERM) < sizes[0]).cast("long")).alias("t0")).collect()
+    targets = {r["_grp"]: (r["t"], r["t0"]) for r in targets}
+    log2c = math.log2(shape.num_classes)
+    out = []
+    for i, p in enumerate(points):
+        for j, _ in enumerate(settings):
+            mine = [m for m, x in enumerate(of) if x[:2] == (i, j)]
+            t, t0 = targets.get(i, (0, 0))
+            mdl = t0 * log2c + float(loss[mine].sum())
+            ratio = t * log2c / mdl if mdl else None
+            for m in mine:
+                out.append((*p, j, of[m][2], int(lo[m]), float(loss[m]), int(count[m]), mdl, ratio))
+    kinds = "".join(f"`{c}` {t}, " for c, t in train.select(*by).dtypes) if by else ""
+    return spark.createDataFrame(
+        out, f"{kinds}setting int, portion_idx int, n_fit long, ce_sum double, n_scored long, mdl double, compression double"
+    )
+
+
+def _all_equal(names: Sequence[str], values: Sequence) -> Column:
+    out = F.lit(True)
+    for c, v in zip(names, values):
+        out = out & F.col(c).eqNullSafe(F.lit(v))
+    return out

@@ -7,7 +7,7 @@ import importlib
 
 from layerlens.plans.registry import ORACLES, QUERIES, QueryFn
 
-_MODULES = ["q_ranking", "q_dataset", "q_probe", "q_text", "q_pooling", "q_runlog", "q_stream", "q_io"]
+_MODULES = ["q_ranking", "q_dataset", "q_probe", "q_train", "q_text", "q_pooling", "q_runlog", "q_stream", "q_io"]
 
 for _m in _MODULES:
     importlib.import_module(f"layerlens.plans.{_m}")
