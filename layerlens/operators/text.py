@@ -6,10 +6,11 @@
   token;
 * WordPiece (X1, uncased: word rules of its own, lower-case, accents stripped, greedy longest match,
   ``##`` continuation, ``[UNK]`` for unmatchable words or words longer than
-  100 characters) runs in an Arrow ``pandas_udf`` over each document's whole
-  word array, with a per-process cache of words already split. Nothing is
-  shuffled: a word that occurs in a third of all rows costs one dictionary
-  hit per occurrence, not a hot join key;
+  100 characters) is one Arrow UDF over whole texts: a numpy scan of the bytes
+  finds the words, a trie with failure links splits each distinct word of a
+  batch, reading each character once (``wordscan``). Nothing is shuffled: a
+  word that occurs in a third of all rows costs one look-up per occurrence,
+  not a hot join key;
 * the UDF also returns the per-word piece counts and their prefix sums, so
   pair encoding (X3), computed spans (X4) and span realignment (X5) are
   array arithmetic on the JVM, with no per-document window.
@@ -21,17 +22,17 @@ artefact of bounded size and is shipped to the tasks with the UDF.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from layerlens.operators.wordscan import PieceTrie, normalize_word, normalized, scan_words, text_slices  # noqa: F401
+
 # Special tokens and limits of the uncased WordPiece scheme.
 UNK, CLS, SEP, PAD = "[UNK]", "[CLS]", "[SEP]", "[PAD]"
 CONTINUATION = "##"
@@ -68,12 +69,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD_PATTERN), 0)
 
 
-def normalize_word(w: str) -> str:
-    """Uncased normalisation: lower case, NFD, drop combining marks."""
-    w = unicodedata.normalize("NFD", w.lower())
-    return "".join(ch for ch in w if unicodedata.category(ch) != "Mn")
-
-
 def wordpiece(word: str, vocab: dict[str, int]) -> list[int]:
     """Greedy longest-match-first split of one normalised word."""
     if len(word) > MAX_CHARS_PER_WORD:
@@ -103,59 +98,70 @@ PIECES_TYPE = T.StructType([
 ])
 
 
-# Per-process caches of split words, one per vocabulary (executors keep them
-# across tasks; bounded by ``cache_size`` entries each).
-_SPLIT_CACHES: dict[int, dict[str, tuple[int, ...]]] = {}
+# Per-process tries, one per vocabulary (executors keep them across tasks).
+_TRIES: dict[int, PieceTrie] = {}
 
 
-def make_tokenizer(vocab: dict[str, int], cache_size: int = 1 << 18):
-    """Arrow UDF ``array<string> words → struct<ids, n_pieces, offsets>``;
-    ``offsets[w]`` = pieces before word w (length n_words + 1).
+def _trie(key: int, vocab: dict[str, int]) -> PieceTrie:
+    if key not in _TRIES:
+        _TRIES[key] = PieceTrie(vocab, UNK, CONTINUATION, MAX_CHARS_PER_WORD)
+    return _TRIES[key]
+
+
+def _split(trie: PieceTrie, words: pa.Array, n_words: np.ndarray) -> list[pa.Array]:
+    """``ids, n_pieces, offsets`` of texts with ``n_words`` of ``words`` each.
+    Each distinct word is split once; the lists are gathered with numpy."""
 
-    Per Arrow batch the words are dictionary-encoded, so Python splits each
-    distinct word of the batch once (through the per-process cache); the
-    three list columns are then gathered with numpy from the distinct
-    words' pieces, with no per-occurrence Python work."""
+    def lists(bnd, vals):
+        return pa.ListArray.from_arrays(pa.array(bnd, pa.int32()), pa.array(vals, pa.int32()))
+
+    enc = pc.dictionary_encode(words)
+    occ = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    u_flat, u_len = trie.split(normalized(enc.dictionary))
+    u_start = np.cumsum(u_len) - u_len
+    counts = u_len[occ]
+    cum = np.concatenate([[0], np.cumsum(counts)])  # pieces before each word occurrence
+    ids = u_flat[np.arange(int(cum[-1])) - np.repeat(cum[:-1] - u_start[occ], counts)]
+    w_bounds = np.concatenate([[0], np.cumsum(n_words)])
+    # offsets of row r: cum[b_r .. b_r + n_r] - cum[b_r] (n_r + 1 values)
+    o_len = n_words + 1
+    o_bounds = np.concatenate([[0], np.cumsum(o_len)])
+    first = np.repeat(w_bounds[:-1], o_len)
+    g = first + np.arange(int(o_bounds[-1])) - np.repeat(o_bounds[:-1], o_len)
+    return [lists(cum[w_bounds], ids), lists(w_bounds, counts), lists(o_bounds, cum[g] - cum[first])]
+
+
+def make_tokenizer(vocab: dict[str, int]):
+    """Arrow UDF ``array<string> words → struct<ids, n_pieces, offsets>``;
+    ``offsets[w]`` = pieces before word w (length n_words + 1)."""
     key = hash(frozenset(vocab.items()))
 
     @F.arrow_udf(PIECES_TYPE)
     def tokenize(ws: pa.Array) -> pa.Array:
-        cache = _SPLIT_CACHES.setdefault(key, {})
         n_words = pc.fill_null(pc.list_value_length(ws), 0).to_numpy().astype(np.int64)
-        enc = pc.dictionary_encode(ws.flatten())
-        occ = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        pieces = []
-        for w in enc.dictionary.to_pylist():
-            p = cache.get(w)
-            if p is None:
-                p = tuple(wordpiece(normalize_word(w), vocab))
-                if len(cache) < cache_size:
-                    cache[w] = p
-            pieces.append(p)
-        u_len = np.fromiter((len(p) for p in pieces), dtype=np.int64, count=len(pieces))
-        u_flat = np.fromiter((i for p in pieces for i in p), dtype=np.int32, count=int(u_len.sum()))
-        u_start = np.cumsum(u_len) - u_len
-        # pieces of every word occurrence, in order
-        counts = u_len[occ]
-        total = int(counts.sum())
-        occ_start = np.cumsum(counts) - counts
-        ids = u_flat[np.arange(total) - np.repeat(occ_start - u_start[occ], counts)]
-        cum = np.concatenate([[0], np.cumsum(counts)])  # pieces before each word occurrence
-        w_bounds = np.concatenate([[0], np.cumsum(n_words)])
-        # offsets of row r: cum[b_r .. b_r + n_r] - cum[b_r] (n_r + 1 values)
-        o_len = n_words + 1
-        o_bounds = np.concatenate([[0], np.cumsum(o_len)])
-        first = np.repeat(w_bounds[:-1], o_len)
-        g = first + np.arange(int(o_bounds[-1])) - np.repeat(o_bounds[:-1], o_len)
-        offs = cum[g] - cum[first]
-
-        def lists(bnd, vals):
-            return pa.ListArray.from_arrays(pa.array(bnd, pa.int32()), pa.array(vals, pa.int32()))
-
-        return pa.StructArray.from_arrays(
-            [lists(cum[w_bounds], ids), lists(w_bounds, counts), lists(o_bounds, offs)],
-            names=["ids", "n_pieces", "offsets"],
-        )
+        return pa.StructArray.from_arrays(_split(_trie(key, vocab), ws.flatten(), n_words), names=["ids", "n_pieces", "offsets"])
+
+    return tokenize
+
+
+def make_text_tokenizer(vocab: dict[str, int], keep_words: bool = True):
+    """Arrow UDF ``text → struct<ids, n_pieces, offsets[, words]>``: one scan
+    of the text's bytes finds the words, and a trie splits them."""
+    key = hash(frozenset(vocab.items()))
+    words_field = [T.StructField("words", T.ArrayType(T.StringType()))] if keep_words else []
+
+    @F.arrow_udf(T.StructType([*PIECES_TYPE.fields, *words_field]))
+    def tokenize(texts: pa.Array) -> pa.Array:
+        trie, out = _trie(key, vocab), []
+        for part in text_slices(texts) if len(texts) else [texts]:
+            words, n_words = scan_words(part)
+            cols = _split(trie, words, n_words)
+            names = ["ids", "n_pieces", "offsets"]
+            if keep_words:
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_words)]), pa.int32()), words))
+                names.append("words")
+            out.append(pa.StructArray.from_arrays(cols, names=names))
+        return pa.concat_arrays(out)
 
     return tokenize
 
@@ -170,21 +176,18 @@ def load_vocab(vocab: DataFrame, token: str = "token", id_col: str = "id") -> di
 
 
 def _word_counts(texts: DataFrame, text: str) -> DataFrame:
-    """Normalised word → count over a corpus (partial aggregation per raw
-    word first, so the Python normalisation sees each distinct word once
-    per partition)."""
+    """Normalised word → count over a corpus. Each task scans its texts and
+    normalises the distinct words of a slice; counts are added up."""
 
-    @F.pandas_udf(T.StringType())
-    def norm(s: pd.Series) -> pd.Series:
-        return s.map(normalize_word)
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch.column(0)):
+                found = pc.value_counts(scan_words(part)[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(normalized(found.field("values")), pa.string()), found.field("counts")], names=["w", "c"]
+                )
 
-    return (
-        texts.select(text)
-        .select(F.explode(piece_words(F.col(text))).alias("w"))
-        .groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-        .select(norm(F.col("w")).alias("w"), "c")
-        .groupBy("w").agg(F.sum("c").alias("c"))
-    )
+    return texts.select(text).mapInArrow(run, "w string, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 def build_vocab(texts: DataFrame, text: str = "text", top_words: int = 2000) -> DataFrame:
@@ -194,10 +197,20 @@ def build_vocab(texts: DataFrame, text: str = "text", top_words: int = 2000) ->
     return _vocab_from_counts(texts.sparkSession, _word_counts(texts, text), top_words)
 
 
+def _characters(counted: DataFrame) -> DataFrame:
+    """``ch``: the characters of all words, few from each task."""
+
+    def run(batches):
+        for batch in batches:
+            codes = np.unique(np.frombuffer("".join(batch.column(0).to_pylist()).encode("utf-32-le"), np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array(list(codes.tobytes().decode("utf-32-le")), pa.string())], names=["ch"])
+
+    return counted.select("w").mapInArrow(run, "ch string").distinct()
+
+
 def _vocab_from_counts(spark, counted: DataFrame, top_words: int) -> DataFrame:
     top = counted.orderBy(F.col("c").desc(), F.col("w")).limit(top_words).select(F.col("w").alias("token"))
-    # characters as code points (a regex '.' never splits a surrogate pair)
-    chars = counted.select(F.explode(F.regexp_extract_all(F.col("w"), F.lit("(?s)."), 0)).alias("ch")).distinct()
+    chars = _characters(counted)
     chars_all = chars.select(F.col("ch").alias("token")).unionByName(
         chars.select(F.concat(F.lit(CONTINUATION), F.col("ch")).alias("token"))
     )
@@ -219,8 +232,7 @@ def corpus_vocab(texts: DataFrame, text: str = "text", top_words: int = 2000) ->
     counted = _word_counts(texts, text).persist()
     try:
         top = [r[0] for r in counted.orderBy(F.col("c").desc(), F.col("w")).limit(top_words).select("w").collect()]
-        chars = [r[0] for r in counted.select(
-            F.explode(F.regexp_extract_all(F.col("w"), F.lit("(?s)."), 0)).alias("ch")).distinct().collect()]
+        chars = [r[0] for r in _characters(counted).collect()]
     finally:
         counted.unpersist()
     specials = [PAD, UNK, CLS, SEP]
@@ -233,13 +245,12 @@ def corpus_vocab(texts: DataFrame, text: str = "text", top_words: int = 2000) ->
     return vocab
 
 
-def tokenize_texts(df: DataFrame, vocab: dict[str, int], text: str = "text", prefix: str = "") -> DataFrame:
+def tokenize_texts(df: DataFrame, vocab: dict[str, int], text: str = "text", prefix: str = "", keep_words: bool = True) -> DataFrame:
     """Add ``{prefix}words`` and ``{prefix}pieces`` (struct of ids,
-    per-word counts and offsets) for the whole text of every row."""
-    tok = make_tokenizer(vocab)
-    return df.withColumn(f"{prefix}words", piece_words(F.col(text))).withColumn(
-        f"{prefix}pieces", tok(F.col(f"{prefix}words"))
-    )
+    per-word counts and offsets) for the whole text of every row; without
+    ``keep_words`` the pieces alone."""
+    out = df.withColumn(f"{prefix}pieces", make_text_tokenizer(vocab, keep_words)(F.col(text)))
+    return out.withColumn(f"{prefix}words", F.col(f"{prefix}pieces.words")) if keep_words else out
 
 
 def explode_pieces(tokenized: DataFrame, keys: Sequence[str], prefix: str = "") -> DataFrame:

@@ -115,10 +115,10 @@ def tokenize_pieces(spark, sf_dir):
     corpus (characters + 2,000 most frequent words): words, pieces, [UNK]s."""
     vocab = corpus_vocab(spark, sf_dir)
     unk = vocab[X.UNK]
-    t = X.tokenize_texts(hard_documents(spark, sf_dir), vocab)
+    t = X.tokenize_texts(hard_documents(spark, sf_dir), vocab, keep_words=False)
     return t.select(
         "doc_id",
-        F.size("words").cast("long").alias("n_words"),
+        F.size("pieces.n_pieces").cast("long").alias("n_words"),
         F.size("pieces.ids").cast("long").alias("n_pieces"),
         F.size(F.filter("pieces.ids", lambda i: i == unk)).cast("long").alias("n_unk"),
     )

@@ -1,5 +1,8 @@
 """Text operators against direct construction."""
 
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from layerlens.operators import text as X
@@ -108,3 +111,60 @@ def test_tokenizer_udf_matches_per_word_split(spark):
         for s in split:
             running.append(running[-1] + len(s))
         assert p.offsets == running
+
+
+def _random_vocab(rng, alphabet):
+    tokens = {"[PAD]", "[UNK]", "[CLS]", "[SEP]"}
+    for _ in range(rng.randint(1, 40)):
+        piece = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 5)))
+        tokens.add(rng.choice(["", "##"]) + piece)
+    return {t: i for i, t in enumerate(sorted(tokens))}
+
+
+def test_trie_splits_as_longest_match_does():
+    rng = random.Random(3)
+    for alphabet in ("ab", "abc", "aé中😀"):
+        for _ in range(150):
+            vocab = _random_vocab(rng, alphabet)
+            trie = X.PieceTrie(vocab, X.UNK, X.CONTINUATION, 100)
+            words = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 2, 5, 9, 14]))) for _ in range(60)] + ["a" * 100, "a" * 101]
+            ids, n = trie.split(words)
+            ends = n.cumsum().tolist()
+            got = [ids[e - k : e].tolist() for e, k in zip(ends, n.tolist())]
+            assert got == [X.wordpiece(w, vocab) for w in words]
+
+
+def test_trie_reads_each_character_once(monkeypatch):
+    """Work that grows with the characters, also for a word whose long
+    matches fail at its last character again and again."""
+    vocab = {X.UNK: 0, "a": 1, "##a": 2, "a" * 49 + "b": 3, "##" + "a" * 49 + "b": 4}
+    trie = X.PieceTrie(vocab, X.UNK, X.CONTINUATION, 100)
+    steps = 0
+    goto = trie._goto
+
+    def counted(node, code):
+        nonlocal steps
+        steps += len(node)
+        return goto(node, code)
+
+    trie._goto = counted
+    ids, _ = trie.split(["a" * 100])
+    assert len(ids) == 100 and steps <= 300
+
+
+def test_word_scan_equals_the_rules(spark):
+    rng = random.Random(5)
+    hard = list("aZ9é中文 0 \t\n\r\x0b\x0c\x85  　​﻿�$€~`'«»…—_#&😀\U00020000́ัſΣ\x00\x7f")
+    texts = ["".join(rng.choice(hard) for _ in range(rng.randint(0, 25))) for _ in range(800)] + ["", None, "plain words only", "é"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3)
+    want = {r.i: r.w or [] for r in df.select("i", X.piece_words(F.col("t")).alias("w")).collect()}
+    words, n = X.scan_words(pa.array(["not seen", *texts], pa.string()).slice(1))
+    ends = n.cumsum().tolist()
+    got = {i: words.to_pylist()[e - k : e] for i, (e, k) in enumerate(zip(ends, n.tolist()))}
+    assert got == want
+    vocab = X.corpus_vocab(df, "t", top_words=30)
+    out = X.tokenize_texts(df, vocab, "t").select("i", "words", "pieces").collect()
+    for r in out:
+        split = [X.wordpiece(X.normalize_word(w), vocab) for w in want[r.i]]
+        assert r.words == want[r.i]
+        assert r.pieces.ids == [x for s in split for x in s] and r.pieces.n_pieces == [len(s) for s in split]
