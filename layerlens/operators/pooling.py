@@ -16,13 +16,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from layerlens.operators.inference import infer, one_row
+from layerlens.operators.inference import one_row
 
 # Default sizes of the random-embedding baseline model.
 RANDOM_EMBEDDING_VOCAB = 30522
@@ -120,22 +122,48 @@ def attention_pool(tokens: DataFrame, spans: DataFrame, params: DataFrame, slot:
     """M4 (card C4): ``(keys…, pooled array<double>)``; an empty span pools
     to the zero vector.
 
-    Each token of a span is projected and scored once by batch inference.
-    The span's largest score is a window over the span's own tokens (as many
-    as a sequence has at most); the weighted mean then aggregates on the same
-    partitioning, so the projected vectors are shuffled once."""
+    Tokens are projected, scored and summed where the join has put them: for
+    each span and Arrow batch one row goes on, with the largest score, the sum
+    of the weights below it and the weighted sum. Those few rows meet by span
+    and are added up on a common scale, so no token and no projected vector is
+    shuffled after the join, and none at all if the tokens are stored in
+    buckets of their sequences (``sequences.store_states``)."""
     keys = list(keys)
     p = one_row(params.filter(F.col("slot") == slot).select("w", "b", "v"))
     w, b, v = (np.asarray(p[c], dtype=np.float64) for c in ("w", "b", "v"))
-
-    def project(x):
-        h = np.asarray(x, dtype=np.float64) @ w.T + b
-        return np.concatenate([h, (h @ v)[:, None]], axis=1)
-
     width = len(b)
-    j = infer(span_tokens(tokens, spans, seq).select(*keys, "vector"), project, "vector", w.shape[1], "_hs")
-    j = j.select(*keys, F.slice("_hs", 1, width).alias("_h"), F.element_at("_hs", -1).alias("_s"))
-    j = j.withColumn("_w", F.exp(F.col("_s") - F.max("_s").over(Window.partitionBy(*keys))))
+    joined = span_tokens(tokens, spans, seq).select(*keys, F.col("vector").cast("array<double>").alias("vector"))
+    fields = [joined.schema[k] for k in keys]
+    schema = T.StructType([*fields, T.StructField("_m", T.DoubleType()), T.StructField("_w", T.DoubleType()),
+                           T.StructField("_s", T.ArrayType(T.DoubleType()))])
+
+    def partial(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.zeros(batch.num_rows, np.int64)
+            for i in range(len(keys)):  # numbered anew each time, so that codes stay small
+                own = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                code = np.unique(code * (int(own.max()) + 1) + own, return_inverse=True)[1]
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+            x = batch.column(len(keys)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)[order]
+            h = x @ w.T + b
+            score = h @ v
+            top = np.maximum.reduceat(score, first)
+            weight = np.exp(score - np.repeat(top, np.diff(np.r_[first, len(score)])))
+            sums = np.add.reduceat(weight[:, None] * h, first, axis=0)
+            ends = pa.array(np.arange(len(first) + 1) * width, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i).take(pa.array(order[first])) for i in range(len(keys))], pa.array(top),
+                 pa.array(np.add.reduceat(weight, first)), pa.ListArray.from_arrays(ends, pa.array(sums.reshape(-1)))],
+                schema=to_arrow_schema(schema),
+            )
+
+    j = joined.mapInArrow(partial, schema)
+    scale = F.exp(F.col("_m") - F.max("_m").over(Window.partitionBy(*keys)))
+    # the mean of the partial means, weighted by what they stand for
+    j = j.select(*keys, F.transform("_s", lambda x: x / F.col("_w")).alias("_h"), (scale * F.col("_w")).alias("_w"))
     pooled = j.groupBy(*keys).agg(
         Summarizer.mean(array_to_vector(F.col("_h")), F.col("_w")).alias("_p"),
     ).select(*keys, vector_to_array("_p").alias("pooled"))

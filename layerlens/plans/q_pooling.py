@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from layerlens.operators import pooling as M
+from layerlens.operators import sequences as Q
 from layerlens.operators import text as X
 from layerlens.plans.fixtures import f5_hidden_states, f5_spans
 from layerlens.plans.registry import register
@@ -161,6 +162,64 @@ def span_attention_pool_768(spark, sf_dir):
     return _summary(_pooled(spark, sf_dir, 0, None, 768, 256))
 
 
+BUCKETS = 8
+
+
+def stored_states(spark, sf_dir):
+    """All layers of F5 stored by sequence, as a table of its own."""
+    path = scratch(spark, "states")
+    name = "states_" + path.rsplit("-", 1)[-1]
+    return Q.store_states(f5_hidden_states(spark, sf_dir), name, path, BUCKETS)
+
+
+@register("span_pool_stored", oracle=f"""
+WITH {_F5}, {_SPANS}, {_pool_sql('pool0', 'spans', 0)}
+{_SUMMARY} FROM pool0
+""")
+def span_pool_stored(spark, sf_dir):
+    """The same pooling over states stored in buckets of their
+    sequences: neither the join nor the sums move a token."""
+    tokens = M.select_layer(stored_states(spark, sf_dir), LAYER)
+    return _summary(M.attention_pool(tokens, f5_spans(spark, sf_dir), M.projection_params(spark, 64, POOL_DIM), 0))
+
+
+_MIX_DIM, _MIX_LAYERS = 4, 3
+
+
+def _mix_sql(x: str, i: int) -> str:
+    side = lambda f: f"coalesce({f}(x) OVER (PARTITION BY conv_id, turn, d ORDER BY pos), 0)"
+    return f"""
+{x}{i + 1} AS (SELECT conv_id, turn, pos, d, kind, x / 2 + ({side('lag')} + {side('lead')}) / 4 + kind / 10.0 AS x FROM {x}{i})"""
+
+
+@register("sequence_states", oracle=f"""
+WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '{X.WORD_PATTERN}') AS w FROM conversations),
+t AS (SELECT conv_id, turn, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM w),
+s0 AS (SELECT conv_id, turn, pos, d, pos % 2 AS kind, (((('0x' || substr(md5(word), 1, 8))::BIGINT % {VOCAB} * 7 + d * 3) % 11) - 5) / 10.0::DOUBLE AS x
+  FROM t CROSS JOIN (SELECT unnest(range(0, {_MIX_DIM})) AS d)),
+{', '.join(_mix_sql('s', i) for i in range(_MIX_LAYERS - 1))},
+a AS ({' UNION ALL '.join(f"SELECT {i} AS layer, * FROM s{i}" for i in range(_MIX_LAYERS))})
+SELECT conv_id, turn, layer, count(*) // {_MIX_DIM} AS n_tokens, round(sum(x), 5) AS v_sum, round(sum(x * (pos + 1) * (d + 1)) / 7, 4) AS v_place
+FROM a GROUP BY conv_id, turn, layer
+""")
+def sequence_states(spark, sf_dir):
+    """M2: all layers of a model whose states depend on their neighbours, over
+    whole turns in padded batches of like length."""
+    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.words(F.col("text")).alias("w"))
+    ids = F.transform("w", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long") % VOCAB)
+    seqs = words.select(
+        "conv_id", "turn", ids.alias("input_ids"), F.transform("w", lambda _, i: i % 2).alias("token_type_ids"),
+        F.transform("w", lambda _: F.lit(1)).alias("attention_mask"),
+    )
+    states = Q.extract_states(seqs, Q.neighbour_model(_MIX_DIM, _MIX_LAYERS), ["conv_id", "turn"])
+    place = F.aggregate(F.transform("vector", lambda x, d: x * (d + 1)), F.lit(0.0), lambda a, x: a + x) * (F.col("pos") + 1)
+    return states.groupBy("conv_id", "turn", "layer").agg(
+        F.count(F.lit(1)).alias("n_tokens"),
+        F.round(F.sum(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)), 5).alias("v_sum"),
+        F.round(F.sum(place) / 7, 4).alias("v_place"),
+    )
+
+
 @register("pair_concat", oracle=f"""
 WITH {_F5},
 seqs AS (SELECT DISTINCT CAST(vec_id // 20 AS INTEGER) AS seq FROM embeddings),
