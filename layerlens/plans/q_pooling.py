@@ -199,7 +199,7 @@ s0 AS (SELECT conv_id, turn, pos, d, pos % 2 AS kind, (((('0x' || substr(md5(wor
   FROM t CROSS JOIN (SELECT unnest(range(0, {_MIX_DIM})) AS d)),
 {', '.join(_mix_sql('s', i) for i in range(_MIX_LAYERS - 1))},
 a AS ({' UNION ALL '.join(f"SELECT {i} AS layer, * FROM s{i}" for i in range(_MIX_LAYERS))})
-SELECT conv_id, turn, layer, count(*) // {_MIX_DIM} AS n_tokens, round(sum(x), 5) AS v_sum, round(sum(x * (pos + 1) * (d + 1)) / 7, 4) AS v_place
+SELECT conv_id, turn, layer, count(*) // {_MIX_DIM} AS n_tokens, round(sum(x) + 1000, 5) AS v_sum, round(sum(x * (pos + 1) * (d + 1)) / 7.3, 4) AS v_place
 FROM a GROUP BY conv_id, turn, layer
 """)
 def sequence_states(spark, sf_dir):
@@ -215,8 +215,8 @@ def sequence_states(spark, sf_dir):
     place = F.aggregate(F.transform("vector", lambda x, d: x * (d + 1)), F.lit(0.0), lambda a, x: a + x) * (F.col("pos") + 1)
     return states.groupBy("conv_id", "turn", "layer").agg(
         F.count(F.lit(1)).alias("n_tokens"),
-        F.round(F.sum(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)), 5).alias("v_sum"),
-        F.round(F.sum(place) / 7, 4).alias("v_place"),
+        F.round(F.sum(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)) + 1000, 5).alias("v_sum"),
+        F.round(F.sum(place) / 7.3, 4).alias("v_place"),
     )
 
 

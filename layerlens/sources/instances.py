@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from layerlens.operators.targets import TARGET_TYPE
+from layerlens.sources.jsonarray import read_json_array
 
 # JSON spans are two-element arrays [a, b]; they are read as arrays and
 # turned into struct<a, b> after the read.
@@ -44,9 +45,10 @@ def read_jsonl_instances(spark: SparkSession, path: str, keep_empty: bool = Fals
 
 
 def read_json_array_instances(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array of instances. Not splittable: convert once to
-    JSONL/parquet (K1) and read that for every later job."""
-    return _normalise(spark.read.schema(INSTANCE_SCHEMA).option("multiLine", True).json(path))
+    """One JSON array of instances, read by as many tasks as the file has
+    ranges (``jsonarray``)."""
+    parsed = read_json_array(spark, path).select(F.from_json("element", INSTANCE_SCHEMA).alias("i"))
+    return _normalise(parsed.select("i.*"))
 
 
 def read_label_dictionary(spark: SparkSession, path: str) -> DataFrame:
