@@ -231,26 +231,28 @@ def split_bundles(scored: DataFrame, qrels: DataFrame, num_classes: int, q: str
     from layerlens.operators import classification as C
 
     doc = list(doc)
-    out = None
-    for split, wanted in SPLIT_BUNDLES.items():
-        rows = scored.filter(F.col("split") == split)
-        parts = [
-            C.accuracy(rows).select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
-            C.macro_f1(rows, num_classes).select(F.lit("macro_f1").alias("metric"), F.col("macro_f1").alias("value")),
-        ]
-        if len(wanted) > 2:
-            run = rows.select(q, *doc, "score", "own_grade")
-            if split == "test":
-                per_query = evaluate_run(run, qrels, q, doc)
-            else:
-                judged = judge_run(run, qrels, q, doc, split=split, label="own_grade")
-                ranked = rank_run(judged, q, doc, "score", run)
-                per_query = trec_metrics(per_query_metrics(ranked, q), ideal_dcg(qrels, q), q)
-            parts.append(ranking_report(per_query).filter(F.col("metric").isin(*wanted)).select("metric", "value"))
-        for part in parts:
-            part = part.select(F.lit(split).alias("split"), "metric", "value")
-            out = part if out is None else out.unionByName(part)
-    return out
+    keyed = scored.withColumn("_q", F.struct("split", q))
+    plain = C.accuracy(scored, ["split"]).join(C.macro_f1(scored, num_classes, ["split"]), "split")
+    # the split leads every key: one join with the judgements, one ranking and
+    # one aggregate for the queries of all splits
+    ranked_splits = [s for s, wanted in SPLIT_BUNDLES.items() if len(wanted) > 2]
+    run = keyed.where(F.col("split").isin(*ranked_splits)).select("split", "_q", *doc, "score", "own_grade")
+    judgements = dedupe_qrels(qrels, q, doc).withColumn("_q", F.struct(F.lit("test").alias("split"), F.col(q))).drop(q, "n_lines")
+    judged = judge_run(run, judgements, "_q", doc)
+    grade = F.when(F.col("split") == "test", F.col("grade")).otherwise(F.col("own_grade")).cast("int")
+    judged = judged.withColumn("grade", grade).withColumn("rel", binary_relevance(F.col("grade")))
+    ranked = rank_run(judged, "_q", doc, "score", run)
+    per_query = trec_metrics(per_query_metrics(ranked, "_q"), ideal_dcg(judgements, "_q"), "_q")
+    means = {"precision@10": "p_at_10", "precision@20": "p_at_20", "mrr": "rr", "map": "ap", "trec_map": "trec_ap",
+             "trec_ndcg@10": "trec_ndcg_10", "trec_ndcg@20": "trec_ndcg_20"}
+    wide = per_query.groupBy(F.col("_q.split").alias("split")).agg(*[F.avg(c).alias(m) for m, c in means.items()])
+    names = ["accuracy", "macro_f1", *means]
+    stack = f"stack({len(names)}, {', '.join(f'{m!r}, `{m}`' for m in names)}) as (metric, value)"
+    long = plain.join(wide, "split", "left").selectExpr("split", stack)
+    wanted = F.lit(False)
+    for split, own in SPLIT_BUNDLES.items():
+        wanted = wanted | ((F.col("split") == split) & F.col("metric").isin(*own))
+    return long.where(wanted)
 
 
 def trec_run_rows(ranked: DataFrame, q: str, doc_id: Column, score: str, name: str) -> DataFrame:

@@ -43,7 +43,7 @@ def stream_minmax(spark, sf_dir):
     """ST1: live min/max per (run, metric) over a 3-batch replay of events."""
     stream = _replay(spark, _event_log(spark, sf_dir), "ts", "st1")
     sink, ck = ST.scratch(spark, "st1-out"), ST.scratch(spark, "st1-ck")
-    ST.run_available(ST.live_minmax(stream), sink, ck, "update")
+    ST.run_available(ST.live_minmax(stream), sink, ck, "update", ["run", "metric"], compact_every=2)
     return ST.latest_state(sink, spark, ["run", "metric"])
 
 

@@ -10,7 +10,9 @@
 
 Sinks are ``foreachBatch`` writers that put every micro-batch into its own
 ``batch_id=N`` folder with overwrite, so a retried batch replaces its own
-output (idempotent) and nothing is collected on the driver. Stream state and
+output (idempotent) and nothing is collected on the driver. ``compact`` merges
+the folders of an update-mode sink into one state, so a read touches that and
+the batches since. Stream state and
 offsets live under the session's checkpoint folder. ``run_available`` drains
 the source once (``availableNow``) — the same code runs continuously with a
 processing-time trigger.
@@ -65,18 +67,24 @@ def file_stream(spark: SparkSession, root: str, schema, files_per_batch: int = 1
     )
 
 
-def batch_writer(sink: str) -> Callable[[DataFrame, int], None]:
+def batch_writer(sink: str, keys: Sequence[str] | None = None, every: int = 0) -> Callable[[DataFrame, int], None]:
+    """Each batch into its own folder; with ``every``, all batches so far are
+    merged after each so many (``compact``)."""
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
+        if every and (batch_id + 1) % every == 0:
+            compact(sink, batch.sparkSession, keys)
 
     return write
 
 
-def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "update") -> None:
+def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "update", keys: Sequence[str] | None = None,
+                  compact_every: int = 0) -> None:
     """Process everything available, micro-batch by micro-batch, then stop."""
     q = (
         stream.writeStream.outputMode(mode)
-        .foreachBatch(batch_writer(sink))
+        .foreachBatch(batch_writer(sink, keys, compact_every))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -84,14 +92,76 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "up
     q.awaitTermination()
 
 
+def _children(spark: SparkSession, path: str, prefix: str, finished: bool = False) -> dict[int, str]:
+    """Number → path of the folders ``prefix=N`` of ``path``; ``finished``
+    leaves out those whose write has not ended."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = jvm.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return {}
+    out = {}
+    for f in fs.listStatus(at):
+        name = f.getPath().getName()
+        if name.startswith(f"{prefix}=") and (not finished or fs.exists(jvm.Path(f.getPath(), "_SUCCESS"))):
+            out[int(name.split("=", 1)[1])] = str(f.getPath())
+    return out
+
+
+def _base(spark: SparkSession, sink: str) -> tuple[int, str | None]:
+    """The last batch that is merged, and the folder of the merged state. Its
+    ``_SUCCESS`` file, written last, is the mark of a merge that counts."""
+    done = _children(spark, os.path.join(sink, "_base"), "upto", finished=True)
+    last = max(done, default=-1)
+    return last, done.get(last)
+
+
+def _state_with_batch(sink: str, spark: SparkSession, keys: Sequence[str]) -> DataFrame:
+    """The newest row of every key with the batch that gave it, from the
+    merged state and the batches after it."""
+    upto, base = _base(spark, sink)
+    open_ = [p for n, p in sorted(_children(spark, sink, "batch_id").items()) if n > upto]
+    parts = []
+    if open_:
+        parts.append(spark.read.option("basePath", sink).parquet(*open_).withColumn("batch_id", F.col("batch_id").cast("long")))
+    if base:
+        parts.append(spark.read.parquet(base))
+    if not parts:
+        raise ValueError(f"no batch has been written to {sink}")
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    w = Window.partitionBy(*keys).orderBy(F.col("batch_id").desc())
+    # one row per key and batch that updated it since the last merge
+    return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1).drop("_k")
+
+
 def latest_state(sink: str, spark: SparkSession, keys: Sequence[str]) -> DataFrame:
     """Final value of every key of an update-mode sink: the row of the last
-    micro-batch that touched the key."""
-    rows = spark.read.parquet(sink)
-    w = Window.partitionBy(*keys).orderBy(F.col("batch_id").desc())
-    # one row per key and batch that updated it: per-key groups are bounded
-    # by the number of micro-batches
-    return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1).drop("_k", "batch_id")
+    micro-batch that touched the key. Reads the merged state and the batches
+    that came after it."""
+    return _state_with_batch(sink, spark, keys).drop("batch_id")
+
+
+def compact(sink: str, spark: SparkSession, keys: Sequence[str]) -> int:
+    """Merge all batches so far into one state and drop their folders; returns
+    the last batch that is merged. The merged state is written beside the
+    batches and counts from its mark on, so a merge that is cut short changes
+    nothing and is made again; a batch that is replayed after its merge is
+    passed over by its number. To be run by the stream's driver, between
+    batches."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    upto, base = _base(spark, sink)
+    batches = _children(spark, sink, "batch_id")
+    last = max(batches, default=-1)
+    if last > upto:
+        target = os.path.join(sink, "_base", f"upto={last}")
+        _state_with_batch(sink, spark, keys).write.mode("overwrite").parquet(target)
+        upto, base = last, target
+    fs = jvm.Path(sink).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [p for n, p in batches.items() if n <= upto]
+    old += [p for n, p in _children(spark, os.path.join(sink, "_base"), "upto").items() if n < upto]
+    for p in old:
+        fs.delete(jvm.Path(p), True)
+    return upto
 
 
 def live_minmax(events: DataFrame) -> DataFrame:
