@@ -19,22 +19,30 @@ NUM_BUCKETS = 10
 
 
 def _split_sizes(n: int) -> tuple[int, int]:
-    """train 60 %, held-out 30 % (half test, half validation), 10 % unused."""
+    """Held-out 30 % (half test, half validation), all other rows train."""
+    return n - n * 3 // 10, n * 3 // 10
+
+
+def _sizes_with_rest(n: int) -> tuple[int, int]:
+    """train 60 %, held-out 30 %; the unused rest is a feature of the split."""
     return n * 6 // 10, n * 3 // 10
 
 
-def _f1_split(spark, sf_dir):
+def _f1_split(spark, sf_dir, sizes=_split_sizes):
     f1 = f1_scored(spark, sf_dir)
     n = f1.count()
-    num_train, num_test = _split_sizes(n)
-    return S.exact_split(f1, num_train, num_test, n=n)
+    return S.exact_split(f1, *sizes(n), n=n)
 
 
 _PERM = "row_number() OVER (ORDER BY md5('5823905:' || CAST({id} AS VARCHAR)), {id}) - 1"
 
-_F1_SPLIT = f"""
+_WHOLE_TRAIN, _PART_TRAIN = "count(*) - count(*) * 3 // 10", "count(*) * 6 // 10"
+
+
+def _f1_split_sql(train: str = _WHOLE_TRAIN) -> str:
+    return f"""
 f1 AS (SELECT o_orderkey AS id, o_totalprice AS label FROM orders),
-sz AS (SELECT count(*) * 6 // 10 AS n_train, count(*) * 3 // 10 AS n_test FROM orders),
+sz AS (SELECT {train} AS n_train, count(*) * 3 // 10 AS n_test FROM orders),
 p AS (SELECT id, label, {_PERM.format(id='id')} AS perm FROM f1),
 sp AS (
   SELECT id, label, perm,
@@ -44,13 +52,16 @@ sp AS (
   FROM p, sz)"""
 
 
+_F1_SPLIT = _f1_split_sql()
+
+
 @register("exact_split", oracle=f"""
-WITH {_F1_SPLIT}
+WITH {_f1_split_sql(_PART_TRAIN)}
 SELECT id, split FROM sp WHERE split IS NOT NULL
 """)
 def exact_split(spark, sf_dir):
     """Exact-size seeded split of F1 (60 % train, 15 % val, 15 % test)."""
-    return _f1_split(spark, sf_dir).select("id", "split")
+    return _f1_split(spark, sf_dir, _sizes_with_rest).select("id", "split")
 
 
 @register("sample_n", oracle=f"""
@@ -126,7 +137,7 @@ def val_fraction(spark, sf_dir):
     """The first half of the validation split, in its seeded order."""
     f3 = f3_vectors(spark, sf_dir).select("id", "label")
     n = f3.count()
-    split = S.exact_split(f3, *_split_sizes(n), n=n, val_fraction=0.5)
+    split = S.exact_split(f3, *_sizes_with_rest(n), n=n, val_fraction=0.5)
     return split.filter(F.col("split") == "validation").select("id")
 
 

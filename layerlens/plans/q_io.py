@@ -201,7 +201,7 @@ def layer_sweep(spark, sf_dir):
 
 @register("full_procedure", oracle=f"""
 WITH f3 AS (SELECT vec_id AS id, embedding AS v, label FROM embeddings),
-sz AS (SELECT count(*) * 6 // 10 AS n_train, count(*) * 3 // 10 AS n_test FROM embeddings),
+sz AS (SELECT count(*) - count(*) * 3 // 10 AS n_train, count(*) * 3 // 10 AS n_test FROM embeddings),
 p0 AS (SELECT id, v, label, {_PERM.format(id='id')} AS perm FROM f3),
 sp AS (SELECT id, v, label,
          CASE WHEN perm < n_test // 2 THEN 'test' WHEN perm < n_test THEN 'validation'

@@ -41,7 +41,7 @@ def centroid_predictions(spark, sf_dir):
 # --- DuckDB building blocks --------------------------------------------------
 _F3_SPLIT = f"""
 f3 AS (SELECT vec_id AS id, embedding AS v, label FROM embeddings),
-sz AS (SELECT count(*) * 6 // 10 AS n_train, count(*) * 3 // 10 AS n_test FROM embeddings),
+sz AS (SELECT count(*) - count(*) * 3 // 10 AS n_train, count(*) * 3 // 10 AS n_test FROM embeddings),
 p AS (SELECT id, v, label, {_PERM.format(id='id')} AS perm FROM f3),
 sp AS (
   SELECT id, v, label, perm,
