@@ -116,7 +116,7 @@ def line_fails(line: Column, n: Column, r: Rules) -> Column:
         phrase = phrase | low.contains(p)
     said_over = (n >= r.distinct_min) & (F.size(F.array_distinct(words(low))) * 100 < n * r.distinct_words)
     stutter = (n >= r.stuttered_min) & (
-        F.regexp_count(low, F.lit(r"(?<!\S)(\S{1,40})(?:\s+\1(?!\S))+")) * 100 > n * r.stuttered
+        F.regexp_count(low, F.lit(r"(?<!\S)(\S{1,40})(?:\s+\1(?!\S))++")) * 100 > n * r.stuttered
     )
     return punctuation | navigation | phrase | said_over | stutter
 
