@@ -6,8 +6,9 @@ Nyström map of that kernel, one-versus-rest kernel ridge regression is fitted
 on it, and texts are scored by batched matrix products.
 
 Fitting uses a bounded sample of labelled rows (``SAMPLE_ROWS``, spread over
-the labels by hash of the id); of each only the fixed-size presence bitmap
-reaches the driver. Scoring reads every whole text.
+the labels by hash of the text); of each only the fixed-size presence bitmap
+reaches the driver. Scoring reads every whole text. More than
+``MAX_LABELS`` labels are refused, none is left out.
 
 Defined cases: a null text, or one without any letter, gets ``und`` and score
 0; labels that are null are not learned; ties between languages go to the
@@ -32,6 +33,7 @@ from layerlens.llm.common import give_back, text_slices
 MAX_N = 3
 BINS = 1 << 14
 LANDMARKS = 256
+MAX_LABELS = 10_000
 SAMPLE_ROWS = 2400
 RIDGE = 1e-2
 SHARPNESS = 6.0
@@ -135,7 +137,9 @@ def fit(
     )
     # the smallest hashes of each label, found without texts: the cut is
     # agreed first, then only the chosen texts are read
-    counts = known.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(256).collect()
+    counts = known.groupBy("label").agg(F.count("*").alias("n")).limit(MAX_LABELS + 1).collect()
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels: one classifier a label is held by every task")
     names = sorted(r["label"] for r in counts)
     if not names:
         return Model([], np.zeros((bins, 0), np.float32), np.zeros((0, 0)), np.zeros(0), max_n, bins)

@@ -4,6 +4,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_
 
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
 PASSAGE = " ".join(f"shared{i}" for i in range(60))
+STUTTER = " ".join(f"u{i}" for i in range(3000)) + " same" * 6000
 
 EDGE = [
     (1, "The quick brown fox jumps over the lazy dog near the old river bank today.", "en", "s1"),
@@ -19,6 +20,7 @@ EDGE = [
     (10, "The quick brown fox jumps over the lazy dog near the old river bank today.", "en", "s3"),
     (11, "été déjà vu 中文 😀 €5 ▁ x y don't it's 1234", "fr", "s3"),
     (None, "no id at all here but some words", "en", "s1"),
+    (13, STUTTER, "en", "s4"),
     (12, "a a a a a a a a a a a a a a a a a a a a", "en", "s4"),
 ]
 

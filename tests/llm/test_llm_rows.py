@@ -390,3 +390,20 @@ def test_native_plans_have_no_python(spark):
 
 def test_vocabularies_are_read_in_place():
     assert json.load(open(BPE))["model"]["type"] == "BPE"
+
+
+def test_quality_lines_of_very_many_repeats(spark):
+    """Distinct words and then one word over and over: the pattern must not
+    recurse once for each repeat."""
+    head = " ".join(f"u{i}" for i in range(3000))
+    rows = [(1, f"{head}{' same' * 100_000}"), (2, f"{head}{' same' * 6000}"), (3, head)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["n_words"] for i in (1, 2, 3)] == [103_000, 9000, 3000]
+    assert not got[1]["kept"] and not got[2]["kept"] and got[3]["kept"]
+
+
+def test_labels_beyond_the_limit_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LABELS", 2)
+    df = spark.createDataFrame([(f"l{i}", f"text {i}") for i in range(3)], "lang string, text string")
+    with pytest.raises(ValueError):
+        langid.fit(df)
