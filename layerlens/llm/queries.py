@@ -106,7 +106,9 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                 names=["doc_id", "n_ids", "ids_crc32", "round_trip"],
             )
 
-    rows = spm.encode(documents(spark, sf_dir).select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+    rows = spm.encode(
+        documents(spark, sf_dir).select("doc_id", "text"), vocabulary("piece_bpe_32k.model"), strings=1_500_000, pairs=800_000
+    )
     return rows.select("doc_id", "ids", "round_trip").mapInArrow(
         digest, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean"
     )

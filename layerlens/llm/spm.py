@@ -39,9 +39,11 @@ PAIRS = 200_000
 
 
 class PieceLattice:
-    def __init__(self, model_path: str):
+    def __init__(self, model_path: str, limit: int = PAIRS):
         import sentencepiece
 
+        self.limit = limit
+
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         plain = [i for i in range(len(self.pieces)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
@@ -73,7 +75,7 @@ class PieceLattice:
         key = (a if a >= 0 else len(self.pieces) + ord(left)) * 0x200000 + (b if b >= 0 else len(self.pieces) + ord(right))
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= PAIRS:
+            if len(self.pairs) >= self.limit:
                 self.pairs.clear()
             known = self.pairs[key] = self.merged(left + right) == [left, right]
         return known
@@ -176,9 +178,9 @@ def blocks_of(texts: pa.Array) -> Words:
 
 
 class Codec:
-    def __init__(self, model_path: str):
-        self.lattice = PieceLattice(model_path)
-        self.table = IdTable(self._learn, np.int32, CACHE_STRINGS)
+    def __init__(self, model_path: str, strings: int = CACHE_STRINGS, pairs: int = PAIRS):
+        self.lattice = PieceLattice(model_path, pairs)
+        self.table = IdTable(self._learn, np.int32, strings)
         surface = [b""] * len(self.lattice.pieces)
         for i, p in enumerate(self.lattice.pieces):
             b = self.lattice.of_byte.get(i)
@@ -208,26 +210,28 @@ class Codec:
         return [data[a:b][1:] if data[a : a + 1] == b" " else data[a:b] for a, b in zip([0, *stop[:-1]], stop)]
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[tuple[str, int, int], Codec] = {}
 
 
-def codec_of(model_path: str) -> Codec:
+def codec_of(model_path: str, strings: int = CACHE_STRINGS, pairs: int = PAIRS) -> Codec:
     """One codec per worker process, kept over its tasks."""
-    if model_path not in _CODECS:
-        _CODECS[model_path] = Codec(model_path)
-    return _CODECS[model_path]
+    key = (model_path, strings, pairs)
+    if key not in _CODECS:
+        _CODECS[key] = Codec(*key)
+    return _CODECS[key]
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, strings: int = CACHE_STRINGS, pairs: int = PAIRS) -> DataFrame:
     """``docs`` without ``text``, with ``ids`` (array of int), ``n_ids`` and
-    ``round_trip`` (the ids decode to the text)."""
+    ``round_trip`` (the ids decode to the text). ``strings`` and ``pairs``
+    bound the tables of what a worker has met; they change speed only."""
     docs = docs.drop("ids", "n_ids", "round_trip")
     carried = [c for c in docs.columns if c != "text"]
     at = docs.columns.index("text")
     schema = f"{docs.drop('text')._jdf.schema().toDDL()}, ids array<int>, n_ids long, round_trip boolean"
 
     def run(batches):
-        codec = codec_of(model_path)
+        codec = codec_of(model_path, strings, pairs)
         for batch in batches:
             for part in text_slices(batch):
                 texts = part.column(at)
