@@ -102,15 +102,16 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
             ends = 4 * np.cumsum(size, dtype=np.int64)
             crc = [zlib.crc32(ids[a:b]) for a, b in zip((ends - 4 * size).tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), batch.column(2)],
+                [batch.column(0), batch.column(2), pa.array(crc, pa.int64()), batch.column(3)],
                 names=["doc_id", "n_ids", "ids_crc32", "round_trip"],
             )
 
-    rows = spm.encode(
-        documents(spark, sf_dir).select("doc_id", "text"), vocabulary("piece_bpe_32k.model"), strings=1_500_000, pairs=800_000
-    )
-    return rows.select("doc_id", "ids", "round_trip").mapInArrow(
-        digest, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean"
+    return spm.encode(
+        documents(spark, sf_dir).select("doc_id", "text"),
+        vocabulary("piece_bpe_32k.model"),
+        strings=1_500_000,
+        pairs=800_000,
+        then=(digest, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean"),
     )
 
 

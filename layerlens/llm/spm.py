@@ -11,6 +11,8 @@ boundary. The ids equal the library's for the same file.
 
 No piece goes on over a blank or holds a newline, so paths always meet there;
 the text between is looked up in a bounded table before the lattice is built.
+Strings that lie within two windows commit at their end; the lattices of many
+of them are worked through together, boundary by boundary.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text;
 characters outside the vocabulary become byte pieces; rows are encoded one by
@@ -23,7 +25,7 @@ an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ from layerlens.llm.common import Words, give_back, text_bytes, text_slices
 from layerlens.llm.idtable import IdTable
 
 BLANK = "\u2581"
+SPAN = 1 << 21  # more than there are symbols: pieces, then code points
 CACHE_STRINGS = 500_000
 PAIRS = 200_000
 
@@ -54,6 +57,23 @@ class PieceLattice:
         self.longest = max(map(len, self.id))
         self.begins = {p[:n] for p in self.id for n in range(1, len(p) + 1)}
         self.pairs: dict[int, bool] = {}
+        self.pair_key, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        self._number_trie()
+
+    def _number_trie(self) -> None:
+        """The trie of all pieces in arrays: sorted ``node * letters + letter``
+        with the node it leads to, and the piece that ends at a node."""
+        letters = sorted({c for p in self.id for c in p})
+        self.letter = np.full(0x110000, -1, np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(len(letters))
+        self.letters = len(letters)
+        node = {"": 0}
+        for p in sorted(self.begins, key=len):
+            node[p] = len(node)
+        edge = [node[p[:-1]] * self.letters + int(self.letter[ord(p[-1])]) for p in node if p]
+        order = np.argsort(np.array(edge, np.int64))
+        self.edge, self.child = np.array(edge, np.int64)[order], order + 1
+        self.ending = np.fromiter((self.id.get(p, -1) for p in node), np.int64, len(node))
 
     def merged(self, text: str) -> list[str]:
         """What the model makes of a short text: the best-scored joinable
@@ -72,7 +92,7 @@ class PieceLattice:
     def allowed(self, left: str, right: str) -> bool:
         # unknown single characters are numbered after the pieces
         a, b = (self.id.get(p, -1) for p in (left, right))
-        key = (a if a >= 0 else len(self.pieces) + ord(left)) * 0x200000 + (b if b >= 0 else len(self.pieces) + ord(right))
+        key = (a if a >= 0 else len(self.pieces) + ord(left)) * SPAN + (b if b >= 0 else len(self.pieces) + ord(right))
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= self.limit:
@@ -80,6 +100,79 @@ class PieceLattice:
             known = self.pairs[key] = self.merged(left + right) == [left, right]
         return known
 
+    def symbol_text(self, symbol: int) -> str:
+        return self.pieces[symbol] if symbol < len(self.pieces) else chr(symbol - len(self.pieces))
+
+    def _all_allowed(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``allowed`` for many pairs of symbols."""
+        key, back = np.unique(left * SPAN + right, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.pair_key, key), max(0, len(self.pair_key) - 1))
+        known = self.pair_key[place] == key if len(self.pair_key) else np.zeros(len(key), bool)
+        ok = np.zeros(len(key), bool)
+        ok[known] = self.pair_ok[place[known]]
+        new = key[~known]
+        if len(new):
+            texts = ((self.symbol_text(k // SPAN), self.symbol_text(k % SPAN)) for k in new.tolist())
+            ok[~known] = judged = np.fromiter((self.merged(a + b) == [a, b] for a, b in texts), bool, len(new))
+            if len(self.pair_key) + len(new) > self.limit:
+                self.pair_key, self.pair_ok = new[:0], judged[:0]
+            if len(new) <= self.limit:
+                both = np.concatenate((self.pair_key, new))
+                order = np.argsort(both, kind="stable")
+                self.pair_key, self.pair_ok = both[order], np.concatenate((self.pair_ok, judged))[order]
+        return ok[back]
+
+    def _step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Nodes one character further, -1 where no piece goes on."""
+        edge = node * self.letters + letter
+        at = np.minimum(np.searchsorted(self.edge, edge), len(self.edge) - 1)
+        return np.where((self.edge[at] == edge) & (letter >= 0), self.child[at], -1)
+
+    def segment_many(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all strings joined, and how many each has: the lattices
+        of all strings advance by one boundary at a time. For strings of at
+        most two windows, whose paths are committed at their end."""
+        size = np.fromiter(map(len, strings), np.int64, len(strings))
+        first = np.cumsum(size) - size
+        code = np.frombuffer("".join(strings).encode("utf-32-le"), "<u4").astype(np.int64)
+        letter = self.letter[code]
+        wide = int(size.max(initial=0)) + 1
+        begin = np.zeros((len(strings), wide), np.int16)
+        symbol = np.full((len(strings), wide), -1, np.int64)
+        for at in range(wide - 1):
+            row = np.flatnonzero(size > at)
+            node = np.zeros(len(row), np.int64)
+            found = []
+            for end in range(at + 1, min(wide, at + self.longest + 1)):
+                inside = size[row] >= end
+                row, node = row[inside], node[inside]
+                if not len(row):
+                    break
+                c = first[row] + end - 1
+                node = self._step(node, letter[c])
+                on = node >= 0
+                piece = np.where(on, self.ending[node], -1)
+                if end == at + 1:  # a character outside the vocabulary
+                    piece = np.where(piece < 0, len(self.pieces) + code[c], piece)
+                new = (piece >= 0) & (symbol[row, end] < 0)
+                found.append((row[new], np.full(int(new.sum()), end), piece[new]))
+                row, node = row[on], node[on]
+            row, end, piece = (np.concatenate(x) for x in zip(*found))
+            if at:
+                ok = self._all_allowed(symbol[row, at], piece)
+                row, end, piece = row[ok], end[ok], piece[ok]
+            begin[row, end], symbol[row, end] = at, piece
+        # back from the ends, all strings at once
+        row, at, steps = np.flatnonzero(size), size[size > 0], []
+        while len(row):
+            steps.append((row, at, symbol[row, at]))
+            at = begin[row, at].astype(np.int64)
+            row, at = row[at > 0], at[at > 0]
+        if not steps:
+            return np.zeros(0, np.int64), size
+        row, at, piece = (np.concatenate(x) for x in zip(*steps))
+        return piece[np.argsort(row * wide + at)], np.bincount(row, minlength=len(strings))
+
     def segment(self, text: str) -> Iterator[str]:
         """Pieces of ``text``, each yielded as soon as it is certain."""
         done = 0  # boundary up to which pieces are committed
@@ -126,6 +219,21 @@ class PieceLattice:
             end = begin
         return out[::-1]
 
+    def ids_many(self, strings: list[str]) -> list[np.ndarray]:
+        """``ids`` of each string."""
+        out: list = [None] * len(strings)
+        short = [i for i, x in enumerate(strings) if len(x) <= 2 * self.longest]
+        symbols, size = self.segment_many([strings[i] for i in short])
+        ends = np.cumsum(size)
+        owner = np.repeat(np.arange(len(short)), size)
+        unknown = np.zeros(len(short), bool)  # characters that become bytes
+        unknown[owner[symbols >= len(self.pieces)]] = True
+        symbols = symbols.astype(np.int32)
+        for i, a, b, other in zip(short, (ends - size).tolist(), ends.tolist(), unknown.tolist()):
+            if not other:
+                out[i] = symbols[a:b]
+        return [np.array(self.ids(strings[i]), np.int32) if x is None else x for i, x in enumerate(out)]
+
     def ids(self, text: str) -> list[int]:
         """Ids of text in which blanks are replaced by their stand-in."""
         out: list[int] = []
@@ -190,8 +298,7 @@ class Codec:
         self.at = np.cumsum(self.width) - self.width
 
     def _learn(self, strings: list[bytes]) -> list[np.ndarray]:
-        ids = self.lattice.ids
-        return [np.array(ids(b.decode("utf-8").replace(" ", BLANK)), np.int32) for b in strings]
+        return self.lattice.ids_many([b.decode("utf-8").replace(" ", BLANK) for b in strings])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -221,10 +328,18 @@ def codec_of(model_path: str, strings: int = CACHE_STRINGS, pairs: int = PAIRS)
     return _CODECS[key]
 
 
-def encode(docs: DataFrame, model_path: str, strings: int = CACHE_STRINGS, pairs: int = PAIRS) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    model_path: str,
+    strings: int = CACHE_STRINGS,
+    pairs: int = PAIRS,
+    then: tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str] | None = None,
+) -> DataFrame:
     """``docs`` without ``text``, with ``ids`` (array of int), ``n_ids`` and
     ``round_trip`` (the ids decode to the text). ``strings`` and ``pairs``
-    bound the tables of what a worker has met; they change speed only."""
+    bound the tables of what a worker has met; they change speed only.
+    ``then``, a function of these batches and the schema it gives, runs in the
+    same task, so that ids it only sums up need not leave the worker."""
     docs = docs.drop("ids", "n_ids", "round_trip")
     carried = [c for c in docs.columns if c != "text"]
     at = docs.columns.index("text")
@@ -246,4 +361,7 @@ def encode(docs: DataFrame, model_path: str, strings: int = CACHE_STRINGS, pairs
                 )
         give_back()
 
-    return docs.mapInArrow(run, schema)
+    if then is None:
+        return docs.mapInArrow(run, schema)
+    after, schema = then
+    return docs.mapInArrow(lambda batches: after(run(batches)), schema)

@@ -407,3 +407,24 @@ def test_labels_beyond_the_limit_are_refused(spark, monkeypatch):
     df = spark.createDataFrame([(f"l{i}", f"text {i}") for i in range(3)], "lang string, text string")
     with pytest.raises(ValueError):
         langid.fit(df)
+
+
+@given(st.lists(st.text(alphabet="abeinorst▁ .,'é中😀́x", max_size=40), max_size=12))
+@settings(max_examples=60, deadline=None)
+def test_pieces_of_many_strings_equal_those_of_each(texts):
+    lattice = spm.PieceLattice(PIECES, 500)  # the table of pairs is emptied now and then
+    strings = [t.replace(" ", "▁") for t in texts] + ["", "😀", "ab" * 40]
+    assert [x.tolist() for x in lattice.ids_many(strings)] == [lattice.ids(x) for x in strings]
+    assert len(lattice.pair_key) <= 500 and len(lattice.pairs) <= 500
+
+
+def test_pieces_summed_up_in_the_task(spark):
+    rows = spark.createDataFrame([(1, "one two"), (2, None), (3, "été 😀")], "doc_id long, text string")
+
+    def longest(batches):
+        for b in batches:
+            yield b.select(["doc_id", "n_ids"])
+
+    got = spm.encode(rows, PIECES, then=(longest, "doc_id long, n_ids long")).collect()
+    want = spm.encode(rows, PIECES).select("doc_id", "n_ids").collect()
+    assert sorted(got) == sorted(want)
