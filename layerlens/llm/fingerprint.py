@@ -10,8 +10,9 @@ are corrected for: likeness = (share of equal digits - 1/16) / (1 - 1/16), at le
 Defined cases: a null text is empty; a text without words has the empty
 fingerprint, whose likeness is 1 to itself and 0 to all others; equal texts
 have equal fingerprints; documents with equal ids follow each other in order
-of their texts; a null id comes first; with one document the next document is
-itself; an empty table gives an empty result; other columns are ignored.
+of their texts; null ids come first, in order of their texts' hashes; with one
+document the next document is itself; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -138,30 +139,38 @@ def with_next(docs: DataFrame, carried: list[str], ranges: int) -> DataFrame:
 
     Ids are cut into ranges by their quantiles; the first documents of a range
     are also sent to the range before it, so one shuffle by range brings every
-    document together with its successor and no range needs another."""
+    document together with its successor and no range needs another. Null ids
+    have ranges of their own, by the hash of the text."""
     q = [i / ranges for i in range(1, ranges)]
     got = docs.agg(F.percentile_approx("doc_id", q, 10 * ranges).alias("b")).first()["b"] if q else []
     bounds = sorted(set(got or []))
-    docs = docs.withColumn("_range", range_of(F.col("doc_id"), bounds))
-    least = docs.groupBy("_range").agg(F.min(F.struct("doc_id"))["doc_id"].alias("id")).orderBy("_range").collect()
+    bits = (ranges - 1).bit_length()
+    sign = F.lit(-(1 << 63)).cast("long")
+    by_hash = F.shiftrightunsigned(F.col("_tie").bitwiseXOR(sign), 64 - bits).cast("int") if bits else F.lit(0)
+    docs = docs.withColumn("_tie", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)))
+    by_id = range_of(F.col("doc_id"), bounds) + F.lit(1 << bits)
+    docs = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), by_hash).otherwise(by_id))
+    least = docs.groupBy("_range").agg(F.min(F.struct("doc_id", "_tie")).alias("at")).orderBy("_range").collect()
     used = [r["_range"] for r in least]
     if not used:
-        return docs.drop("_range").select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
+        return docs.drop("_range", "_tie").select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
     before = {r: used[i - 1] for i, r in enumerate(used)}
-    slots = range(len(bounds) + 1)
-    ids = {r["_range"]: r["id"] for r in least}
-    first_id = F.array(*[F.lit(ids.get(i)).cast("long") for i in slots])
+    slots = range((1 << bits) + len(bounds) + 1)
+    heads = {r["_range"]: r["at"] for r in least}
+    of_slot = lambda field: F.array(*[F.lit(heads[i][field] if i in heads else None).cast("long") for i in slots])
     previous = F.array(*[F.lit(before.get(i, 0)) for i in slots])
     to = lambda r, again: F.struct(r.alias("range"), F.lit(again).alias("again"))
+    is_head = F.col("doc_id").eqNullSafe(F.get(of_slot("doc_id"), F.col("_range"))) & (
+        F.col("_tie") == F.get(of_slot("_tie"), F.col("_range"))
+    )
     sent = F.when(
-        F.col("doc_id").eqNullSafe(F.get(first_id, F.col("_range"))),
-        F.array(to(F.col("_range"), False), to(F.get(previous, F.col("_range")), True)),
+        is_head, F.array(to(F.col("_range"), False), to(F.get(previous, F.col("_range")), True))
     ).otherwise(F.array(to(F.col("_range"), False)))
-    w = Window.partitionBy("_to.range").orderBy("_to.again", "doc_id", "text")
+    w = Window.partitionBy("_to.range").orderBy("_to.again", "doc_id", "_tie", "text")
     rows = docs.withColumn("_to", F.explode(sent)).select(
         "*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried]
     )
-    return rows.where(~F.col("_to.again")).drop("_to", "_range")
+    return rows.where(~F.col("_to.again")).drop("_to", "_range", "_tie")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

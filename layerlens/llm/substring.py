@@ -120,7 +120,8 @@ def dedup(docs: DataFrame, untouched: bool = False) -> DataFrame:
     nothing keep their white space."""
     docs = docs.drop("n_words", "n_removed", "repeats")
     n = chunks.chunk_count(docs)
-    dealt = docs.withColumn("_llm_chunk", chunks.chunk_of(F.col("doc_id"), n))
+    dealt_by = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))  # rows without an id are dealt by their texts
+    dealt = docs.withColumn("_llm_chunk", chunks.chunk_of(dealt_by, n))
     names = dealt.columns
 
     # no type hints on functions given to applyInArrow: Spark reads them

@@ -72,6 +72,13 @@ def test_substring_random_passages(spark):
     check_substring(spark.createDataFrame(rows, DOC).repartition(5))
 
 
+def test_substring_rows_without_an_id(spark):
+    passage = " ".join(f"q{i}" for i in range(25))
+    rows = [(None, f"{i} starts {passage} and ends {i % 3}") for i in range(60)] + [(None, None), (4, f"four {passage}")]
+    check_substring(spark.createDataFrame(rows, DOC).repartition(5))
+    check_substring(spark.createDataFrame(rows[:60], DOC))
+
+
 # ------------------------------------------------------------ 8 Jaccard join
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from conftest import SF_SMALL
 from edge_cases import edge, empty  # noqa: F401  (fixtures)
 from hypothesis import given, settings
@@ -176,6 +177,65 @@ def test_fingerprint_edge_rows(edge, empty):
     assert text[7] and fingerprint.fingerprints(empty).count() == 0
 
 
+def brute_fingerprint(t):
+    """One-permutation MinHash with the same hashes and walks, in plain Python."""
+    w = WORD.findall(t)
+    if not w:
+        return ""
+    xx = lambda data, seed: xxhash.xxh64_intdigest(data, seed)
+    word = [xx(x.encode(), 42).to_bytes(8, "little") for x in w]
+
+    def shingle(part):
+        h = 42
+        for x in part:
+            h = xx(x, h)
+        return h
+
+    shingles = [shingle(word[j : j + 5]) for j in range(len(w) - 4)] if len(w) >= 5 else [shingle(word)]
+    bins = [None] * 256
+    for h in shingles:
+        signed = h - (1 << 64) if h >= 1 << 63 else h
+        b = (signed >> 56) + 128
+        bins[b] = signed if bins[b] is None else min(bins[b], signed)
+    digits = []
+    for i in range(256):
+        order = sorted(range(256), key=lambda b: (fingerprint._rank(i, b), b))
+        v = bins[i] if bins[i] is not None else next(bins[b] for b in order if bins[b] is not None)
+        digits.append(f"{xx(i.to_bytes(4, 'little'), xx(v.to_bytes(8, 'little', signed=True), 42)) & 15:x}")
+    return "".join(digits)
+
+
+def test_fingerprint_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    texts = ["", "one", "a b", "été 中文 😀 x y z", " \t\n"]
+    texts += [" ".join(f"w{x}" for x in rng.integers(0, 900, n)) for n in (5, 6, 9, 40, 130, 700, 3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fingerprint.fingerprint(F.col("t")).alias("f")).collect()
+    assert [(r["t"], r["f"]) for r in rows] == [(t, brute_fingerprint(t)) for t in texts]
+    near = lambda a, b: max(0.0, (sum(x == y for x, y in zip(a, b)) / 256 - 1 / 16) / (1 - 1 / 16))
+    prints = [(a, b) for a in (r["f"] for r in rows if r["f"]) for b in (r["f"] for r in rows if r["f"])]
+    got = spark.createDataFrame(prints, "a string, b string").select("a", "b", fingerprint.likeness(F.col("a"), F.col("b")).alias("s"))
+    for r in got.collect():
+        assert abs(r["s"] - near(r["a"], r["b"])) < 1e-12
+
+
+def test_fingerprint_rows_without_an_id_are_spread(spark):
+    rows = [(None, f"text {i % 60} of many words without any id") for i in range(80)] + [(i, f"number {i} with an id") for i in range(30)]
+    rows += [(None, None)]
+    hashed = lambda t: (lambda h: h - (1 << 64) if h >= 1 << 63 else h)(xxhash.xxh64_intdigest(t.encode(), 42))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = sorted(
+        ((d, t or "") for d, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, hashed(x[1]) if x[0] is None else 0, x[1])
+    )
+    want = Counter()
+    for i, (d, t) in enumerate(order):
+        nxt, k = order[(i + 1) % len(order)][1], len(t) // 4
+        want[(d, hashlib.sha256((t[: len(t) - k] + nxt[:k]).encode()).hexdigest())] += 1
+    got = fingerprint.fingerprints(docs)
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got.collect()) == want
+    alone = spark.createDataFrame(rows[:3], "doc_id long, text string")
+    assert fingerprint.fingerprints(alone).count() == 3
+
+
 def test_fingerprint_likeness_is_close(spark):
     rng = np.random.default_rng(3)
     base = [f"w{x}" for x in rng.integers(0, 5000, 700)]
