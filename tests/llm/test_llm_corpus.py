@@ -3,10 +3,11 @@
 import random
 import re
 import sys
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+import xxhash
 from conftest import SF_SMALL
 from edge_cases import edge, empty  # noqa: F401  (fixtures)
 from pyspark.sql import functions as F
@@ -331,6 +332,60 @@ def test_mix_schedule_is_even_and_stable(spark):
             assert abs(n - part * (len(order) // 10)) <= 6
 
 
+def brute_mix(rows, target, block):
+    """``(slot, source, r, doc_id, epoch, first_word, n_words)`` of the mix,
+    slot by slot and word by word. ``rows``: doc_id, source, text."""
+    xx = xxhash.xxh64_intdigest
+    sources = sorted(target, key=lambda s: (s is None, s or ""))
+    stream = defaultdict(list)
+    for d, s, t in rows:
+        key = xx(mixing.SEED.to_bytes(4, "little"), 42)
+        if d is not None:
+            key = xx(d.to_bytes(8, "little", signed=True), key)
+        if t is not None:
+            key = xx(xx(t.encode(), 42).to_bytes(8, "little"), key)
+        stream[s].append((key, d, len(WORD.findall(t or ""))))
+    words = {s: [(d, i) for _, d, n in sorted(stream[s]) for i in range(n)] for s in sources}
+    need = {s: -(-int(target[s]) // block) for s in sources}
+    slots, upto = sum(need.values()), 0.0
+    span, whole = {}, sum(target.values())
+    for s in sources:
+        span[s] = (upto / whole, (upto + target[s]) / whole)
+        upto += target[s]
+    place, met = {}, dict.fromkeys(sources, 0)
+    for slot in range(slots):
+        u, step, x = 0.0, 0.5, slot
+        while x:
+            u, step, x = u + step * (x & 1), step / 2, x >> 1
+        for s in sources:
+            if span[s][0] <= u < span[s][1]:
+                if met[s] < need[s]:
+                    place[s, met[s]] = slot
+                met[s] += 1
+    for s in sources:
+        for r in range(met[s], need[s]):
+            place[s, r] = slots + r
+    out = Counter()
+    for s in sources:
+        for at in range(int(target[s])):
+            d, i = words[s][at % len(words[s])]
+            out[place[s, at // block], s, at // block, d, at // len(words[s]), i] += 1
+    return out
+
+
+def test_mix_equals_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", "d", None]), f"d{i} " + "w " * rng.randint(0, 30)) for i in range(240)]
+    rows += [(500, "e", None), (501, "f", " "), (502, "g", "only these words")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    placed, mixed = check_mix(df, block_words=16)
+    got = Counter()
+    for m in mixed:
+        for i in range(m["n_words"]):
+            got[m["slot"], m["source"], m["r"], m["doc_id"], m["epoch"], m["first_word"] + i] += 1
+    assert got == brute_mix(rows, {r["source"]: r["target"] for r in placed}, 16)
+
+
 # ------------------------------------------------------- queries and stages
 
 

@@ -151,6 +151,59 @@ def test_language_edge_rows(spark, edge, empty):
     assert {(r["lang_pred"], r["score"]) for r in langid.identify(edge.where("doc_id = 1"), only).collect()} == {("en", 1.0)}
 
 
+def brute_presence(text):
+    """Bins of the n-grams of letters, written out with whole numbers."""
+    codes, after = [0], False
+    for ch in text:
+        if ch.isalpha():
+            codes.append(ord(ch.lower()[0]))
+        elif after:
+            codes.append(0)
+        after = ch.isalpha()
+    codes.append(0)
+    out = set()
+    for n in range(1, langid.MAX_N + 1):
+        for i in range(len(codes) - n + 1):
+            g = 0
+            for c in codes[i : i + n]:
+                g = (g * 0x100000001B3 + c + 1) % 2**64
+            out.add(((g + n) * 0x9E3779B97F4A7C15) % 2**64 * langid.BINS >> 64)
+    return out
+
+
+def test_language_equals_the_kernel_solution(spark):
+    """Kernel matrix and ridge solution written out: all rows are landmarks,
+    so the solution needs no decomposition of their kernel."""
+    rng = np.random.default_rng(5)
+    sounds = {"en": ["the", "and", "ing", "wh", "ck"], "fr": ["é", "eau", "oui", "que", "ai"], "de": ["sch", "ü", "ich", "und", "z"]}
+    make = lambda x, n: " ".join("".join(rng.choice(sounds[x], 3)) for _ in range(n)) + rng.choice(["", ".", " 3!"])
+    learn = [(x, make(x, int(rng.integers(3, 20)))) for x, n in (("en", 14), ("fr", 9), ("de", 5)) for _ in range(n)]
+    tests = [make(x, 6) for x in sounds for _ in range(8)] + ["the", "É", "x y z", "und the eau"]
+    model = langid.fit(spark.createDataFrame(learn, "lang string, text string"))
+    assert model.landmarks.shape[1] == len(learn)
+
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    sets = [brute_presence(t) for _, t in learn]
+    assert all(set(langid.presence(t).tolist()) == s for (_, t), s in zip(learn, sets))
+    names = sorted(sounds)
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    y = np.array([[1.0 if x == c else -1.0 for c in names] for x, _ in learn])
+    count = Counter(x for x, _ in learn)
+    w = np.array([1 / count[x] for x, _ in learn])
+    base = (w[:, None] * y).sum(axis=0) / w.sum()
+    middle = k.mean(axis=0)
+    kc = k - middle
+    ridge = langid.RIDGE * w.sum() / len(learn)
+    alpha = np.linalg.solve(kc.T @ (w[:, None] * kc) + ridge * k, kc.T @ (w[:, None] * (y - base)))
+    got, score = model.predict(tests)
+    for t, name, s in zip(tests, got, score):
+        m = base + (np.array([kernel(brute_presence(t), b) for b in sets]) - middle) @ alpha
+        p = np.exp(langid.SHARPNESS * m)
+        p /= p.sum()
+        assert abs(s - p.max()) < 2e-3
+        assert name == names[p.argmax()] or np.diff(np.sort(p)[-2:])[0] < 2e-3
+
+
 # ------------------------------------------------------------ 3 fingerprints
 
 
