@@ -32,7 +32,7 @@ def _event_log(spark, sf_dir):
 def _replay(spark, df, order_col, name):
     root = ST.scratch(spark, f"{name}-in")
     ST.stage_in_order(df, order_col, N_FILES, root)
-    return ST.file_stream(spark, root, df.schema)
+    return ST.file_stream(spark, root, df.schema, ST.files_a_batch(spark, root, N_FILES))
 
 
 @register("stream_minmax", oracle="""

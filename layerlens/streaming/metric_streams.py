@@ -40,7 +40,17 @@ def stage_in_order(df: DataFrame, order_col: str, n_files: int, root: str) -> st
     """Write ``df`` as ``n_files`` parquet folders holding consecutive ranges
     of ``order_col`` (written one after the other, so a file source reads
     them in that order; null keys are in the first). Used to replay a table as
-    a stream."""
+    a stream. ``df`` is worked out once, into a copy that the ranges are cut
+    from and that is then dropped."""
+    spark, copy = df.sparkSession, f"{root.rstrip('/')}-copy"
+    df.write.mode("overwrite").parquet(copy)
+    try:
+        return _stage(spark.read.schema(df.schema).parquet(copy), order_col, n_files, root)
+    finally:
+        drop_folder(spark, copy)
+
+
+def _stage(df: DataFrame, order_col: str, n_files: int, root: str) -> str:
     b = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
     lo, hi = b["lo"], b["hi"]
     if lo is None:  # no row has a key
@@ -58,6 +68,28 @@ def stage_in_order(df: DataFrame, order_col: str, n_files: int, root: str) -> st
     return root
 
 
+def _folder(spark: SparkSession, path: str):
+    """The path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    at, fs = _folder(spark, path)
+    fs.delete(at, True)
+
+
+def files_a_batch(spark: SparkSession, root: str, batches: int) -> int:
+    """How many files of ``root`` a micro-batch takes so that all are read in
+    at most ``batches``. Larger tables are written as more files; a batch a
+    file would run the tasks of the whole state for every one of them."""
+    at, fs = _folder(spark, root)
+    found, n = fs.listFiles(at, True), 0
+    while found.hasNext():
+        n += not found.next().getPath().getName().startswith(("_", "."))
+    return max(1, -(-n // batches))
+
+
 def file_stream(spark: SparkSession, root: str, schema, files_per_batch: int = 1) -> DataFrame:
     return (
         spark.readStream.schema(schema)

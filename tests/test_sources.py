@@ -120,3 +120,17 @@ def test_stage_in_order_keeps_null_keys(spark, tmp_path):
         root = stage_in_order(spark.createDataFrame([(k,) for k in keys], "k long"), "k", 3, str(tmp_path / name))
         got = spark.read.schema("k long").option("recursiveFileLookup", True).parquet(root)
         assert sorted((r["k"] for r in got.collect()), key=repr) == sorted(keys, key=repr)
+
+
+def test_a_replay_has_as_many_batches_as_asked_for(spark, tmp_path):
+    from layerlens.streaming import metric_streams as ST
+
+    df = spark.range(90).selectExpr("id as k", "id % 7 as g").repartition(6)
+    root = ST.stage_in_order(df, "k", 3, str(tmp_path / "in"))
+    assert not os.path.exists(f"{root}-copy")
+    stream = ST.file_stream(spark, root, df.schema, ST.files_a_batch(spark, root, 3))
+    sink = str(tmp_path / "out")
+    ST.run_available(stream.groupBy("g").count(), sink, str(tmp_path / "ck"))
+    assert sorted(d for d in os.listdir(sink) if d.startswith("batch_id")) == ["batch_id=0", "batch_id=1", "batch_id=2"]
+    got = {r["g"]: r["count"] for r in ST.latest_state(sink, spark, ["g"]).collect()}
+    assert got == {g: len(range(g, 90, 7)) for g in range(7)}
