@@ -80,8 +80,8 @@ WITH {_MDL}
 SELECT CAST(portion_idx AS INTEGER) AS portion_idx, round(ce_sum, 6) AS ce_sum, n_scored FROM per
 """)
 def stream_codelength(spark, sf_dir):
-    """ST3: code length accumulated per portion as scored chunks arrive (one
-    file per portion); equals the batch online-coding sums."""
+    """ST3: code length accumulated per portion as scored chunks arrive (as
+    many batches as portions); equals the batch online-coding sums."""
     out, _ = _streamed_code(spark, sf_dir)
     return out.select("portion_idx", F.round("ce_sum", 6).alias("ce_sum"), "n_scored")
 
@@ -92,10 +92,14 @@ def _streamed_code(spark, sf_dir):
     permuted = S.permute(f3)
     scored = L.scored_chunks(permuted, S.portions_table(spark, n, F3_PORTIONS), NUM_CLASSES)
     scored = scored.select(F.col("portion_idx").cast("int"), "ce")
-    root = ST.scratch(spark, "st3-in")
-    for k in range(len(F3_PORTIONS) - 1):
-        scored.filter(F.col("portion_idx") == k).write.mode("overwrite").parquet(os.path.join(root, f"part-{k:04d}"))
-    stream = ST.file_stream(spark, root, scored.schema)
+    # scored once; the portions then arrive one after the other
+    root, copy, portions = ST.scratch(spark, "st3-in"), ST.scratch(spark, "st3-scored"), len(F3_PORTIONS) - 1
+    scored.write.partitionBy("portion_idx").parquet(copy)
+    arrived = spark.read.schema(scored.schema).parquet(copy).select(scored.columns)
+    for k in range(portions):
+        arrived.filter(F.col("portion_idx") == k).write.mode("overwrite").parquet(os.path.join(root, f"part-{k:04d}"))
+    ST.drop_folder(spark, copy)
+    stream = ST.file_stream(spark, root, scored.schema, ST.files_a_batch(spark, root, portions))
     sink, ck = ST.scratch(spark, "st3-out"), ST.scratch(spark, "st3-ck")
     ST.run_available(ST.live_code_length(stream), sink, ck, "update")
     return ST.latest_state(sink, spark, ["portion_idx"]), n
