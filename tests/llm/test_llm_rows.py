@@ -541,3 +541,20 @@ def test_pieces_summed_up_in_the_task(spark):
     got = spm.encode(rows, PIECES, then=(longest, "doc_id long, n_ids long")).collect()
     want = spm.encode(rows, PIECES).select("doc_id", "n_ids").collect()
     assert sorted(got) == sorted(want)
+
+
+def test_a_group_gives_its_memory_back():
+    from layerlens.llm.common import give_back, given_back
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def work(n):  # blocks too small for the system to take back one by one, and a late one above them
+        held = [np.ones(8000, np.uint8) for _ in range(n)]
+        return len(held), np.ones(8000, np.uint8)
+
+    give_back()
+    before = resident()
+    out = given_back(work, 20_000)
+    assert out[0] == 20_000 and resident() - before < 40 << 20
