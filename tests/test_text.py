@@ -168,3 +168,22 @@ def test_word_scan_equals_the_rules(spark):
         split = [X.wordpiece(X.normalize_word(w), vocab) for w in want[r.i]]
         assert r.words == want[r.i]
         assert r.pieces.ids == [x for s in split for x in s] and r.pieces.n_pieces == [len(s) for s in split]
+
+
+def test_tokenizer_memory_is_bounded_by_its_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from layerlens.operators import text as X
+
+    vocab = {t: i for i, t in enumerate([X.PAD, X.UNK, X.CLS, X.SEP, "a", "b", "##a", "##b"])}
+    texts = pa.array(["ab ba a b abab " * 200] * 2000)
+    tokenize = X.make_text_tokenizer(vocab, keep_words=False).func
+    tokenize(texts.slice(0, 1))
+    tracemalloc.start()
+    out = tokenize(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == len(texts) and len(out.field("n_pieces")[1999]) == 1000
+    assert peak < 100 << 20, peak
