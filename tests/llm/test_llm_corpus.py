@@ -197,6 +197,47 @@ def test_jaccard_link_that_no_hub_may_have(spark, monkeypatch):
     assert compared
 
 
+def over_another(df):
+    """Python steps of a plan that read from another one in the same task,
+    which then holds two workers."""
+    held, found = [], []  # depth of the nodes above, and whether a task of theirs runs Python
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(re.match(r"[\s:+*|-]*", line)[0])
+        held = [x for x in held if x[0] < depth]
+        above = bool(held) and held[-1][1]
+        name = line[depth:]
+        if "InArrow" in name and above:
+            found.append(name)
+        held.append((depth, "Exchange" not in name and (above or "InArrow" in name)))
+    return found
+
+
+def test_jaccard_tasks_hold_one_worker(spark, monkeypatch):
+    """Where some hubs and blocks are met too, so that every step runs."""
+    chained, ran = [], []
+
+    def watch(name):
+        f = getattr(jaccard, name)
+
+        def seen(df, *a):
+            chained.extend(over_another(df))
+            ran.append(name)
+            return f(df, *a)
+
+        monkeypatch.setattr(jaccard, name, seen)
+
+    for name in ("materialize", "settled", "_asked"):
+        watch(name)
+    rng = random.Random(5)
+    passage = " ".join(f"common{i}" for i in range(8))
+    texts = [passage + " " + " ".join(f"u{d}_{i}" for i in range(8 + d % 9)) for d in range(90)]
+    texts += [passage + " " + x for x in copies(rng, 45, 80, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC).repartition(4)
+    assert over_another(docs.mapInArrow(lambda x: x, DOC).mapInArrow(lambda x: x, DOC))
+    jaccard.join(docs, 4, 50)
+    assert {"materialize", "settled", "_asked"} <= set(ran) and not chained
+
+
 def test_jaccard_rows_without_an_id_are_apart(spark):
     rng = random.Random(8)
     rows = []

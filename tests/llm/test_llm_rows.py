@@ -558,3 +558,12 @@ def test_a_group_gives_its_memory_back():
     before = resident()
     out = given_back(work, 20_000)
     assert out[0] == 20_000 and resident() - before < 40 << 20
+
+
+def test_powers_are_kept_for_slices_only():
+    from layerlens.llm import common
+
+    for n in (1, 1 << 16, (1 << 20) + 5000, (1 << 22) + 1):
+        got = common._powers(common._BASE, n)
+        assert len(got) == n and int(got[-1]) == pow(common._BASE, n - 1, 1 << 64)
+    assert common._POWERS[common._BASE].nbytes <= 9 << 20
