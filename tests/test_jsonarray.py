@@ -73,3 +73,21 @@ def test_files_that_are_no_array_fail(spark, tmp_path, text):
     (tmp_path / "bad.json").write_text(text)
     with pytest.raises(Exception, match="JSON array"):
         J.read_json_array(spark, str(tmp_path)).collect()
+
+
+def test_small_files_are_read_in_one_pass(spark, tmp_path, monkeypatch):
+    """A file of one small range takes no pass for its map and is not written
+    again; a larger one beside it is not read whole."""
+    (tmp_path / "hard.json").write_text(json.dumps(HARD, indent=1, ensure_ascii=False))
+    (tmp_path / "empty.json").write_text(" [ \n] ")
+    (tmp_path / "none.json").write_text("")
+    want = sorted(json.dumps(x) for x in HARD)
+    written = []
+    monkeypatch.setattr(J, "materialize", lambda df, f=J.materialize: written.append(df) or f(df))
+    got = [json.loads(r.element) for r in J.read_json_array(spark, str(tmp_path)).collect()]
+    assert sorted(map(json.dumps, got)) == want and not written
+    (tmp_path / "more.json").write_text(json.dumps(["x" * 5000] * 4))
+    monkeypatch.setattr(J, "WHOLE_BYTES", 15_000)
+    assert J._whole(spark, str(tmp_path / "more.json"), 15_000).rdd.getNumPartitions() == 0
+    got = [json.loads(r.element) for r in J.read_json_array(spark, str(tmp_path)).collect()]
+    assert sorted(map(json.dumps, got)) == sorted(want + [json.dumps("x" * 5000)] * 4) and len(written) == 1
