@@ -1,8 +1,10 @@
 """Operators that look across documents, against brute force."""
 
+import os
 import random
 import re
 import sys
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -12,7 +14,7 @@ from conftest import SF_SMALL
 from edge_cases import edge, empty  # noqa: F401  (fixtures)
 from pyspark.sql import functions as F
 
-from layerlens.llm import components, jaccard, mixing, substring
+from layerlens.llm import common, components, jaccard, mixing, substring
 from layerlens.llm.oracles import ORACLES
 from layerlens.llm.queries import QUERIES, vocabulary
 
@@ -197,6 +199,91 @@ def test_jaccard_link_that_no_hub_may_have(spark, monkeypatch):
     assert compared
 
 
+def near_copies(groups, copies_of_each, length=250):
+    """Groups whose members each have one word of their own."""
+    base = [[f"g{g}_{i}" for i in range(length)] for g in range(groups)]
+    return [" ".join(b[: 10 * j] + [f"own{j}"] + b[10 * j :]) for b in base for j in range(copies_of_each)]
+
+
+def on_disk(spark):
+    """Bytes of shuffles, and of the shared folder of the session."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    shuffled = sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return shuffled + sum(os.path.getsize(os.path.join(d, x)) for d, _, names in os.walk(top) for x in names)
+
+
+def test_jaccard_leaves_no_shuffled_texts(spark):
+    """What the steps of a join have shuffled or written does not add up."""
+    texts = near_copies(120, 12)
+    docs = jaccard.materialize(spark.createDataFrame(list(enumerate(texts)), DOC).repartition(4))
+    common.release(spark)
+    time.sleep(3)
+    before = on_disk(spark)
+    found = jaccard.join(docs)
+    for _ in range(20):
+        if (left := on_disk(spark) - before) < sum(map(len, texts)) / 4:
+            break
+        time.sleep(0.5)
+    assert left < sum(map(len, texts)) / 4
+    assert jaccard.component_table(found).select("component_id").distinct().count() == 120
+
+
+def test_jaccard_texts_of_a_group_meet_once(spark):
+    """Of 12 near copies 66 pairs may link; one chunk gets each text at most."""
+    groups, n = 30, 16
+    texts = near_copies(groups, 12)
+    docs = spark.createDataFrame([(i, x, i % 7) for i, x in enumerate(texts)], "doc_id long, text string, _llm_chunk int")
+    docs = docs.withColumn("_llm_chunk", jaccard.chunks.chunk_of(F.col("doc_id"), n))
+    pairs = [(12 * g + i, 12 * g + j) for g in range(groups) for i in range(12) for j in range(i + 1, 12)]
+    pairs = spark.createDataFrame(pairs, "a long, b long")
+    lent = jaccard._lent(docs, docs, jaccard._placed(pairs, n), n).where("text is not null")
+    assert lent.count() <= len(texts) - groups
+    links = {(r.a, r.b) for r in jaccard._verify(docs, pairs, n, jaccard.Rule()).collect()}
+    assert len(links) == 11 * groups and all(a // 12 == b // 12 for a, b in links)
+
+
+def test_jaccard_pairs_of_equal_lists_are_counted_once(monkeypatch):
+    """Lists of all lengths, in several buckets and places, against pairs counted one by one."""
+    np, pa = jaccard.np, jaccard.pa
+    monkeypatch.setattr(jaccard, "PLACE_SETS", 40)
+    rng, rule, n = random.Random(4), jaccard.Rule(), 3
+    size = {d: rng.choice([20, 21, 23, 30, 50]) for d in range(-40, 40)}
+    lists = [rng.sample(range(-40, 40), rng.choice([1, 2, 3, 5, 12, jaccard.LIST_ALL])) for _ in range(60)]
+    lists += [list(range(-30, -18))] * 200 + [list(range(-40, jaccard.LIST_ALL - 35))]
+    want, rows = Counter(), []
+    for key, members in enumerate(lists):
+        pack = lambda x, t: [np.array(x, t).tobytes()]
+        rows.append((key % 5, *pack([key] * len(members), "u8"), *pack(members, "i8"), *pack([size[d] for d in members], "u4"), *pack([1] * len(members), "u4")))
+        if len(members) <= jaccard.LIST_ALL:
+            for a in members:
+                for b in members:
+                    if (size[a], a) < (size[b], b) and rule.share * size[b] <= 100 * size[a]:
+                        want[a, b] += 1
+    scanned = []
+    for bucket in range(5):
+        mine = list(zip(*[r for r in rows if r[0] == bucket]))
+        scanned.append(jaccard._scan_lists(pa.table(list(map(list, mine)), names=["bucket", "keys", "docs", "sizes", "lengths"]), rule, n))
+    found = pa.concat_tables(scanned)
+    assert sum(k == jaccard.LONG for k in found.column("kind").to_pylist()) == 1
+    sums = [jaccard._pairs_at(found.filter(pa.array([k != jaccard.LONG and at == i for k, at in zip(found.column("kind").to_pylist(), found.column("at").to_pylist())])), rule, n) for i in range(n)]
+    sent = sum(len(x) // 8 for t in sums for x in t.column("a").to_pylist())
+    assert sent < sum(want.values()) / 2  # the 200 equal lists count as few
+    none, got = pa.table({"doc": pa.array([], pa.int64()), "in_long": pa.array([], pa.int64())}), {}
+    sums = pa.concat_tables(sums)
+    for i in range(n):
+        t = jaccard._counted(sums.filter(pa.array([c == i for c in sums.column("chunk").to_pylist()])), none, 1)
+        got |= {(r["a"], r["b"]): r["s"] for r in t.to_pylist()}
+        assert all(r["na"] == size[r["a"]] and r["nb"] == size[r["b"]] for r in t.to_pylist())
+    assert got == dict(want)
+
+
+def test_jaccard_blocks_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "ROUND_SHINGLES", 12_000)
+    monkeypatch.setattr(jaccard, "GROUP_PAIRS", 4)
+    test_jaccard_blocks_and_hubs(spark, monkeypatch)
+
+
 def over_another(df):
     """Python steps of a plan that read from another one in the same task,
     which then holds two workers."""
